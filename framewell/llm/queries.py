@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from framewell.llm.decontaminate import decontaminate
 from framewell.llm.near_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,9 +37,45 @@ SELECT s.doc_id, s.n AS n_shingles, min(other) AS component_id, s.doc_id = min(o
 """
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.sha2(F.concat_ws(",", F.array_sort("items")), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+def contaminated() -> Column:
+    return F.expr("n_hit > 0 AND 20 * n_hit >= n_words")
+
+
+OP4_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
+), hits AS (
+  SELECT p.doc_id, p.i, p.k, x.item_id FROM places p JOIN windows x ON p.k = x.k AND p.phrase = x.phrase
+), covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY 1
+), matched AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN matched USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
+    "op4_decontamination": op4_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
+    "op4_decontamination": OP4_SQL,
 }
