@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.llm.decontaminate import decontaminate
 from framewell.llm.near_dedup import near_duplicates
+from framewell.llm.packing import Packing, pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +39,10 @@ SELECT s.doc_id, s.n AS n_shingles, min(other) AS component_id, s.doc_id = min(o
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), Packing(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     items = F.sha2(F.concat_ws(",", F.array_sort("items")), 256)
@@ -73,6 +79,7 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN matched USING (doc_id)
 
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
