@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from framewell.llm.decontaminate import decontaminate
 from framewell.llm.near_dedup import near_duplicates
 from framewell.llm.packing import Packing, pack_documents
+from framewell.llm.shared import shared_folder
+from framewell.llm.warc import read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +42,22 @@ SELECT s.doc_id, s.n AS n_shingles, min(other) AS component_id, s.doc_id = min(o
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH heads AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS original FROM heads)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> original THEN original END AS refers_to
+FROM firsts
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), Packing(public_tokenizers.path("word_bpe_49k.json")))
 
@@ -79,10 +98,12 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN matched USING (doc_id)
 
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
+    "op2_warc": OP2_SQL,
     "op4_decontamination": OP4_SQL,
 }
