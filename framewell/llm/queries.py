@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.llm.decontaminate import decontaminate
+from framewell.llm.licenses import scan
 from framewell.llm.near_dedup import near_duplicates
 from framewell.llm.packing import Packing, pack_documents
 from framewell.llm.shared import shared_folder
@@ -96,11 +97,16 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN matched USING (doc_id)
 """
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
+    "op5_licenses": op5_licenses,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
