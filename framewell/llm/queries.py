@@ -13,6 +13,7 @@ from framewell.llm.decontaminate import decontaminate
 from framewell.llm.licenses import scan
 from framewell.llm.near_dedup import near_duplicates
 from framewell.llm.packing import Packing, pack_documents
+from framewell.llm.pii import KINDS, find, listed
 from framewell.llm.shared import shared_folder
 from framewell.llm.warc import read_archives, write_archives
 
@@ -101,12 +102,22 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
+    "op9_pii": op9_pii,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
