@@ -11,9 +11,10 @@ The join never expands a posting list into all its pairs:
   at, ``probe_matches`` among the first ``probe``);
 * prefix: of a node's common keys, ordered from the rarest, all but the last ``matches - 1`` suffice to meet a partner;
 * hubs: each posting list first links its members to one hub; what a confirmed link already connects is skipped;
-* skip merging: where a list still holds several components, collisions are counted on packed signatures, members of
-  one component skip each other, and only pairs from ``matches`` collisions leave the task. Lists longer than
-  ``block`` are dealt out as pairs of blocks, so no task holds a whole list.
+* skip merging: where lists still hold several components, the lists of the first ``probe`` coordinates (a pair at the
+  threshold shares one but once in 4 billion) are merged again. Members of one component skip each other, collisions
+  are counted on packed sketches of ``sketch`` coordinates, and only pairs with ``sketch_matches`` leave the task. Lists
+  longer than ``block`` are dealt out as pairs of blocks, so no task holds a whole list.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ class NearDedup:
     matches: int = 76
     probe: int = 16
     probe_matches: int = 4
+    sketch: int = 512
+    sketch_matches: int = 342
     block: int = 4096
 
 
@@ -155,45 +158,63 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def collisions(postings: DataFrame, conf: NearDedup) -> DataFrame:
-    """Pairs of different components with at least ``matches`` equal packed coordinates, met in some posting list.
+def sketches(sets: DataFrame, conf: NearDedup) -> DataFrame:
+    """``(doc_id, sketch)``: a byte of each of ``sketch`` further coordinates of the nodes' full sets."""
+    flips, factors = K.constants(conf.sketch, 21), K.constants(conf.sketch, 22)
 
-    ``postings``: token, doc_id, label, packed (a byte a coordinate), prefix (low halves of the node's prefix keys).
-    A pair leaves only the first list that both prefixes share.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                raw = part.column(1).to_pylist()
+                values = np.frombuffer(b"".join(raw), K.U64)
+                first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])[:-1]]).astype(np.int64)
+                least = np.stack([np.minimum.reduceat((values ^ a) * b, first) for a, b in zip(flips, factors, strict=True)], axis=1)
+                packed = (K.mix(least) & K.U64(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], names=["doc_id", "sketch"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, sketch binary")
+
+
+def collisions(nodes: DataFrame, sets: DataFrame, conf: NearDedup) -> DataFrame:
+    """Pairs of different components that meet in a posting list of the first ``probe`` coordinates and agree on at least
+    ``sketch_matches`` coordinates of their sketches. ``nodes``: doc_id, label, tokens (those of the first coordinates).
+
+    Lists whose members are all of one component are skipped whole, and so are a component's own pairs. A pair leaves
+    only the list of the first coordinate that it shares.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             if group.num_rows < 2:
                 continue
-            doc, label, side = (group.column(i).to_numpy() for i in (3, 4, 5))
-            low = int(group.column(0)[0].as_py()) & 0xFFFFFFFF
+            doc, label, side, at = (group.column(i).to_numpy() for i in (3, 4, 5, 6))
             twin = group.column(1)[0].as_py() != group.column(2)[0].as_py()
-            packed = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint8).reshape(len(doc), -1)
-            prefixes = [np.frombuffer(x, np.uint32) for x in group.column(7).to_pylist()]
+            keys = np.frombuffer(b"".join(group.column(7).to_pylist()), "<u4").reshape(len(doc), -1)
+            sketch = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint8).reshape(len(doc), -1)
             names, sizes = np.unique(label, return_counts=True)
             if len(names) < 2:
                 continue
-            rest = np.flatnonzero(label != names[sizes.argmax()])
-            done = np.zeros(len(doc), dtype=bool)
+            open_ = np.ones(len(doc), dtype=bool)
             a, b = [], []
-            for i in rest:
-                done[i] = True
-                near = np.flatnonzero(~done & (label != label[i]) & ((side != side[i]) | (not twin)) & ((packed == packed[i]).sum(1) >= conf.matches))
-                for j in near:
-                    shared = prefixes[i][np.isin(prefixes[i], prefixes[j])]
-                    if not len(shared) or shared.min() == low:
-                        a.append(min(doc[i], doc[j]))
-                        b.append(max(doc[i], doc[j]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
-
-    sizes = postings.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("token", F.ceil(F.col("n") / conf.block).cast("int").alias("n_blocks"))
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int")
-    dealt = postings.join(sizes, "token").withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "doc_id", "label", "side", "packed", "prefix")
+            for i in np.flatnonzero(label != names[sizes.argmax()]):
+                open_[i] = False
+                others = np.flatnonzero(open_ & (label != label[i]) & ((side != side[i]) | (not twin)))
+                others = others[(keys[others] == keys[i]).argmax(axis=1) == at[i]]
+                others = others[(sketch[others] == sketch[i]).sum(axis=1) >= conf.sketch_matches]
+                a.append(np.minimum(doc[others], doc[i]))
+                b.append(np.maximum(doc[others], doc[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    lists = nodes.select("doc_id", "label", F.posexplode("tokens").alias("at", "token"))
+    mixed = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h")
+    mixed = mixed.select("token", F.ceil(F.col("n") / conf.block).cast("int").alias("n_blocks"))
+    rows = stash(lists.join(mixed, "token").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int")))
+    payload = nodes.select("doc_id", low_bytes("tokens", 32).alias("keys")).join(sketches(keep_ids(sets, rows.select("doc_id").distinct(), ["doc_id"]), conf), "doc_id")
+    dealt = rows.join(payload, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    dealt = dealt.select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "doc_id", "label", "side", "at", "keys", "sketch")
     spread = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "doc_id")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return spread.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, conf: NearDedup = NearDedup()) -> DataFrame:
@@ -223,12 +244,9 @@ def near_duplicates(documents: DataFrame, conf: NearDedup = NearDedup()) -> Data
     links = stash(confirm(pairs, sets, conf))
     labels = connected(links)
 
-    packed = chosen.select("doc_id", low_bytes("tokens", 8).alias("packed"))
-    carried = keyed.select("doc_id", F.col("prefix").alias("tokens"), low_bytes("prefix", 32).alias("prefix"))
-    full_rows = carried.join(packed.dropDuplicates(["doc_id"]), "doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "packed", "prefix", "tokens")
-    full_rows = stash(full_rows)
-    met = full_rows.select(F.explode("tokens").alias("token"), "doc_id", "label", "packed", "prefix")
-    late = stash(confirm(collisions(met, conf), sets, conf))
+    nodes = keep_ids(chosen, keyed.select("doc_id"), ["doc_id"]).dropDuplicates(["doc_id"]).join(labels, "doc_id", "left")
+    nodes = stash(nodes.select("doc_id", F.coalesce("label", "doc_id").alias("label"), F.slice("tokens", 1, conf.probe).alias("tokens")))
+    late = stash(confirm(collisions(nodes, sets, conf), sets, conf))
     links = links.unionByName(late)
     labels = connected(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
