@@ -14,6 +14,7 @@ from framewell.llm.licenses import scan
 from framewell.llm.near_dedup import near_duplicates
 from framewell.llm.packing import Packing, pack_documents
 from framewell.llm.pii import KINDS, find, listed
+from framewell.llm.quality import score
 from framewell.llm.shared import shared_folder
 from framewell.llm.warc import read_archives, write_archives
 
@@ -111,12 +112,17 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
+    "op7_quality": op7_quality,
     "op9_pii": op9_pii,
 }
 ORACLE_SQL: dict[str, str] = {
