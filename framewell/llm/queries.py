@@ -16,6 +16,7 @@ from framewell.llm.packing import Packing, pack_documents
 from framewell.llm.pii import KINDS, find, listed
 from framewell.llm.quality import score
 from framewell.llm.shared import shared_folder
+from framewell.llm.substring_dedup import remove_repeats
 from framewell.llm.warc import read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +113,29 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), places AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)
+), repeated AS (
+  SELECT h FROM places GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM places SEMI JOIN repeated USING (h)
+), lists AS (
+  SELECT doc_id, count(*) AS n, list(j) AS js FROM gone GROUP BY 1
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM words) ANTI JOIN gone USING (doc_id, j) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
 
@@ -122,6 +146,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_decontamination": op4_decontamination,
     "op5_licenses": op5_licenses,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
     "op9_pii": op9_pii,
 }
@@ -129,4 +154,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op4_decontamination": OP4_SQL,
+    "op6_substring_dedup": OP6_SQL,
 }
