@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewell.llm.boosting import Trees, threshold
-from framewell.llm.shared import stash
+from framewell.llm.shared import BROADCAST_ROWS, stash
 
 KINDS = ["email", "ip", "card", "phone"]
 EXTRA = ["iban", "secret"]
@@ -156,3 +156,21 @@ def find(documents: DataFrame, conf: PiiScan = PiiScan()) -> DataFrame:
 def listed(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined in order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+
+def redact(documents: DataFrame, conf: PiiScan = PiiScan()) -> DataFrame:
+    """``documents`` with every span of :func:`find` replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
+    docs = documents.withColumn("text_hash_", F.xxhash64("text"))
+    hit = stash(find(documents, conf).filter(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))).alias("spans_")).distinct())
+    side = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS // 10 else hit
+    both = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("text_hash_") == F.col("t")), "left")
+    text = F.col("text")
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substring(text, state.at + 1, F.greatest(s.start - state.at, F.lit(0)))
+        parts = F.when(s.start >= state.at, F.concat(state.out, F.array(gap, F.concat(F.lit("["), F.upper(s.kind), F.lit("]"))))).otherwise(state.out)
+        return F.struct(F.greatest(state.at, s.end).alias("at"), parts.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate("spans_", start, step, lambda s: F.concat(F.array_join(s.out, ""), F.substring(text, s.at + 1, F.length(text))))
+    return both.withColumn("text", F.when(F.col("spans_").isNull(), text).otherwise(clean)).select(*documents.columns)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewell.llm import kernels as K
 from framewell.llm.shared import keep_ids
@@ -168,23 +169,28 @@ def learn(documents: DataFrame, labels: DataFrame, conf: Quality) -> Model:
 
 
 def score(documents: DataFrame, labels: DataFrame, conf: Quality = Quality()) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text): doc_id, held_out, score, predicted (1 from ``bound`` on), n_passages, attention.
+    """Per row of ``documents`` (doc_id, text): its columns but the text, held_out, score, predicted (1 from ``bound`` on), n_passages, attention.
 
     ``attention`` is the largest weight of a passage. A null or empty text is one blank passage and gets a score like any
     other. Without labels the score is that of an untrained model. Repeated rows each get their result; a row without a
     doc_id is held out.
     """
-    model = learn(documents, labels, conf)
+    return apply(documents, learn(documents, labels, conf), conf).drop("text")
+
+
+def apply(documents: DataFrame, model: Model, conf: Quality = Quality()) -> DataFrame:
+    """All columns of ``documents``, and those that :func:`score` adds."""
+    rows = documents.withColumns({"doc_id": F.col("doc_id").cast("long"), "held_out": held_out(F.col("doc_id"))})
+    added = ["score double", "predicted int", "n_passages long", "attention double"]
+    rows = rows.drop(*[x.split()[0] for x in added])
+    text = rows.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, x, first in passages(batch.column(2), conf.passage_words):
-                f = model.forward(x, first)
-                n = len(first) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(f["score"]), pa.array((f["score"] >= conf.bound).astype(np.int32)), pa.array(np.diff(first)), pa.array(np.maximum.reduceat(f["a"], first[:-1]))],
-                    names=["doc_id", "held_out", "score", "predicted", "n_passages", "attention"],
-                )
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_passages long, attention double")
+            for lo, x, first in passages(batch.column(text), conf.passage_words):
+                f, own = model.forward(x, first), batch.slice(lo, len(first) - 1)
+                new = [pa.array(f["score"]), pa.array((f["score"] >= conf.bound).astype(np.int32)), pa.array(np.diff(first)), pa.array(np.maximum.reduceat(f["a"], first[:-1]))]
+                yield pa.RecordBatch.from_arrays([*own.columns, *new], names=[*own.schema.names, *(x.split()[0] for x in added)])
+
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(", ".join(added)).fields])
+    return rows.mapInArrow(run, schema)

@@ -28,6 +28,6 @@ def stash(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids``: broadcast if ``ids`` has at most ``limit`` rows, else a shuffled join."""
-    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, on, "left_semi")
+def keep_ids(df: DataFrame, ids: DataFrame, on: list[str], limit: int = BROADCAST_ROWS, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids`` (not in them with ``left_anti``): broadcast if ``ids`` has at most ``limit`` rows, else a shuffled join."""
+    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, on, how)
