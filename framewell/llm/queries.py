@@ -15,6 +15,7 @@ from framewell.llm.near_dedup import near_duplicates
 from framewell.llm.packing import Packing, pack_documents
 from framewell.llm.pii import KINDS, find, listed
 from framewell.llm.quality import score
+from framewell.llm.search import top_k
 from framewell.llm.shared import shared_folder
 from framewell.llm.substring_dedup import remove_repeats
 from framewell.llm.warc import read_archives, write_archives
@@ -140,6 +141,30 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return top_k(docs, docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
+OP10_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), stats AS (
+  SELECT count(*) AS n, avg(len(w)) AS mean FROM docs
+), postings AS (
+  SELECT doc_id, any_value(size) AS size, word, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS word FROM docs) GROUP BY doc_id, word
+), idfs AS (
+  SELECT word, ln(1 + (max(n) - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf FROM postings, stats GROUP BY word
+), asked AS (
+  SELECT doc_id AS query_id, word, idf FROM postings JOIN idfs USING (word) WHERE doc_id % 20 = 0
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 9) DESC, word) <= 8
+), scored AS (
+  SELECT query_id, doc_id, round(sum(idf * (tf * 2.2e0 / (tf + 1.2e0 * (1 - 0.75e0 + 0.75e0 * size / mean)))), 9) AS score FROM asked JOIN postings USING (word), stats GROUP BY 1, 2
+)
+SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_warc": op2_warc,
@@ -149,10 +174,12 @@ QUERIES: dict[str, Query] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
     "op9_pii": op9_pii,
+    "op10_search": op10_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op4_decontamination": OP4_SQL,
     "op6_substring_dedup": OP6_SQL,
+    "op10_search": OP10_SQL,
 }
