@@ -18,6 +18,7 @@ from framewell.llm.quality import score
 from framewell.llm.search import top_k
 from framewell.llm.shared import shared_folder
 from framewell.llm.substring_dedup import remove_repeats
+from framewell.llm.token_counts import TokenCounts, count_edited, revision
 from framewell.llm.warc import read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +106,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    conf = TokenCounts(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return count_edited(docs.withColumn("edits", revision(F.col("text"))), conf)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -173,6 +180,7 @@ QUERIES: dict[str, Query] = {
     "op5_licenses": op5_licenses,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
+    "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_search": op10_search,
 }
