@@ -21,9 +21,9 @@ def contained(spans: DataFrame, points: DataFrame, keys: list[str], start: str,
     if how != "inner":
         raise ValueError("a bucketed join is an inner join; join its result back for the others")
     last = F.greatest(F.floor(F.col(f"s.{end}") / bucket), F.floor(F.col(f"s.{start}") / bucket))
-    cut = spans.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col(f"s.{start}") / bucket), last))).alias("c")
-    dealt = points.withColumn("bucket_", F.floor(F.col(f"p.{at}") / bucket)).alias("d")
-    return cut.join(dealt, [*on, F.col("c.bucket_") == F.col("d.bucket_"), inside], how).drop("bucket_")
+    cut = spans.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col(f"s.{start}") / bucket), last))).alias("s")
+    dealt = points.withColumn("bucket_", F.floor(F.col(f"p.{at}") / bucket)).alias("p")
+    return cut.join(dealt, [*on, F.col("s.bucket_") == F.col("p.bucket_"), inside], how).drop("bucket_")
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
