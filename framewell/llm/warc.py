@@ -65,9 +65,10 @@ def write_archives(pages: DataFrame, path: str, conf: Warc = Warc()) -> None:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.nullif(F.regexp_replace("url", r"[\x00-\x20]+", ""), F.lit("")), F.lit("unknown:")).alias("url"), F.coalesce("html", F.lit("")).alias("body"))
     size = int(rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0)
     rows = rows.withColumn("payload_digest", F.sha2(F.encode("body", "UTF-8"), 256))
-    decided = revisits.dropDuplicates(["page_id", "payload_digest"])
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_key")
+    decided = revisits.select(key, "payload_digest", "refers_to").dropDuplicates(["page_key", "payload_digest"])
     files = max(1, -(-size // (conf.archive_mb << 20)))
-    rows = rows.repartition(files, "page_id", "payload_digest").join(decided, ["page_id", "payload_digest"], "left")
+    rows = rows.withColumn("page_key", key).repartition(files, "page_key", "payload_digest").join(decided, ["page_key", "payload_digest"], "left")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     is_revisit = F.col("refers_to").isNotNull()
     body = F.when(is_revisit, F.lit("")).otherwise(F.col("body"))
