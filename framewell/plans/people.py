@@ -100,8 +100,8 @@ def importance(scored: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     weights = [conf.importance_weight_speaking, conf.importance_weight_expression, conf.importance_weight_detection, conf.importance_weight_center, conf.importance_weight_presence, conf.importance_weight_recent, conf.importance_weight_reaction]
     out = scored.withColumn("reaction", reaction).withColumn("score", weighted(list(zip(values, weights, strict=True))))
     items = F.array_sort(F.array(*[F.struct((-v).alias("order"), F.lit(i).alias("i"), F.lit(label).alias("label"), v.alias("v")) for i, (v, (_, label)) in enumerate(zip(values, FACTORS, strict=True))]))
-    strong = F.transform(F.filter(items, lambda x: x.v >= conf.reasoning_threshold), lambda x: x.label)
-    out = out.withColumn("reasoning", F.when(F.size(strong) > 0, F.array_join(strong, "; ")).otherwise(F.get(items, F.lit(0)).label))
+    out = out.withColumn("_items", items).withColumn("_strong", F.transform(F.filter("_items", lambda x: x.v >= conf.reasoning_threshold), lambda x: x.label))
+    out = out.withColumn("reasoning", F.when(F.size("_strong") > 0, F.array_join("_strong", "; ")).otherwise(F.get("_items", F.lit(0)).label)).drop("_items", "_strong")
     return out.withColumn("place", F.row_number().over(frame.orderBy(F.desc("score"), "track_id")).cast("long"))
 
 

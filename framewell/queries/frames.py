@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewell.functions import geometry as G
-from framewell.plans import camera, people, tracking
+from framewell.plans import camera, crops, people, tracking
 from framewell.queries.domain import sql, table
 
 WIDTH, HEIGHT, ASPECT = 1920.0, 1080.0, 9.0 / 16.0
@@ -127,6 +127,7 @@ QUERIES = {
     "importance_scores": lambda s, d: _important(s, d).select("frame_number", "track_id", *_r("recent", "reaction", "score"), "reasoning", "place"),
     "rapid_discussion": lambda s, d: people.rapid_discussion(people.speaker_segments(_speakers(s, d))),
     "shot_type": _shots,
+    "speaker_crops": lambda s, d: crops.speaker_crops(_faces(s, d).select("video_id", "frame_number", "timestamp").distinct().withColumns({"center_x": F.lit(960.0), "center_y": F.lit(540.0)}), _important(s, d)).select("video_id", "frame_number", *_r("x", "y", "w", "h"), "track"),
     "pursuit_camera": lambda s, d: _path(s, d).select("video_id", "frame_number", *_r("path_x", "path_y", "path_zoom", "velocity_x", "acceleration_x")),
     "ema_smooth": lambda s, d: camera.smooth(_frames(s, d)).select("video_id", "frame_number", "part", *_r("smooth_x", "smooth_y", "smooth_zoom", "velocity_x")),
     "pan_smooth": lambda s, d: camera.pan(_frames(s, d)).select("video_id", "frame_number", *_r("pan_x", "pan_y")),
@@ -231,6 +232,11 @@ SELECT video_id, round(avg(share), 6) AS visibility, round(count(*) FILTER (WHER
 SELECT video_id, frame_number, ['single_speaker', 'vote_reveal', 'group_reaction', 'silent_reaction', 'conversation', 'conversation', 'conversation', 'single_speaker'][rule] AS shot_type,
   array_to_string(CASE rule WHEN 1 THEN [spk] WHEN 2 THEN vis WHEN 3 THEN coalesce(grp, vis) WHEN 4 THEN [rct] WHEN 8 THEN names[1:1] ELSE names[1:2] END, ',') AS targets,
   ['follow active speaker', 'many participants visible; show the full table', 'group reaction; widen to include multiple faces', 'silent reaction; prioritize the reacting participant', 'rapid back-and-forth discussion; include both participants', 'balanced importance between two participants', 'secondary participant remains conversation-relevant', 'single dominant speaker focus'][rule] AS reason FROM k""", *_SRC),
+    "speaker_crops": sql(f"""WITH {_SIGNALS}, {_SEGMENTS}, {_IMPORTANT}, spoken AS (SELECT *, max(active) OVER (PARTITION BY video_id, frame_number) AS any_ FROM ranked),
+aim AS (
+  SELECT video_id, frame_number, max(CASE WHEN active THEN track_id END) AS track, (list(x + w / 2 ORDER BY NOT active, place))[1] AS fx, min(CASE WHEN active OR NOT any_ THEN greatest(0e0, x - 20) END) AS pl, max(CASE WHEN active OR NOT any_ THEN greatest(0e0, x - 20) + w + 40 END) AS pr FROM spoken GROUP BY 1, 2
+), held AS (SELECT *, greatest(303.75e0, least(1616.25e0, fx)) AS cx FROM aim)
+SELECT video_id, frame_number, round(greatest(303.75e0, least(1616.25e0, {_INC.format(c='cx', h='303.75e0', lo='pl', hi='pr')})) - 303.75e0, 6) AS x, 0e0 AS y, 607.5e0 AS w, 1080e0 AS h, track FROM held""", *_SRC),
     "pan_smooth": sql("""WITH r AS (SELECT *, row_number() OVER w AS n, CASE WHEN lag(track) OVER w IS NOT NULL AND track IS DISTINCT FROM lag(track) OVER w THEN 0.22e0 ELSE 0.1e0 END AS s FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY timestamp, frame_number)),
 f AS (SELECT video_id, frame_number, n, s * center_x + (1 - s) * center_x AS pan_x, s * center_y + (1 - s) * center_y AS pan_y FROM r WHERE n = 1 UNION ALL
   SELECT r.video_id, r.frame_number, r.n, s * CASE WHEN abs(center_x - f.pan_x) < 4 THEN f.pan_x ELSE center_x END + (1 - s) * f.pan_x, s * CASE WHEN abs(center_y - f.pan_y) < 4 THEN f.pan_y ELSE center_y END + (1 - s) * f.pan_y FROM f JOIN r ON r.video_id = f.video_id AND r.n = f.n + 1)
