@@ -1,12 +1,14 @@
 """Vectorised word scanning over Arrow string columns.
 
 Tasks read a batch of texts as one byte buffer and find words, word hashes and shingle hashes with numpy, so that no
-Python loop runs per word. A null text counts as empty. Work goes in blocks of about a megabyte of text to bound memory;
-one longer text makes a block of its own.
+Python loop runs per word. A null text counts as empty. Work goes in blocks of about half a megabyte of text to bound
+memory; one longer text makes a block of its own. Freed memory goes back to the system after each batch, since Python
+workers live on from task to task and share an executor with its JVM.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def _table(bytes_in_class: set[int]) -> np.ndarray:
@@ -51,6 +53,10 @@ def constants(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U64) * U64(_MULTIPLIER) + U64(seed)) | U64(1)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
 _BYTE_VALUES = constants(256, 0xB17E)
 _FOLDED_VALUES = _BYTE_VALUES[FOLD]
 _powers = _inverses = np.ones(1, dtype=U64)
@@ -59,7 +65,7 @@ _powers = _inverses = np.ones(1, dtype=U64)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, BLOCK_BYTES * 2)
+        size = max(n, BLOCK_BYTES + BLOCK_BYTES // 4)
         _powers, _inverses = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, x, U64)])) for x in (_MULTIPLIER, _INVERSE))
     return _powers, _inverses
 
@@ -99,6 +105,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the system, and tables that one very long text made large."""
+    global _powers, _inverses
+    if len(_powers) > 4 * BLOCK_BYTES:
+        _powers = _inverses = np.ones(1, dtype=U64)
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lo: int = 0) -> Words:
     """The words of the texts at ``offsets`` of ``data``."""
     base = offsets[0]
@@ -126,6 +142,7 @@ def blocks(column: pa.Array, word_bytes: np.ndarray, block_bytes: int = BLOCK_BY
         hi = min(hi, n)
         yield words(data, offsets[lo : hi + 1], word_bytes, lo)
         lo = hi
+    release()
 
 
 def rolling(hashes: np.ndarray, k: int, seed: int = 0x51) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from framewell.llm import kernels as K
 from framewell.llm.components import connected
-from framewell.llm.shared import keep_ids, stash
+from framewell.llm.shared import bound_batches, keep_ids, stash
 
 SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, tokens array<long>"
 SETS = "doc_id long, shingles binary"
@@ -226,6 +226,7 @@ def near_duplicates(documents: DataFrame, conf: NearDedup = NearDedup()) -> Data
     Rows that share a doc_id are one document for linking. A null doc_id takes the smallest id of its component, null if
     it has none, and is kept only in that case.
     """
+    bound_batches(documents)
     signed = stash(sign(documents, conf))
     full = signed.filter("n_shingles > 0")
     classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.shared import stash
-from framewell.llm.tokens import encoder
+from framewell.llm.shared import bound_batches, stash
+from framewell.llm.tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,7 +39,7 @@ def pieces(documents: DataFrame, conf: Packing, with_ids: bool = False) -> DataF
     """The documents' pieces of at most ``length`` tokens; with ``with_ids`` also their little-endian 32-bit ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(conf.tokenizer)
+        encode = Encoder(conf.tokenizer)
         for batch in batches:
             docs = batch.column(0)
             for lo, texts in encode.column(batch.column(1)):
@@ -116,4 +116,5 @@ def pack_documents(documents: DataFrame, conf: Packing, with_ids: bool = False)
     A null or empty text is its end id alone. Only documents longer than ``length`` are cut. Repeated rows, and rows
     without a doc_id, are packed like any others. An empty table gives no piece.
     """
+    bound_batches(documents)
     return pack(stash(pieces(documents, conf, with_ids)), conf)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewell.llm import kernels as K
-from framewell.llm.shared import keep_ids
+from framewell.llm.shared import bound_batches, keep_ids
 
 _CLASSES = np.zeros((9, 256), dtype=bool)
 for _row, _bytes in enumerate([range(0x41, 0x5B), range(0x61, 0x7B), range(0x30, 0x3A), b"!", b"|", b"*#$%&", b".,;:?'\"()-", b"\n", range(0x80, 0x100)]):
@@ -148,6 +148,7 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(documents: DataFrame, labels: DataFrame, conf: Quality) -> Model:
     """A model from at most ``sample`` labelled documents that are not held out. Their passages' numbers come to the driver, not their texts."""
+    bound_batches(documents)
     marked = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).filter(~held_out(F.col("doc_id")))
     chosen = marked.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(conf.sample)
     named = {r.doc_id: r.quality for r in chosen.collect()}

@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: Rows of whole texts that a Python task gets at once.
+BATCH_ROWS = 1000
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Let Python tasks of the session get at most :data:`BATCH_ROWS` rows at once: texts are long, and two tasks share an executor."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint folder. One is made only where none is set, as in tests."""
     context = spark.sparkContext

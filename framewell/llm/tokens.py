@@ -28,7 +28,7 @@ _SIGN &= ~_LETTER & ~_DIGIT
 _LATIN = np.zeros(256, dtype=bool)
 _LATIN[0x80:0xC0] = True
 _LATIN[[0x97, 0xB7]] = False
-_UNKNOWN_LIMIT = 4_000_000
+_KNOWN_LIMIT = 1_000_000
 
 
 def units(data: np.ndarray, offsets: np.ndarray, lo: int) -> K.Words:
@@ -58,7 +58,7 @@ def units(data: np.ndarray, offsets: np.ndarray, lo: int) -> K.Words:
 
 
 class Encoder:
-    """Ids of texts; remembers the units it has met, up to a bound."""
+    """Ids of texts for one task; remembers the units it has met, up to a bound."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -86,7 +86,7 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
-        if len(self.known) > _UNKNOWN_LIMIT:
+        if len(self.known) > _KNOWN_LIMIT:
             self._forget()
         lists = [self._encode(x) for x in parts]
         size = np.array([len(x) for x in lists], dtype=np.int64)
@@ -106,7 +106,7 @@ class Encoder:
             place = np.empty(len(distinct), np.int64)
             place[codes[::-1]] = np.arange(len(codes))[::-1]
             raw = block.data.tobytes()
-            if len(self.known) > _UNKNOWN_LIMIT:
+            if len(self.known) > _KNOWN_LIMIT:
                 new = np.arange(len(distinct))
             self._learn(distinct[new], [raw[block.start[p] : block.end[p]] for p in place[new].tolist()])
             at = np.searchsorted(self.known, distinct)
@@ -131,13 +131,4 @@ class Encoder:
                 out[i] = np.array(self.tokenizer.encode(texts[lo + i].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
             yield lo, out
             lo = hi
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """This process's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        K.release()
