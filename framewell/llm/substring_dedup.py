@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from framewell.llm import kernels as K
 from framewell.llm.decontaminate import union
-from framewell.llm.shared import keep_ids, stash
+from framewell.llm.shared import bound_batches, keep_ids, stash
 
 KEY = ["k1", "k2", "n_words"]
 
@@ -55,6 +55,10 @@ def names(hashes: np.ndarray, conf: SubstringDedup) -> tuple[np.ndarray, np.ndar
     return name, grams[_sliding(np.concatenate([edge, name, edge]), n, False) == grams]
 
 
+def _windows(hashes: np.ndarray, conf: SubstringDedup) -> np.ndarray:
+    return K.rolling(hashes, conf.window, seed=0x35).view(np.int64)
+
+
 def _sequence(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a word sequence."""
     at = np.arange(1, len(hashes) + 1, dtype=K.U64)
@@ -93,27 +97,28 @@ def survey(documents: DataFrame, conf: SubstringDedup) -> DataFrame:
 
 
 def windows(texts: DataFrame, conf: SubstringDedup) -> DataFrame:
-    """Of each class, the windows whose name is in ``shared``: k1, k2, n_words, windows (their hashes) and starts. Rows whose text is of another class are dropped."""
+    """Of each class, the hashes of windows whose name is in ``shared``: k1, k2, n_words, windows. A hash is there once, or twice
+    if it stands at several places of the text. Rows whose text is of another class are dropped."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in KEY), strict=True))
             shared = batch.column("shared")
-            rows: dict[str, list] = {k: [] for k in (*KEY, "windows", "starts")}
+            rows: dict[str, list] = {k: [] for k in (*KEY, "windows")}
             for i, hashes, _ in _texts(batch, batch.schema.get_field_index("text")):
                 if (*_sequence(hashes), len(hashes)) != keys[i]:
                     continue
                 name = names(hashes, conf)[0]
-                start = np.flatnonzero(np.isin(name, np.asarray(shared[i].values).view(K.U64)))
-                for k, v in zip(rows, (*keys[i], K.rolling(hashes, conf.window, seed=0x35)[start].view(np.int64), start), strict=True):
+                value, count = np.unique(_windows(hashes, conf)[np.isin(name, np.asarray(shared[i].values).view(K.U64))], return_counts=True)
+                for k, v in zip(rows, (*keys[i], np.concatenate([value, value[count > 1]])), strict=True):
                     rows[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in KEY else pa.list_(pa.int64() if k == "windows" else pa.int32())) for k, v in rows.items()], names=list(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in KEY else pa.list_(pa.int64())) for k, v in rows.items()], names=list(rows))
 
-    return texts.mapInArrow(run, "k1 long, k2 long, n_words long, windows array<long>, starts array<int>")
+    return texts.mapInArrow(run, "k1 long, k2 long, n_words long, windows array<long>")
 
 
 def cut(texts: DataFrame, conf: SubstringDedup) -> DataFrame:
-    """What is left of each class's text without the windows at ``starts``."""
+    """What is left of each class's text without the windows that are in ``repeated``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +127,7 @@ def cut(texts: DataFrame, conf: SubstringDedup) -> DataFrame:
             for i, hashes, raw in _texts(batch, batch.schema.get_field_index("text")):
                 if (*_sequence(hashes), len(hashes)) != keys[i]:
                     continue
-                start = np.sort(np.asarray(batch.column("starts")[i].values)).astype(np.int64)
+                start = np.flatnonzero(np.isin(_windows(hashes, conf), np.asarray(batch.column("repeated")[i].values)))
                 spans = union(np.stack([start, start + conf.window], axis=1))
                 words, kept, at = raw.split(), [], 0
                 for a, b in spans.tolist():
@@ -146,6 +151,7 @@ def remove_repeats(documents: DataFrame, conf: SubstringDedup = SubstringDedup()
     ``kept_sha256`` is the hash of the rest, joined by one space. Texts shorter than the window, empty ones and nulls stay
     as they are. Repeated rows repeat each other's windows.
     """
+    bound_batches(documents)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stash(survey(rows.withColumn("id", row_id()), conf))
     classes = stash(found.filter(f"n_words >= {conf.window}").groupBy(*KEY).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("names").alias("names")))
@@ -155,9 +161,9 @@ def remove_repeats(documents: DataFrame, conf: SubstringDedup = SubstringDedup()
 
     texts = rows.select(row_id().alias("id"), "text")
     texts = stash(keep_ids(texts, met.select("id").distinct(), ["id"]).join(met, "id").dropDuplicates([*KEY, "text"]).select(*KEY, "text", "shared"))
-    seen = stash(windows(texts, conf).select(*KEY, F.arrays_zip("windows", "starts").alias("w")).select(*KEY, F.explode("w").alias("w")).select(*KEY, F.col("w.windows").alias("window"), F.col("w.starts").alias("start")))
+    seen = stash(windows(texts, conf).select(*KEY, F.explode("windows").alias("window")))
     repeated = seen.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    marked = seen.join(repeated, "window").groupBy(*KEY).agg(F.collect_list("start").alias("starts"))
+    marked = seen.join(repeated, "window").groupBy(*KEY).agg(F.collect_set("window").alias("repeated"))
     partly = cut(texts.select(*KEY, "text").join(marked, KEY), conf)
 
     whole = classes.filter("copies > 1").select(*KEY, F.lit(True).alias("whole"))
