@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewell.llm.shared import bound_batches
+
 COUNTED = "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_chars_after long, n_reencoded long"
 EDITS = "array<struct<start: int, end: int, text: string>>"
 #: Characters by which a pre-token's match can look past its end.
@@ -50,7 +52,7 @@ class Lexer:
     def count(self, piece: str) -> int:
         n = self.known.get(piece)
         if n is None:
-            if len(self.known) > 2_000_000:
+            if len(self.known) > 500_000:
                 self.known.clear()
             n = self.known[piece] = len(self.encoding.encode_ordinary(piece))
         return n
@@ -121,9 +123,6 @@ class SegmentTree:
                 break
             place += len(piece)
             kept += 1
-        while kept and place > before and kept > 0 and place > start - LOOK_AHEAD:
-            kept -= 1
-            place -= len(self.leaves[at][kept])
         back = min(kept, 2)
         place -= sum(map(len, self.leaves[at][kept - back : kept]))
         kept -= back
@@ -134,7 +133,7 @@ class SegmentTree:
             place -= sum(map(len, self.leaves[at][kept:]))
         first, head = at, self.leaves[at][:kept]
         old, leaf, j = [], at, kept
-        covered, lexed, text, done = place, [], "", False
+        covered, lexed, tail, done = place, [], [], False
 
         def more(upto: int) -> None:
             """Take old pre-tokens until they reach ``upto``."""
@@ -148,9 +147,10 @@ class SegmentTree:
                 j += 1
 
         more(end)
+        step = 64
         while not done:
-            reach = covered
-            more(reach + 64)
+            more(covered + step)
+            step *= 2
             while leaf < len(self.leaves) and j == len(self.leaves[leaf]):
                 leaf, j = leaf + 1, 0
             last = leaf >= len(self.leaves)
@@ -170,7 +170,6 @@ class SegmentTree:
                     break
             if meet is not None or last:
                 done = True
-                tail = []
                 if meet is not None:
                     at_old = place
                     for piece in old:
@@ -207,6 +206,7 @@ def count_edited(documents: DataFrame, conf: TokenCounts) -> DataFrame:
     that text. ``n_reencoded`` counts the pre-tokens that edits had encoded again. A null or empty text has no token, a
     null list no edit, a null place or text in an edit counts as 0 or empty. Repeated rows each get their result.
     """
+    bound_batches(documents)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
