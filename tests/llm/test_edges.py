@@ -249,8 +249,10 @@ def test_pruned_search_is_exact():
             impact = np.round(rng.random(len(docs)) * rng.random() * 3, 2) + 0.01
             for d, v in zip(docs.tolist(), impact.tolist(), strict=True):
                 full[d] = full.get(d, 0.0) + v
-            lists.append((docs.tolist(), impact.tolist(), np.maximum.reduceat(impact, np.arange(0, len(docs), 8)).tolist()))
+            lists.append((docs, impact))
+        heads = [np.flatnonzero(np.append(True, np.diff(d // 8) > 0)) for d, _ in lists]
+        runs = [((d // 8)[h], np.maximum.reduceat(v, h)) for (d, v), h in zip(lists, heads, strict=True)]
         best = search.TopK(5)
-        search.block_max_wand(lists, 8, np.arange(300), best)
+        search.block_max_wand(lists, runs, 8, np.arange(300), best)
         want = sorted(((-round(s, 9), d) for d, s in full.items()))[:5]
         assert sorted((-s, -d) for s, d in best.heap) == want
