@@ -3,8 +3,10 @@
 All rolling hashes of ``k`` words of all documents are joined with the places where they stand in license templates.
 Each match votes for the diagonal ``place in text - place in template``. An undisturbed copy of a template puts all its
 votes on one diagonal; words that were put in or left out move the rest to a neighbouring one, so diagonals at most
-``gap`` apart are merged. A merged span counts if its votes cover at least ``coverage`` of the template's k-grams and
-its length is near the template's. The templates are a fixed list, so they are the broadcast side.
+``gap`` apart are merged. A merged span counts if its votes cover at least ``coverage`` of the template's k-grams, its
+length is near the template's, and it has the same words of :data:`MARKS` as the template: these tell licenses of one
+family apart. Where spans of different labels overlap, the best covered one stays. The templates are a fixed list, so they
+are the broadcast side.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ TEMPLATES = [
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("gpl", "licensed under the gnu general public license version 3"),
     ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
     ("lgpl", "licensed under the gnu lesser general public license version 3"),
     ("agpl", "licensed under the gnu affero general public license version 3"),
     ("cc-by", "licensed under cc by 4 0"),
@@ -44,6 +48,8 @@ TEMPLATES = [
     ("mpl", "subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
+#: Words by which a license differs from others of its family.
+MARKS = "lesser library affero nc noncommercial commercial sa sharealike alike nd noderivatives noderivs derivatives".split()
 
 
 @dataclass(frozen=True)
@@ -64,21 +70,34 @@ def rolling(words: Column, k: int) -> Column:
 
 
 def spans(documents: DataFrame, conf: LicenseScan) -> DataFrame:
-    """Verified template spans by distinct (doc_id, text_hash): label, first_word, end_word, coverage."""
+    """Verified template spans by distinct (doc_id, text_hash): label, first_word, end_word, coverage, n_template."""
     spark = documents.sparkSession
-    listed = spark.createDataFrame([(i, label, text.split()) for i, (label, text) in enumerate(TEMPLATES)], "template int, label string, w array<string>")
-    grams = listed.select("template", "label", F.size("w").alias("n_template"), F.posexplode(rolling(F.col("w"), conf.k)).alias("at", "gram")).filter(f"at <= n_template - {conf.k}")
+    listed = spark.createDataFrame([(i, label, text.split(), [w for w in text.split() if w in MARKS]) for i, (label, text) in enumerate(TEMPLATES)], "template int, label string, w array<string>, own array<string>")
+    grams = listed.select("template", "label", "own", F.size("w").alias("n_template"), F.posexplode(rolling(F.col("w"), conf.k)).alias("at", "gram")).filter(f"at <= n_template - {conf.k}")
     texts = documents.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
-    rolled = texts.select("doc_id", "text_hash", F.posexplode(rolling(F.col("w"), conf.k)).alias("place", "gram"))
+    marks = F.array_compact(F.transform("w", lambda w, i: F.when(w.isin(MARKS), F.struct(w.alias("word"), i.alias("at")))))
+    rolled = texts.select("doc_id", "text_hash", marks.alias("marks"), F.posexplode(rolling(F.col("w"), conf.k)).alias("place", "gram"))
     votes = rolled.join(F.broadcast(grams), "gram").groupBy("doc_id", "text_hash", "template", "label", "n_template", (F.col("place") - F.col("at")).alias("diagonal"))
-    votes = votes.agg(F.count_distinct("at").alias("votes"), F.min("place").alias("first_word"), (F.max("place") + conf.k).alias("end_word"))
+    votes = votes.agg(F.count_distinct("at").alias("votes"), F.min("place").alias("first_word"), (F.max("place") + conf.k).alias("end_word"), F.first("marks").alias("marks"), F.first("own").alias("own"))
     along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(along)
     merged = votes.withColumn("new", F.coalesce((step > conf.gap).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(along))
-    merged = merged.groupBy("doc_id", "text_hash", "template", "label", "n_template", "island").agg(F.sum("votes").alias("votes"), F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"))
+    merged = merged.groupBy("doc_id", "text_hash", "template", "label", "n_template", "island").agg(F.sum("votes").alias("votes"), F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.first("marks").alias("marks"), F.first("own").alias("own"))
     share = F.least(F.lit(1.0), F.col("votes") / (F.col("n_template") - (conf.k - 1)))
     near = (F.col("end_word") - F.col("first_word")) <= F.col("n_template") * conf.stretch
-    return merged.withColumn("coverage", share).filter((F.col("coverage") >= conf.coverage) & near).select("doc_id", "text_hash", "label", "first_word", "end_word", "coverage")
+    inside = F.transform(F.filter("marks", lambda m: (m.at >= F.col("first_word")) & (m.at < F.col("end_word"))), lambda m: m.word)
+    same = (F.size(F.array_except(inside, "own")) == 0) & (F.size(F.array_except("own", inside)) == 0)
+    found = merged.withColumn("coverage", share).filter((F.col("coverage") >= conf.coverage) & near & same)
+    return found.select("doc_id", "text_hash", "label", "first_word", "end_word", "coverage", "n_template")
+
+
+def best_spans(spans: Column) -> Column:
+    """``spans`` without those that overlap a better covered one, or else one of a longer template, of another label."""
+    ranked = F.array_sort(F.transform(spans, lambda s: F.struct((-s.coverage).alias("c"), (-s.n_template).alias("n"), s.label.alias("label"), s.first_word.alias("first_word"), s.end_word.alias("end_word"), s.coverage.alias("coverage"))))
+    plain = F.transform(ranked, lambda s: F.struct(s.label.alias("label"), s.first_word.alias("first_word"), s.end_word.alias("end_word"), s.coverage.alias("coverage")))
+    clash = lambda a, b: (a.label != b.label) & (a.first_word < b.end_word) & (b.first_word < a.end_word)
+    kept = F.aggregate(plain, F.slice(plain, 1, 0), lambda kept, s: F.when(F.exists(kept, lambda t: clash(s, t)), kept).otherwise(F.concat(kept, F.array(s))))
+    return F.array_sort(F.array_distinct(kept))
 
 
 def scan(documents: DataFrame, conf: LicenseScan = LicenseScan()) -> DataFrame:
@@ -90,7 +109,8 @@ def scan(documents: DataFrame, conf: LicenseScan = LicenseScan()) -> DataFrame:
     the full result, as do rows without a doc_id.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    found = spans(docs, conf).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("label", "first_word", "end_word", "coverage"))).alias("spans"))
+    found = spans(docs, conf).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("label", "first_word", "end_word", "coverage", "n_template")).alias("spans"))
+    found = found.withColumn("spans", best_spans(F.col("spans")))
     base = docs.select("doc_id", "text_hash", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(MAYBE), words(F.col("text"))).alias("w"))
 
     def places(phrase: str) -> Column:

@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 
-from framewell.llm import queries, search
+from framewell.llm import licenses, queries, search
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -49,3 +49,14 @@ def test_op10_search_is_the_whole_bm25(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.op10_search(spark, DATA).orderBy("query_id", "rank").select("query_id", "rank", "doc_id", F.col("score")).collect()
     same(got, list(bm25(docs, sorted((i, t) for i, t in docs if i % 20 == 0))))
+
+
+def test_licenses_of_one_family(spark):
+    """One distinguishing word put in, replaced or left out decides the label."""
+    gnu = "This is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3"
+    cc = "licensed under a Creative Commons Attribution{} 4.0 International License"
+    texts = [gnu.format(x) for x in ("", "Lesser ", "Affero ", "Library ")] + [cc.format(x) for x in ("", "-NonCommercial", "-ShareAlike", "-NoDerivatives")]
+    texts.append(f"{gnu.format('Lesser ')}. The rest is {cc.format('')}")
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: ",".join(sorted({s.label for s in r.spans or []})) for r in out}
+    assert got == dict(enumerate(["gpl", "lgpl", "agpl", "", "cc-by", "cc-by-nc", "cc-by-sa", "", "cc-by,lgpl"]))
