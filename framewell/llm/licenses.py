@@ -76,7 +76,8 @@ def spans(documents: DataFrame, conf: LicenseScan) -> DataFrame:
     grams = listed.select("template", "label", "own", F.size("w").alias("n_template"), F.posexplode(rolling(F.col("w"), conf.k)).alias("at", "gram")).filter(f"at <= n_template - {conf.k}")
     texts = documents.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
     marks = F.array_compact(F.transform("w", lambda w, i: F.when(w.isin(MARKS), F.struct(w.alias("word"), i.alias("at")))))
-    rolled = texts.select("doc_id", "text_hash", marks.alias("marks"), F.posexplode(rolling(F.col("w"), conf.k)).alias("place", "gram"))
+    texts = texts.withColumn("marks", marks)  # before the words are dealt out as rows: once a text, not once a word
+    rolled = texts.select("doc_id", "text_hash", "marks", F.posexplode(rolling(F.col("w"), conf.k)).alias("place", "gram"))
     votes = rolled.join(F.broadcast(grams), "gram").groupBy("doc_id", "text_hash", "template", "label", "n_template", (F.col("place") - F.col("at")).alias("diagonal"))
     votes = votes.agg(F.count_distinct("at").alias("votes"), F.min("place").alias("first_word"), (F.max("place") + conf.k).alias("end_word"), F.first("marks").alias("marks"), F.first("own").alias("own"))
     along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
