@@ -9,6 +9,7 @@ workers live on from task to task and share an executor with its JVM.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,9 @@ import pyarrow as pa
 
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 BLOCK_BYTES = 1 << 19
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 
 def _table(bytes_in_class: set[int]) -> np.ndarray:
@@ -57,17 +59,8 @@ try:
     _trim = ctypes.CDLL(None).malloc_trim
 except (OSError, AttributeError):  # another C library
     _trim = None
-_BYTE_VALUES = constants(256, 0xB17E)
-_FOLDED_VALUES = _BYTE_VALUES[FOLD]
-_powers = _inverses = np.ones(1, dtype=U64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, BLOCK_BYTES + BLOCK_BYTES // 4)
-        _powers, _inverses = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, x, U64)])) for x in (_MULTIPLIER, _INVERSE))
-    return _powers, _inverses
+#: Keeps the first n bytes of eight.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
 
 
 @dataclass
@@ -81,11 +74,26 @@ class Words:
     lo: int
 
     def hashes(self, fold: bool) -> np.ndarray:
-        """A 64-bit hash of each word, of its lower-cased form with ``fold``."""
-        powers, inverses = _power_tables(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=U64)
-        np.cumsum((_FOLDED_VALUES if fold else _BYTE_VALUES)[self.data] * powers[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverses[self.start] + (self.end - self.start).astype(U64))
+        """A 64-bit hash of each word, of its lower-cased form with ``fold``.
+
+        Words are taken eight bytes at a time and the state is mixed after each, so no arrangement of their letters makes
+        two words more alike than chance does.
+        """
+        if not len(self.start):
+            return np.zeros(0, dtype=U64)
+        padded = np.zeros(len(self.data) + 8, dtype=np.uint8)
+        padded[: len(self.data)] = FOLD[self.data] if fold else self.data
+        lanes = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        size = self.end - self.start
+        out = mix((lanes[self.start] & _MASKS[np.minimum(size, 8)]) + size.astype(U64) * U64(_MULTIPLIER))
+        for at in range(8, LONG_WORD, 8):
+            more = np.flatnonzero(size > at)
+            if not len(more):
+                break
+            out[more] = mix(out[more] * U64(_MULTIPLIER) ^ (lanes[self.start[more] + at] & _MASKS[np.minimum(size[more] - at, 8)]))
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(padded[self.start[i] : self.end[i]], digest_size=8).digest(), "little")
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -106,10 +114,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def release() -> None:
-    """Give memory that this process has freed back to the system, and tables that one very long text made large."""
-    global _powers, _inverses
-    if len(_powers) > 4 * BLOCK_BYTES:
-        _powers = _inverses = np.ones(1, dtype=U64)
+    """Give memory that this process has freed back to the system."""
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
@@ -146,15 +151,22 @@ def blocks(column: pa.Array, word_bytes: np.ndarray, block_bytes: int = BLOCK_BY
 
 
 def rolling(hashes: np.ndarray, k: int, seed: int = 0x51) -> np.ndarray:
-    """A hash of each ``k`` consecutive hashes, at the place of the first; shorter by ``k - 1``."""
+    """A hash of each ``k`` consecutive hashes, at the place of the first; shorter by ``k - 1``.
+
+    Hashes of 1, 2, 4 ... consecutive ones are put together by the binary digits of ``k``, mixed at every step.
+    """
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    out = np.zeros(n, dtype=U64)
-    for value in reversed(range(k)):
-        out *= U64(_MULTIPLIER)
-        out += hashes[value : value + n]
-    return mix(out + U64(seed + k))
+    join = lambda a, b: mix(a * U64(_MULTIPLIER) ^ b)
+    run, size, out, covered = hashes, 1, None, 0
+    while True:
+        if k & size:
+            part = run[covered : covered + n]
+            out, covered = part if out is None else join(out, part), covered + size
+        if covered == k:
+            return mix(out + U64(seed + k))
+        run, size = join(run[:-size], run[size:]), 2 * size
 
 
 def grams(block: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

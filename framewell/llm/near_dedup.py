@@ -1,20 +1,24 @@
 """MinHash near-duplicates through a signature-coordinate inverted join.
 
-Each distinct shingle set gets a signature of ``coordinates`` minima. A (coordinate, value) pair is a posting key. Two
-sets of similarity ``threshold`` agree on ``threshold * coordinates`` keys on average; a pair counts as a match from
-``matches`` common keys, about four standard deviations below that mean, and is then confirmed on the full sets.
+Each distinct shingle set is a node and gets a signature of ``coordinates`` minima. A (coordinate, value) pair is a posting
+key. Two sets of similarity ``threshold`` agree on ``threshold * coordinates`` keys on average; a pair that collides on
+``matches`` keys or more is a candidate and is then confirmed on the full sets.
 
 The join never expands a posting list into all its pairs:
 
-* equal sets are one node from the start;
 * a node needs ``matches`` keys that other nodes have too, or it has no partner (and, before all coordinates are looked
   at, ``probe_matches`` among the first ``probe``);
 * prefix: of a node's common keys, ordered from the rarest, all but the last ``matches - 1`` suffice to meet a partner;
-* hubs: each posting list first links its members to one hub; what a confirmed link already connects is skipped;
-* skip merging: where lists still hold several components, the lists of the first ``probe`` coordinates (a pair at the
-  threshold shares one but once in 4 billion) are merged again. Members of one component skip each other, collisions
-  are counted on packed sketches of ``sketch`` coordinates, and only pairs with ``sketch_matches`` leave the task. Lists
-  longer than ``block`` are dealt out as pairs of blocks, so no task holds a whole list.
+* hubs: each posting list of the prefixes first links its members to one hub, so it gives a pair per member;
+* skip merging: the lists of the first ``probe`` coordinates (a pair at the threshold shares one but once in 4 billion)
+  that still hold several components are merged. Members of one component skip each other, and a pair is looked at only
+  in the list of the first coordinate that it shares. Members with a candidate in another component bring their full
+  sets; the task confirms its candidates, those with most collisions first, skips what it has connected meanwhile, and
+  only links that connect two components leave it. So a list gives fewer rows than it has members.
+
+A list of more than ``block`` members (or ``block_bytes`` of sets) is dealt to several tasks: first some rounds over
+random blocks, a row per member; then the members outside the list's largest component meet all others, which takes a row
+per member and block of such members. No group of rows grows with the list.
 """
 
 from __future__ import annotations
@@ -24,30 +28,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewell.llm import kernels as K
 from framewell.llm.components import connected
-from framewell.llm.shared import bound_batches, keep_ids, stash
+from framewell.llm.shared import bound_batches, keep_ids, small_join, stash
 
-SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, tokens array<long>"
-SETS = "doc_id long, shingles binary"
+SET = ["n_shingles", "s1", "s2"]
+SIGNED = "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, tokens array<long>"
+SETS = "node long, packed binary, probe binary, shingles binary"
 
 
 @dataclass(frozen=True)
 class NearDedup:
-    """``threshold`` is in hundredths. ``matches`` of ``coordinates``: a pair at the threshold is missed once in 50,000."""
+    """``threshold`` is in hundredths. A pair at the threshold collides on fewer than ``matches`` of ``coordinates`` keys, or
+    on fewer than ``probe_matches`` of ``probe``, about once in two million times."""
 
     words: int = 5
     threshold: int = 75
     coordinates: int = 128
-    matches: int = 76
+    matches: int = 70
     probe: int = 16
-    probe_matches: int = 4
-    sketch: int = 512
-    sketch_matches: int = 342
-    block: int = 4096
+    probe_matches: int = 3
+    block: int = 2048
+    block_bytes: int = 16 << 20
+    #: At most so many rounds over random blocks of long lists.
+    rounds: int = 3
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -72,6 +79,16 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]).view(np.int64)
 
 
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, K.U64), np.cumsum(values)])
+    return (total[first[1:]] - total[first[:-1]]).view(np.int64)
+
+
+def _names(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums that stand for each set."""
+    return [_sums(K.mix(values), first), _sums(K.mix(values ^ K.U64(0xD1F)), first)]
+
+
 def sign(documents: DataFrame, conf: NearDedup) -> DataFrame:
     """Per document: the size of its shingle set, two 64-bit sums that stand for the set, and its posting keys."""
     flips, factors = K.constants(conf.coordinates, 11), K.constants(conf.coordinates, 12)
@@ -79,7 +96,7 @@ def sign(documents: DataFrame, conf: NearDedup) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, values, first in shingle_sets(batch.column(1), conf.words):
+            for lo, values, first in shingle_sets(batch.column(2), conf.words):
                 n = len(first) - 1
                 sizes = np.diff(first)
                 full = np.flatnonzero(sizes)
@@ -91,49 +108,61 @@ def sign(documents: DataFrame, conf: NearDedup) -> DataFrame:
                 offsets = np.zeros(n + 1, dtype=np.int32)
                 np.cumsum(np.where(sizes > 0, conf.coordinates, 0), out=offsets[1:])
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(sizes), pa.array(_sums(K.mix(values), first)), pa.array(_sums(K.mix(values ^ K.U64(0xD1F)), first)), tokens],
-                    names=["doc_id", "n_shingles", "s1", "s2", "tokens"],
-                )
+                own = batch.slice(lo, n)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sizes), *map(pa.array, _names(values, first)), tokens], names=["doc_id", "text_hash", *SET, "tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNED)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNED)
 
 
 def shared_keys(nodes: DataFrame, least: int) -> DataFrame:
-    """``(doc_id, keys array<struct<df, token>>)`` of nodes with at least ``least`` tokens that another node has too."""
-    each = nodes.select("doc_id", F.explode("tokens").alias("token"))
+    """``(node, keys array<struct<df, token>>)`` of nodes with at least ``least`` tokens that another node has too."""
+    each = nodes.select("node", F.explode("tokens").alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    met = each.join(common, "token").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("keys"))
+    met = each.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("keys"))
     return met.filter(F.size("keys") >= least)
 
 
-def shingle_table(documents: DataFrame, conf: NearDedup) -> DataFrame:
+def shingle_table(rows: DataFrame, conf: NearDedup) -> DataFrame:
+    """:data:`SETS` of rows (node, n_shingles, s1, s2, tokens, text): the full set, the low byte of each posting key, and the
+    first ``probe`` keys. Rows whose text is not of the node's set are dropped."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, values, first in shingle_sets(batch.column(1), conf.words):
+            for lo, values, first in shingle_sets(batch.column(5), conf.words):
                 n = len(first) - 1
-                sets = pa.array([values[first[i] : first[i + 1]].tobytes() for i in range(n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), sets], names=["doc_id", "shingles"])
+                own = batch.slice(lo, n)
+                same = np.all([own.column(1 + i).to_numpy() == x for i, x in enumerate([np.diff(first), *_names(values, first)])], axis=0)
+                rows = np.flatnonzero(same)
+                tokens = own.column(4).flatten().to_numpy().reshape(n, -1)[rows]
+                byte, probe = (tokens & 255).astype(np.uint8), tokens[:, : conf.probe]
+                parts = [[x.tobytes() for x in byte], [x.tobytes() for x in probe], [values[first[i] : first[i + 1]].tobytes() for i in rows]]
+                yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(rows)), *(pa.array(x, pa.binary()) for x in parts)], names=["node", "packed", "probe", "shingles"])
+
+    return rows.select("node", *SET, "tokens", "text").mapInArrow(run, SETS)
+
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether ``100 * intersection >= threshold * union`` of two sorted sets."""
+    if threshold * max(len(x), len(y)) > 100 * min(len(x), len(y)):
+        return False
+    common = int((np.searchsorted(x, y, side="right") - np.searchsorted(x, y, side="left")).sum())
+    return 100 * common >= threshold * (len(x) + len(y) - common)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, conf: NearDedup) -> DataFrame:
-    """The pairs ``(a, b)`` with ``100 * intersection >= threshold * union`` on their full sets."""
+    """The pairs ``(a, b)`` with at least ``matches`` collisions whose full sets are similar enough."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), K.U64), np.frombuffer(y.as_buffer(), K.U64)
-                common = 0
-                if conf.threshold * max(len(x), len(y)) <= 100 * min(len(x), len(y)):
-                    common = int((np.searchsorted(x, y, side="right") - np.searchsorted(x, y, side="left")).sum())
-                keep.append(100 * common >= conf.threshold * (len(x) + len(y) - common))
+            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            keep = (p == q).sum(axis=1) >= conf.matches
+            for i in np.flatnonzero(keep).tolist():
+                keep[i] = linked(*(np.frombuffer(batch.column(k)[i].as_buffer(), K.U64) for k in (4, 5)), conf.threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    side = lambda name, p, x: sets.select(F.col("node").alias(name), F.col("packed").alias(p), F.col("shingles").alias(x))
+    both = pairs.join(side("a", "p", "x"), "a").join(side("b", "q", "y"), "b")
+    return both.select("a", "b", "p", "q", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -158,109 +187,158 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def sketches(sets: DataFrame, conf: NearDedup) -> DataFrame:
-    """``(doc_id, sketch)``: a byte of each of ``sketch`` further coordinates of the nodes' full sets."""
-    flips, factors = K.constants(conf.sketch, 21), K.constants(conf.sketch, 22)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                raw = part.column(1).to_pylist()
-                values = np.frombuffer(b"".join(raw), K.U64)
-                first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])[:-1]]).astype(np.int64)
-                least = np.stack([np.minimum.reduceat((values ^ a) * b, first) for a, b in zip(flips, factors, strict=True)], axis=1)
-                packed = (K.mix(least) & K.U64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], names=["doc_id", "sketch"])
-
-    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, sketch binary")
-
-
-def collisions(nodes: DataFrame, sets: DataFrame, conf: NearDedup) -> DataFrame:
-    """Pairs of different components that meet in a posting list of the first ``probe`` coordinates and agree on at least
-    ``sketch_matches`` coordinates of their sketches. ``nodes``: doc_id, label, tokens (those of the first coordinates).
-
-    Lists whose members are all of one component are skipped whole, and so are a component's own pairs. A pair leaves
-    only the list of the first coordinate that it shares.
+GROUP = ["token", "lo", "hi"]
+MEMBER = ["node", "label", "at", "minor", "seeks", "sought"]
+
+
+class Merge:
+    """A group of a list's members: pairs of a seeking and a sought member that may be linked and are not yet connected."""
+
+    def __init__(self, group: pa.Table, conf: NearDedup):
+        self.conf = conf
+        self.node, label, self.at, self.minor, self.seeks, self.sought = (group.column(x).to_numpy() for x in MEMBER)
+        self.part = np.unique(label, return_inverse=True)[1]
+        n = group.num_rows
+        self.packed = np.frombuffer(b"".join(group.column("packed").to_pylist()), np.uint8).reshape(n, -1)
+        self.probe = np.frombuffer(b"".join(group.column("probe").to_pylist()), "<i8").reshape(n, -1)
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Members of other components that collide with member ``i`` often enough, those with most collisions first.
+
+        Of two members that both seek, the one with the smaller id does; a pair belongs to the first coordinate it shares.
+        """
+        others = np.flatnonzero(self.sought & (self.part != self.part[i]) & (~self.minor | (self.node > self.node[i])))
+        others = others[(self.probe[others] == self.probe[i]).argmax(axis=1) == self.at[i]] if len(others) else others
+        count = (self.packed[others] == self.packed[i]).sum(axis=1)
+        enough = np.flatnonzero(count >= self.conf.matches)
+        return others[enough[np.argsort(-count[enough], kind="stable")]]
+
+    def open_members(self) -> np.ndarray:
+        """Members with a candidate."""
+        out = np.zeros(len(self.node), dtype=bool)
+        for i in np.flatnonzero(self.seeks):
+            found = self.candidates(i)
+            out[found] = True
+            out[i] |= len(found) > 0
+        return np.flatnonzero(out)
+
+    def links(self, sets: pa.ChunkedArray) -> Iterator[tuple[int, int]]:
+        """Confirmed links, each between two components that no earlier one connects."""
+        sets = [np.frombuffer(x.as_buffer(), K.U64) for x in sets]
+        for i in np.flatnonzero(self.seeks):
+            for j in self.candidates(i):
+                if self.part[i] != self.part[j] and linked(sets[i], sets[j], self.conf.threshold):
+                    self.part[self.part == self.part[j]] = self.part[i]
+                    yield (min(self.node[i], self.node[j]), max(self.node[i], self.node[j]))
+
+
+def mixed_lists(nodes: DataFrame, conf: NearDedup) -> DataFrame:
+    """Posting lists of nodes (node, label, n_shingles, probe) that hold several components: token, the largest component
+    ``major``, and how many blocks all members (``n_hi``) and those outside it (``n_lo``) make."""
+    lists = nodes.select("label", "n_shingles", F.explode("probe").alias("token"))
+    parts = lists.groupBy("token", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    whole = parts.groupBy("token").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "label")).alias("major"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / conf.block), F.ceil(size * 8 / conf.block_bytes), F.lit(1)).cast("int")
+    return whole.select("token", F.col("major.label").alias("major"), blocks(F.col("n"), F.col("size")).alias("n_hi"), blocks(F.col("n") - F.col("major.n"), F.col("size") - F.col("major.size")).alias("n_lo"))
+
+
+def merge_lists(nodes: DataFrame, whole: DataFrame, sets: DataFrame, conf: NearDedup, salt: int | None) -> DataFrame:
+    """Links ``(a, b)`` between components of ``nodes`` (node, label, n_shingles, probe) that meet in one of the lists ``whole``.
+
+    With a ``salt``, members of a list meet within random blocks; without, those outside the list's largest component
+    meet all others.
     """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            if group.num_rows < 2:
-                continue
-            doc, label, side, at = (group.column(i).to_numpy() for i in (3, 4, 5, 6))
-            twin = group.column(1)[0].as_py() != group.column(2)[0].as_py()
-            keys = np.frombuffer(b"".join(group.column(7).to_pylist()), "<u4").reshape(len(doc), -1)
-            sketch = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint8).reshape(len(doc), -1)
-            names, sizes = np.unique(label, return_counts=True)
-            if len(names) < 2:
-                continue
-            open_ = np.ones(len(doc), dtype=bool)
-            a, b = [], []
-            for i in np.flatnonzero(label != names[sizes.argmax()]):
-                open_[i] = False
-                others = np.flatnonzero(open_ & (label != label[i]) & ((side != side[i]) | (not twin)))
-                others = others[(keys[others] == keys[i]).argmax(axis=1) == at[i]]
-                others = others[(sketch[others] == sketch[i]).sum(axis=1) >= conf.sketch_matches]
-                a.append(np.minimum(doc[others], doc[i]))
-                b.append(np.maximum(doc[others], doc[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    lists = nodes.select("doc_id", "label", F.posexplode("tokens").alias("at", "token"))
-    mixed = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h")
-    mixed = mixed.select("token", F.ceil(F.col("n") / conf.block).cast("int").alias("n_blocks"))
-    rows = stash(lists.join(mixed, "token").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int")))
-    payload = nodes.select("doc_id", low_bytes("tokens", 32).alias("keys")).join(sketches(keep_ids(sets, rows.select("doc_id").distinct(), ["doc_id"]), conf), "doc_id")
-    dealt = rows.join(payload, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("token", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "doc_id", "label", "side", "at", "keys", "sketch")
-    spread = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "doc_id")
-    return spread.mapInArrow(run, "a long, b long")
+    lists = nodes.select("node", "label", F.posexplode("probe").alias("at", "token"))
+    rows = lists.join(whole, "token").withColumn("minor", F.col("label") != F.col("major"))
+    if salt is None:
+        own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        rows = rows.withColumns({"own_lo": own("n_lo"), "own_hi": own("n_hi")})
+        pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+        none = F.array().cast("array<struct<lo: int, hi: int>>")
+        seek = F.when(F.col("minor"), F.transform(F.sequence(F.lit(0), F.col("n_hi") - 1), lambda hi: pair(F.col("own_lo"), hi))).otherwise(none)
+        meet = F.transform(F.sequence(F.lit(0), F.col("n_lo") - 1), lambda lo: pair(lo, F.col("own_hi")))
+        rows = rows.withColumn("place", F.explode(F.array_union(seek, meet))).select("*", "place.*")
+        roles = {"seeks": F.col("minor") & (F.col("lo") == F.col("own_lo")), "sought": F.col("hi") == F.col("own_hi")}
+    else:
+        block = F.pmod(F.xxhash64("node", F.lit(salt)), F.col("n_hi")).cast("int")
+        rows = rows.withColumns({"lo": block, "hi": F.lit(0)})
+        roles = {"minor": F.lit(True), "seeks": F.lit(True), "sought": F.lit(True)}
+    rows = rows.withColumns(roles).select(*GROUP, *MEMBER)
+
+    def meet_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, len(GROUP)):
+            found = Merge(group, conf).open_members()
+            if len(found):
+                yield from group.select([*GROUP, *MEMBER]).take(pa.array(found)).combine_chunks().to_batches()
+
+    def link_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, len(GROUP)):
+            found = list(Merge(group, conf).links(group.column("shingles")))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def dealt(rows: DataFrame, *payload: str) -> DataFrame:
+        return rows.join(sets.select("node", *payload), "node").select(*GROUP, *MEMBER, *payload).repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    met = stash(dealt(rows, "packed", "probe").mapInArrow(meet_up, schema))
+    return stash(dealt(met, "packed", "probe", "shingles").mapInArrow(link_up, "a long, b long"))
 
 
 def near_duplicates(documents: DataFrame, conf: NearDedup = NearDedup()) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept, n_links.
-
-    Links join documents with ``100 * intersection >= threshold * union`` of their shingle sets; ``component_id`` is the
-    smallest doc_id reachable and ``kept`` marks it. ``n_links`` counts confirmed links of the row's distinct set that
-    the search needed. A null or empty text has no shingles and no link. Equal sets are linked, repeated rows included.
-    Rows that share a doc_id are one document for linking. A null doc_id takes the smallest id of its component, null if
-    it has none, and is kept only in that case.
+    """Per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept, n_links, component, text_hash.
+
+    Links join rows with ``100 * intersection >= threshold * union`` of their shingle sets, equal sets included, whatever
+    their ids. ``component_id`` is the smallest doc_id reachable, ``kept`` is ``doc_id <=> component_id``, and ``n_links``
+    counts confirmed links of the row's set that the search needed. ``component`` is the same number in all rows of a
+    component and null in rows that are linked with nothing, ``text_hash`` the xxhash64 of the text. A null or empty text
+    has no shingles and no link. Rows that share a doc_id are documents of their own. A null doc_id is linked like any
+    other but never names a component that has an id: component_id is null only where all of the component are.
+    An empty table gives no rows; further columns are ignored.
     """
     bound_batches(documents)
     signed = stash(sign(documents, conf))
     full = signed.filter("n_shingles > 0")
-    classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = stash(classes)
-    reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id"), "s1", "s2")
-    nodes = full.select("doc_id", "s1", "s2", F.slice("tokens", 1, conf.probe).alias("tokens")).join(reps, ["doc_id", "s1", "s2"], "left_semi")
-    probed = stash(shared_keys(nodes, conf.probe_matches).select("doc_id"))
-    chosen = stash(keep_ids(keep_ids(full.select("doc_id", "s1", "s2", "tokens"), probed, ["doc_id"]), reps, ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"]))
+    classes = full.groupBy(*SET).agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.count("*").alias("copies"), F.first(F.slice("tokens", 1, conf.probe)).alias("probe"))
+    classes = stash(classes.withColumn("node", F.monotonically_increasing_id()))
+    probed = stash(shared_keys(classes.select("node", F.col("probe").alias("tokens")), conf.probe_matches).select("node"))
+    picks = stash(keep_ids(classes.select("node", *SET), probed, ["node"]))
+    chosen = stash(small_join(keep_ids(full.select(*SET, "tokens"), picks.select(*SET), SET).dropDuplicates(SET), picks, SET))
     keys = shared_keys(chosen, conf.matches)
-    keyed = stash(keys.select("doc_id", F.expr(f"transform(slice(keys, 1, size(keys) - {conf.matches - 1}), k -> k.token)").alias("prefix")))
-    sets = stash(shingle_table(keep_ids(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), keyed.select("doc_id"), ["doc_id"]), conf))
-    postings = keyed.select("doc_id", F.explode("prefix").alias("token"))
-
-    hubs = postings.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = postings.join(hubs, "token").select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
+    keyed = stash(keys.select("node", F.expr(f"transform(slice(keys, 1, size(keys) - {conf.matches - 1}), k -> k.token)").alias("prefix")))
+    wanted = stash(keep_ids(chosen, keyed.select("node"), ["node"]).join(classes.select("node", "text_hash"), "node"))
+    texts = documents.select(F.xxhash64("text").alias("text_hash"), "text")
+    texts = keep_ids(texts, wanted.select("text_hash").distinct(), ["text_hash"]).distinct()
+    sets = stash(shingle_table(texts.join(wanted, "text_hash"), conf).dropDuplicates(["node"]))
+
+    postings = keyed.select("node", F.explode("prefix").alias("token"))
+    hubs = postings.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    pairs = postings.join(hubs, "token").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     links = stash(confirm(pairs, sets, conf))
     labels = connected(links)
 
-    nodes = keep_ids(chosen, keyed.select("doc_id"), ["doc_id"]).dropDuplicates(["doc_id"]).join(labels, "doc_id", "left")
-    nodes = stash(nodes.select("doc_id", F.coalesce("label", "doc_id").alias("label"), F.slice("tokens", 1, conf.probe).alias("tokens")))
-    late = stash(confirm(collisions(nodes, sets, conf), sets, conf))
-    links = links.unionByName(late)
-    labels = connected(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
-
-    named = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").join(degree.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    named = named.select("n_shingles", "s1", "s2", F.coalesce("label", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    light = signed.select("doc_id", "n_shingles", "s1", "s2")
-    out = light.join(named, ["n_shingles", "s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.expr("doc_id <=> CASE WHEN n_shingles > 0 THEN component ELSE doc_id END").alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def low_bytes(column: str, bits: int) -> Column:
-    """The low ``bits`` of each of an array's numbers, as little-endian bytes in a row."""
-    byte = lambda t, at: F.lpad(F.hex(F.shiftrightunsigned(t, at).bitwiseAND(F.lit(255))), 2, "0")
-    return F.unhex(F.array_join(F.transform(column, lambda t: F.concat(*[byte(t, at) for at in range(0, bits, 8)])), ""))
+    nodes = wanted.select("node", "n_shingles", F.slice("tokens", 1, conf.probe).alias("probe"))
+    step, done = 0, False
+    while not done:
+        named = stash(nodes.join(labels.withColumnRenamed("doc_id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        lists = stash(mixed_lists(named, conf))
+        long = lists.filter("n_lo > 1")
+        done = step == conf.rounds or long.isEmpty()
+        found = merge_lists(named, lists if done else long, sets, conf, None if done else step)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = connected(links)
+        step += 1
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+
+    named = labels.withColumnRenamed("doc_id", "node").join(degree, "node").join(classes.select("node", "least"), "node")
+    ids = named.groupBy("label").agg(F.min("least").alias("id"))
+    named = stash(named.join(ids, "label").select("node", F.col("label").alias("component"), F.col("id"), "n_links"))
+    grouped = classes.select("node", *SET, "least", "copies").join(named, "node", "left").filter("copies > 1 OR component IS NOT NULL")
+    id_ = F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("id"))
+    grouped = stash(grouped.select(*SET, id_.alias("id"), F.coalesce("component", "node").alias("component"), "n_links"))
+    out = small_join(signed.drop("tokens"), grouped, SET, "left")
+    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("id"))
+    out = out.withColumn("component_id", component)
+    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component", "text_hash")

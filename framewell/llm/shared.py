@@ -56,3 +56,8 @@ def stash(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
 def keep_ids(df: DataFrame, ids: DataFrame, on: list[str], limit: int = BROADCAST_ROWS, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose key is in ``ids`` (not in them with ``left_anti``): broadcast if ``ids`` has at most ``limit`` rows, else a shuffled join."""
     return df.join(F.broadcast(ids) if ids.count() <= limit else ids, on, how)
+
+
+def small_join(df: DataFrame, side: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS // 2) -> DataFrame:
+    """``df`` joined with a stored table of a few numbers a row: broadcast if ``side`` has at most ``limit`` rows, else shuffled."""
+    return df.join(F.broadcast(side) if side.count() <= limit else side, on, how)
