@@ -1,12 +1,14 @@
 """License scans by diagonal voting, with DataFrame operations only.
 
-All rolling hashes of ``k`` words of all documents are joined with the places where they stand in license templates.
-Each match votes for the diagonal ``place in text - place in template``. An undisturbed copy of a template puts all its
-votes on one diagonal; words that were put in or left out move the rest to a neighbouring one, so diagonals at most
-``gap`` apart are merged. A merged span counts if its votes cover at least ``coverage`` of the template's k-grams, its
-length is near the template's, and it has the same words of :data:`MARKS` as the template: these tell licenses of one
-family apart. Where spans of different labels overlap, the best covered one stays. The templates are a fixed list, so they
-are the broadcast side.
+All rolling hashes of ``k`` words of the documents are joined with the places where they stand in license templates; a
+match counts if the words are the same. Each match votes for the diagonal ``place in text - place in template``. An
+undisturbed copy of a template puts all its votes on one diagonal; words that were put in or left out move the rest to a
+neighbouring one, so diagonals at most ``gap`` apart are merged. A merged span is verified: its matches are at least
+``coverage`` of the template's k-grams, each counted once; its length is near the template's; and it has the same words of
+:data:`MARKS` as the template, which tell licenses of one family apart. Where spans of different labels overlap, the best
+covered one stays. The templates are a fixed list, so they are the broadcast side.
+
+Documents without any of :func:`anchors`' words can't reach the coverage, so their words are not taken apart.
 """
 
 from __future__ import annotations
@@ -52,6 +54,9 @@ TEMPLATES = [
 MARKS = "lesser library affero nc noncommercial commercial sa sharealike alike nd noderivatives noderivs derivatives".split()
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 @dataclass(frozen=True)
 class LicenseScan:
     k: int = 3
@@ -61,7 +66,8 @@ class LicenseScan:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words with A-Z lower-cased and no other letter changed."""
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), LETTERS, LETTERS.lower()), F.lit(WORD), F.lit(0))
 
 
 def rolling(words: Column, k: int) -> Column:
@@ -69,22 +75,42 @@ def rolling(words: Column, k: int) -> Column:
     return F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + F.lit(j)) for j in range(1, k)]))
 
 
+def anchors(conf: LicenseScan) -> list[str]:
+    """Words of which a text with a template's span has at least one: for each template, so many that a text without all of
+    them lacks more k-grams than ``coverage`` allows. Words rare in English go first, judged by their length."""
+    out: set[str] = set()
+    for _, text in TEMPLATES:
+        listed = text.split()
+        grams = [set(listed[i : i + conf.k]) for i in range(len(listed) - conf.k + 1)]
+        mine: set[str] = set()
+        for word in sorted(set(listed), key=lambda w: (w not in out, -len(w), w)):
+            if sum(not mine & g for g in grams) < conf.coverage * len(grams):
+                break
+            mine.add(word)
+        out |= mine
+    return sorted(out)
+
+
 def spans(documents: DataFrame, conf: LicenseScan) -> DataFrame:
     """Verified template spans by distinct (doc_id, text_hash): label, first_word, end_word, coverage, n_template."""
     spark = documents.sparkSession
     listed = spark.createDataFrame([(i, label, text.split(), [w for w in text.split() if w in MARKS]) for i, (label, text) in enumerate(TEMPLATES)], "template int, label string, w array<string>, own array<string>")
-    grams = listed.select("template", "label", "own", F.size("w").alias("n_template"), F.posexplode(rolling(F.col("w"), conf.k)).alias("at", "gram")).filter(f"at <= n_template - {conf.k}")
-    texts = documents.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
+    grams = listed.select("template", "label", "own", "w", F.size("w").alias("n_template"), F.posexplode(rolling(F.col("w"), conf.k)).alias("at", "gram")).filter(f"at <= n_template - {conf.k}")
+    grams = grams.withColumn("expected", F.slice("w", F.col("at") + 1, conf.k)).drop("w")
+    known = [r.gram for r in grams.select("gram").distinct().collect()]  # some hundred numbers, from the fixed list
+    texts = documents.filter(F.col("text").rlike("(?i)" + "|".join(anchors(conf)))).select("doc_id", "text_hash", words(F.col("text")).alias("w"))
     marks = F.array_compact(F.transform("w", lambda w, i: F.when(w.isin(MARKS), F.struct(w.alias("word"), i.alias("at")))))
-    texts = texts.withColumn("marks", marks)  # before the words are dealt out as rows: once a text, not once a word
-    rolled = texts.select("doc_id", "text_hash", "marks", F.posexplode(rolling(F.col("w"), conf.k)).alias("place", "gram"))
-    votes = rolled.join(F.broadcast(grams), "gram").groupBy("doc_id", "text_hash", "template", "label", "n_template", (F.col("place") - F.col("at")).alias("diagonal"))
-    votes = votes.agg(F.count_distinct("at").alias("votes"), F.min("place").alias("first_word"), (F.max("place") + conf.k).alias("end_word"), F.first("marks").alias("marks"), F.first("own").alias("own"))
+    hashed = F.transform(rolling(F.col("w"), conf.k), lambda g, i: F.when(g.isin(known), F.struct(i.alias("place"), g.alias("gram"))))
+    # before the words are dealt out as rows: once a text, and only the places of template hashes
+    texts = texts.select("doc_id", "text_hash", "w", F.array_compact(hashed).alias("hits")).filter(F.size("hits") > 0).withColumn("marks", marks)
+    rolled = texts.select("doc_id", "text_hash", "marks", F.explode(F.transform("hits", lambda h: F.struct(h.place.alias("place"), h.gram.alias("gram"), F.slice("w", h.place + 1, conf.k).alias("said")))).alias("hit")).select("doc_id", "text_hash", "marks", "hit.*")
+    votes = rolled.join(F.broadcast(grams), "gram").filter(F.col("said") == F.col("expected")).withColumn("diagonal", F.col("place") - F.col("at"))
+    votes = votes.groupBy("doc_id", "text_hash", "template", "label", "n_template", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("place").alias("first_word"), (F.max("place") + conf.k).alias("end_word"), F.first("marks").alias("marks"), F.first("own").alias("own"))
     along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(along)
     merged = votes.withColumn("new", F.coalesce((step > conf.gap).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(along))
-    merged = merged.groupBy("doc_id", "text_hash", "template", "label", "n_template", "island").agg(F.sum("votes").alias("votes"), F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.first("marks").alias("marks"), F.first("own").alias("own"))
-    share = F.least(F.lit(1.0), F.col("votes") / (F.col("n_template") - (conf.k - 1)))
+    merged = merged.groupBy("doc_id", "text_hash", "template", "label", "n_template", "island").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.first("marks").alias("marks"), F.first("own").alias("own"))
+    share = F.col("votes") / (F.col("n_template") - (conf.k - 1))
     near = (F.col("end_word") - F.col("first_word")) <= F.col("n_template") * conf.stretch
     inside = F.transform(F.filter("marks", lambda m: (m.at >= F.col("first_word")) & (m.at < F.col("end_word"))), lambda m: m.word)
     same = (F.size(F.array_except(inside, "own")) == 0) & (F.size(F.array_except("own", inside)) == 0)

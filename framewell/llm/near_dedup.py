@@ -10,15 +10,16 @@ The join never expands a posting list into all its pairs:
   at, ``probe_matches`` among the first ``probe``);
 * prefix: of a node's common keys, ordered from the rarest, all but the last ``matches - 1`` suffice to meet a partner;
 * hubs: each posting list of the prefixes first links its members to one hub, so it gives a pair per member;
-* skip merging: the lists of the first ``probe`` coordinates (a pair at the threshold shares one but once in 4 billion)
-  that still hold several components are merged. Members of one component skip each other, and a pair is looked at only
-  in the list of the first coordinate that it shares. Members with a candidate in another component bring their full
-  sets; the task confirms its candidates, those with most collisions first, skips what it has connected meanwhile, and
-  only links that connect two components leave it. So a list gives fewer rows than it has members.
-
-A list of more than ``block`` members (or ``block_bytes`` of sets) is dealt to several tasks: first some rounds over
-random blocks, a row per member; then the members outside the list's largest component meet all others, which takes a row
-per member and block of such members. No group of rows grows with the list.
+* skip merging: the lists of the prefixes that still hold several components are merged. Members of one component skip
+  each other, and a pair is looked at only in the list of the first coordinate that both prefixes share. Members with a
+  candidate in another component bring their full sets; the task confirms its candidates, those with most collisions
+  first, skips what it has connected meanwhile, and only links that connect two components leave it. So a list gives
+  fewer rows than it has members.
+
+A passage that very many documents share makes frequent keys, which the prefixes leave out. A list of more than ``block``
+members (or ``block_bytes`` of sets) all the same, of near-equal documents, is dealt to several tasks: the members outside
+its largest component meet all others, which takes a row per member and block of such members. Where that is more than
+rounds over random blocks cost, a row per member and round, some of these go first and connect what they can.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from framewell.llm.shared import bound_batches, keep_ids, small_join, stash
 
 SET = ["n_shingles", "s1", "s2"]
 SIGNED = "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, tokens array<long>"
-SETS = "node long, packed binary, probe binary, shingles binary"
+SETS = "node long, keys binary, mask binary, shingles binary"
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ class NearDedup:
     probe_matches: int = 3
     block: int = 2048
     block_bytes: int = 16 << 20
-    #: At most so many rounds over random blocks of long lists.
+    #: At most so many rounds over random blocks of lists with more than twice as many blocks outside the largest component.
     rounds: int = 3
 
 
@@ -123,22 +124,22 @@ def shared_keys(nodes: DataFrame, least: int) -> DataFrame:
 
 
 def shingle_table(rows: DataFrame, conf: NearDedup) -> DataFrame:
-    """:data:`SETS` of rows (node, n_shingles, s1, s2, tokens, text): the full set, the low byte of each posting key, and the
-    first ``probe`` keys. Rows whose text is not of the node's set are dropped."""
+    """:data:`SETS` of rows (node, n_shingles, s1, s2, tokens, prefix, text): half of each posting key, which of them the prefix
+    has, and the full set. Rows whose text is not of the node's set are dropped."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, values, first in shingle_sets(batch.column(5), conf.words):
+            for lo, values, first in shingle_sets(batch.column("text"), conf.words):
                 n = len(first) - 1
                 own = batch.slice(lo, n)
-                same = np.all([own.column(1 + i).to_numpy() == x for i, x in enumerate([np.diff(first), *_names(values, first)])], axis=0)
+                same = np.all([own.column(x).to_numpy() == y for x, y in zip(SET, [np.diff(first), *_names(values, first)], strict=True)], axis=0)
                 rows = np.flatnonzero(same)
-                tokens = own.column(4).flatten().to_numpy().reshape(n, -1)[rows]
-                byte, probe = (tokens & 255).astype(np.uint8), tokens[:, : conf.probe]
-                parts = [[x.tobytes() for x in byte], [x.tobytes() for x in probe], [values[first[i] : first[i + 1]].tobytes() for i in rows]]
-                yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(rows)), *(pa.array(x, pa.binary()) for x in parts)], names=["node", "packed", "probe", "shingles"])
+                tokens = own.column("tokens").flatten().to_numpy().reshape(n, -1)[rows]
+                mask = [np.isin(t, own.column("prefix")[i].values.to_numpy()) for i, t in zip(rows.tolist(), tokens, strict=True)]
+                parts = [[x.tobytes() for x in tokens.astype(np.uint32)], [x.tobytes() for x in mask], [values[first[i] : first[i + 1]].tobytes() for i in rows]]
+                yield pa.RecordBatch.from_arrays([own.column("node").take(pa.array(rows)), *(pa.array(x, pa.binary()) for x in parts)], names=["node", "keys", "mask", "shingles"])
 
-    return rows.select("node", *SET, "tokens", "text").mapInArrow(run, SETS)
+    return rows.select("node", *SET, "tokens", "prefix", "text").mapInArrow(run, SETS)
 
 
 def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
@@ -154,13 +155,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, conf: NearDedup) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(batch.num_rows, -1) for i in (2, 3))
             keep = (p == q).sum(axis=1) >= conf.matches
             for i in np.flatnonzero(keep).tolist():
                 keep[i] = linked(*(np.frombuffer(batch.column(k)[i].as_buffer(), K.U64) for k in (4, 5)), conf.threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda name, p, x: sets.select(F.col("node").alias(name), F.col("packed").alias(p), F.col("shingles").alias(x))
+    side = lambda name, p, x: sets.select(F.col("node").alias(name), F.col("keys").alias(p), F.col("shingles").alias(x))
     both = pairs.join(side("a", "p", "x"), "a").join(side("b", "q", "y"), "b")
     return both.select("a", "b", "p", "q", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -199,18 +200,21 @@ class Merge:
         self.node, label, self.at, self.minor, self.seeks, self.sought = (group.column(x).to_numpy() for x in MEMBER)
         self.part = np.unique(label, return_inverse=True)[1]
         n = group.num_rows
-        self.packed = np.frombuffer(b"".join(group.column("packed").to_pylist()), np.uint8).reshape(n, -1)
-        self.probe = np.frombuffer(b"".join(group.column("probe").to_pylist()), "<i8").reshape(n, -1)
+        self.keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), "<u4").reshape(n, -1)
+        self.mask = np.frombuffer(b"".join(group.column("mask").to_pylist()), bool).reshape(n, -1)
 
     def candidates(self, i: int) -> np.ndarray:
         """Members of other components that collide with member ``i`` often enough, those with most collisions first.
 
-        Of two members that both seek, the one with the smaller id does; a pair belongs to the first coordinate it shares.
+        Of two members that both seek, the one with the smaller id does; a pair belongs to the first key that both prefixes
+        have.
         """
         others = np.flatnonzero(self.sought & (self.part != self.part[i]) & (~self.minor | (self.node > self.node[i])))
-        others = others[(self.probe[others] == self.probe[i]).argmax(axis=1) == self.at[i]] if len(others) else others
-        count = (self.packed[others] == self.packed[i]).sum(axis=1)
+        same = self.keys[others] == self.keys[i]
+        count = same.sum(axis=1)
         enough = np.flatnonzero(count >= self.conf.matches)
+        both = same[enough] & self.mask[others[enough]] & self.mask[i]
+        enough = enough[both.argmax(axis=1) == self.at[i]] if len(enough) else enough
         return others[enough[np.argsort(-count[enough], kind="stable")]]
 
     def open_members(self) -> np.ndarray:
@@ -233,9 +237,9 @@ class Merge:
 
 
 def mixed_lists(nodes: DataFrame, conf: NearDedup) -> DataFrame:
-    """Posting lists of nodes (node, label, n_shingles, probe) that hold several components: token, the largest component
+    """Posting lists of nodes (node, label, n_shingles, lists) that hold several components: token, the largest component
     ``major``, and how many blocks all members (``n_hi``) and those outside it (``n_lo``) make."""
-    lists = nodes.select("label", "n_shingles", F.explode("probe").alias("token"))
+    lists = nodes.select("label", "n_shingles", F.inline("lists"))
     parts = lists.groupBy("token", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
     whole = parts.groupBy("token").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "size", "label")).alias("major"), F.count("*").alias("parts")).filter("parts > 1")
     blocks = lambda n, size: F.greatest(F.ceil(n / conf.block), F.ceil(size * 8 / conf.block_bytes), F.lit(1)).cast("int")
@@ -243,12 +247,12 @@ def mixed_lists(nodes: DataFrame, conf: NearDedup) -> DataFrame:
 
 
 def merge_lists(nodes: DataFrame, whole: DataFrame, sets: DataFrame, conf: NearDedup, salt: int | None) -> DataFrame:
-    """Links ``(a, b)`` between components of ``nodes`` (node, label, n_shingles, probe) that meet in one of the lists ``whole``.
+    """Links ``(a, b)`` between components of ``nodes`` (node, label, n_shingles, lists) that meet in one of the lists ``whole``.
 
     With a ``salt``, members of a list meet within random blocks; without, those outside the list's largest component
     meet all others.
     """
-    lists = nodes.select("node", "label", F.posexplode("probe").alias("at", "token"))
+    lists = nodes.select("node", "label", F.inline("lists"))
     rows = lists.join(whole, "token").withColumn("minor", F.col("label") != F.col("major"))
     if salt is None:
         own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -282,32 +286,34 @@ def merge_lists(nodes: DataFrame, whole: DataFrame, sets: DataFrame, conf: NearD
         return rows.join(sets.select("node", *payload), "node").select(*GROUP, *MEMBER, *payload).repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    met = stash(dealt(rows, "packed", "probe").mapInArrow(meet_up, schema))
-    return stash(dealt(met, "packed", "probe", "shingles").mapInArrow(link_up, "a long, b long"))
+    met = stash(dealt(rows, "keys", "mask").mapInArrow(meet_up, schema))
+    return stash(dealt(met, "keys", "mask", "shingles").mapInArrow(link_up, "a long, b long"))
 
 
 def near_duplicates(documents: DataFrame, conf: NearDedup = NearDedup()) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept, n_links, component, text_hash.
+    """Per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, kept, n_links, linked, first, text_hash.
 
     Links join rows with ``100 * intersection >= threshold * union`` of their shingle sets, equal sets included, whatever
     their ids. ``component_id`` is the smallest doc_id reachable, ``kept`` is ``doc_id <=> component_id``, and ``n_links``
-    counts confirmed links of the row's set that the search needed. ``component`` is the same number in all rows of a
-    component and null in rows that are linked with nothing, ``text_hash`` the xxhash64 of the text. A null or empty text
-    has no shingles and no link. Rows that share a doc_id are documents of their own. A null doc_id is linked like any
-    other but never names a component that has an id: component_id is null only where all of the component are.
-    An empty table gives no rows; further columns are ignored.
+    counts confirmed links of the row's set that the search needed. ``linked`` tells whether the row is linked with
+    another; ``first`` marks the one to keep: the smallest doc_id of its component (a null after all others), and of
+    several texts with that id the one with the smallest ``text_hash`` (xxhash64 of the text). Rows that agree in both are
+    repeated rows and marked alike; a row without links is first. A null or empty text has no shingles and no link. Rows
+    that share a doc_id are documents of their own. A null doc_id is linked like any other, but component_id is null only
+    where all ids of the component are. An empty table gives no rows; further columns are ignored.
     """
     bound_batches(documents)
     signed = stash(sign(documents, conf))
     full = signed.filter("n_shingles > 0")
-    classes = full.groupBy(*SET).agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.count("*").alias("copies"), F.first(F.slice("tokens", 1, conf.probe)).alias("probe"))
+    head = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    classes = full.groupBy(*SET).agg(F.min(head).alias("head"), F.count("*").alias("copies"), F.first(F.slice("tokens", 1, conf.probe)).alias("probe"))
     classes = stash(classes.withColumn("node", F.monotonically_increasing_id()))
     probed = stash(shared_keys(classes.select("node", F.col("probe").alias("tokens")), conf.probe_matches).select("node"))
     picks = stash(keep_ids(classes.select("node", *SET), probed, ["node"]))
     chosen = stash(small_join(keep_ids(full.select(*SET, "tokens"), picks.select(*SET), SET).dropDuplicates(SET), picks, SET))
     keys = shared_keys(chosen, conf.matches)
     keyed = stash(keys.select("node", F.expr(f"transform(slice(keys, 1, size(keys) - {conf.matches - 1}), k -> k.token)").alias("prefix")))
-    wanted = stash(keep_ids(chosen, keyed.select("node"), ["node"]).join(classes.select("node", "text_hash"), "node"))
+    wanted = stash(keep_ids(chosen, keyed.select("node"), ["node"]).join(keyed, "node").join(classes.select("node", "head.text_hash"), "node"))
     texts = documents.select(F.xxhash64("text").alias("text_hash"), "text")
     texts = keep_ids(texts, wanted.select("text_hash").distinct(), ["text_hash"]).distinct()
     sets = stash(shingle_table(texts.join(wanted, "text_hash"), conf).dropDuplicates(["node"]))
@@ -318,27 +324,28 @@ def near_duplicates(documents: DataFrame, conf: NearDedup = NearDedup()) -> Data
     links = stash(confirm(pairs, sets, conf))
     labels = connected(links)
 
-    nodes = wanted.select("node", "n_shingles", F.slice("tokens", 1, conf.probe).alias("probe"))
+    lists = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("at"), t.alias("token"))), lambda x: F.array_contains("prefix", x.token))
+    nodes = wanted.select("node", "n_shingles", lists.alias("lists"))
     step, done = 0, False
     while not done:
         named = stash(nodes.join(labels.withColumnRenamed("doc_id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node")))
         lists = stash(mixed_lists(named, conf))
-        long = lists.filter("n_lo > 1")
+        long = lists.filter(f"n_lo > {2 * conf.rounds}")
         done = step == conf.rounds or long.isEmpty()
         found = merge_lists(named, lists if done else long, sets, conf, None if done else step)
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = connected(links)
         step += 1
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
 
-    named = labels.withColumnRenamed("doc_id", "node").join(degree, "node").join(classes.select("node", "least"), "node")
-    ids = named.groupBy("label").agg(F.min("least").alias("id"))
-    named = stash(named.join(ids, "label").select("node", F.col("label").alias("component"), F.col("id"), "n_links"))
-    grouped = classes.select("node", *SET, "least", "copies").join(named, "node", "left").filter("copies > 1 OR component IS NOT NULL")
-    id_ = F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("id"))
-    grouped = stash(grouped.select(*SET, id_.alias("id"), F.coalesce("component", "node").alias("component"), "n_links"))
-    out = small_join(signed.drop("tokens"), grouped, SET, "left")
-    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("id"))
-    out = out.withColumn("component_id", component)
-    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component", "text_hash")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    named = labels.withColumnRenamed("doc_id", "node").join(degree, "node").join(classes.select("node", "head"), "node")
+    heads = named.groupBy("label").agg(F.min("head").alias("best"))
+    named = stash(named.join(heads, "label").select("node", "best", "n_links"))
+    grouped = classes.select("node", *SET, "head", "copies").join(named, "node", "left").filter("copies > 1 OR best IS NOT NULL")
+    grouped = stash(grouped.select(*SET, F.coalesce("best", "head").alias("best"), "n_links"))
+    out = small_join(signed.drop("tokens"), grouped, SET, "left").withColumn("linked", F.col("best").isNotNull())
+    out = out.withColumn("component_id", F.when(F.col("linked"), F.col("best.doc_id")).otherwise(F.col("doc_id")))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = ~F.col("linked") | (kept & (F.col("text_hash") == F.col("best.text_hash")))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "linked", first.alias("first"), "text_hash")

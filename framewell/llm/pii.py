@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewell.llm.boosting import Trees, threshold
-from framewell.llm.shared import BROADCAST_ROWS, stash
+from framewell.llm.shared import BROADCAST_ROWS, free_names, stash
 
 KINDS = ["email", "ip", "card", "phone"]
 EXTRA = ["iban", "secret"]
@@ -31,10 +31,10 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Wider generators.
-MASKED = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,64}+\x20?[(\[]\x20?at\x20?[)\]]\x20?[a-z0-9-]{2,64}+(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[a-z0-9-]{2,64}+){1,4}"
+MASKED = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?[(\[]\x20?at\x20?[)\]]\x20?[a-z0-9-]{1,64}+(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[a-z0-9-]{1,64}+){1,4}"
 LOCAL = r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SECRET = r"""(?i)(?<![a-z0-9])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\x20?[:=]\x20?["']?[a-z0-9/+_=-]{8,256}"""
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+SECRET = r"""(?i)(?<![a-z0-9])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\x20?[:=]\x20?["']?[a-z0-9/+_=-]{8,}+"""
 FEATURES = ["f_kind", "f_form", "f_length", "f_digits", "f_upper", "f_marks", "f_before", "f_after", "f_cue"]
 FOUND = "array<struct<kind: string, form: int, start: int, end: int, value: string, valid: boolean, before: string, after: string>>"
 
@@ -159,11 +159,14 @@ def listed(spans: Column) -> Column:
 
 
 def redact(documents: DataFrame, conf: PiiScan = PiiScan()) -> DataFrame:
-    """``documents`` with every span of :func:`find` replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
-    docs = documents.withColumn("text_hash_", F.xxhash64("text"))
-    hit = stash(find(documents, conf).filter(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))).alias("spans_")).distinct())
+    """``documents`` with every span of :func:`find` replaced by its kind in brackets; overlapping spans become one, of the first's kind.
+
+    All rows and columns stay, whatever further columns are named; null and empty texts stay as they are.
+    """
+    row_id, row_hash, found = free_names(documents, "row_id", "row_hash", "row_spans")
+    hit = stash(find(documents, conf).filter(F.size("spans") > 0).select(F.col("doc_id").alias(row_id), F.col("text_hash").alias(row_hash), F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))).alias(found)).distinct())
     side = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS // 10 else hit
-    both = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("text_hash_") == F.col("t")), "left")
+    both = documents.join(side, documents["doc_id"].cast("long").eqNullSafe(F.col(row_id)) & (F.xxhash64(documents["text"]) == F.col(row_hash)), "left")
     text = F.col("text")
 
     def step(state: Column, s: Column) -> Column:
@@ -172,5 +175,5 @@ def redact(documents: DataFrame, conf: PiiScan = PiiScan()) -> DataFrame:
         return F.struct(F.greatest(state.at, s.end).alias("at"), parts.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("spans_", start, step, lambda s: F.concat(F.array_join(s.out, ""), F.substring(text, s.at + 1, F.length(text))))
-    return both.withColumn("text", F.when(F.col("spans_").isNull(), text).otherwise(clean)).select(*documents.columns)
+    clean = F.aggregate(found, start, step, lambda s: F.concat(F.array_join(s.out, ""), F.substring(text, s.at + 1, F.length(text))))
+    return both.withColumn("text", F.when(F.col(found).isNull(), text).otherwise(clean)).select(*[F.col(f"`{c}`") for c in documents.columns])

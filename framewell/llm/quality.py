@@ -174,24 +174,23 @@ def score(documents: DataFrame, labels: DataFrame, conf: Quality = Quality()) ->
 
     ``attention`` is the largest weight of a passage. A null or empty text is one blank passage and gets a score like any
     other. Without labels the score is that of an untrained model. Repeated rows each get their result; a row without a
-    doc_id is held out.
+    doc_id is held out. Columns of ``documents`` that are named like an added one are left out.
     """
-    return apply(documents, learn(documents, labels, conf), conf).drop("text")
+    found = apply(documents, learn(documents, labels, conf), conf)
+    added = [x for x in found.columns if x != "row"]
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in ("text", *added)], *added)
 
 
 def apply(documents: DataFrame, model: Model, conf: Quality = Quality()) -> DataFrame:
-    """All columns of ``documents``, and those that :func:`score` adds."""
-    rows = documents.withColumns({"doc_id": F.col("doc_id").cast("long"), "held_out": held_out(F.col("doc_id"))})
-    added = ["score double", "predicted int", "n_passages long", "attention double"]
-    rows = rows.drop(*[x.split()[0] for x in added])
-    text = rows.columns.index("text")
+    """``row``, a struct of all columns of ``documents`` whatever their names, and the columns that :func:`score` adds."""
+    added = "held_out boolean, score double, predicted int, n_passages long, attention double"
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("text"), held_out(F.col("doc_id").cast("long")).alias("held_out"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, x, first in passages(batch.column(text), conf.passage_words):
+            for lo, x, first in passages(batch.column(1), conf.passage_words):
                 f, own = model.forward(x, first), batch.slice(lo, len(first) - 1)
                 new = [pa.array(f["score"]), pa.array((f["score"] >= conf.bound).astype(np.int32)), pa.array(np.diff(first)), pa.array(np.maximum.reduceat(f["a"], first[:-1]))]
-                yield pa.RecordBatch.from_arrays([*own.columns, *new], names=[*own.schema.names, *(x.split()[0] for x in added)])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), *new], names=["row", *(x.split()[0] for x in added.split(", "))])
 
-    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(", ".join(added)).fields])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *T.StructType.fromDDL(added).fields]))

@@ -18,7 +18,7 @@ from framewell.llm.quality import score
 from framewell.llm.search import top_k
 from framewell.llm.shared import shared_folder
 from framewell.llm.substring_dedup import remove_repeats
-from framewell.llm.token_counts import TokenCounts, count_edited, revision
+from framewell.llm.token_counts import TokenCounts, count_edited
 from framewell.llm.warc import read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,7 +109,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     conf = TokenCounts(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return count_edited(docs.withColumn("edits", revision(F.col("text"))), conf)
+    return count_edited(docs, conf)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -38,18 +37,30 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder. One is made only where none is set, as in tests."""
+    """The folder that all executors share: the session's checkpoint folder, from ``spark.checkpoint.dir`` or set by the caller.
+
+    Where neither is set, a local session (driver and tasks on one machine) gets one under its warehouse; on a cluster
+    that is an error, since a folder of one machine would lose data without a word.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewell-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/framewell-stash")
     return context.getCheckpointDir()
 
 
 def stash(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: the lineage is cut and a lost executor costs no rerun."""
+    """Write ``df`` once to the shared folder and read it back: the lineage is cut and a lost executor costs no rerun.
+
+    The table goes when the session's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=partition_by)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,3 +72,23 @@ def keep_ids(df: DataFrame, ids: DataFrame, on: list[str], limit: int = BROADCAS
 def small_join(df: DataFrame, side: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS // 2) -> DataFrame:
     """``df`` joined with a stored table of a few numbers a row: broadcast if ``side`` has at most ``limit`` rows, else shuffled."""
     return df.join(F.broadcast(side) if side.count() <= limit else side, on, how)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``df`` has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def match_rows(df: DataFrame, keys: DataFrame, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``df`` that are (``left_semi``) or are not (``left_anti``) among ``keys`` (doc_id, text_hash), by id and xxhash64 of
+    the text; a null id equals a null one. Other columns of ``df`` may have any names."""
+    row_id, row_hash = free_names(df, "row_id", "row_hash")
+    keys = keys.select(F.col("doc_id").alias(row_id), F.col("text_hash").alias(row_hash)).distinct()
+    same = df["doc_id"].cast("long").eqNullSafe(F.col(row_id)) & (F.xxhash64(df["text"]) == F.col(row_hash))
+    return df.join(F.broadcast(keys) if keys.count() <= limit else keys, same, how)

@@ -5,7 +5,7 @@ Only windows that can be repeated are looked at one by one:
 * equal word sequences are one class; a class of several rows is repeated as a whole;
 * every window is named by its smallest rolling hash of ``gram`` words (equal windows have equal names, and few grams
   are the smallest of any window), and a window whose name stands at one place only is unique;
-* the hashes of the other windows are counted over all classes; those that occur again are marked.
+* the 128-bit hashes of the other windows are counted over all classes; those that occur again are marked.
 
 Counts are combined before they are shuffled and the marks come back through joins that can be split, so neither a
 passage nor a text that a third of all rows share meets in one task.
@@ -55,8 +55,33 @@ def names(hashes: np.ndarray, conf: SubstringDedup) -> tuple[np.ndarray, np.ndar
     return name, grams[_sliding(np.concatenate([edge, name, edge]), n, False) == grams]
 
 
-def _windows(hashes: np.ndarray, conf: SubstringDedup) -> np.ndarray:
-    return K.rolling(hashes, conf.window, seed=0x35).view(np.int64)
+def _windows(hashes: np.ndarray, conf: SubstringDedup) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each window."""
+    return K.rolling(hashes, conf.window, seed=0x35).view(np.int64), K.rolling(K.mix(hashes ^ K.U64(0x7A3D)), conf.window, seed=0x36).view(np.int64)
+
+
+def _once_or_twice(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct pair once, and once more if it is there several times."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    nth = np.concatenate([np.ones(min(len(a), 1), bool), ~same])
+    second = np.zeros(len(a), bool)
+    second[1:] = same & nth[:-1]
+    return a[nth | second], b[nth | second]
+
+
+def _among(a: np.ndarray, b: np.ndarray, known_a: np.ndarray, known_b: np.ndarray) -> np.ndarray:
+    """Which pairs are among the known ones."""
+    order = np.lexsort((known_b, known_a))
+    known_a, known_b = known_a[order], known_b[order]
+    at, stop = np.searchsorted(known_a, a), np.searchsorted(known_a, a, side="right")
+    out = np.zeros(len(a), dtype=bool)
+    while (at < stop).any():  # as often as the first halves of different pairs agree: once
+        live = np.flatnonzero(at < stop)
+        out[live] |= known_b[at[live]] == b[live]
+        at[live] += 1
+    return out
 
 
 def _sequence(hashes: np.ndarray) -> tuple[int, int]:
@@ -97,24 +122,29 @@ def survey(documents: DataFrame, conf: SubstringDedup) -> DataFrame:
 
 
 def windows(texts: DataFrame, conf: SubstringDedup) -> DataFrame:
-    """Of each class, the hashes of windows whose name is in ``shared``: k1, k2, n_words, windows. A hash is there once, or twice
-    if it stands at several places of the text. Rows whose text is of another class are dropped."""
+    """Of each class, the hashes of windows whose name is in ``shared``: k1, k2, n_words, windows. A pair of hashes is there once, or
+    twice if it stands at several places of the text. Rows whose text is of another class are dropped."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in KEY), strict=True))
             shared = batch.column("shared")
-            rows: dict[str, list] = {k: [] for k in (*KEY, "windows")}
+            rows, a, b, size = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
             for i, hashes, _ in _texts(batch, batch.schema.get_field_index("text")):
                 if (*_sequence(hashes), len(hashes)) != keys[i]:
                     continue
-                name = names(hashes, conf)[0]
-                value, count = np.unique(_windows(hashes, conf)[np.isin(name, np.asarray(shared[i].values).view(K.U64))], return_counts=True)
-                for k, v in zip(rows, (*keys[i], np.concatenate([value, value[count > 1]])), strict=True):
-                    rows[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in KEY else pa.list_(pa.int64())) for k, v in rows.items()], names=list(rows))
+                named = np.isin(names(hashes, conf)[0], np.asarray(shared[i].values).view(K.U64))
+                pair = _once_or_twice(*(x[named] for x in _windows(hashes, conf)))
+                rows.append(i)
+                for to, x in zip((a, b), pair, strict=True):
+                    to.append(x)
+                size.append(len(pair[0]))
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["w1", "w2"])
+            found = pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), pairs)
+            own = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(own.column(k) for k in KEY), found], names=[*KEY, "windows"])
 
-    return texts.mapInArrow(run, "k1 long, k2 long, n_words long, windows array<long>")
+    return texts.mapInArrow(run, "k1 long, k2 long, n_words long, windows array<struct<w1: long, w2: long>>")
 
 
 def cut(texts: DataFrame, conf: SubstringDedup) -> DataFrame:
@@ -127,7 +157,8 @@ def cut(texts: DataFrame, conf: SubstringDedup) -> DataFrame:
             for i, hashes, raw in _texts(batch, batch.schema.get_field_index("text")):
                 if (*_sequence(hashes), len(hashes)) != keys[i]:
                     continue
-                start = np.flatnonzero(np.isin(_windows(hashes, conf), np.asarray(batch.column("repeated")[i].values)))
+                known = batch.column("repeated")[i].values
+                start = np.flatnonzero(_among(*_windows(hashes, conf), *(np.asarray(known.field(k)) for k in (0, 1))))
                 spans = union(np.stack([start, start + conf.window], axis=1))
                 words, kept, at = raw.split(), [], 0
                 for a, b in spans.tolist():
@@ -149,7 +180,7 @@ def remove_repeats(documents: DataFrame, conf: SubstringDedup = SubstringDedup()
     Words are runs of non-space, unchanged. A word goes if any window that covers it also starts elsewhere, in another
     row or in the same text; all occurrences go. ``spans`` are the removed words as merged start and end,
     ``kept_sha256`` is the hash of the rest, joined by one space. Texts shorter than the window, empty ones and nulls stay
-    as they are. Repeated rows repeat each other's windows.
+    as they are. Repeated rows repeat each other's windows. Windows are compared by two 64-bit hashes.
     """
     bound_batches(documents)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -161,9 +192,9 @@ def remove_repeats(documents: DataFrame, conf: SubstringDedup = SubstringDedup()
 
     texts = rows.select(row_id().alias("id"), "text")
     texts = stash(keep_ids(texts, met.select("id").distinct(), ["id"]).join(met, "id").dropDuplicates([*KEY, "text"]).select(*KEY, "text", "shared"))
-    seen = stash(windows(texts, conf).select(*KEY, F.explode("windows").alias("window")))
-    repeated = seen.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    marked = seen.join(repeated, "window").groupBy(*KEY).agg(F.collect_set("window").alias("repeated"))
+    seen = stash(windows(texts, conf).select(*KEY, F.inline("windows")))
+    repeated = seen.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+    marked = seen.join(repeated, ["w1", "w2"]).groupBy(*KEY).agg(F.collect_set(F.struct("w1", "w2")).alias("repeated"))
     partly = cut(texts.select(*KEY, "text").join(marked, KEY), conf)
 
     whole = classes.filter("copies > 1").select(*KEY, F.lit(True).alias("whole"))
