@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
+    # joins of spans with points: seconds of a bucket, a little more than most clips
+    join_bucket_seconds: float = 120.0
     # clips
     max_clips: int = 10
     min_clip_seconds: int = 20

@@ -1,4 +1,7 @@
-"""Texts that an external renderer takes: crop and blur filters, argument lists, and its log read back."""
+"""Texts that an external renderer takes: crop and blur filters, argument lists, and its log read back.
+
+Their words and signs are fixed values, set by the renderer's syntax.
+"""
 
 from __future__ import annotations
 

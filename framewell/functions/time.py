@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: H:MM:SS or MM:SS, with a fraction after a comma or a dot.
+#: H:MM:SS or MM:SS, with a fraction after a comma or a dot.
 TIMESTAMP = r"^\s*(?:(\d{1,2}):)?(\d{1,2}):(\d{2})(?:[.,](\d{1,3}))?\s*$"
 #: The same at the start of a line, maybe in brackets.
 LINE_TIMESTAMP = r"^\[?((?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?)\]?"

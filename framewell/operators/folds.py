@@ -26,11 +26,12 @@ def merge_close(items: Column, close: Callable[[Column, Column], Column], better
     return F.aggregate(items, empty, step)
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], Callable[[dict], tuple]], schema: str) -> DataFrame:
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], uses: list[str], make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """Run a recurrence over each key's rows in order, and add what it gives for each row as the columns of ``schema``.
 
-    ``make`` gives a function with fresh state for a key; it is called with one row after the other. Rows stream through
-    sorted partitions: a task holds one batch and one key's state, never a whole key.
+    ``make`` gives a function with fresh state for a key; it is called with the columns ``uses`` of one row after the other.
+    Rows stream through sorted partitions: a task holds one batch and one key's state, never a whole key. Other columns pass
+    as Arrow arrays.
     """
     fields = T.StructType.fromDDL(schema)
     out = T.StructType([*df.schema.fields, *fields.fields])
@@ -39,11 +40,12 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], make: Callabl
         key, step = None, None
         for batch in batches:
             made = []
-            for row in batch.to_pylist():
-                own = tuple(row[k] for k in keys)
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*keys, *uses]]
+            for row in zip(*columns, strict=True):
+                own = row[: len(keys)]
                 if step is None or own != key:
                     key, step = own, make()
-                made.append(step(row))
+                made.append(step(*row[len(keys) :]))
             columns = list(zip(*made, strict=True)) if made else [()] * len(fields)
             extra = [pa.array(c, _ARROW[f.dataType.simpleString()]) for c, f in zip(columns, fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=out.names)

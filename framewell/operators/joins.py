@@ -26,11 +26,23 @@ def contained(spans: DataFrame, points: DataFrame, keys: list[str], start: str,
     return cut.join(dealt, [*on, F.col("s.bucket_") == F.col("p.bucket_"), inside], how).drop("bucket_")
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Pairs of half-open intervals (start_seconds, end_seconds) that overlap; sides are aliased ``l`` and ``r``."""
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", *, bucket: float | None = None) -> DataFrame:
+    """Pairs of half-open intervals (start_seconds, end_seconds) that overlap; sides are aliased ``l`` and ``r``.
+
+    With ``bucket`` both sides go to each bucket of so many seconds that they touch, which is one more equi key; a pair counts
+    in the bucket in which the later of the two starts.
+    """
     l, r = left.alias("l"), right.alias("r")
     on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
-    return l.join(r, [*on, F.col("r.end_seconds") > F.col("l.start_seconds"), F.col("r.start_seconds") < F.col("l.end_seconds")], how)
+    met = [F.col("r.end_seconds") > F.col("l.start_seconds"), F.col("r.start_seconds") < F.col("l.end_seconds")]
+    if bucket is None:
+        return l.join(r, [*on, *met], how)
+    if how != "inner":
+        raise ValueError("a bucketed join is an inner join; join its result back for the others")
+    number = lambda c: F.floor(F.col(c) / bucket)
+    cut = lambda df, a: df.withColumn("bucket_", F.explode(F.sequence(number(f"{a}.start_seconds"), F.greatest(number(f"{a}.start_seconds"), number(f"{a}.end_seconds"))))).alias(a)
+    later = F.floor(F.greatest(F.col("l.start_seconds"), F.col("r.start_seconds")) / bucket)
+    return cut(l, "l").join(cut(r, "r"), [*on, F.col("l.bucket_") == F.col("r.bucket_"), later == F.col("l.bucket_"), *met]).drop("bucket_")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], *, direction: str = "backward") -> DataFrame:

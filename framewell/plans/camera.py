@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewell.config import DEFAULTS, Settings
+from framewell.functions.geometry import box, visibility
+from framewell.functions.render import even
 from framewell.operators.folds import merge_close, ordered_scan
 from framewell.operators.islands import split_runs
 from framewell.operators.joins import as_of
@@ -25,9 +27,8 @@ def pursue(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     def make():
         state: dict = {}
 
-        def step(row: dict) -> tuple:
-            x, y, z, t = row["center_x"], row["center_y"], row["zoom"], row["timestamp"]
-            if not state or row["near"]:
+        def step(x: float, y: float, z: float, t: float, near: int) -> tuple:
+            if not state or near:
                 moved, velocity, acceleration = (x, y, z), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)
             else:
                 dt = t - state["t"] if t > state["t"] else 0.5
@@ -44,7 +45,8 @@ def pursue(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
 
         return step
 
-    return ordered_scan(frames, ["video_id"], ["timestamp", "frame_number"], make, "path_x double, path_y double, path_zoom double, " + MOTION)
+    parts = split_runs(frames, ["video_id"], ["timestamp", "frame_number"], F.col("near") == 1, "_part")  # each jump starts anew, so parts run in parallel
+    return ordered_scan(parts, ["video_id", "_part"], ["timestamp", "frame_number"], ["center_x", "center_y", "zoom", "timestamp", "near"], make, "path_x double, path_y double, path_zoom double, " + MOTION).drop("_part")
 
 
 def smooth(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
@@ -60,13 +62,13 @@ def smooth(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     def make():
         state: dict = {}
 
-        def step(row: dict) -> tuple:
-            target = [row["center_x"], row["center_y"], row["zoom"]]
+        def step(x: float, y: float, zoom: float, t: float) -> tuple:
+            target = [x, y, zoom]
             if not state:
                 at = tuple(a * v + (1.0 - a) * v for v in target)
-                state.update(at=at, v=(0.0, 0.0, 0.0), t=row["timestamp"])
+                state.update(at=at, v=(0.0, 0.0, 0.0), t=t)
                 return (*at, *(0.0,) * 6)
-            dt = row["timestamp"] - state["t"] if row["timestamp"] > state["t"] else 0.5
+            dt = t - state["t"] if t > state["t"] else 0.5
             aim = [a * v + (1.0 - a) * p for v, p in zip(target, state["at"], strict=True)]
             turn = (aim[2] - state["at"][2]) / dt
             if state["v"][2] != 0.0 and math.copysign(1.0, turn) != math.copysign(1.0, state["v"][2]):
@@ -74,13 +76,13 @@ def smooth(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
             velocity = tuple(limit((n - p) / dt, v, conf.smoothing_max_jerk * dt) for n, p, v in zip(aim, state["at"], state["v"], strict=True))
             acceleration = tuple((n - v) / dt for n, v in zip(velocity, state["v"], strict=True))
             at = tuple(p + v * dt for p, v in zip(state["at"], velocity, strict=True))
-            state.update(at=at, v=velocity, t=row["timestamp"])
+            state.update(at=at, v=velocity, t=t)
             return (*at, *velocity, *acceleration)
 
         return step
 
     parts = split_runs(frames, ["video_id"], ["timestamp", "frame_number"], F.col("near") == 1)
-    return ordered_scan(parts, ["video_id", "part"], ["timestamp", "frame_number"], make, "smooth_x double, smooth_y double, smooth_zoom double, " + MOTION)
+    return ordered_scan(parts, ["video_id", "part"], ["timestamp", "frame_number"], ["center_x", "center_y", "zoom", "timestamp"], make, "smooth_x double, smooth_y double, smooth_zoom double, " + MOTION)
 
 
 def pan(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
@@ -89,8 +91,7 @@ def pan(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     def make():
         state: dict = {}
 
-        def step(row: dict) -> tuple:
-            x, y, track = row["center_x"], row["center_y"], row["track"]
+        def step(x: float, y: float, track: str | None) -> tuple:
             ex, ey = state.get("at", (x, y))
             before = state.get("track")
             strength = conf.pan_switch_strength if before is not None and track != before else conf.pan_strength
@@ -101,7 +102,7 @@ def pan(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
 
         return step
 
-    return ordered_scan(frames, ["video_id"], ["timestamp", "frame_number"], make, "pan_x double, pan_y double")
+    return ordered_scan(frames, ["video_id"], ["timestamp", "frame_number"], ["center_x", "center_y", "track"], make, "pan_x double, pan_y double")
 
 
 def resample(crops: DataFrame, fps: float) -> DataFrame:
@@ -165,6 +166,57 @@ def scene_segments(boundaries: DataFrame, durations: DataFrame) -> DataFrame:
     return out.filter("end_seconds > start_seconds")
 
 
+def near_boundaries(frames: DataFrame, boundaries: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
+    """``frames`` (video_id, timestamp) with ``near``: 1 if a boundary (video_id, timestamp) is at most the tolerance away, else 0."""
+    cuts = boundaries.select("video_id", "timestamp", F.lit(1).alias("cut"))
+    back = as_of(frames, cuts, ["video_id"], "timestamp", ["cut"]).withColumnRenamed("matched_timestamp", "_before").drop("cut")
+    both = as_of(back, cuts, ["video_id"], "timestamp", ["cut"], direction="forward")
+    away = F.least(F.col("timestamp") - F.col("_before"), F.col("matched_timestamp") - F.col("timestamp"))
+    return both.withColumn("near", F.coalesce(away <= conf.boundary_tolerance, F.lit(False)).cast("int")).drop("_before", "matched_timestamp", "cut")
+
+
+def scene_at(frames: DataFrame, scenes: DataFrame) -> DataFrame:
+    """``frames`` (video_id, timestamp) with ``scene``, the index of the scene that holds the time; past the last one's end the last."""
+    along = Window.partitionBy("video_id").orderBy("start_seconds")
+    spans = scenes.select("video_id", F.col("start_seconds").alias("timestamp"), F.col("index").alias("scene"), "end_seconds", F.lead("index").over(along).isNull().alias("_last"))
+    out = as_of(frames, spans, ["video_id"], "timestamp", ["scene", "end_seconds", "_last"])
+    return out.withColumn("scene", F.when((F.col("timestamp") < F.col("end_seconds")) | F.col("_last"), F.col("scene"))).drop("matched_timestamp", "end_seconds", "_last")
+
+
+def fixed_size(crops: DataFrame) -> DataFrame:
+    """Per video the even width and height of its crops if all have the same, else nulls: video_id, w, h."""
+    sizes = crops.select("video_id", even(F.col("w")).alias("w"), even(F.col("h")).alias("h")).groupBy("video_id")
+    found = sizes.agg(F.min("w").alias("w"), F.max("w").alias("w2"), F.min("h").alias("h"), F.max("h").alias("h2"))
+    same = (F.col("w") == F.col("w2")) & (F.col("h") == F.col("h2"))
+    return found.select("video_id", F.when(same, F.col("w")).alias("w"), F.when(same, F.col("h")).alias("h"))
+
+
+def render_times(segments: DataFrame, durations: DataFrame) -> DataFrame:
+    """Crop segments with the times at which they are rendered: none before 0, none shorter than a twentieth of a second, and
+    the last reaches the video's end. ``durations``: video_id, duration; without one the last ends as it does."""
+    along = Window.partitionBy("video_id").orderBy("start_time")
+    last = F.lead("start_time").over(along).isNull()
+    start = F.greatest(F.lit(0.0), F.col("start_time"))
+    out = segments.withColumn("last", last).withColumn("start_time", start).withColumn("end_time", F.greatest(F.col("start_time") + 0.05, F.col("end_time")))
+    out = out.join(durations.select("video_id", "duration"), "video_id", "left")
+    return out.withColumn("end_time", F.when(F.col("last"), F.greatest("end_time", "duration")).otherwise(F.col("end_time"))).drop("last", "duration")
+
+
+def visibility_metrics(crops: DataFrame, faces: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
+    """How well the crops (video_id, frame_number, x, y, w, h) of each video show its faces: average_visibility (0 without any),
+    clipped_percent of faces shown to less than the threshold, average_empty_space (1 for a frame without faces), frames, faces."""
+    seen = faces.groupBy("video_id", "frame_number").agg(F.collect_list(box(*map(F.col, "xywh"))).alias("boxes"))
+    rows = crops.select("video_id", "frame_number", box(*map(F.col, "xywh")).alias("crop")).join(seen, ["video_id", "frame_number"], "left").withColumn("boxes", F.coalesce("boxes", F.array().cast("array<struct<x: double, y: double, w: double, h: double>>")))
+    share = F.transform("boxes", lambda b: visibility(F.col("crop"), b))
+    area = F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b.w * b.h)
+    empty = F.greatest(F.lit(0.0), F.lit(1.0) - F.least(F.lit(1.0), area / F.greatest(F.lit(1.0), F.col("crop.w") * F.col("crop.h"))))
+    rows = rows.select("video_id", share.alias("share"), empty.alias("empty"))
+    low = F.size(F.filter("share", lambda v: v < conf.visibility_threshold))
+    per = rows.groupBy("video_id").agg(F.avg("empty").alias("average_empty_space"), F.sum(F.aggregate("share", F.lit(0.0), lambda a, v: a + v)).alias("seen"), F.sum(F.size("share")).alias("face_frame_count"), F.sum(low).alias("low"), F.count("*").alias("frame_count"))
+    of = lambda v: F.coalesce(F.try_divide(v, F.col("face_frame_count")), F.lit(0.0))
+    return per.select("video_id", of(F.col("seen")).alias("average_visibility"), (of(F.col("low")) * 100).alias("clipped_percent"), "average_empty_space", "frame_count", "face_frame_count")
+
+
 def path_metrics(path: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """Per video: how far the camera moved, its jitter, and its jumps away from boundaries. ``path`` has motion columns and near."""
     along = Window.partitionBy("video_id").orderBy("timestamp", "frame_number")

@@ -1,7 +1,8 @@
 """Who speaks and who matters in each frame: signals, weighted fusion, shots.
 
-``faces``: video_id, frame_number, timestamp, track_id, x, y, w, h, confidence. Frames are 1920 by 1080 unless said otherwise.
-All signals and factors are columns beside a face, so fusion needs no join.
+``faces``: video_id, frame_number, timestamp, track_id, x, y, w, h, confidence, and, where a detector gives them, the
+landmarks left_eye, right_eye and mouth (structs of x and y, or null). Frames are 1920 by 1080 unless said otherwise.
+All signals and factors are columns beside a face, so fusion needs no join, and rows stay partitioned by video.
 """
 
 from __future__ import annotations
@@ -12,20 +13,43 @@ from pyspark.sql import functions as F
 from framewell.config import DEFAULTS, Settings
 from framewell.functions.geometry import box, frontal
 from framewell.operators.islands import run_ids
-from framewell.operators.joins import as_of
 
 FRAME = ["video_id", "frame_number"]
 FACTORS = [("currently_speaking", "currently speaking"), ("facial_expression", "expressive face"), ("detection_confidence", "high detection confidence"), ("frame_center", "center of frame"), ("screen_presence", "large screen presence"), ("recent_speaker", "recent speaker"), ("reaction_target", "reaction focus")]
 
 
+def landmark(faces: DataFrame, name: str) -> Column:
+    """A landmark column, or null where ``faces`` has none."""
+    return F.col(name) if name in faces.columns else F.lit(None).cast("struct<x: double, y: double>")
+
+
 def movement(faces: DataFrame) -> DataFrame:
-    """``mouth_delta``: how far a track's mouth, guessed low in its box, moved since the track was last seen; 0 at first."""
+    """``mouth_delta``: how far a track's mouth moved since the track was last seen, 0 at first. Without a landmark the mouth is
+    guessed low in its box."""
     along = Window.partitionBy("video_id", "track_id").orderBy("timestamp", "frame_number")
-    mx, my = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") * 0.75
+    mouth = landmark(faces, "mouth")
+    mx, my = F.coalesce(mouth.x, F.col("x") + F.col("w") / 2), F.coalesce(mouth.y, F.col("y") + F.col("h") * 0.75)
     dx, dy = mx - F.lag(mx).over(along), my - F.lag(my).over(along)
     return faces.withColumn("mouth_delta", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
 
 
+def heard(faces: DataFrame, speech: DataFrame, energy: DataFrame) -> DataFrame:
+    """``faces`` with ``talking``, whether a spoken span holds the time, and ``audio_energy`` of the nearest audio window, the
+    earlier of two, 0 without any. One union by video serves all three look-ups: the last speech, the last and the next window."""
+    last = F.struct(F.col("timestamp").alias("at"), "energy")
+    none = lambda t: F.lit(None).cast(t)
+    speech = speech.select("video_id", "timestamp", F.col("speech_end").alias("_until"), F.lit(0).alias("_side"))
+    energy = energy.select("video_id", "timestamp", last.alias("_energy"), F.lit(0).alias("_side"))
+    both = faces.withColumns({"_until": none("double"), "_energy": none("struct<at: double, energy: double>"), "_side": F.lit(1)})
+    both = both.unionByName(speech, allowMissingColumns=True).unionByName(energy, allowMissingColumns=True)
+    so_far = lambda *order: Window.partitionBy("video_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back, on = so_far("timestamp", "_side"), so_far(F.desc("timestamp"), "_side")
+    out = both.withColumns({"_talk": F.last("_until", ignorenulls=True).over(back), "_back": F.last("_energy", ignorenulls=True).over(back), "_on": F.last("_energy", ignorenulls=True).over(on)}).filter("_side = 1")
+    later = F.col("_back").isNull() | ((F.col("_on.at") - F.col("timestamp")) < (F.col("timestamp") - F.col("_back.at")))
+    nearest = F.coalesce(F.when(F.col("_on").isNotNull() & later, F.col("_on.energy")).otherwise(F.col("_back.energy")), F.lit(0.0))
+    return out.select(*faces.columns, F.coalesce(F.col("timestamp") < F.col("_talk"), F.lit(False)).alias("talking"), nearest.alias("audio_energy"))
+
+
 def signals(faces: DataFrame, speech: DataFrame, energy: DataFrame, width: int = 1920, height: int = 1080, conf: Settings = DEFAULTS) -> DataFrame:
     """``faces`` with speaker signals and the factors that need no speaker.
 
@@ -33,30 +57,17 @@ def signals(faces: DataFrame, speech: DataFrame, energy: DataFrame, width: int =
     of audio windows; a frame takes the nearest, the earlier of two.
     """
     frame = Window.partitionBy(*FRAME)
-    out = movement(faces)
+    out = movement(heard(faces, speech, energy))
     moved, most = F.least(F.lit(1.0), F.col("mouth_delta") / conf.mouth_scale), F.max("mouth_delta").over(frame)
     out = out.withColumn("expression", moved).withColumn("mouth_movement", F.when((most > 0) & (F.col("mouth_delta") == most), F.lit(1.0)).otherwise(moved))
     area = F.col("w") * F.col("h")
-    out = out.withColumn("face_orientation", frontal(box(F.col("x"), F.col("y"), F.col("w"), F.col("h")), F.lit(None).cast("struct<x: double, y: double>"), F.lit(None).cast("struct<x: double, y: double>"), F.lit(float(width * height))))
+    out = out.withColumn("face_orientation", frontal(box(F.col("x"), F.col("y"), F.col("w"), F.col("h")), landmark(faces, "left_eye"), landmark(faces, "right_eye"), F.lit(float(width * height))))
     out = out.withColumn("presence", F.coalesce(F.try_divide(area, F.max(area).over(frame)), F.lit(0.0)))
     out = out.withColumn("center", F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("x") + F.col("w") / 2 - width / 2) / (width / 2)))
-    frames = out.select(*FRAME, "timestamp").distinct()
-    talking = as_of(frames, speech, ["video_id"], "timestamp", ["speech_end"])
-    talking = talking.withColumn("active", F.coalesce(F.col("timestamp") < F.col("speech_end"), F.lit(False))).select(*FRAME, "active")
-    loud = nearest_energy(frames, energy)
-    out = out.join(talking, FRAME).join(loud, FRAME)
     n_faces = F.count("*").over(frame)
     leader = F.row_number().over(frame.orderBy(F.desc("mouth_movement"), "track_id")) == 1
-    timing = F.when(~F.col("active"), F.lit(0.0)).when((n_faces == 1) | leader, F.lit(1.0)).otherwise(F.lit(0.2))
-    return out.withColumn("transcript_timing", timing).withColumnRenamed("energy", "audio_energy").drop("active")
-
-
-def nearest_energy(frames: DataFrame, energy: DataFrame) -> DataFrame:
-    """Frames with the energy of the nearest audio window in time, the earlier one of two; 0 without any."""
-    back = as_of(frames, energy, ["video_id"], "timestamp", ["energy"]).withColumnsRenamed({"matched_timestamp": "t0", "energy": "e0"})
-    both = as_of(back, energy, ["video_id"], "timestamp", ["energy"], direction="forward")
-    later = F.col("t0").isNull() | ((F.col("matched_timestamp") - F.col("timestamp")) < (F.col("timestamp") - F.col("t0")))
-    return both.select(*FRAME, F.coalesce(F.when(F.col("matched_timestamp").isNotNull() & later, F.col("energy")).otherwise(F.col("e0")), F.lit(0.0)).alias("energy"))
+    timing = F.when(~F.col("talking"), F.lit(0.0)).when((n_faces == 1) | leader, F.lit(1.0)).otherwise(F.lit(0.2))
+    return out.withColumn("transcript_timing", timing).drop("talking")
 
 
 def weighted(parts: list[tuple[Column, float]]) -> Column:
@@ -81,13 +92,23 @@ def speaker_segments(scored: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     return out.select("video_id", "track_id", "confidence", "start_time", end.alias("end_time"))
 
 
-def recent_speaker(scored: DataFrame, segments: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
-    """``recent``: 1 while a track speaks (ends included), else falling with the time since it last did; 0 before."""
-    spans = segments.select("video_id", "track_id", F.col("start_time").alias("timestamp"), "end_time")
-    out = as_of(scored, spans, ["video_id", "track_id"], "timestamp", ["end_time"])
-    since = F.col("timestamp") - F.col("end_time")
-    value = F.when(F.col("end_time").isNull(), F.lit(0.0)).when(since <= 0, F.lit(1.0)).otherwise(F.exp(-since / conf.recent_decay_seconds))
-    return out.withColumn("recent", value).drop("matched_timestamp", "end_time")
+def recent_speaker(scored: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
+    """``recent``: 1 while a track speaks (ends included), else falling with the time since it last did; 0 before.
+
+    A track's spoken spans are its runs of frames with it as speaker, each at least ``speaker_min_segment`` long. They follow
+    from the track's own rows and the numbers of the video's frames, so spans are not made and joined back.
+    """
+    scored = scored.withColumn("_frame", F.dense_rank().over(Window.partitionBy("video_id").orderBy("timestamp", "frame_number")))
+    along = Window.partitionBy("video_id", "track_id").orderBy("timestamp", "frame_number")
+    before, upto = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, 0)
+    spoke = lambda c: F.when(F.col("active"), F.col(c))
+    gap = F.col("_frame") - F.last(spoke("_frame"), ignorenulls=True).over(before)
+    out = scored.withColumn("_opens", F.when(F.col("active") & (gap.isNull() | (gap > 1)), F.col("timestamp")))
+    start, last = F.last("_opens", ignorenulls=True).over(upto), F.last(spoke("timestamp"), ignorenulls=True).over(upto)
+    end = F.when(last - start < conf.speaker_min_segment, start + conf.speaker_min_segment).otherwise(last)
+    since = F.col("timestamp") - end
+    value = F.when(last.isNull(), F.lit(0.0)).when(since <= 0, F.lit(1.0)).otherwise(F.exp(-since / conf.recent_decay_seconds))
+    return out.withColumn("recent", value).drop("_frame", "_opens")
 
 
 def importance(scored: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:

@@ -18,7 +18,7 @@ def dialogue_facts(clips: DataFrame, segments: DataFrame, conf: Settings = DEFAU
     lower-case lines in order. A clip without lines is all silence.
     """
     light = clips.select(*CLIP, "start_seconds", "end_seconds", "duration_seconds")
-    met = contained(light, segments.select("video_id", F.col("pos").alias("line"), "seconds", "text"), ["video_id"], "start_seconds", "end_seconds", "seconds")
+    met = contained(light, segments.select("video_id", F.col("pos").alias("line"), "seconds", "text"), ["video_id"], "start_seconds", "end_seconds", "seconds", bucket=conf.join_bucket_seconds)
     met = met.select("s.video_id", "s.pos", "line", "seconds", "end_seconds", F.lower(F.trim("text")).alias("said"))
     along = Window.partitionBy(*CLIP).orderBy("seconds", "line")
     until = F.coalesce(F.lead("seconds").over(along), F.col("end_seconds"))

@@ -17,16 +17,16 @@ from framewell.operators.joins import contained
 CLIP = ["video_id", "pos"]
 
 
-def dialogue(clips: DataFrame, segments: DataFrame) -> DataFrame:
+def dialogue(clips: DataFrame, segments: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """Per clip the characters of the lines that start in it, and how many lines. One join serves all users of it."""
     light = clips.select(*CLIP, "start_seconds", "end_seconds")
-    met = contained(light, segments.select("video_id", "seconds", "text"), ["video_id"], "start_seconds", "end_seconds", "seconds")
+    met = contained(light, segments.select("video_id", "seconds", "text"), ["video_id"], "start_seconds", "end_seconds", "seconds", bucket=conf.join_bucket_seconds)
     return met.groupBy("s.video_id", "s.pos").agg(F.sum(F.length("text")).alias("n_chars"), F.count("*").alias("n_lines"))
 
 
-def dialogue_density(clips: DataFrame, segments: DataFrame) -> DataFrame:
+def dialogue_density(clips: DataFrame, segments: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """``clips`` with characters of dialogue per second; 0 without dialogue or length."""
-    out = clips.join(dialogue(clips, segments), CLIP, "left")
+    out = clips.join(dialogue(clips, segments, conf), CLIP, "left")
     density = F.when(F.col("duration_seconds") > 0, F.coalesce("n_chars", F.lit(0)) / F.col("duration_seconds")).otherwise(F.lit(0.0))
     return out.withColumn("dialogue_density", density).drop("n_chars", "n_lines")
 
@@ -35,7 +35,7 @@ def score_clips(clips: DataFrame, segments: DataFrame, conf: Settings = DEFAULTS
     """``clips`` with their factors and ``rank_score``; density counts relative to the video's densest clip."""
     most = F.max("dialogue_density").over(Window.partitionBy("video_id"))
     dense = F.when(most > 0, F.col("dialogue_density") / most).otherwise(F.lit(0.0))
-    out = dialogue_density(clips, segments).withColumn("dialogue", dense)
+    out = dialogue_density(clips, segments, conf).withColumn("dialogue", dense)
     out = out.withColumn("emotion_intensity", emotion_intensity(F.col("emotion"))).withColumn("length_score", length_score(F.col("duration_seconds"), conf))
     return out.withColumn("rank_score", rank_score(F.col("viral_score"), F.col("emotion_intensity"), F.col("dialogue"), F.col("length_score"), conf)).drop("dialogue")
 

@@ -21,7 +21,7 @@ def clip_cues(clips: DataFrame, segments: DataFrame, include_speaker: bool = Tru
     """
     spans = clips.select("video_id", "pos", "start_seconds", "end_seconds")
     lines = segments.select("video_id", F.col("pos").alias("line"), "seconds", "speaker", "text")
-    met = contained(spans, lines, ["video_id"], "start_seconds", "end_seconds", "seconds").select("s.video_id", "s.pos", "line", "seconds", "speaker", "text", "start_seconds", "end_seconds")
+    met = contained(spans, lines, ["video_id"], "start_seconds", "end_seconds", "seconds", bucket=conf.join_bucket_seconds).select("s.video_id", "s.pos", "line", "seconds", "speaker", "text", "start_seconds", "end_seconds")
     along = Window.partitionBy("video_id", "pos").orderBy("seconds", "line")
     length, start = F.col("end_seconds") - F.col("start_seconds"), F.greatest(F.lit(0.0), F.col("seconds") - F.col("start_seconds"))
     met = met.withColumn("index", F.row_number().over(along).cast("long")).withColumn("a", start).withColumn("length", length)

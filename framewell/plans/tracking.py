@@ -65,13 +65,13 @@ def track_faces(faces: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     def make():
         tracker = Tracker(conf)
 
-        def step(row: dict) -> tuple:
-            found = tracker.see([(b["x"], b["y"], b["w"], b["h"]) for b in row["boxes"]])
+        def step(boxes: list[dict]) -> tuple:
+            found = tracker.see([(b["x"], b["y"], b["w"], b["h"]) for b in boxes])
             return (" ".join(f"{t}:{s!r}" for t, s in found),)
 
         return step
 
-    seen = ordered_scan(frames, ["video_id"], ["frame_number"], make, "found string")
+    seen = ordered_scan(frames, ["video_id"], ["frame_number"], ["boxes"], make, "found string")
     pairs = F.arrays_zip(F.col("boxes").alias("box"), F.split("found", " ").alias("hit"))
     rows = seen.filter("size(boxes) > 0").select("video_id", "frame_number", "timestamp", F.explode(pairs).alias("p"))
     part = F.split("p.hit", ":")

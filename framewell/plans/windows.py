@@ -33,7 +33,7 @@ def transcript_windows(segments: DataFrame, conf: Settings = DEFAULTS) -> DataFr
 
 def window_lines(segments: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """Lines of each window, by overlap of intervals: a line can be in several windows. Windows without lines have none."""
-    pairs = overlapping(transcript_windows(segments, conf), line_ends(segments, conf).withColumnRenamed("seconds", "start_seconds"), ["video_id"])
+    pairs = overlapping(transcript_windows(segments, conf), line_ends(segments, conf).withColumnRenamed("seconds", "start_seconds"), ["video_id"], bucket=conf.window_seconds)
     return pairs.select("l.video_id", "index", F.col("l.start_seconds").alias("window_start"), F.col("l.end_seconds").alias("window_end"), "pos", F.col("r.start_seconds").alias("seconds"), "speaker", "text")
 
 

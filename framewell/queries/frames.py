@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewell.functions import geometry as G
-from framewell.plans import camera, crops, people, tracking
+from framewell.plans import camera, crops, people, reframe, tracking
 from framewell.queries.domain import sql, table
 
 WIDTH, HEIGHT, ASPECT = 1920.0, 1080.0, 9.0 / 16.0
@@ -58,19 +58,30 @@ def _safe(s, d):
 
 
 def _visible(s, d):
-    out = _crops(s, d)
-    share = F.transform("boxes", lambda b: G.visibility(F.col("crop"), b))
-    area = F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b.w * b.h)
-    empty = F.greatest(F.lit(0.0), F.lit(1.0) - F.least(F.lit(1.0), area / F.greatest(F.lit(1.0), F.col("crop.w") * F.col("crop.h"))))
-    rows = out.select("video_id", share.alias("share"), empty.alias("empty"))
-    per = rows.groupBy("video_id").agg(F.avg("empty").alias("e"), F.sum(F.aggregate("share", F.lit(0.0), lambda a, v: a + v)).alias("v"), F.sum(F.size("share")).alias("n"), F.sum(F.size(F.filter("share", lambda v: v < 0.95))).alias("cut"))
-    return per.select("video_id", F.round(F.col("v") / F.col("n"), 6).alias("visibility"), F.round(F.col("cut") / F.col("n") * 100, 6).alias("clipped"), F.round("e", 6).alias("empty"), F.col("n").alias("faces"))
+    rows = _crops(s, d).select("video_id", "frame_number", "crop.*")
+    out = camera.visibility_metrics(rows, _faces(s, d))
+    return out.select("video_id", F.round("average_visibility", 6).alias("visibility"), F.round("clipped_percent", 6).alias("clipped"), F.round("average_empty_space", 6).alias("empty"), F.col("face_frame_count").alias("faces"))
+
+
+def _speech(s, d):
+    return table(s, d, "segments").selectExpr("video_id % 50 AS video_id", "pos * 700.0e0 AS timestamp", "pos * 700.0e0 + 500 AS speech_end").distinct()
+
+
+def _energy(s, d):
+    return s.read.parquet(f"{d}/events.parquet").selectExpr("user_id % 50 AS video_id", "event_id % 3000 * 2.5e0 AS timestamp", "value / 500.0e0 AS energy", "event_id").groupBy("video_id", "timestamp").agg(F.max("energy").alias("energy"))
 
 
 def _signals(s, d):
-    speech = table(s, d, "segments").selectExpr("video_id % 50 AS video_id", "pos * 700.0e0 AS timestamp", "pos * 700.0e0 + 500 AS speech_end").distinct()
-    energy = s.read.parquet(f"{d}/events.parquet").selectExpr("user_id % 50 AS video_id", "event_id % 3000 * 2.5e0 AS timestamp", "value / 500.0e0 AS energy", "event_id").groupBy("video_id", "timestamp").agg(F.max("energy").alias("energy"))
-    return people.signals(_faces(s, d), speech, energy)
+    return people.signals(_faces(s, d), _speech(s, d), _energy(s, d))
+
+
+def _landmarks(s, d):
+    """Faces of which two in three have eyes, tilted by their place, and three in four a mouth."""
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    eye = lambda share, tilt: F.when(F.col("frame_number") % 3 != 0, point(F.col("x") + F.col("w") * share, F.col("y") + F.col("h") * 0.4 + F.col("face_pos") * tilt))
+    mouth = F.when(F.col("frame_number") % 4 != 0, point(F.col("x") + F.col("w") * 0.45, F.col("y") + F.col("h") * 0.8))
+    faces = _faces(s, d).withColumns({"left_eye": eye(0.3, 0.0), "right_eye": eye(0.7, 3.0), "mouth": mouth})
+    return people.signals(faces, _speech(s, d), _energy(s, d))
 
 
 def _speakers(s, d):
@@ -78,13 +89,44 @@ def _speakers(s, d):
 
 
 def _important(s, d):
-    scored = _speakers(s, d)
-    return people.importance(people.recent_speaker(scored, people.speaker_segments(scored)))
+    return people.importance(people.recent_speaker(_speakers(s, d)))
+
+
+def _rapid(s, d):
+    return people.rapid_discussion(people.speaker_segments(_speakers(s, d)))
 
 
 def _shots(s, d):
-    scored = _important(s, d)
-    return people.shots(scored, people.rapid_discussion(people.speaker_segments(scored))).select("video_id", "frame_number", "shot_type", F.array_join("targets", ",").alias("targets"), "reason")
+    return people.shots(_important(s, d), _rapid(s, d)).select("video_id", "frame_number", "shot_type", F.array_join("targets", ",").alias("targets"), "reason")
+
+
+def _all_frames(s, d):
+    """Frames with faces, and as many without, half-way to the next."""
+    seen = _faces(s, d).select("video_id", "frame_number", "timestamp").distinct()
+    return seen.unionByName(seen.select("video_id", (F.col("frame_number") + 10_000_000).alias("frame_number"), (F.col("timestamp") + 0.25).alias("timestamp")))
+
+
+def _composed(s, d):
+    return reframe.composition(_all_frames(s, d), _important(s, d), _rapid(s, d))
+
+
+def _cuts(s, d):
+    return s.read.parquet(f"{d}/events.parquet").selectExpr("user_id % 50 AS video_id", "event_id * 13 % 9000 * 1.0e0 AS timestamp").distinct()
+
+
+def _near(s, d):
+    return camera.near_boundaries(_faces(s, d).select("video_id", "frame_number", "timestamp").distinct(), _cuts(s, d))
+
+
+def _reframed(s, d):
+    ranked = _important(s, d)
+    path = reframe.camera_path(reframe.composition(_all_frames(s, d), ranked, _rapid(s, d)), _cuts(s, d))
+    return reframe.crop_plan(path, ranked), path
+
+
+def _reframe_metrics(s, d):
+    made, path = _reframed(s, d)
+    return reframe.metrics(made, _faces(s, d), path).select("video_id", *_r("average_visibility", "clipped_percent", "average_empty_space"), "frame_count", "face_frame_count", F.round("movement", 3).alias("movement"), F.round("jitter", 2).alias("jitter"), "cuts")
 
 
 def _frames(s, d):
@@ -125,7 +167,17 @@ QUERIES = {
     "active_speaker": lambda s, d: _speakers(s, d).select("frame_number", "track_id", *_r("speaker_score"), "active"),
     "speaker_islands": lambda s, d: people.speaker_segments(_speakers(s, d)).select("video_id", "track_id", *_r("confidence", "start_time", "end_time")),
     "importance_scores": lambda s, d: _important(s, d).select("frame_number", "track_id", *_r("recent", "reaction", "score"), "reasoning", "place"),
-    "rapid_discussion": lambda s, d: people.rapid_discussion(people.speaker_segments(_speakers(s, d))),
+    "rapid_discussion": _rapid,
+    "landmark_signals": lambda s, d: _landmarks(s, d).select("frame_number", "track_id", *_r("mouth_delta", "face_orientation", "mouth_movement")),
+    "speech_windows": lambda s, d: reframe.speech_windows(table(s, d, "segments"), table(s, d, "segments").filter("video_id % 2 = 0").groupBy("video_id").agg((F.max("seconds") + F.col("video_id") % 7).alias("duration"))).select("video_id", *_r("timestamp", "speech_end"), "speaker"),
+    "near_boundary": lambda s, d: _near(s, d).select("video_id", "frame_number", F.col("near").cast("int").alias("near")),
+    "scene_at": lambda s, d: camera.scene_at(_frames(s, d), camera.scene_segments(camera.merge_boundaries(_boundaries(s, d)), table(s, d, "frames").groupBy("video_id").agg((F.count("*") * 0.4).alias("duration")))).select("video_id", "frame_number", "scene"),
+    "composition_plan": lambda s, d: _composed(s, d).select("video_id", "frame_number", "shot_type", F.array_join("targets", ",").alias("targets"), *_r("zoom_multiplier", "center_x", "center_y", "zoom", "crop_height")),
+    "reframe_crops": lambda s, d: _reframed(s, d)[0].select("video_id", "frame_number", *_r("x", "y", "w", "h"), "track"),
+    "reframe_metrics": _reframe_metrics,
+    "fixed_crop_size": lambda s, d: camera.fixed_size(_crop_rows(s, d).withColumn("w", F.when(F.col("video_id") % 3 == 0, F.lit(607.5)).otherwise(F.col("w")))),
+    "render_times": lambda s, d: camera.render_times(camera.crop_segments(_crop_rows(s, d)), _crop_rows(s, d).filter("video_id % 2 = 0").groupBy("video_id").agg((F.max("timestamp") + 1.5).alias("duration"))).select("video_id", *_r("start_time", "end_time", "x", "y", "w", "h")),
+    "faces_by_confidence": lambda s, d: _faces(s, d).groupBy("video_id", "frame_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "face_pos"))), lambda f: f.face_pos.cast("string")), ",").alias("faces")),
     "shot_type": _shots,
     "speaker_crops": lambda s, d: crops.speaker_crops(_faces(s, d).select("video_id", "frame_number", "timestamp").distinct().withColumns({"center_x": F.lit(960.0), "center_y": F.lit(540.0)}), _important(s, d)).select("video_id", "frame_number", *_r("x", "y", "w", "h"), "track"),
     "pursuit_camera": lambda s, d: _path(s, d).select("video_id", "frame_number", *_r("path_x", "path_y", "path_zoom", "velocity_x", "acceleration_x")),
@@ -201,6 +253,37 @@ _CROPS = "crops AS (SELECT video_id, frame_number, timestamp, center_x / 20 AS x
 _FIRST = "one AS (SELECT video_id, frame_number, min(x) AS l, min(y) AS t, max(x + w) AS r, max(y + h) AS b, min(greatest(0e0, x - 20)) AS pl, min(greatest(0e0, y - 20)) AS pt, max(greatest(0e0, x - 20) + w + 40) AS pr, max(greatest(0e0, y - 20) + h + 40) AS pb, avg(h) AS ah, min(CASE WHEN face_pos = 1 THEN x + w / 2 END) AS fx, min(CASE WHEN face_pos = 1 THEN y + h / 2 END) AS fy FROM faces GROUP BY 1, 2)"
 _INC = "({c} + CASE WHEN {lo} < {c} - {h} THEN {lo} - ({c} - {h}) ELSE 0e0 END + CASE WHEN {hi} > {c} + {h} THEN {hi} - ({c} + {h}) ELSE 0e0 END)"
 
+_SHOTS = f"""{_SIGNALS}, {_SEGMENTS}, {_RAPID}, {_IMPORTANT}, fr AS (
+  SELECT video_id, frame_number, count(*) AS n, max(CASE WHEN active THEN track_id END) AS spk, list(track_id ORDER BY place) AS names, list(track_id ORDER BY track_id) AS vis, list(track_id ORDER BY place) FILTER (WHERE score >= 0.35e0) AS grp,
+    (list(track_id ORDER BY place) FILTER (WHERE NOT active AND contains(reasoning, 'reaction focus')))[1] AS rct, max(score) AS s1, coalesce(max(CASE WHEN place = 2 THEN score END), 0e0) AS s2 FROM ranked GROUP BY 1, 2
+), k AS (SELECT fr.*, CASE WHEN spk IS NOT NULL THEN 1 WHEN n >= 4 THEN 2 WHEN n >= 3 THEN 3 WHEN rct IS NOT NULL THEN 4 WHEN coalesce(rapid, false) AND n >= 2 THEN 5 WHEN n >= 2 AND s1 - s2 <= 0.15e0 THEN 6 WHEN n >= 2 AND s2 >= 0.45e0 THEN 7 ELSE 8 END AS rule FROM fr LEFT JOIN rapid USING (video_id))"""
+
+
+def _limited(v, before):
+    """SQL of a velocity that changes by at most the allowed jerk."""
+    return f"CASE WHEN abs({v} - {before}) <= 800 * dt THEN {v} ELSE {before} + CASE WHEN {v} >= {before} THEN 800 * dt ELSE -800 * dt END END"
+
+
+_STEP = "CASE WHEN r.timestamp > f.t THEN r.timestamp - f.t ELSE 0.5e0 END AS dt"
+_PURSUIT = f"""r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp, frame_number) AS n FROM frames),
+f AS (
+  SELECT video_id, frame_number, n, timestamp AS t, near, center_x AS px, center_y AS py, zoom AS pz, 0e0 AS vx, 0e0 AS vy, 0e0 AS vz, 0e0 AS ax, 0e0 AS ay, 0e0 AS az FROM r WHERE n = 1 UNION ALL
+  SELECT video_id, frame_number, n, t, near, nx, ny, nz, wx, wy, wz, CASE WHEN near = 1 THEN 0e0 ELSE (wx - vx) / dt END, CASE WHEN near = 1 THEN 0e0 ELSE (wy - vy) / dt END, CASE WHEN near = 1 THEN 0e0 ELSE (wz - vz) / dt END FROM (
+    SELECT *, CASE WHEN near = 1 THEN 0e0 ELSE (nx - px) / dt END AS wx, CASE WHEN near = 1 THEN 0e0 ELSE (ny - py) / dt END AS wy, CASE WHEN near = 1 THEN 0e0 ELSE (nz - pz) / dt END AS wz FROM (
+      SELECT *, CASE WHEN near = 1 THEN x ELSE px + (x - px) * pan END AS nx, CASE WHEN near = 1 THEN y ELSE py + (y - py) * pan END AS ny, CASE WHEN near = 1 THEN z ELSE pz + (z - pz) * zm END AS nz FROM (
+        SELECT *, CASE WHEN far > 0 THEN least(1e0, 280 * dt / far, 0.35e0) ELSE 0e0 END AS pan, CASE WHEN abs(z - pz) > 0 THEN least(1e0, 500 * dt / abs(z - pz), 0.35e0) ELSE 0e0 END AS zm FROM (
+          SELECT r.video_id, r.frame_number, r.n, r.timestamp AS t, r.near, r.center_x AS x, r.center_y AS y, r.zoom AS z, f.px, f.py, f.pz, f.vx, f.vy, f.vz, {_STEP}, sqrt((r.center_x - f.px) ** 2 + (r.center_y - f.py) ** 2) AS far FROM f JOIN r ON r.video_id = f.video_id AND r.n = f.n + 1))))
+)"""
+_SMOOTH = f"""c AS (SELECT *, sum(CASE WHEN k > 1 AND near = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY k) AS part FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp, frame_number) AS k FROM frames)),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id, part ORDER BY k) AS n FROM c),
+f AS (
+  SELECT video_id, frame_number, part, n, timestamp AS t, 0.12e0 * center_x + 0.88e0 * center_x AS px, 0.12e0 * center_y + 0.88e0 * center_y AS py, 0.12e0 * zoom + 0.88e0 * zoom AS pz, 0e0 AS vx, 0e0 AS vy, 0e0 AS vz FROM r WHERE n = 1 UNION ALL
+  SELECT video_id, frame_number, part, n, t, px + wx * dt, py + wy * dt, pz + wz * dt, wx, wy, wz FROM (
+    SELECT *, {_limited('(ex - px) / dt', 'vx')} AS wx, {_limited('(ey - py) / dt', 'vy')} AS wy, {_limited('(e2 - pz) / dt', 'vz')} AS wz FROM (
+      SELECT *, CASE WHEN vz <> 0 AND (ez >= pz) <> (vz > 0) THEN pz + (ez - pz) * 0.5e0 ELSE ez END AS e2 FROM (
+        SELECT r.video_id, r.frame_number, r.part, r.n, r.timestamp AS t, f.px, f.py, f.pz, f.vx, f.vy, f.vz, {_STEP}, 0.12e0 * r.center_x + 0.88e0 * f.px AS ex, 0.12e0 * r.center_y + 0.88e0 * f.py AS ey, 0.12e0 * r.zoom + 0.88e0 * f.pz AS ez FROM f JOIN r ON r.video_id = f.video_id AND r.part = f.part AND r.n = f.n + 1)))
+)"""
+
 ORACLE_SQL = {
     "iou_pairs": sql("""WITH p AS (SELECT *, lag(x) OVER f AS px, lag(y) OVER f AS py, lag(w) OVER f AS pw, lag(h) OVER f AS ph FROM faces WINDOW f AS (PARTITION BY frame_number ORDER BY face_pos)),
 q AS (SELECT *, greatest(0e0, least(x + w, px + pw) - greatest(x, px)) * greatest(0e0, least(y + h, py + ph) - greatest(y, py)) AS i FROM p WHERE px IS NOT NULL)
@@ -225,10 +308,7 @@ SELECT video_id, round(avg(share), 6) AS visibility, round(count(*) FILTER (WHER
     "speaker_islands": sql(f"WITH {_SIGNALS}, {_SEGMENTS} SELECT video_id, track_id, round(confidence, 6) AS confidence, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time FROM segs", *_SRC),
     "importance_scores": sql(f"WITH {_SIGNALS}, {_SEGMENTS}, {_IMPORTANT} SELECT frame_number, track_id, round(recent, 6) AS recent, round(reaction, 6) AS reaction, round(score, 6) AS score, reasoning, place FROM ranked", *_SRC),
     "rapid_discussion": sql(f"WITH {_SIGNALS}, {_SEGMENTS}, {_RAPID} SELECT * FROM rapid", *_SRC),
-    "shot_type": sql(f"""WITH {_SIGNALS}, {_SEGMENTS}, {_RAPID}, {_IMPORTANT}, fr AS (
-  SELECT video_id, frame_number, count(*) AS n, max(CASE WHEN active THEN track_id END) AS spk, list(track_id ORDER BY place) AS names, list(track_id ORDER BY track_id) AS vis, list(track_id ORDER BY place) FILTER (WHERE score >= 0.35e0) AS grp,
-    (list(track_id ORDER BY place) FILTER (WHERE NOT active AND contains(reasoning, 'reaction focus')))[1] AS rct, max(score) AS s1, coalesce(max(CASE WHEN place = 2 THEN score END), 0e0) AS s2 FROM ranked GROUP BY 1, 2
-), k AS (SELECT fr.*, CASE WHEN spk IS NOT NULL THEN 1 WHEN n >= 4 THEN 2 WHEN n >= 3 THEN 3 WHEN rct IS NOT NULL THEN 4 WHEN coalesce(rapid, false) AND n >= 2 THEN 5 WHEN n >= 2 AND s1 - s2 <= 0.15e0 THEN 6 WHEN n >= 2 AND s2 >= 0.45e0 THEN 7 ELSE 8 END AS rule FROM fr LEFT JOIN rapid USING (video_id))
+    "shot_type": sql(f"""WITH {_SHOTS}
 SELECT video_id, frame_number, ['single_speaker', 'vote_reveal', 'group_reaction', 'silent_reaction', 'conversation', 'conversation', 'conversation', 'single_speaker'][rule] AS shot_type,
   array_to_string(CASE rule WHEN 1 THEN [spk] WHEN 2 THEN vis WHEN 3 THEN coalesce(grp, vis) WHEN 4 THEN [rct] WHEN 8 THEN names[1:1] ELSE names[1:2] END, ',') AS targets,
   ['follow active speaker', 'many participants visible; show the full table', 'group reaction; widen to include multiple faces', 'silent reaction; prioritize the reacting participant', 'rapid back-and-forth discussion; include both participants', 'balanced importance between two participants', 'secondary participant remains conversation-relevant', 'single dominant speaker focus'][rule] AS reason FROM k""", *_SRC),
@@ -262,5 +342,40 @@ pts AS (SELECT video_id, timestamp, 1 AS side FROM merged SEMI JOIN dur USING (v
 o AS (SELECT video_id, row_number() OVER w - 1 AS index, timestamp AS start_seconds, lead(timestamp) OVER w AS end_seconds FROM pts WINDOW w AS (PARTITION BY video_id ORDER BY side, timestamp)) SELECT * FROM o WHERE end_seconds > start_seconds""", "frames", recursive=True),
     "rms_windows": """WITH r AS (SELECT l_suppkey AS video_id, l_orderkey // 2000 AS window, sqrt(avg((l_extendedprice / 4) * (l_extendedprice / 4))) / 32768 AS rms FROM lineitem GROUP BY 1, 2)
 SELECT video_id, "window", round(rms / max(rms) OVER (PARTITION BY video_id), 6) AS energy FROM r""",
+    "speech_windows": sql("""WITH dur AS (SELECT video_id, max(seconds) + video_id % 7 AS duration FROM segments WHERE video_id % 2 = 0 GROUP BY video_id),
+a AS (SELECT s.*, duration, lead(seconds) OVER (PARTITION BY s.video_id ORDER BY seconds, pos) AS next FROM segments s LEFT JOIN dur ON s.video_id = dur.video_id),
+b AS (SELECT *, coalesce(next, CASE WHEN duration IS NOT NULL THEN greatest(seconds + 1, duration) END, seconds + greatest(2e0, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 0.35e0)) AS e FROM a)
+SELECT video_id, seconds AS timestamp, round(CASE WHEN e <= seconds THEN seconds + 0.5e0 ELSE e END, 6) AS speech_end, speaker FROM b""", "segments"),
+    "near_boundary": sql("""WITH cuts AS (SELECT DISTINCT user_id % 50 AS video_id, event_id * 13 % 9000 * 1e0 AS timestamp FROM events), f AS (SELECT DISTINCT video_id, frame_number, timestamp FROM faces)
+SELECT video_id, frame_number, CAST(EXISTS (SELECT 1 FROM cuts c WHERE c.video_id = f.video_id AND abs(c.timestamp - f.timestamp) <= 0.15e0) AS INT) AS near FROM f""", "faces"),
+    "fixed_crop_size": sql(f"""WITH {_CROPS}, e AS (SELECT video_id, CAST(round_even(CASE WHEN video_id % 3 = 0 THEN 607.5e0 ELSE w END, 0) AS BIGINT) AS w, CAST(round_even(h, 0) AS BIGINT) AS h FROM crops),
+g AS (SELECT video_id, greatest(2, w - w % 2) AS w, greatest(2, h - h % 2) AS h FROM e)
+SELECT video_id, CASE WHEN count(DISTINCT w) = 1 AND count(DISTINCT h) = 1 THEN min(w) END AS w, CASE WHEN count(DISTINCT w) = 1 AND count(DISTINCT h) = 1 THEN min(h) END AS h FROM g GROUP BY 1""", "frames"),
+    "faces_by_confidence": sql("SELECT video_id, frame_number, string_agg(CAST(face_pos AS VARCHAR), ',' ORDER BY confidence DESC, face_pos) AS faces FROM faces GROUP BY 1, 2", "faces"),
+    "landmark_signals": sql(f"""WITH p AS (SELECT *, CASE WHEN frame_number % 4 <> 0 THEN x + w * 0.45e0 ELSE x + w / 2 END AS mx, CASE WHEN frame_number % 4 <> 0 THEN y + h * 0.8e0 ELSE y + h * 0.75e0 END AS my FROM {_PERSON}),
+m AS (SELECT *, coalesce(sqrt((mx - lag(mx) OVER t) ** 2 + (my - lag(my) OVER t) ** 2), 0e0) AS mouth_delta, sqrt((w * 0.4e0) ** 2 + (face_pos * 3e0) ** 2) AS apart FROM p WINDOW t AS (PARTITION BY video_id, track_id ORDER BY timestamp, frame_number))
+SELECT frame_number, track_id, round(mouth_delta, 6) AS mouth_delta, round(least(1e0, CASE WHEN frame_number % 3 <> 0 THEN 0.4e0 + 0.6e0 * greatest(0e0, 1 - face_pos * 3e0 / apart) ELSE 0.6e0 END * 0.7e0 + least(1e0, w * h / (1920e0 * 1080e0 * 0.08e0)) * 0.3e0), 6) AS face_orientation,
+  round(CASE WHEN max(mouth_delta) OVER f > 0 AND mouth_delta = max(mouth_delta) OVER f THEN 1e0 ELSE least(1e0, mouth_delta / 12e0) END, 6) AS mouth_movement FROM m WINDOW f AS (PARTITION BY video_id, frame_number)""", "faces"),
+    "pursuit_camera": sql(f"WITH {_PURSUIT} SELECT video_id, frame_number, round(px, 6) AS path_x, round(py, 6) AS path_y, round(pz, 6) AS path_zoom, round(vx, 6) AS velocity_x, round(ax, 6) AS acceleration_x FROM f", "frames", recursive=True),
+    "camera_metrics": sql(f"""WITH {_PURSUIT}, g AS (SELECT *, sqrt((px - lag(px) OVER w) ** 2 + (py - lag(py) OVER w) ** 2) AS jump, abs(pz - lag(pz) OVER w) AS zoomed FROM f WINDOW w AS (PARTITION BY video_id ORDER BY n))
+SELECT video_id, round(coalesce(sum(jump), 0e0), 4) AS movement, round(coalesce(sum(CASE WHEN jump IS NOT NULL THEN sqrt(ax ** 2 + ay ** 2) + abs(az) END), 0e0), 3) AS jitter, count(*) FILTER (WHERE near = 0 AND (jump > 250 OR zoomed > 200)) AS cuts, count(*) AS n_frames FROM g GROUP BY 1""", "frames", recursive=True),
+    "ema_smooth": sql(f"WITH {_SMOOTH} SELECT video_id, frame_number, part, round(px, 6) AS smooth_x, round(py, 6) AS smooth_y, round(pz, 6) AS smooth_zoom, round(vx, 6) AS velocity_x FROM f", "frames", recursive=True),
+    "scene_at": sql(f"""WITH {_MERGED}, dur AS (SELECT video_id, count(*) * 0.4e0 AS duration FROM frames GROUP BY 1),
+pts AS (SELECT video_id, timestamp, 1 AS side FROM merged SEMI JOIN dur USING (video_id) UNION ALL SELECT video_id, 0e0, 0 FROM dur UNION ALL SELECT video_id, duration, 2 FROM dur),
+o AS (SELECT video_id, row_number() OVER w - 1 AS index, timestamp AS a, lead(timestamp) OVER w AS b FROM pts WINDOW w AS (PARTITION BY video_id ORDER BY side, timestamp)),
+sc AS (SELECT *, lead(index) OVER (PARTITION BY video_id ORDER BY a) IS NULL AS final FROM o WHERE b > a)
+SELECT t.video_id, t.frame_number, CASE WHEN t.timestamp < s.b OR s.final THEN s.index END AS scene FROM frames t ASOF LEFT JOIN sc s ON t.video_id = s.video_id AND t.timestamp >= s.a""", "frames", recursive=True),
+    "render_times": sql(f"""WITH {_CROPS}, a AS (SELECT *, sqrt((x - lag(x) OVER t) ** 2 + (y - lag(y) OVER t) ** 2) + CASE WHEN abs(w - lag(w) OVER t) < 0.5e0 THEN 0e0 ELSE abs(w - lag(w) OVER t) END AS gap, count(*) OVER (PARTITION BY video_id) AS n FROM crops WINDOW t AS (PARTITION BY video_id ORDER BY timestamp, frame_number)),
+b AS (SELECT *, sum(CASE WHEN gap > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY timestamp, frame_number) AS part FROM a),
+c AS (SELECT video_id, part, max(n) AS n, min({{'t': timestamp, 'f': frame_number, 'x': x, 'y': y, 'w': w, 'h': h}}) AS c, max(timestamp) AS final FROM b GROUP BY 1, 2),
+d AS (SELECT video_id, greatest(0e0, c.t) AS a, coalesce(lead(c.t) OVER w, final + 1e0 / n) AS b, lead(c.t) OVER w IS NULL AS ends, c FROM c WINDOW w AS (PARTITION BY video_id ORDER BY part)),
+dur AS (SELECT video_id, max(timestamp) + 1.5e0 AS duration FROM crops WHERE video_id % 2 = 0 GROUP BY 1)
+SELECT d.video_id, round(a, 6) AS start_time, round(CASE WHEN ends THEN greatest(a + 0.05e0, b, coalesce(duration, 0e0)) ELSE greatest(a + 0.05e0, b) END, 6) AS end_time, round(c.x, 6) AS x, round(c.y, 6) AS y, c.w AS w, c.h AS h FROM d LEFT JOIN dur ON d.video_id = dur.video_id""", "frames"),
+    "composition_plan": sql(f"""WITH {_SHOTS}, tg AS (SELECT video_id, frame_number, rule, CASE rule WHEN 1 THEN [spk] WHEN 2 THEN vis WHEN 3 THEN coalesce(grp, vis) WHEN 4 THEN [rct] WHEN 8 THEN names[1:1] ELSE names[1:2] END AS targets, [1e0, 1.7e0, 1.45e0, 1e0, 1.25e0, 1.25e0, 1.25e0, 1e0][rule] AS z FROM k),
+u AS (SELECT t.video_id, t.frame_number, any_value(t.rule) AS rule, any_value(t.targets) AS targets, any_value(z) AS z, min(r.x) AS l, min(r.y) AS t, max(r.x + r.w) AS r, max(r.y + r.h) AS b, avg(r.h) AS ah FROM tg t JOIN ranked r ON t.video_id = r.video_id AND t.frame_number = r.frame_number AND list_contains(t.targets, r.track_id) GROUP BY 1, 2),
+v AS (SELECT *, greatest(0e0, l - 40) AS x, greatest(0e0, t - 40) AS y, r - l + 80 AS w, b - t + 80 AS h FROM u), w3 AS (SELECT *, greatest(0e0, y - ah * 0.35e0) AS top FROM v), w4 AS (SELECT *, h + y - top AS ch FROM w3),
+w5 AS (SELECT *, least(1920e0, CASE WHEN w / ch > 0.5625e0 THEN w ELSE ch * 0.5625e0 END * z) AS cw, least(1080e0, CASE WHEN w / ch > 0.5625e0 THEN w / 0.5625e0 ELSE ch END * z) AS hh FROM w4)
+SELECT video_id, frame_number, ['single_speaker', 'vote_reveal', 'group_reaction', 'silent_reaction', 'conversation', 'conversation', 'conversation', 'single_speaker'][rule] AS shot_type, array_to_string(targets, ',') AS targets, z AS zoom_multiplier, round(greatest(cw / 2, least(1920 - cw / 2, x + w / 2)), 6) AS center_x, round(greatest(hh / 2, least(1080 - hh / 2, top + ch / 2 - hh * 0.08e0)), 6) AS center_y, round(cw, 6) AS zoom, round(hh, 6) AS crop_height FROM w5
+UNION ALL SELECT DISTINCT video_id, frame_number + 10000000, 'wide_table', '', 1.7e0, 960e0, 540e0, 1920e0, 1080e0 FROM faces""", *_SRC),
     "track_summary": sql(f"SELECT video_id, track_id, min(frame_number) AS first_frame, max(frame_number) AS last_frame, min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp, count(*) AS detections FROM {_PERSON} GROUP BY 1, 2", "faces"),
 }

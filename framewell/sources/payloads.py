@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewell.functions.time import format_timestamp, parse_timestamp
+from framewell.sources.transcripts import parse_transcripts
 
 CAPTIONS = "struct<events: array<struct<tStartMs: double, segs: array<struct<utf8: string>>>>>"
 CLIP = "struct<start: string, end: string, reason: string, viral_score: double, score: double, emotion: string, hook: string, summary: string>"
@@ -40,10 +41,38 @@ def caption_segments(raw: DataFrame) -> DataFrame:
     return out.select("video_id", pos.cast("long").alias("pos"), format_timestamp(F.col("seconds")).alias("start"), "seconds", "text")
 
 
+def subtitle_segments(raw: DataFrame) -> DataFrame:
+    """Segments of subtitle files (video_id, format, content): video_id, pos, start, seconds, speaker, text.
+
+    Timed-caption JSON is read as such, vtt, srv3 and ttml as transcript text; files of another format give no rows.
+    """
+    kind = F.ltrim(F.lower("format"), F.lit("."))
+    columns = ["video_id", "pos", "start", "seconds", "speaker", "text"]
+    timed = caption_segments(raw.filter(kind == "json3")).withColumn("speaker", F.lit(None).cast("string"))
+    return timed.select(*columns).unionByName(parse_transcripts(raw.filter(kind.isin("vtt", "srv3", "ttml")).select("video_id", "content")).select(*columns))
+
+
+def video_metadata(raw: DataFrame) -> DataFrame:
+    """Metadata of videos from a downloader's JSON (key, content). Rows without an id or a title go.
+
+    The uploader stands in for the channel, the original link or one made from the id for the page, and the last of
+    several thumbnails for the thumbnail.
+    """
+    info = F.from_json("content", "struct<id: string, title: string, channel: string, uploader: string, duration: double, view_count: long, upload_date: string, webpage_url: string, original_url: string, thumbnail: string, thumbnails: array<struct<url: string>>, description: string, language: string>")
+    full = lambda c: F.nullif(c, F.lit(""))
+    rows = raw.select("key", info.alias("i")).filter(F.coalesce(full(F.col("i.id")), F.lit("")) != "").withColumn("title", full(F.trim("i.title"))).filter("title IS NOT NULL")
+    link = F.coalesce(full(F.col("i.webpage_url")), full(F.col("i.original_url")), watch_link(F.col("i.id")))
+    return rows.select("key", F.col("i.id").alias("video_id"), "title", F.coalesce(full(F.col("i.channel")), "i.uploader").alias("channel"), F.coalesce("i.duration", F.lit(0.0)).alias("duration_seconds"), "i.view_count", "i.upload_date", link.alias("webpage_url"), F.coalesce("i.thumbnail", F.element_at("i.thumbnails", -1).url).alias("thumbnail_url"), "i.description", "i.language")
+
+
+#: Fixed value: a code fence at the start or the end of an answer.
+FENCE = r"(?m)^```(?:json)?\s*|\s*```$"
+
+
 def strip_fences(text: Column) -> Column:
     """A model's answer without the code fences around it."""
     bare = F.trim(text)
-    return F.when(F.startswith(bare, F.lit("```")), F.trim(F.regexp_replace(bare, r"(?m)^```(?:json)?\s*|\s*```$", ""))).otherwise(bare)
+    return F.when(F.startswith(bare, F.lit("```")), F.trim(F.regexp_replace(bare, FENCE, ""))).otherwise(bare)
 
 
 def clip_answers(answers: DataFrame) -> DataFrame:
@@ -103,6 +132,12 @@ def select_tracks(tracks: DataFrame, preferred: list[str], formats: list[str]) -
     return tracks.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
 
 
+def retry(message: Column, attempt: Column, attempts: int) -> Column:
+    """Whether a failed call is tried again: a rate limit that says how long to wait, with attempts left and some quota."""
+    e = classify_error(message)
+    return (attempt < attempts) & e.rate_limited & ~e.no_quota & e.retry_seconds.isNotNull()
+
+
 def classify_error(message: Column) -> Column:
     """Whether a model service's error is a rate limit, has no quota at all, and how long it says to wait."""
     limited = F.contains(message, F.lit("429")) | F.contains(message, F.lit("RESOURCE_EXHAUSTED"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from framewell.functions.time import LINE_TIMESTAMP, format_timestamp, parse_timestamp
 
+#: The forms of cue lines, of lines that begin with their time, and of lines that begin with a speaker.
 SRT_CUE = r"^(\d{2}:\d{2}:\d{2},\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2},\d{3})"
 VTT_CUE = r"^(\d{2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}\.\d{3})"
 INLINE = r"^\[?((?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?)\]?\s*(?:-\s*)?(.+)$"
@@ -88,8 +89,35 @@ def read_transcripts(spark: SparkSession, path: str, format_hint: str | None = N
     return parse_transcripts(files, format_hint)
 
 
+def prompt_line() -> Column:
+    """``[start] speaker: text`` of a line."""
+    return F.concat(F.lit("["), format_timestamp(F.col("seconds")), F.lit("] "), F.coalesce(F.concat("speaker", F.lit(": ")), F.lit("")), F.col("text"))
+
+
 def render_for_prompt(segments: DataFrame) -> DataFrame:
-    """``[start] speaker: text`` lines of each video, in order: video_id, prompt."""
-    line = F.concat(F.lit("["), format_timestamp(F.col("seconds")), F.lit("] "), F.coalesce(F.concat("speaker", F.lit(": ")), F.lit("")), F.col("text"))
-    lists = segments.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seconds", "pos", line.alias("line")))).alias("lines"))
+    """The lines of each video, in order: video_id, prompt. A video's whole transcript becomes one text, by intent."""
+    lists = segments.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seconds", "pos", prompt_line().alias("line")))).alias("lines"))
     return lists.select("video_id", F.array_join(F.transform("lines", lambda x: x.line), "\n").alias("prompt"))
+
+
+#: Fixed value: a line pasted from a platform's page gives its time as a clock and again in words.
+PASTED = r"^(\d+):(\d\d)(?:\d\d seconds|\d+ minutes?, \d+ seconds)(.*)$"
+
+
+def pasted_lines(raw: DataFrame) -> DataFrame:
+    """Lines of transcripts pasted from a platform's page (video_id, content): video_id, n, seconds, text.
+
+    Chapter headings, lines of another form, blank ones and those of only music or laughter go.
+    """
+    rows = raw.select("video_id", F.posexplode(lines_of(F.col("content"))).alias("n", "line")).withColumn("line", F.trim("line")).filter(F.col("line").rlike(PASTED))
+    part = lambda i: F.regexp_extract("line", PASTED, i)
+    out = rows.select("video_id", "n", (part(1).cast("long") * 60 + part(2).cast("long")).cast("double").alias("seconds"), F.trim(part(3)).alias("text"))
+    return out.filter("text NOT IN ('', '[music]', '[laughter]')")
+
+
+def tidy_pasted(raw: DataFrame) -> DataFrame:
+    """Pasted transcripts with a timestamp at the start of each line: video_id, content. Those without any line are empty."""
+    line = F.concat(format_timestamp(F.col("seconds")), F.lit(" "), "text")
+    lists = pasted_lines(raw).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("l"))
+    text = F.concat(F.array_join(F.transform("l", lambda x: x.line), "\n"), F.lit("\n"))
+    return raw.select("video_id").distinct().join(lists, "video_id", "left").select("video_id", F.coalesce(text, F.lit("\n")).alias("content"))

@@ -42,13 +42,22 @@ def first_dialogue(clips: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return clips.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["video_id", "fingerprint"])
 
 
-def live_pan(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
-    """Pan centers (video_id, timestamp, center_x, center_y, track) smoothed as they come, state kept per video."""
+def live_pan(frames: DataFrame, watermark: str = "1 minute", idle_seconds: int = 600, conf: Settings = DEFAULTS) -> DataFrame:
+    """Pan centers (video_id, at, timestamp, center_x, center_y, track) smoothed as they come, state kept per video.
+
+    A video's state goes when the watermark is ``idle_seconds`` past its last frame. Frames of one trigger are taken in order of
+    time; one that is not later than a frame of an earlier trigger is dropped, since its successors have been given out.
+    """
 
     def step(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ex, ey, before = state.get if state.exists else (None, None, None)
-        out = []
-        for row in pd.concat(list(chunks)).sort_values("timestamp").itertuples():
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ex, ey, before, last, latest = state.get if state.exists else (None, None, None, None, 0)
+        out, rows = [], pd.concat(list(chunks)).sort_values("timestamp")
+        for row in rows.itertuples():
+            if last is not None and row.timestamp <= last:
+                continue
             x, y = row.center_x, row.center_y
             if ex is None:
                 ex, ey = x, y
@@ -56,7 +65,12 @@ def live_pan(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
             x, y = (e if abs(v - e) < conf.pan_deadband else v for v, e in ((x, ex), (y, ey)))
             ex, ey, before = strength * x + (1 - strength) * ex, strength * y + (1 - strength) * ey, row.track
             out.append((key[0], row.timestamp, ex, ey))
-        state.update((ex, ey, before))
+        if out:
+            last = out[-1][1]
+        latest = max(latest, int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.update((ex, ey, before, last, latest))
+        state.setTimeoutTimestamp(latest + idle_seconds * 1000)
         yield pd.DataFrame(out, columns=["video_id", "timestamp", "pan_x", "pan_y"])
 
-    return frames.groupBy("video_id").applyInPandasWithState(step, "video_id long, timestamp double, pan_x double, pan_y double", "x double, y double, track string", "append", GroupStateTimeout.NoTimeout)
+    keyed = frames.withWatermark("at", watermark).groupBy("video_id")
+    return keyed.applyInPandasWithState(step, "video_id long, timestamp double, pan_x double, pan_y double", "x double, y double, track string, last double, latest long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -16,7 +16,7 @@ def _run(spark, df, path, transform, mode="append"):
 
 
 def test_pan_is_the_batch_pan(spark, tmp_path):
-    frames = spark.createDataFrame([(v, i, i * 0.5, float(i * 37 % 90), float(i * 11 % 50), "ab"[i // 5 % 2]) for v in (1, 2) for i in range(20)], "video_id long, frame_number int, timestamp double, center_x double, center_y double, track string")
+    frames = spark.createDataFrame([(v, i, i * 0.5, float(i * 37 % 90), float(i * 11 % 50), "ab"[i // 5 % 2]) for v in (1, 2) for i in range(20)], "video_id long, frame_number int, timestamp double, center_x double, center_y double, track string").withColumn("at", F.timestamp_seconds(F.col("timestamp") + 1000))
     live_rows = {(r.video_id, r.timestamp): (r.pan_x, r.pan_y) for r in _run(spark, frames.coalesce(1), tmp_path, live.live_pan).collect()}
     batch = {(r.video_id, r.timestamp): (r.pan_x, r.pan_y) for r in camera.pan(frames).collect()}
     assert {k: pytest.approx(v) for k, v in batch.items()} == live_rows
