@@ -97,7 +97,8 @@ class Bins:
 
 
 def pack(cut: DataFrame, conf: Packing) -> DataFrame:
-    """``cut`` (see :func:`pieces`) with sequence_id and offset. Shards are packed in an order fixed by the rows, so a task that runs again gives the same."""
+    """``cut`` (stored; see :func:`pieces`) with sequence_id and offset, dealt by its column ``row``, so that repeated rows spread.
+    Shards are packed in an order fixed by the rows, so a task that runs again gives the same."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, shard = Bins(conf.length, conf.open_bins), TaskContext.get().partitionId() << 40
@@ -106,8 +107,8 @@ def pack(cut: DataFrame, conf: Packing) -> DataFrame:
             yield batch.append_column("sequence_id", pa.array([shard + x[0] for x in placed], pa.int64())).append_column("offset", pa.array([x[1] for x in placed], pa.int64()))
 
     shards = max(1, -(-cut.count() // conf.pieces_per_shard))
-    dealt = cut.repartition(shards, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long")
+    dealt = cut.repartition(shards, F.xxhash64("row", "piece")).sortWithinPartitions(F.xxhash64("row", "piece"), "row", "piece").drop("row")
+    return dealt.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema) + ", sequence_id long, offset long")
 
 
 def pack_documents(documents: DataFrame, conf: Packing, with_ids: bool = False) -> DataFrame:
@@ -117,4 +118,4 @@ def pack_documents(documents: DataFrame, conf: Packing, with_ids: bool = False)
     without a doc_id, are packed like any others. An empty table gives no piece.
     """
     bound_batches(documents)
-    return pack(stash(pieces(documents, conf, with_ids)), conf)
+    return pack(stash(pieces(documents, conf, with_ids).withColumn("row", F.monotonically_increasing_id())), conf)
