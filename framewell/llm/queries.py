@@ -18,6 +18,7 @@ from framewell.llm.quality import score
 from framewell.llm.search import top_k
 from framewell.llm.shared import shared_folder
 from framewell.llm.substring_dedup import remove_repeats
+from framewell.llm.suffix_automaton import remove_reference
 from framewell.llm.token_counts import TokenCounts, count_edited
 from framewell.llm.warc import read_archives, write_archives
 
@@ -144,6 +145,30 @@ FROM words LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def reference_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without passages of the benchmark, by suffix automata of its shards."""
+    return remove_reference(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
+
+
+REFERENCE_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), listed AS (
+  SELECT list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark
+), known AS (
+  SELECT DISTINCT sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT w, unnest(range(1, len(w) - 33)) AS i FROM listed WHERE len(w) >= 35)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)) SEMI JOIN known USING (h)
+), lists AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY 1
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM words) ANTI JOIN gone USING (doc_id, j) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
 
@@ -183,6 +208,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_search": op10_search,
+    "reference_passages": reference_passages,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
@@ -190,4 +216,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op10_search": OP10_SQL,
+    "reference_passages": REFERENCE_SQL,
 }
