@@ -54,9 +54,3 @@ def line_score(text: Column) -> Column:
     marks = F.when(text.rlike("[!?]"), F.lit(0.15)).otherwise(F.lit(0.0))
     charged = F.when(text.rlike(CHARGED), F.lit(0.2)).otherwise(F.lit(0.0))
     return F.least(F.lit(1.0), F.lit(0.35) + length * 0.35 + marks + charged)
-
-
-def overlap_ratio(a: Column, b: Column) -> Column:
-    """The overlap of two clips (structs of start_seconds, end_seconds, duration_seconds) as a share of the shorter."""
-    shared = F.least(a.end_seconds, b.end_seconds) - F.greatest(a.start_seconds, b.start_seconds)
-    return F.when(shared <= 0, F.lit(0.0)).otherwise(shared / F.least(a.duration_seconds, b.duration_seconds))

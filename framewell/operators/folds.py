@@ -1,4 +1,4 @@
-"""Ordered folds: greedy selection as a fold over a key's array, and recurrences as a scan over sorted rows."""
+"""Recurrences and greedy selection as scans over sorted rows."""
 
 from __future__ import annotations
 
@@ -6,27 +6,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def greedy_keep(items: Column, clash: Callable[[Column, Column], Column], empty: Column) -> Column:
-    """Of an ordered array, each item that does not ``clash`` with an item kept before it."""
-    return F.aggregate(items, empty, lambda kept, x: F.when(F.exists(kept, lambda k: clash(k, x)), kept).otherwise(F.array_append(kept, x)))
-
-
-def merge_close(items: Column, close: Callable[[Column, Column], Column], better: Callable[[Column, Column], Column], empty: Column) -> Column:
-    """Fold an ordered array: an item close to the last kept one replaces it if ``better``, else goes; others are kept."""
-
-    def step(kept: Column, x: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        replaced = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))
-        return F.when((F.size(kept) > 0) & close(last, x), F.when(better(x, last), replaced).otherwise(kept)).otherwise(F.array_append(kept, x))
-
-    return F.aggregate(items, empty, step)
-
-
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], uses: list[str], make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str | Column], uses: list[str], make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """Run a recurrence over each key's rows in order, and add what it gives for each row as the columns of ``schema``.
 
     ``make`` gives a function with fresh state for a key; it is called with the columns ``uses`` of one row after the other.

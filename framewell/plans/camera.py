@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from framewell.config import DEFAULTS, Settings
 from framewell.functions.geometry import box, visibility
 from framewell.functions.render import even
-from framewell.operators.folds import merge_close, ordered_scan
+from framewell.operators.folds import ordered_scan
 from framewell.operators.islands import split_runs
 from framewell.operators.joins import as_of
 
@@ -149,11 +149,29 @@ def scene_cuts(histograms: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
 
 
 def merge_boundaries(boundaries: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
-    """Boundaries (video_id, timestamp, confidence) so that close ones are one, the more confident: it becomes what the next is compared with."""
-    item = F.struct("timestamp", "confidence")
-    lists = boundaries.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kept = merge_close(F.col("items"), lambda last, x: x.timestamp - last.timestamp < conf.scene_min_gap, lambda x, last: x.confidence > last.confidence, F.filter("items", lambda x: F.lit(False)))
-    return lists.select("video_id", F.inline(kept))
+    """Boundaries (video_id, timestamp, confidence) so that close ones are one, the more confident: it becomes what the next is
+    compared with. A scan numbers the groups of close ones and marks each that takes the lead of its group; the last does."""
+
+    def make():
+        state: dict = {"group": 0}
+
+        def step(at: float, confidence: float) -> tuple:
+            last = state.get("last")
+            if last is not None and at - last[0] < conf.scene_min_gap:
+                leads = confidence > last[1]
+            else:
+                leads = True
+                state["group"] += 1
+            if leads:
+                state["last"] = (at, confidence)
+            return state["group"], leads
+
+        return step
+
+    rows = boundaries.select("video_id", "timestamp", "confidence")
+    seen = ordered_scan(rows, ["video_id"], ["timestamp", "confidence"], ["timestamp", "confidence"], make, "group long, leads boolean")
+    last = seen.filter("leads").groupBy("video_id", "group").agg(F.max(F.struct("timestamp", "confidence")).alias("b"))
+    return last.select("video_id", "b.timestamp", "b.confidence")
 
 
 def scene_segments(boundaries: DataFrame, durations: DataFrame) -> DataFrame:

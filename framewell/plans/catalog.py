@@ -32,7 +32,7 @@ def clip_page(clips: DataFrame, order: list[Column], limit: int, offset: int = 0
     """A page of the filtered clips, with the number of all that match as ``total``."""
     found = filter_clips(clips, **filters)
     total = found.agg(F.count("*").alias("total"))
-    return page(found, order, limit, offset).join(F.broadcast(total))
+    return page(found, order, limit, offset).withColumn("total", total.scalar())
 
 
 def project_summaries(projects: DataFrame, jobs: DataFrame, clips: DataFrame) -> DataFrame:

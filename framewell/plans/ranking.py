@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewell.config import DEFAULTS, Settings
-from framewell.functions.scoring import emotion_intensity, length_score, overlap_ratio, rank_score
-from framewell.operators.folds import greedy_keep
+from framewell.functions.scoring import emotion_intensity, length_score, rank_score
+from framewell.operators.folds import ordered_scan
 from framewell.operators.joins import contained
 
 CLIP = ["video_id", "pos"]
@@ -43,14 +43,25 @@ def score_clips(clips: DataFrame, segments: DataFrame, conf: Settings = DEFAULTS
 def remove_overlaps(ranked: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """By falling score, clips that do not overlap a clip kept before them by ``overlap_threshold`` of the shorter.
 
-    A clip that was dropped drops no other, so this is a fold over each video's clips and no anti-join.
+    A clip that was dropped drops no other, so this is one scan of each video's clips by score: rows stream, and a task holds
+    only the clips kept, whose number the video's length bounds.
     """
-    fields = ["rank_score", "pos", "start_seconds", "end_seconds", "duration_seconds"]
-    item = F.struct((-F.col("rank_score")).alias("order"), F.col("pos").alias("place"), *[F.col(f) for f in fields])
-    lists = ranked.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    clash = lambda kept, x: overlap_ratio(kept, x) >= conf.overlap_threshold
-    kept = lists.withColumn("kept", greedy_keep(F.col("items"), clash, F.filter("items", lambda x: F.lit(False))))
-    return ranked.join(kept.select("video_id", F.explode("kept.pos").alias("pos")), CLIP, "left_semi")
+
+    def make():
+        kept: list[tuple[float, float, float]] = []
+
+        def step(start: float, end: float, seconds: float) -> tuple:
+            for a, b, length in kept:
+                shared, shorter = max(0.0, min(b, end) - max(a, start)), min(length, seconds)
+                if (shared / shorter if shorter > 0 else 0.0) >= conf.overlap_threshold:
+                    return (False,)
+            kept.append((start, end, seconds))
+            return (True,)
+
+        return step
+
+    seen = ordered_scan(ranked, ["video_id"], [F.desc("rank_score"), "pos"], ["start_seconds", "end_seconds", "duration_seconds"], make, "_kept boolean")
+    return seen.filter("_kept").drop("_kept")
 
 
 def variety(ranked: DataFrame, n: int, conf: Settings = DEFAULTS) -> DataFrame:
