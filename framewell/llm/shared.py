@@ -51,14 +51,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stash(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
+def stash(df: DataFrame, *, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage is cut and a lost executor costs no rerun.
 
     The table goes when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=partition_by)
+    df.write.parquet(path, partitionBy=partition_by, compression=compression)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

@@ -306,7 +306,7 @@ def apply_edits(trees: DataFrame, conf: TokenCounts, store: bool = True) -> Data
 def count_edited(documents: DataFrame, conf: TokenCounts) -> DataFrame:
     """Per row of ``documents`` (doc_id, text): doc_id, n_tokens, n_edits, n_tokens_after, n_chars_after, n_reencoded, n_pieces, of the
     edits that :func:`revision` derives from the text. Trees are stored once; edits are applied to what was stored."""
-    trees = stash(build_trees(documents, conf))
+    trees = stash(build_trees(documents, conf), compression="zstd")
     out = apply_edits(trees.withColumn("edits", revision(F.col("text"))), conf, store=False)
     return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"), F.col("n_chars").alias("n_chars_after"), "n_reencoded", "n_pieces")
 
