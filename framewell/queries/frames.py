@@ -356,7 +356,6 @@ SELECT video_id, CASE WHEN count(DISTINCT w) = 1 AND count(DISTINCT h) = 1 THEN
 m AS (SELECT *, coalesce(sqrt((mx - lag(mx) OVER t) ** 2 + (my - lag(my) OVER t) ** 2), 0e0) AS mouth_delta, sqrt((w * 0.4e0) ** 2 + (face_pos * 3e0) ** 2) AS apart FROM p WINDOW t AS (PARTITION BY video_id, track_id ORDER BY timestamp, frame_number))
 SELECT frame_number, track_id, round(mouth_delta, 6) AS mouth_delta, round(least(1e0, CASE WHEN frame_number % 3 <> 0 THEN 0.4e0 + 0.6e0 * greatest(0e0, 1 - face_pos * 3e0 / apart) ELSE 0.6e0 END * 0.7e0 + least(1e0, w * h / (1920e0 * 1080e0 * 0.08e0)) * 0.3e0), 6) AS face_orientation,
   round(CASE WHEN max(mouth_delta) OVER f > 0 AND mouth_delta = max(mouth_delta) OVER f THEN 1e0 ELSE least(1e0, mouth_delta / 12e0) END, 6) AS mouth_movement FROM m WINDOW f AS (PARTITION BY video_id, frame_number)""", "faces"),
-    "pursuit_camera": sql(f"WITH {_PURSUIT} SELECT video_id, frame_number, round(px, 6) AS path_x, round(py, 6) AS path_y, round(pz, 6) AS path_zoom, round(vx, 6) AS velocity_x, round(ax, 6) AS acceleration_x FROM f", "frames", recursive=True),
     "camera_metrics": sql(f"""WITH {_PURSUIT}, g AS (SELECT *, sqrt((px - lag(px) OVER w) ** 2 + (py - lag(py) OVER w) ** 2) AS jump, abs(pz - lag(pz) OVER w) AS zoomed FROM f WINDOW w AS (PARTITION BY video_id ORDER BY n))
 SELECT video_id, round(coalesce(sum(jump), 0e0), 4) AS movement, round(coalesce(sum(CASE WHEN jump IS NOT NULL THEN sqrt(ax ** 2 + ay ** 2) + abs(az) END), 0e0), 3) AS jitter, count(*) FILTER (WHERE near = 0 AND (jump > 250 OR zoomed > 200)) AS cuts, count(*) AS n_frames FROM g GROUP BY 1""", "frames", recursive=True),
     "ema_smooth": sql(f"WITH {_SMOOTH} SELECT video_id, frame_number, part, round(px, 6) AS smooth_x, round(py, 6) AS smooth_y, round(pz, 6) AS smooth_zoom, round(vx, 6) AS velocity_x FROM f", "frames", recursive=True),
