@@ -98,7 +98,9 @@ def spans(documents: DataFrame, conf: LicenseScan) -> DataFrame:
     grams = listed.select("template", "label", "own", "w", F.size("w").alias("n_template"), F.posexplode(rolling(F.col("w"), conf.k)).alias("at", "gram")).filter(f"at <= n_template - {conf.k}")
     grams = grams.withColumn("expected", F.slice("w", F.col("at") + 1, conf.k)).drop("w")
     known = [r.gram for r in grams.select("gram").distinct().collect()]  # some hundred numbers, from the fixed list
-    texts = documents.filter(F.col("text").rlike("(?i)" + "|".join(anchors(conf)))).select("doc_id", "text_hash", words(F.col("text")).alias("w"))
+    texts = documents.filter(F.col("text").rlike("(?i)" + "|".join(anchors(conf))))
+    # an explode of one row: the optimizer does not move the taking apart of a text behind it into what is done for each word
+    texts = texts.select("doc_id", "text_hash", F.explode(F.array(words(F.col("text")))).alias("w"))
     marks = F.array_compact(F.transform("w", lambda w, i: F.when(w.isin(MARKS), F.struct(w.alias("word"), i.alias("at")))))
     hashed = F.transform(rolling(F.col("w"), conf.k), lambda g, i: F.when(g.isin(known), F.struct(i.alias("place"), g.alias("gram"))))
     # before the words are dealt out as rows: once a text, and only the places of template hashes
