@@ -5,12 +5,14 @@ least ``revisit_bytes`` meet their original, the one with the smallest page id,
 it. A map-side minimum per digest goes before that shuffle, so a digest that a third of all pages share costs a row per
 task. The payloads are then written with fresh headers, each page once.
 
-Archives are plain ``.warc`` text output whose line separator is the record separator, so any file system that Spark
-writes to will do. They are read as whole files, so their size is kept near ``archive_mb``.
+Archives are gzipped text output whose line separator is the record separator, so any file system that Spark writes to
+will do. They are read as whole files, so their size before compression is kept near ``archive_mb``; plain archives are
+read too.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+#: The first bytes of a gzipped file.
+GZIP = b"\x1f\x8b"
 
 
 @dataclass(frozen=True)
@@ -87,7 +91,7 @@ def write_archives(pages: DataFrame, path: str, conf: Warc = Warc()) -> None:
         F.lit("\r\n"),
         body,
     )
-    rows.select(record.alias("value")).write.text(path, lineSep="\r\n\r\n")
+    rows.select(record.alias("value")).write.text(path, compression="gzip", lineSep="\r\n\r\n")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -100,6 +104,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for raw in batch.column(0):
                 data = memoryview(raw.as_buffer())
+                if bytes(data[:2]) == GZIP:
+                    data = memoryview(gzip.decompress(data))
                 rows: list[tuple] = []
                 at = held = 0
                 while at < len(data):
