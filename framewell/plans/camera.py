@@ -7,6 +7,7 @@ Recurrences are scans over sorted rows (see :func:`framewell.operators.folds.ord
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,29 +22,29 @@ from framewell.operators.joins import as_of
 MOTION = "velocity_x double, velocity_y double, zoom_velocity double, acceleration_x double, acceleration_y double, zoom_acceleration double"
 
 
+def follow(state: dict, x: float, y: float, z: float, t: float, near: int, conf: Settings = DEFAULTS) -> tuple:
+    """The camera's next position, zoom and motion for a target, with limited speed; ``state`` is what it remembers."""
+    if not state or near:
+        moved, velocity, acceleration = (x, y, z), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)
+    else:
+        dt = t - state["t"] if t > state["t"] else 0.5
+        px, py, pz = state["at"]
+        far = math.hypot(x - px, y - py)
+        pan = min(1.0, conf.max_pan_speed * dt / far, conf.camera_smoothing) if far > 0 else 0.0
+        rest = abs(z - pz)
+        zoom = min(1.0, conf.max_zoom_speed * dt / rest, conf.camera_smoothing) if rest > 0 else 0.0
+        moved = (px + (x - px) * pan, py + (y - py) * pan, pz + (z - pz) * zoom)
+        velocity = tuple((a - b) / dt for a, b in zip(moved, state["at"], strict=True))
+        acceleration = tuple((a - b) / dt for a, b in zip(velocity, state["v"], strict=True))
+    state.update(at=moved, v=velocity, t=t)
+    return (*moved, *velocity, *acceleration)
+
+
 def pursue(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """Follow each frame's target with limited speed: path_x, path_y, path_zoom and their motion. Near a boundary the camera jumps."""
 
     def make():
-        state: dict = {}
-
-        def step(x: float, y: float, z: float, t: float, near: int) -> tuple:
-            if not state or near:
-                moved, velocity, acceleration = (x, y, z), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)
-            else:
-                dt = t - state["t"] if t > state["t"] else 0.5
-                px, py, pz = state["at"]
-                far = math.hypot(x - px, y - py)
-                pan = min(1.0, conf.max_pan_speed * dt / far, conf.camera_smoothing) if far > 0 else 0.0
-                rest = abs(z - pz)
-                zoom = min(1.0, conf.max_zoom_speed * dt / rest, conf.camera_smoothing) if rest > 0 else 0.0
-                moved = (px + (x - px) * pan, py + (y - py) * pan, pz + (z - pz) * zoom)
-                velocity = tuple((a - b) / dt for a, b in zip(moved, state["at"], strict=True))
-                acceleration = tuple((a - b) / dt for a, b in zip(velocity, state["v"], strict=True))
-            state.update(at=moved, v=velocity, t=t)
-            return (*moved, *velocity, *acceleration)
-
-        return step
+        return partial(follow, {}, conf=conf)
 
     parts = split_runs(frames, ["video_id"], ["timestamp", "frame_number"], F.col("near") == 1, "_part")  # each jump starts anew, so parts run in parallel
     return ordered_scan(parts, ["video_id", "_part"], ["timestamp", "frame_number"], ["center_x", "center_y", "zoom", "timestamp", "near"], make, "path_x double, path_y double, path_zoom double, " + MOTION).drop("_part")

@@ -14,10 +14,10 @@ from framewell.operators.folds import ordered_scan
 class Tracker:
     """The tracks of one video. ``see`` takes a frame's boxes and gives a track number and association score for each."""
 
-    def __init__(self, conf: Settings = DEFAULTS):
+    def __init__(self, conf: Settings = DEFAULTS, tracks: list[dict] | None = None, made: int = 0):
         self.conf = conf
-        self.tracks: list[dict] = []
-        self.made = 0
+        self.tracks = tracks or []
+        self.made = made
 
     def _score(self, a: tuple, b: tuple) -> float | None:
         """How well a box continues a track: None if it is neither near nor overlapping."""

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 from framewell.functions import render
-from framewell.plans import camera, registry
+from framewell.plans import camera, registry, tracking
 from framewell.streaming import live
 from pyspark.sql import functions as F
 
@@ -22,6 +22,30 @@ def test_pan_is_the_batch_pan(spark, tmp_path):
     assert {k: pytest.approx(v) for k, v in batch.items()} == live_rows
 
 
+def test_pursuit_is_the_batch_pursuit(spark, tmp_path):
+    frames = spark.createDataFrame([(v, i, i * 0.5, float(i * 370 % 900), float(i * 110 % 500), 1.0 + i % 3 / 4, int(i == 9)) for v in (1, 2) for i in range(20)], "video_id long, frame_number int, timestamp double, center_x double, center_y double, zoom double, near int").withColumn("at", F.timestamp_seconds(F.col("timestamp") + 1000))
+    names = ["video_id", "timestamp", "path_x", "path_y", "path_zoom", *(x.split()[0] for x in camera.MOTION.split(", "))]
+    live_rows = _run(spark, frames, tmp_path, live.live_pursuit).select(names)
+    batch = camera.pursue(frames).select(names)
+    assert sorted(map(tuple, live_rows.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_tracks_are_the_batch_tracks_over_triggers(spark, tmp_path):
+    faces = [(v, i, i * 0.5, f, 100.0 * f + i * 7 % 40, 50.0 + i % 5, 60.0, 60.0, 0.9) for v in (1, 2) for i in range(24) for f in range(3) if (i + f * 3) % 11 < 8]
+    frames = spark.createDataFrame(faces, "video_id long, frame_number long, timestamp double, face_pos long, x double, y double, w double, h double, confidence double")
+    box = F.struct("face_pos", "x", "y", "w", "h", "confidence")
+    rows = frames.groupBy("video_id", "frame_number", "timestamp").agg(F.collect_list(box).alias("boxes")).withColumn("at", F.timestamp_seconds(F.col("timestamp") + 1000))
+    for k in range(3):  # three triggers, the files in order of time
+        rows.filter(f"frame_number div 8 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = live.live_tracks(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+    names = ["video_id", "frame_number", "face_pos", "track_id", "association_score"]
+    live_rows = spark.read.parquet(str(tmp_path / "out")).select(names)
+    assert sorted(map(tuple, live_rows.collect())) == sorted(map(tuple, tracking.track_faces(frames).select(names).collect()))
+    assert live_rows.select("track_id").distinct().count() >= 3
+
+
 def test_islands_and_windows(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.0, 2.0, 0.5), (1, 4.0, 1.0, 0.9), (1, 30.0, 1.0, 0.2)], "video_id long, t double, seconds double, score double").withColumn("at", F.timestamp_seconds("t")).withColumn("text", F.lit("abc"))
     out = _run(spark, rows, tmp_path / "a", live.live_islands, "complete")
