@@ -35,7 +35,7 @@ def _bundles(s, d):
     (clips,) = _t(s, d, "clips")
     art = lambda name, cond: clips.filter(cond).select("video_id", "pos", F.concat(F.lit(f"{name}/clip"), F.col("pos").cast("string")).alias("path"))
     out = catalog.bundles(clips.select("video_id", "pos"), {"video": art("video", "pos % 2 = 0"), "subtitles": art("subtitles", "pos % 3 = 0")}, ["video_id", "pos"])
-    return catalog.manifest(out, ["video", "subtitles"]).select("video_id", "total", "video_count", "subtitles_count")
+    return catalog.manifest(out, ["video", "subtitles"]).select("video_id", "total", "video_count", "subtitles_count", F.md5("bundles").alias("bundles"))
 
 
 QUERIES = {
@@ -63,5 +63,7 @@ SELECT project_id, count(*) AS n, count(DISTINCT job_id) AS n_jobs FROM job_clip
 SELECT * FROM projects WHERE project_id NOT IN (SELECT project_id FROM n) UNION ALL SELECT * FROM n""", "projects", "jobs"),
     "replace_clips": sql("""WITH n AS (SELECT * FROM job_clips WHERE job_id % 3 = 0 AND rank <= 2), a AS (SELECT emotion, clip_key FROM job_clips WHERE job_id NOT IN (SELECT job_id FROM n) UNION ALL SELECT 'redone', clip_key FROM n)
 SELECT emotion, count(*) AS n, CAST(sum(clip_key) AS BIGINT) AS keys FROM a GROUP BY 1""", "job_clips"),
-    "export_manifest": sql("SELECT video_id, count(*) AS total, count(*) FILTER (WHERE pos % 2 = 0) AS video_count, count(*) FILTER (WHERE pos % 3 = 0) AS subtitles_count FROM clips GROUP BY 1", "clips"),
+    "export_manifest": sql("""WITH b AS (SELECT video_id, pos, CASE WHEN pos % 2 = 0 THEN 'video/clip' || pos END AS video, CASE WHEN pos % 3 = 0 THEN 'subtitles/clip' || pos END AS subtitles FROM clips)
+SELECT video_id, count(*) AS total, count(video) AS video_count, count(subtitles) AS subtitles_count,
+  md5('[' || string_agg('{"pos":' || pos || coalesce(',"video":"' || video || '"', '') || coalesce(',"subtitles":"' || subtitles || '"', '') || '}', ',' ORDER BY pos) || ']') AS bundles FROM b GROUP BY 1""", "clips"),
 }
