@@ -191,7 +191,7 @@ def remove_repeats(documents: DataFrame, conf: SubstringDedup = SubstringDedup()
     met = stash(each.join(again, "name").groupBy(*KEY, "id").agg(F.collect_set("name").alias("shared")))
 
     texts = rows.select(row_id().alias("id"), "text")
-    texts = stash(keep_ids(texts, met.select("id").distinct(), ["id"]).join(met, "id").dropDuplicates([*KEY, "text"]).select(*KEY, "text", "shared"))
+    texts = stash(keep_ids(texts, met.select("id").distinct(), ["id"]).join(met, "id").dropDuplicates([*KEY, "text"]).select(*KEY, "text", "shared"), compression="zstd")
     seen = stash(windows(texts, conf).select(*KEY, F.inline("windows")))
     repeated = seen.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
     marked = seen.join(repeated, ["w1", "w2"]).groupBy(*KEY).agg(F.collect_set(F.struct("w1", "w2")).alias("repeated"))
