@@ -17,6 +17,7 @@ from framewell.llm.pii import KINDS, find, listed
 from framewell.llm.quality import score
 from framewell.llm.search import top_k
 from framewell.llm.shared import shared_folder
+from framewell.llm.squares_packing import SquaresPacking, pack_squares
 from framewell.llm.substring_dedup import remove_repeats
 from framewell.llm.suffix_automaton import remove_reference
 from framewell.llm.token_counts import TokenCounts, count_edited
@@ -197,6 +198,10 @@ SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITIO
 """
 
 
+def op13_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_squares(spark.read.parquet(f"{sf_dir}/documents.parquet"), SquaresPacking(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_warc": op2_warc,
@@ -208,6 +213,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_search": op10_search,
+    "op13_squares_packing": op13_squares_packing,
     "reference_passages": reference_passages,
 }
 ORACLE_SQL: dict[str, str] = {
