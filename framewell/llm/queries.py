@@ -190,7 +190,6 @@ WITH docs AS (
   SELECT word, ln(1 + (max(n) - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf FROM postings, stats GROUP BY word
 ), asked AS (
   SELECT doc_id AS query_id, word, idf FROM postings JOIN idfs USING (word) WHERE doc_id % 20 = 0
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 9) DESC, word) <= 8
 ), scored AS (
   SELECT query_id, doc_id, round(sum(idf * (tf * 2.2e0 / (tf + 1.2e0 * (1 - 0.75e0 + 0.75e0 * size / mean)))), 9) AS score FROM asked JOIN postings USING (word), stats GROUP BY 1, 2
 )
