@@ -13,6 +13,7 @@ from framewell.llm.decontaminate import decontaminate
 from framewell.llm.licenses import scan
 from framewell.llm.near_dedup import near_duplicates
 from framewell.llm.packing import Packing, pack_documents
+from framewell.llm.periodic_runs import periodic_runs
 from framewell.llm.pii import KINDS, find, listed
 from framewell.llm.quality import score
 from framewell.llm.search import top_k
@@ -197,6 +198,45 @@ SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITIO
 """
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), plant=True, detail=False)
+
+
+OP11_SQL = r"""
+WITH given AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substring(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)) AS digits
+  FROM documents
+), hashed AS (
+  SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), digits),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) AS h
+  FROM given
+), cut AS (
+  SELECT doc_id, w, n, h % 10 = 0 AND n > 0 AS changed, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a FROM hashed
+), docs AS (
+  SELECT doc_id, n, CASE WHEN changed THEN list_concat(w[1:a], list_transform(range(0, n - a), lambda i: w[a + 1 + i % (1 + (n - a) // (3 + g % 8))])) ELSE w END AS v FROM cut
+), grams AS (
+  SELECT doc_id, n, i, array_to_string(v[i:i + 4], ' ') AS gram FROM (SELECT doc_id, n, v, unnest(range(1, n - 3)) AS i FROM docs WHERE n >= 6)
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.gram = y.gram AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT doc_id, q, min(i) - 1 AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length
+), best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM runs) WHERE k = 1
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM runs GROUP BY 1
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(v) AS word, unnest(range(0, n)) AS i FROM docs) ANTI JOIN dropped USING (doc_id, i) GROUP BY 1
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op13_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_squares(spark.read.parquet(f"{sf_dir}/documents.parquet"), SquaresPacking(public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -212,6 +252,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_search": op10_search,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_squares_packing": op13_squares_packing,
     "reference_passages": reference_passages,
 }
@@ -221,5 +262,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op10_search": OP10_SQL,
+    "op11_periodic_runs": OP11_SQL,
     "reference_passages": REFERENCE_SQL,
 }
