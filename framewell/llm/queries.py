@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewell.llm.collocations import collocations
 from framewell.llm.decontaminate import decontaminate
 from framewell.llm.licenses import scan
 from framewell.llm.near_dedup import near_duplicates
@@ -237,6 +238,38 @@ FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOI
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), sizes AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY 1
+), counts AS (
+  SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+  SELECT lang, k, p, f AS a, unnest(range(1, k)) AS cut FROM counts WHERE k > 1
+), scored AS (
+  SELECT c.*, l.f AS l, r.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.p = c.p[1:cut] JOIN counts r ON r.lang = c.lang AND r.p = c.p[cut + 1:k]
+), lowest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) AS o FROM scored) WHERE o = 1
+), inside AS (
+  SELECT lang, p[i:i + m - 1] AS p, max(f) AS f
+  FROM (SELECT lang, p, f, m, unnest(range(1, k - m + 2)) AS i FROM counts, (SELECT unnest([2, 3]) AS m) WHERE k > m) GROUP BY 1, 2
+), ranked AS (
+  SELECT x.lang, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, array_to_string(x.p, ' ')) AS rank, array_to_string(x.p, ' ') AS phrase, a, l, r, score
+  FROM lowest x LEFT JOIN inside y ON x.lang = y.lang AND x.p = y.p WHERE y.f IS NULL OR 100 * CAST(y.f AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_squares(spark.read.parquet(f"{sf_dir}/documents.parquet"), SquaresPacking(public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -253,6 +286,7 @@ QUERIES: dict[str, Query] = {
     "op9_pii": op9_pii,
     "op10_search": op10_search,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
     "op13_squares_packing": op13_squares_packing,
     "reference_passages": reference_passages,
 }
@@ -263,5 +297,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op10_search": OP10_SQL,
     "op11_periodic_runs": OP11_SQL,
+    "op12_collocations": OP12_SQL,
     "reference_passages": REFERENCE_SQL,
 }
