@@ -256,14 +256,14 @@ WITH pieces AS (
   SELECT lang, k, p, f AS a, unnest(range(1, k)) AS cut FROM counts WHERE k > 1
 ), scored AS (
   SELECT c.*, l.f AS l, r.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
-  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.p = c.p[1:cut] JOIN counts r ON r.lang = c.lang AND r.p = c.p[cut + 1:k]
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.p = c.p[1:c.cut] JOIN counts r ON r.lang = c.lang AND r.p = c.p[cut + 1:c.k]
 ), lowest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) AS o FROM scored) WHERE o = 1
 ), inside AS (
   SELECT lang, p[i:i + m - 1] AS p, max(f) AS f
   FROM (SELECT lang, p, f, m, unnest(range(1, k - m + 2)) AS i FROM counts, (SELECT unnest([2, 3]) AS m) WHERE k > m) GROUP BY 1, 2
 ), ranked AS (
-  SELECT x.lang, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, array_to_string(x.p, ' ')) AS rank, array_to_string(x.p, ' ') AS phrase, a, l, r, score
+  SELECT x.lang AS lang, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, array_to_string(x.p, ' ')) AS rank, array_to_string(x.p, ' ') AS phrase, a, l, r, score
   FROM lowest x LEFT JOIN inside y ON x.lang = y.lang AND x.p = y.p WHERE y.f IS NULL OR 100 * CAST(y.f AS HUGEINT) < 80 * CAST(a AS HUGEINT)
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
