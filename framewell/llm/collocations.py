@@ -2,8 +2,8 @@
 
 Three passes over the texts count words, then pairs of frequent words, then longer phrases whose pairs are all frequent. A
 phrase can't be more frequent than any part of it, so this leaves out no candidate. Each task counts in a trie of hash
-containers (:mod:`framewell.llm.hat_trie`) and spills whole subtrees as sorted runs; the runs are dealt out by prefix (the
-first word and a 256th of the second, so a frequent first word spreads) and merged there. Which words and pairs are
+containers (:mod:`framewell.llm.hat_trie`) and spills whole subtrees as sorted runs; the runs are packed, dealt out by prefix
+(the first word and a part of the second, so a frequent first word spreads) and merged there. Which words and pairs are
 frequent reaches the tasks as a bit filter of at most ``filter_bits``: it lets through all frequent ones and some others,
 whose counts then show what they are. If the corpus outgrows the filter, more is counted and the result is the same.
 
@@ -36,7 +36,9 @@ _BREAK[sorted(BREAK)] = True
 @dataclass(frozen=True)
 class Collocations:
     """Candidates: phrases of two to ``longest`` words that occur ``least`` times or more. One is dropped if a longer one that
-    holds it has ``share`` percent of its occurrences or more. ``top`` phrases a language are reported."""
+    holds it has ``share`` percent of its occurrences or more. ``top`` phrases a language are reported.
+
+    ``held``: phrases that a task's trie holds before it spills. ``per_prefix``: words of the corpus for each prefix partition."""
 
     least: int = 30
     longest: int = 4
@@ -45,6 +47,7 @@ class Collocations:
     scale: int = 2_000_000
     filter_bits: int = 1 << 27
     held: int = 500_000
+    per_prefix: int = 100_000
 
 
 def letters(seed: int) -> np.ndarray:
@@ -129,10 +132,68 @@ class Filter:
         return out
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """Sorted runs (key, n) of all tasks, merged within prefix partitions."""
-    prefix = F.substring("key", 1, 9)
-    return runs.withColumn("prefix", prefix).repartition("prefix").groupBy("prefix", "key").agg(F.sum("n").alias("n")).drop("prefix")
+class Run:
+    """Sorted distinct phrases (rows of ids) and their counts, packed column by column; ids of one place are told as differences."""
+
+    @staticmethod
+    def pack(rows: np.ndarray, counts: np.ndarray) -> bytes:
+        columns = [np.diff(c, prepend=c.dtype.type(0)) if i == 0 else c for i, c in enumerate(rows.T)]
+        return b"".join(np.ascontiguousarray(c, "<u8").tobytes() for c in columns) + counts.astype("<u8").tobytes()
+
+    @staticmethod
+    def unpack(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+        columns = np.frombuffer(raw, "<u8").reshape(width + 1, -1).astype(np.uint64)
+        columns[0] = np.cumsum(columns[0], dtype=np.uint64)
+        return columns[:-1].T, columns[-1].astype(np.int64)
+
+    @staticmethod
+    def merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        rows, counts = (np.concatenate(x) for x in zip(*runs, strict=True))
+        order = np.lexsort(rows.T[::-1])
+        rows, counts = rows[order], counts[order]
+        first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
+        return rows[first], np.add.reduceat(counts, first)
+
+
+#: Phrases that a prefix partition may take in before they are merged.
+PENDING = 1 << 20
+
+
+def prefixes(rows: np.ndarray, bits: int) -> np.ndarray:
+    """The prefix partition of each phrase: by its first word, and within it by the second, so that a frequent word spreads."""
+    second = bits // 2
+    return ((rows[:, 0] >> K.U64(64 - bits + second)) << K.U64(second) | rows[:, 1] >> K.U64(64 - second)).astype(np.int64)
+
+
+def merged(runs: DataFrame, bits: int, least: int) -> DataFrame:
+    """(key, n) of the phrases in packed sorted runs (prefix, width, run) of all tasks that occur ``least`` times or more.
+
+    A task streams through its prefix partitions and holds the distinct phrases of one.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, pending = None, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows, counts = Run.merge(held)
+                rows, counts = rows[counts >= least], counts[counts >= least]
+                if len(rows):
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(packed(rows), pa.binary()), "n": pa.array(counts)})
+
+        for batch in batches:
+            for prefix, width, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (prefix, width):
+                    yield from done()
+                    at, held, pending = (prefix, width), [], 0
+                held.append(Run.unpack(raw, width))
+                pending += len(held[-1][1])
+                if pending > PENDING and len(held) > 1:
+                    held, pending = [Run.merge(held)], 0
+        yield from done()
+
+    order = ["width", "prefix"]
+    return runs.repartition(*order).sortWithinPartitions(*order).select("prefix", "width", "run").mapInArrow(run, "key binary, n long")
 
 
 def count_words(texts: DataFrame, conf: Collocations, seed: int) -> DataFrame:
@@ -162,26 +223,50 @@ def count_words(texts: DataFrame, conf: Collocations, seed: int) -> DataFrame:
     return found.repartition("key").groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
 
 
-def count_phrases(texts: DataFrame, widths: range, conf: Collocations, seed: int, good: Callable[[Texts, int], np.ndarray]) -> DataFrame:
-    """(key, n) of phrases of ``widths`` words that start at places where ``good`` holds, if they are frequent."""
+def count_phrases(texts: DataFrame, widths: range, conf: Collocations, seed: int, good: Callable[[Texts, int], np.ndarray], total: int) -> DataFrame:
+    """(key, n) of phrases of ``widths`` words that start at places where ``good`` holds, if they are frequent. The number of prefix
+    partitions follows ``total``, the words of the corpus."""
+    bits = min(40, max(4, (total // conf.per_prefix).bit_length()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries = [HatTrie(width, limit=conf.held) for width in widths]
 
         def spilled(trie: HatTrie, keep: int) -> Iterator[pa.RecordBatch]:
-            for items in trie.spill(keep):
-                yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in items], pa.binary()), "n": pa.array([n for _, n in items], pa.int64())})
+            """Subtrees as runs, each cut by prefix partition; small ones that follow each other go into one batch."""
+            for items in joined(trie.spill(keep)):
+                rows = np.frombuffer(b"".join(k for k, _ in items), ">u8").astype(np.uint64).reshape(-1, trie.width)
+                counts = np.fromiter((n for _, n in items), np.int64, len(items))
+                prefix = prefixes(rows, bits)
+                order = np.argsort(prefix, kind="stable")
+                rows, counts, prefix = rows[order], counts[order], prefix[order]
+                edges = [0, *(np.flatnonzero(np.diff(prefix)) + 1).tolist(), len(rows)]
+                batch = [(int(prefix[a]), trie.width, Run.pack(rows[a:b], counts[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["prefix", "width", "run"])
 
         for some in blocks(batches, seed):
             for trie in tries:
                 if len(some.ids) >= trie.width:
                     trie.add(*some.phrases(trie.width, good(some, trie.width)))
                     if trie.size > trie.limit:
-                        yield from spilled(trie, trie.limit // 2)
+                        yield from spilled(trie, trie.limit // 4)
         for trie in tries:
             yield from spilled(trie, 0)
 
-    return merged(texts.mapInArrow(run, "key binary, n long")).filter(F.col("n") >= conf.least)
+    return merged(texts.mapInArrow(run, "prefix long, width int, run binary"), bits, conf.least)
+
+
+def joined(runs: Iterator[list[tuple[bytes, int]]], most: int = 1 << 17) -> Iterator[list[tuple[bytes, int]]]:
+    """Sorted runs of subtrees put together, so that each prefix partition gets few and long parts."""
+    held: list[tuple[bytes, int]] = []
+    for run in runs:
+        held += run
+        if len(held) >= most:
+            held.sort()
+            yield held
+            held = []
+    if held:
+        held.sort()
+        yield held
 
 
 def frequent_pairs(words: Filter) -> Callable[[Texts, int], np.ndarray]:
@@ -233,10 +318,11 @@ def collocations(documents: DataFrame, conf: Collocations | None = None) -> Data
             if words.groupBy("key").count().filter("count > 1").isEmpty():
                 break
         total = words.groupBy("lang").agg(F.sum("n").alias("n"))
+        size = total.agg(F.sum("n")).first()[0] or 0
         words = stash(words.filter(F.col("n") >= conf.least))
-        phrases = pairs = stash(count_phrases(texts, range(2, 3), conf, seed, frequent_pairs(Filter(words.select("key"), conf))))
+        phrases = pairs = stash(count_phrases(texts, range(2, 3), conf, seed, frequent_pairs(Filter(words.select("key"), conf)), size))
         if conf.longest > 2:
-            longer = stash(count_phrases(texts, range(3, conf.longest + 1), conf, seed, of_pairs(Filter(pairs.select("key"), conf))))
+            longer = stash(count_phrases(texts, range(3, conf.longest + 1), conf, seed, of_pairs(Filter(pairs.select("key"), conf)), size))
             phrases = pairs.unionByName(longer)
     return ranked(words, total, phrases, conf)
 
