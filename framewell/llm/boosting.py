@@ -73,10 +73,15 @@ class Trees:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-out))
 
 
+#: Scores nearer than this are one: numpy and Spark differ in the last bits.
+SAME = 1e-9
+
+
 def threshold(score: np.ndarray, positive: np.ndarray, total: np.ndarray, precision: float) -> float:
-    """The lowest score from which on rows are positive in at least ``precision`` of the held-out counts; above 1 if none."""
+    """A bound just below the lowest score from which on rows are positive in at least ``precision`` of the held-out counts; above
+    1 if there is none. Rows of one score are in or out together."""
     order = np.argsort(-score, kind="stable")
-    good, all_ = np.cumsum(positive[order]), np.cumsum(total[order])
-    last = np.append(score[order][1:] != score[order][:-1], True)
-    fit = np.flatnonzero((good >= precision * all_) & (all_ > 0) & last) if len(order) else []
-    return float(score[order][fit[-1]]) if len(fit) else 2.0
+    good, all_, score = np.cumsum(positive[order]), np.cumsum(total[order]), score[order]
+    last = np.append(score[:-1] - score[1:] > SAME, True)[: len(score)]
+    fit = np.flatnonzero((good >= precision * all_) & (all_ > 0) & last)
+    return float(score[fit[-1]]) - SAME / 2 if len(fit) else 2.0

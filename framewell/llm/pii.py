@@ -70,21 +70,46 @@ GENERATORS: list[tuple[str, int, str, str, Callable[[Column], Column]]] = [
 ]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Matches whose places are summed up at once: a list grown in one go would be copied at each match.
+RUN = 64
+
+
 def matches(text: Column, kind: str, form: int, pattern: str, check: Callable[[Column], Column], context: int) -> Column:
-    """All matches of one pattern in a text, with code-point places and what stands around them."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    paired = F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    empty = F.array().cast("array<struct<start: int, end: int, value: string, before: string>>")
+    """All matches of one pattern in a text, with code-point places and what stands around them.
+
+    A match starts at the running sum of the lengths of gaps and matches before it. Sums are taken within runs of
+    :data:`RUN` matches and over the runs, so a text costs its matches and not their square.
+    """
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
+
+    def paired(x: Column) -> Column:
+        """The matches with what stands before and after, and the lengths to sum up."""
+        n = F.size(x["values"])
+        after = F.slice(x["gaps"], F.lit(2), n)
+        found = F.zip_with(F.slice(x["gaps"], F.lit(1), n), x["values"], lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("length"), v.alias("value"), F.right(g, F.lit(context)).alias("before")))
+        return F.zip_with(found, after, lambda f, a: F.struct(f.alias("f"), F.left(a, F.lit(1)).alias("after")))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state.at + F.length(x.gap)
-        end = start + F.length(x.value)
-        found = F.struct(start.alias("start"), end.alias("end"), x.value.alias("value"), F.right(x.gap, F.lit(context)).alias("before"))
-        return F.when(x.value.isNull(), state).otherwise(F.struct(end.alias("at"), F.array_append(state.out, found).alias("out")))
+    def placed(all_: Column) -> Column:
+        run = lambda i: F.slice(all_, i * RUN + 1, F.lit(RUN))
+        runs = F.sequence(F.lit(0), F.ceil(F.size(all_) / RUN).cast("int") - 1)
+        sums = F.transform(runs, lambda i: F.aggregate(run(i), F.lit(0), lambda s, x: s + x.f.gap + x.f.length))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sums, begin, lambda s, n: F.struct((s.at + n).alias("at"), F.array_append(s.out, s.at).alias("out")), lambda s: s.out)
 
-    placed = F.aggregate(paired, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s.out)
-    followed = F.zip_with(placed, F.transform(F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda g: F.left(g, F.lit(1))), lambda p, a: F.struct(p.alias("p"), a.alias("after")))
-    return F.transform(followed, lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(form).alias("form"), x.p.start.alias("start"), x.p.end.alias("end"), x.p.value.alias("value"), check(x.p.value).alias("valid"), x.p.before.alias("before"), x.after.alias("after")))
+        def step(s: Column, x: Column) -> Column:
+            start = s.at + x.f.gap
+            found = F.struct(F.lit(kind).alias("kind"), F.lit(form).alias("form"), start.alias("start"), (start + x.f.length).alias("end"), x.f["value"].alias("value"), check(x.f["value"]).alias("valid"), x.f.before.alias("before"), x.after.alias("after"))
+            return F.struct((start + x.f.length).alias("at"), F.array_append(s.out, found).alias("out"))
+
+        within = lambda i, at: F.aggregate(run(i), F.struct(at.alias("at"), F.array().cast(FOUND).alias("out")), step, lambda s: s.out)
+        return F.when(F.size(all_) > 0, _let(starts, lambda at: F.flatten(F.transform(runs, lambda i: within(i, F.get(at, i))))))
+
+    return _let(parts, lambda x: _let(paired(x), placed))
 
 
 def candidates(documents: DataFrame, conf: PiiScan) -> DataFrame:
@@ -116,7 +141,10 @@ def features(found: DataFrame) -> DataFrame:
 
 
 def train(found: DataFrame, conf: PiiScan) -> tuple[Trees, dict[str, float]]:
-    """Trees and a threshold for each kind, from counts over all candidates; a fifth of the documents only sets thresholds."""
+    """Trees and, for each kind, a threshold for its wider form, from counts over all candidates.
+
+    A fifth of the documents only sets thresholds. Candidates of the base form count by their check alone, so they set none;
+    a kind of whose wider form no candidate is held out gets a threshold that nothing reaches."""
     fold = (F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(5)) == 0).cast("int").alias("held_out")
     counts = found.groupBy(*FEATURES, fold).agg(F.count_if("valid").alias("good"), F.count("*").alias("n")).orderBy(*FEATURES, "held_out").collect()
     x = np.array([[r[f] for f in FEATURES] for r in counts], dtype=np.int64).reshape(-1, len(FEATURES))
@@ -125,8 +153,7 @@ def train(found: DataFrame, conf: PiiScan) -> tuple[Trees, dict[str, float]]:
     score = model.predict(x)
     bounds = {}
     for i, kind in enumerate(KINDS + EXTRA):
-        mine = (held == 1) & (x[:, 0] == i)
-        mine = mine if mine.any() else x[:, 0] == i
+        mine = (held == 1) & (x[:, 0] == i) & (x[:, 1] == 1)
         bounds[kind] = threshold(score[mine], good[mine], n[mine], conf.precision)
     return model, bounds
 
@@ -169,11 +196,26 @@ def redact(documents: DataFrame, conf: PiiScan = PiiScan()) -> DataFrame:
     both = documents.join(side, documents["doc_id"].cast("long").eqNullSafe(F.col(row_id)) & (F.xxhash64(documents["text"]) == F.col(row_hash)), "left")
     text = F.col("text")
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state.at + 1, F.greatest(s.start - state.at, F.lit(0)))
-        parts = F.when(s.start >= state.at, F.concat(state.out, F.array(gap, F.concat(F.lit("["), F.upper(s.kind), F.lit("]"))))).otherwise(state.out)
-        return F.struct(F.greatest(state.at, s.end).alias("at"), parts.alias("out"))
+    all_ = F.col(found)
+    run = lambda i: F.slice(all_, i * RUN + 1, F.lit(RUN))
+    runs = F.sequence(F.lit(0), F.ceil(F.size(all_) / RUN).cast("int") - 1)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    far = F.transform(runs, lambda i: F.array_max(F.transform(run(i), lambda s: s.end)))
+    done = F.aggregate(far, begin, lambda s, e: F.struct(F.greatest(s.at, e).alias("at"), F.array_append(s.out, s.at).alias("out")), lambda s: F.array_append(s.out, s.at))
+
+    def cleaned(i: Column, first: Column, last: Column) -> Column:
+        """The text from ``first`` to ``last`` with the spans of run ``i`` replaced."""
+
+        def step(part: Column) -> Column:
+            def put(state: Column, s: Column) -> Column:
+                gap = F.substring(part, state.at - first + 1, F.greatest(s.start - state.at, F.lit(0)))
+                parts = F.when(s.start >= state.at, F.concat(state.out, F.array(gap, F.concat(F.lit("["), F.upper(s.kind), F.lit("]"))))).otherwise(state.out)
+                return F.struct(F.greatest(state.at, s.end).alias("at"), parts.alias("out"))
+
+            start = F.struct(first.alias("at"), F.array().cast("array<string>").alias("out"))
+            return F.aggregate(run(i), start, put, lambda s: F.array_join(s.out, ""))
+
+        return _let(F.substring(text, first + 1, last - first), step)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(found, start, step, lambda s: F.concat(F.array_join(s.out, ""), F.substring(text, s.at + 1, F.length(text))))
+    clean = _let(done, lambda at: F.concat(F.array_join(F.transform(runs, lambda i: cleaned(i, F.get(at, i), F.get(at, i + 1))), ""), F.substring(text, F.get(at, F.size(at) - 1) + 1, F.length(text))))
     return both.withColumn("text", F.when(F.col(found).isNull(), text).otherwise(clean)).select(*[F.col(f"`{c}`") for c in documents.columns])
