@@ -9,6 +9,8 @@ from dataclasses import dataclass
 class Settings:
     # joins of spans with points: seconds of a bucket, a little more than most clips
     join_bucket_seconds: float = 120.0
+    # look-ups of the nearest row in time: seconds that one sort takes in
+    look_up_bucket_seconds: float = 3600.0
     # clips
     max_clips: int = 10
     min_clip_seconds: int = 20

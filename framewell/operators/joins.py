@@ -45,17 +45,46 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return cut(l, "l").join(cut(r, "r"), [*on, F.col("l.bucket_") == F.col("r.bucket_"), later == F.col("l.bucket_"), *met]).drop("bucket_")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], *, direction: str = "backward") -> DataFrame:
-    """``left`` with ``values`` of the last row of ``right`` at or before ``time`` (``forward``: the first at or after).
+def look_up(left: DataFrame, right: DataFrame, keys: list[str], time: str, wanted: dict[str, tuple[str, str]], *, bucket: float | None = None) -> DataFrame:
+    """``left`` with, for each name of ``wanted``, a value of the nearest row of ``right`` on one side of its time.
 
-    A union with one window over (keys, time), so both sides are shuffled once and nothing is multiplied.
+    ``wanted`` gives a column of ``right`` and a direction: ``backward`` takes its last value that is not null at or before
+    ``time``, ``forward`` the first at or after. Of several at one time the greatest counts backward, the smallest forward. Rows
+    of ``right`` without a time match nothing, and rows of ``left`` without a time or key find nothing.
+
+    Both sides meet in one union and one sort for each direction. With ``bucket`` the time axis is cut into buckets of so many
+    seconds, which join the keys: rows are sorted within a bucket only, and what reaches a bucket from those before (after) it
+    comes from a window over the buckets alone, one short row each. So a long video spreads over tasks.
     """
-    packed = F.struct(F.col(time).alias("at"), *values)
-    both = left.withColumn("_v", F.lit(None).cast(right.select(packed.alias("x")).schema[0].dataType)).withColumn("_side", F.lit(1)).unionByName(right.select(*keys, time, packed.alias("_v")).withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    if direction == "backward":
-        w = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    else:
-        w = Window.partitionBy(*keys).orderBy(F.col(time).desc(), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_hit", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
-    return found.select(*left.columns, F.col("_hit.at").alias(f"matched_{time}"), *[F.col(f"_hit.{v}").alias(v) for v in values])
+    values = list(dict.fromkeys(c for c, _ in wanted.values()))
+    types = {c: right.schema[c].dataType for c in values}
+    right = right.select(*keys, time, *[F.col(c).alias(f"_of_{c}") for c in values]).filter(F.col(time).isNotNull()).withColumn("_side", F.lit(0))
+    both = left.withColumns({f"_of_{c}": F.lit(None).cast(t) for c, t in types.items()}).withColumn("_side", F.lit(1)).unionByName(right, allowMissingColumns=True)
+    of = [F.col(f"_of_{c}") for c in values]
+    within = list(keys)
+    if bucket is not None:
+        both, within = both.withColumn("_bucket", F.floor(F.col(time) / bucket)), [*keys, "_bucket"]
+    whole = Window.partitionBy(*within).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = {"backward": whole.orderBy(F.col(time), "_side", *of), "forward": whole.orderBy(F.col(time).desc(), "_side", *[c.desc() for c in of])}
+    known = F.col(time).isNotNull()
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    found = both.withColumns({f"_got_{n}": F.when(known, F.last(f"_of_{c}", ignorenulls=True).over(order[d])) for n, (c, d) in wanted.items()}).filter("_side = 1")
+    if bucket is None:
+        return found.select(*left.columns, *[F.col(f"_got_{n}").alias(n) for n in wanted])
+    edge = {"backward": F.max, "forward": F.min}
+    held = lambda c: F.when(F.col(f"_of_{c}").isNotNull(), F.struct(time, *of, F.col(f"_of_{c}").alias("v")))
+    edges = both.filter(known).groupBy(*within).agg(*[edge[d](held(c)).getField("v").alias(f"_edge_{n}") for n, (c, d) in wanted.items()])
+    along = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = {"backward": along.orderBy("_bucket"), "forward": along.orderBy(F.desc("_bucket"))}
+    reach = edges.select(*within, *[F.last(f"_edge_{n}", ignorenulls=True).over(buckets[d]).alias(f"_far_{n}") for n, (_, d) in wanted.items()])
+    joined = found.join(reach, within, "left")
+    return joined.select(*left.columns, *[F.coalesce(f"_got_{n}", f"_far_{n}").alias(n) for n in wanted])
 
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], *, direction: str = "backward", bucket: float | None = None) -> DataFrame:
+    """``left`` with ``values`` of the last row of ``right`` at or before ``time`` (``forward``: the first at or after), and its time
+    as ``matched_<time>``. See :func:`look_up` for ties, nulls and ``bucket``."""
+    packed = right.select(*keys, time, F.struct(F.col(time).alias("at"), *values).alias("row"))
+    found = look_up(left, packed, keys, time, {"_hit": ("row", direction)}, bucket=bucket)
+    return found.select(*left.columns, F.col("_hit.at").alias(f"matched_{time}"), *[F.col(f"_hit.{v}").alias(v) for v in values])

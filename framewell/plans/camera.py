@@ -17,7 +17,7 @@ from framewell.functions.geometry import box, visibility
 from framewell.functions.render import even
 from framewell.operators.folds import ordered_scan
 from framewell.operators.islands import split_runs
-from framewell.operators.joins import as_of
+from framewell.operators.joins import as_of, look_up
 
 MOTION = "velocity_x double, velocity_y double, zoom_velocity double, acceleration_x double, acceleration_y double, zoom_acceleration double"
 
@@ -50,37 +50,35 @@ def pursue(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     return ordered_scan(parts, ["video_id", "_part"], ["timestamp", "frame_number"], ["center_x", "center_y", "zoom", "timestamp", "near"], make, "path_x double, path_y double, path_zoom double, " + MOTION).drop("_part")
 
 
+def ease(state: dict, x: float, y: float, zoom: float, t: float, conf: Settings = DEFAULTS) -> tuple:
+    """The smoothed position, zoom and motion for a frame; ``state`` is what is remembered of the frames before."""
+    a, target = conf.smoothing_strength, [x, y, zoom]
+    if not state:
+        at = tuple(a * v + (1.0 - a) * v for v in target)
+        state.update(at=at, v=(0.0, 0.0, 0.0), t=t)
+        return (*at, *(0.0,) * 6)
+    dt = t - state["t"] if t > state["t"] else 0.5
+    most = conf.smoothing_max_jerk * dt
+    aim = [a * v + (1.0 - a) * p for v, p in zip(target, state["at"], strict=True)]
+    turn = (aim[2] - state["at"][2]) / dt
+    if state["v"][2] != 0.0 and math.copysign(1.0, turn) != math.copysign(1.0, state["v"][2]):
+        aim[2] = state["at"][2] + (aim[2] - state["at"][2]) * conf.zoom_damping
+    velocity = [(n - p) / dt for n, p in zip(aim, state["at"], strict=True)]
+    velocity = tuple(v if abs(v - before) <= most else before + math.copysign(most, v - before) for v, before in zip(velocity, state["v"], strict=True))
+    acceleration = tuple((n - v) / dt for n, v in zip(velocity, state["v"], strict=True))
+    at = tuple(p + v * dt for p, v in zip(state["at"], velocity, strict=True))
+    state.update(at=at, v=velocity, t=t)
+    return (*at, *velocity, *acceleration)
+
+
 def smooth(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """Exponential smoothing of center and zoom with limited changes of velocity: smooth_x, smooth_y, smooth_zoom and motion.
 
     A zoom that turns back is damped. State starts anew at each part between boundaries, so parts run in parallel.
     """
-    a = conf.smoothing_strength
-
-    def limit(velocity: float, before: float, most: float) -> float:
-        return velocity if abs(velocity - before) <= most else before + math.copysign(most, velocity - before)
 
     def make():
-        state: dict = {}
-
-        def step(x: float, y: float, zoom: float, t: float) -> tuple:
-            target = [x, y, zoom]
-            if not state:
-                at = tuple(a * v + (1.0 - a) * v for v in target)
-                state.update(at=at, v=(0.0, 0.0, 0.0), t=t)
-                return (*at, *(0.0,) * 6)
-            dt = t - state["t"] if t > state["t"] else 0.5
-            aim = [a * v + (1.0 - a) * p for v, p in zip(target, state["at"], strict=True)]
-            turn = (aim[2] - state["at"][2]) / dt
-            if state["v"][2] != 0.0 and math.copysign(1.0, turn) != math.copysign(1.0, state["v"][2]):
-                aim[2] = state["at"][2] + (aim[2] - state["at"][2]) * conf.zoom_damping
-            velocity = tuple(limit((n - p) / dt, v, conf.smoothing_max_jerk * dt) for n, p, v in zip(aim, state["at"], state["v"], strict=True))
-            acceleration = tuple((n - v) / dt for n, v in zip(velocity, state["v"], strict=True))
-            at = tuple(p + v * dt for p, v in zip(state["at"], velocity, strict=True))
-            state.update(at=at, v=velocity, t=t)
-            return (*at, *velocity, *acceleration)
-
-        return step
+        return partial(ease, {}, conf=conf)
 
     parts = split_runs(frames, ["video_id"], ["timestamp", "frame_number"], F.col("near") == 1)
     return ordered_scan(parts, ["video_id", "part"], ["timestamp", "frame_number"], ["center_x", "center_y", "zoom", "timestamp"], make, "smooth_x double, smooth_y double, smooth_zoom double, " + MOTION)
@@ -106,16 +104,16 @@ def pan(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     return ordered_scan(frames, ["video_id"], ["timestamp", "frame_number"], ["center_x", "center_y", "track"], make, "pan_x double, pan_y double")
 
 
-def resample(crops: DataFrame, fps: float) -> DataFrame:
+def resample(crops: DataFrame, fps: float, conf: Settings = DEFAULTS) -> DataFrame:
     """Crops (video_id, timestamp, x, y, w, h) on a regular grid up to the last one: position between neighbours is linear."""
     ends = crops.groupBy("video_id").agg(F.max("timestamp").alias("last"))
     grid = ends.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") * fps).cast("long"))).alias("n")).withColumn("timestamp", F.col("n") / F.lit(float(fps)))
-    values = ["x", "y", "w", "h"]
-    low = as_of(grid, crops, ["video_id"], "timestamp", values).withColumnsRenamed({"matched_timestamp": "t0", **{v: f"{v}0" for v in values}})
-    both = as_of(low, crops, ["video_id"], "timestamp", values, direction="forward")
-    share = F.when(F.col("matched_timestamp") > F.col("t0"), (F.col("timestamp") - F.col("t0")) / (F.col("matched_timestamp") - F.col("t0"))).otherwise(F.lit(0.0))
-    at = lambda v: F.coalesce(F.col(f"{v}0") + (F.col(v) - F.col(f"{v}0")) * share, F.col(f"{v}0"), F.col(v))
-    return both.select("video_id", "n", "timestamp", at("x").alias("x"), at("y").alias("y"), F.coalesce("w0", "w").alias("w"), F.coalesce("h0", "h").alias("h"))
+    rows = crops.select("video_id", "timestamp", F.struct("timestamp", "x", "y", "w", "h").alias("crop"))
+    both = look_up(grid, rows, ["video_id"], "timestamp", {"a": ("crop", "backward"), "b": ("crop", "forward")}, bucket=conf.look_up_bucket_seconds)
+    t0, t1 = F.col("a.timestamp"), F.col("b.timestamp")
+    share = F.when(t1 > t0, (F.col("timestamp") - t0) / (t1 - t0)).otherwise(F.lit(0.0))
+    at = lambda v: F.coalesce(F.col(f"a.{v}") + (F.col(f"b.{v}") - F.col(f"a.{v}")) * share, F.col(f"a.{v}"), F.col(f"b.{v}"))
+    return both.select("video_id", "n", "timestamp", at("x").alias("x"), at("y").alias("y"), F.coalesce("a.w", "b.w").alias("w"), F.coalesce("a.h", "b.h").alias("h"))
 
 
 def crop_segments(crops: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
@@ -143,9 +141,13 @@ def pan_commands(crops: DataFrame) -> DataFrame:
 
 
 def scene_cuts(histograms: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
-    """Boundaries between frames whose histograms (shares per bin) differ by at least the threshold: timestamp, confidence."""
+    """Boundaries between frames whose histograms (shares per bin) differ by at least the threshold: timestamp, confidence.
+
+    Histograms of a video with unequal numbers of bins are an error."""
     along = Window.partitionBy("video_id").orderBy("timestamp")
-    apart = F.aggregate(F.zip_with("histogram", F.lag("histogram").over(along), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / 2
+    before = F.lag("histogram").over(along)
+    apart = F.aggregate(F.zip_with("histogram", before, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / 2
+    apart = F.when(F.size("histogram") != F.size(before), F.raise_error(F.lit("histograms of unequal sizes"))).otherwise(apart)
     return histograms.withColumn("confidence", apart).filter(F.col("confidence") >= conf.scene_threshold).select("video_id", "timestamp", "confidence")
 
 
@@ -187,18 +189,17 @@ def scene_segments(boundaries: DataFrame, durations: DataFrame) -> DataFrame:
 
 def near_boundaries(frames: DataFrame, boundaries: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """``frames`` (video_id, timestamp) with ``near``: 1 if a boundary (video_id, timestamp) is at most the tolerance away, else 0."""
-    cuts = boundaries.select("video_id", "timestamp", F.lit(1).alias("cut"))
-    back = as_of(frames, cuts, ["video_id"], "timestamp", ["cut"]).withColumnRenamed("matched_timestamp", "_before").drop("cut")
-    both = as_of(back, cuts, ["video_id"], "timestamp", ["cut"], direction="forward")
-    away = F.least(F.col("timestamp") - F.col("_before"), F.col("matched_timestamp") - F.col("timestamp"))
-    return both.withColumn("near", F.coalesce(away <= conf.boundary_tolerance, F.lit(False)).cast("int")).drop("_before", "matched_timestamp", "cut")
+    cuts = boundaries.select("video_id", "timestamp", F.col("timestamp").alias("cut"))
+    both = look_up(frames, cuts, ["video_id"], "timestamp", {"_before": ("cut", "backward"), "_after": ("cut", "forward")}, bucket=conf.look_up_bucket_seconds)
+    away = F.least(F.col("timestamp") - F.col("_before"), F.col("_after") - F.col("timestamp"))
+    return both.withColumn("near", F.coalesce(away <= conf.boundary_tolerance, F.lit(False)).cast("int")).drop("_before", "_after")
 
 
-def scene_at(frames: DataFrame, scenes: DataFrame) -> DataFrame:
+def scene_at(frames: DataFrame, scenes: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """``frames`` (video_id, timestamp) with ``scene``, the index of the scene that holds the time; past the last one's end the last."""
     along = Window.partitionBy("video_id").orderBy("start_seconds")
     spans = scenes.select("video_id", F.col("start_seconds").alias("timestamp"), F.col("index").alias("scene"), "end_seconds", F.lead("index").over(along).isNull().alias("_last"))
-    out = as_of(frames, spans, ["video_id"], "timestamp", ["scene", "end_seconds", "_last"])
+    out = as_of(frames, spans, ["video_id"], "timestamp", ["scene", "end_seconds", "_last"], bucket=conf.look_up_bucket_seconds)
     return out.withColumn("scene", F.when((F.col("timestamp") < F.col("end_seconds")) | F.col("_last"), F.col("scene"))).drop("matched_timestamp", "end_seconds", "_last")
 
 

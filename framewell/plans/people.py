@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from framewell.config import DEFAULTS, Settings
 from framewell.functions.geometry import box, frontal
 from framewell.operators.islands import run_ids
+from framewell.operators.joins import look_up
 
 FRAME = ["video_id", "frame_number"]
 FACTORS = [("currently_speaking", "currently speaking"), ("facial_expression", "expressive face"), ("detection_confidence", "high detection confidence"), ("frame_center", "center of frame"), ("screen_presence", "large screen presence"), ("recent_speaker", "recent speaker"), ("reaction_target", "reaction focus")]
@@ -33,18 +34,13 @@ def movement(faces: DataFrame) -> DataFrame:
     return faces.withColumn("mouth_delta", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
 
 
-def heard(faces: DataFrame, speech: DataFrame, energy: DataFrame) -> DataFrame:
+def heard(faces: DataFrame, speech: DataFrame, energy: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """``faces`` with ``talking``, whether a spoken span holds the time, and ``audio_energy`` of the nearest audio window, the
-    earlier of two, 0 without any. One union by video serves all three look-ups: the last speech, the last and the next window."""
-    last = F.struct(F.col("timestamp").alias("at"), "energy")
-    none = lambda t: F.lit(None).cast(t)
-    speech = speech.select("video_id", "timestamp", F.col("speech_end").alias("_until"), F.lit(0).alias("_side"))
-    energy = energy.select("video_id", "timestamp", last.alias("_energy"), F.lit(0).alias("_side"))
-    both = faces.withColumns({"_until": none("double"), "_energy": none("struct<at: double, energy: double>"), "_side": F.lit(1)})
-    both = both.unionByName(speech, allowMissingColumns=True).unionByName(energy, allowMissingColumns=True)
-    so_far = lambda *order: Window.partitionBy("video_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    back, on = so_far("timestamp", "_side"), so_far(F.desc("timestamp"), "_side")
-    out = both.withColumns({"_talk": F.last("_until", ignorenulls=True).over(back), "_back": F.last("_energy", ignorenulls=True).over(back), "_on": F.last("_energy", ignorenulls=True).over(on)}).filter("_side = 1")
+    earlier of two, 0 without any. One look-up serves all three: the last speech, the last and the next window."""
+    sound = speech.select("video_id", "timestamp", F.col("speech_end").alias("until"))
+    sound = sound.unionByName(energy.select("video_id", "timestamp", F.struct(F.col("timestamp").alias("at"), "energy").alias("window")), allowMissingColumns=True)
+    wanted = {"_talk": ("until", "backward"), "_back": ("window", "backward"), "_on": ("window", "forward")}
+    out = look_up(faces, sound, ["video_id"], "timestamp", wanted, bucket=conf.look_up_bucket_seconds)
     later = F.col("_back").isNull() | ((F.col("_on.at") - F.col("timestamp")) < (F.col("timestamp") - F.col("_back.at")))
     nearest = F.coalesce(F.when(F.col("_on").isNotNull() & later, F.col("_on.energy")).otherwise(F.col("_back.energy")), F.lit(0.0))
     return out.select(*faces.columns, F.coalesce(F.col("timestamp") < F.col("_talk"), F.lit(False)).alias("talking"), nearest.alias("audio_energy"))
@@ -57,7 +53,7 @@ def signals(faces: DataFrame, speech: DataFrame, energy: DataFrame, width: int =
     of audio windows; a frame takes the nearest, the earlier of two.
     """
     frame = Window.partitionBy(*FRAME)
-    out = movement(heard(faces, speech, energy))
+    out = movement(heard(faces, speech, energy, conf))
     moved, most = F.least(F.lit(1.0), F.col("mouth_delta") / conf.mouth_scale), F.max("mouth_delta").over(frame)
     out = out.withColumn("expression", moved).withColumn("mouth_movement", F.when((most > 0) & (F.col("mouth_delta") == most), F.lit(1.0)).otherwise(moved))
     area = F.col("w") * F.col("h")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from framewell.config import DEFAULTS, Settings
 from framewell.functions.scoring import emotion_intensity, length_score, rank_score
 from framewell.operators.folds import ordered_scan
+from framewell.operators.intervals import Intervals
 from framewell.operators.joins import contained
 
 CLIP = ["video_id", "pos"]
@@ -44,22 +45,24 @@ def remove_overlaps(ranked: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """By falling score, clips that do not overlap a clip kept before them by ``overlap_threshold`` of the shorter.
 
     A clip that was dropped drops no other, so this is one scan of each video's clips by score: rows stream, and a task holds
-    only the clips kept, whose number the video's length bounds.
+    only the clips kept, sorted by start, and looks at those near a clip (see :class:`framewell.operators.intervals.Intervals`).
     """
 
     def make():
-        kept: list[tuple[float, float, float]] = []
+        kept, least = Intervals(), conf.overlap_threshold
 
         def step(start: float, end: float, seconds: float) -> tuple:
-            for a, b, length in kept:
-                shared, shorter = max(0.0, min(b, end) - max(a, start)), min(length, seconds)
-                if (shared / shorter if shorter > 0 else 0.0) >= conf.overlap_threshold:
+            for a, b, length in kept.overlapping(start, end):
+                shorter = min(length, seconds)
+                if ((min(b, end) - max(a, start)) / shorter if shorter > 0 else 0.0) >= least:
                     return (False,)
-            kept.append((start, end, seconds))
+            kept.add(start, end, seconds)
             return (True,)
 
         return step
 
+    if conf.overlap_threshold <= 0:
+        raise ValueError("overlap_threshold must be above 0")
     seen = ordered_scan(ranked, ["video_id"], [F.desc("rank_score"), "pos"], ["start_seconds", "end_seconds", "duration_seconds"], make, "_kept boolean")
     return seen.filter("_kept").drop("_kept")
 

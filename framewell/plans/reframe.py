@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from framewell.config import DEFAULTS, Settings
 from framewell.functions import geometry as G
+from framewell.operators.store import StageGraph
 from framewell.plans import camera, crops, people
 
 FRAME = ["video_id", "frame_number"]
@@ -52,9 +53,10 @@ def rank_faces(faces: DataFrame, speech: DataFrame, energy: DataFrame, conf: Set
     return people.importance(people.recent_speaker(scored, conf), conf), people.rapid_discussion(people.speaker_segments(scored, conf), conf)
 
 
-def camera_path(plan: DataFrame, boundaries: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
-    """The smoothed path of a composition: path_x, path_y, path_zoom and motion. The camera jumps near scene boundaries."""
-    moved = camera.pursue(camera.near_boundaries(plan, boundaries, conf), conf)
+def camera_path(plan: DataFrame, boundaries: DataFrame | None = None, conf: Settings = DEFAULTS) -> DataFrame:
+    """The smoothed path of a composition: path_x, path_y, path_zoom and motion. The camera jumps near scene boundaries;
+    without ``boundaries`` the plan says in ``near`` where these are."""
+    moved = camera.pursue(plan if boundaries is None else camera.near_boundaries(plan, boundaries, conf), conf)
     aimed = moved.select("video_id", "frame_number", "timestamp", "near", F.col("path_x").alias("center_x"), F.col("path_y").alias("center_y"), F.col("path_zoom").alias("zoom"))
     smooth = camera.smooth(aimed, conf).drop("center_x", "center_y", "zoom", "part")
     return smooth.withColumnsRenamed({"smooth_x": "path_x", "smooth_y": "path_y", "smooth_zoom": "path_zoom"})
@@ -71,11 +73,28 @@ def crop_plan(path: DataFrame, ranked: DataFrame, conf: Settings = DEFAULTS) ->
 
 def reframe(frames: DataFrame, faces: DataFrame, speech: DataFrame, energy: DataFrame, boundaries: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """The crop of each frame, from tracked faces on: speakers, importance, shots, framing, pursuit, smoothing and panning."""
-    ranked, rapid = rank_faces(faces, speech, energy, conf)
-    return crop_plan(camera_path(composition(frames, ranked, rapid, conf=conf), boundaries, conf), ranked, conf)
+    return stages(frames, faces, speech, energy, boundaries, conf).results("crops")[0]
 
 
 def metrics(made: DataFrame, faces: DataFrame, path: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """All metrics of a reframed video: how its faces are shown (see :func:`framewell.plans.camera.visibility_metrics`), and how
     the camera moved. ``path`` has motion and ``near``; its jumps away from boundaries are unnecessary cuts."""
     return camera.visibility_metrics(made, faces, conf).join(camera.path_metrics(path, conf).drop("n_frames"), "video_id", "left")
+
+
+def stages(frames: DataFrame, faces: DataFrame, speech: DataFrame, energy: DataFrame, boundaries: DataFrame, conf: Settings = DEFAULTS) -> StageGraph:
+    """The chain as a graph: ``scored``, ``ranked``, ``rapid``, ``shots``, ``marked`` (frames near boundaries), ``composition``, ``path``,
+    ``crops`` and ``metrics``. What the results asked for have in common is worked out once (see :mod:`framewell.operators.store`);
+    the inputs are stored too, since look-ups read theirs twice."""
+    graph = StageGraph(frames.sparkSession, conf)
+    for name, df in (("frames", frames), ("faces", faces), ("speech", speech), ("energy", energy), ("boundaries", boundaries)):
+        graph.input(name, df, keep=True)
+    graph.stage("scored", lambda f, s, e: people.speaker_scores(people.signals(f, s, e, conf=conf), conf), "faces", "speech", "energy")
+    graph.stage("ranked", lambda s: people.importance(people.recent_speaker(s, conf), conf), "scored")
+    graph.stage("rapid", lambda s: people.rapid_discussion(people.speaker_segments(s, conf), conf), "scored")
+    graph.stage("shots", lambda r, q: people.shots(r, q, conf), "ranked", "rapid")
+    graph.stage("marked", lambda f, b: camera.near_boundaries(f, b, conf), "frames", "boundaries")
+    graph.stage("composition", lambda f, r, q: composition(f, r, q, conf=conf), "marked", "ranked", "rapid")
+    graph.stage("path", lambda c: camera_path(c, conf=conf), "composition")
+    graph.stage("crops", lambda p, r: crop_plan(p, r, conf), "path", "ranked")
+    return graph.stage("metrics", lambda c, f, p: metrics(c, f, p, conf), "crops", "faces", "path")

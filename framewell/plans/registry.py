@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from framewell.plans import camera, people, ranking, tracking, windows
+from framewell.plans import camera, people, ranking, reframe, tracking, windows
 
 Stage = Callable[..., DataFrame]
 
@@ -22,7 +22,7 @@ _STAGES: dict[str, dict[str, Stage]] = {
     "scene_detector": {"histogram": camera.scene_cuts},
     "speaker_estimator": {"fusion": people.speaker_scores},
     "importance_scorer": {"fusion": people.importance},
-    "composition_planner": {"heuristic": people.shots},
+    "composition_planner": {"heuristic": reframe.composition},
     "camera_planner": {"pursuit": camera.pursue},
     "temporal_smoother": {"ema": camera.smooth},
     "enrichment": {"transcript": windows.transcript_signals, "scene": windows.scene_signals},

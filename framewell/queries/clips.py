@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewell.functions.scoring import CHARGED, EMOTION_INTENSITY
-from framewell.plans import quality, ranking, windows
+from framewell.plans import analyzers, quality, ranking, windows
 from framewell.queries.domain import sql, table
 
 R = "CAST(round({}, 6) AS DOUBLE)"
@@ -70,6 +70,25 @@ def issues_text(spark, d):
     return out.select("video_id", "pos", "index", "passed", F.array_join(F.transform("issues", lambda x: F.concat(x.code, F.lit(": "), x.message)), "; ").alias("issues"))
 
 
+def _by_clock(text, start, end):
+    """Lines of a text whose second is a multiple of five; some windows are refused, some answered badly."""
+    if int(start) % 7 == 3:
+        raise analyzers.Refused("not this window")
+    if int(start) % 7 == 5:
+        return "no clips"
+    out = []
+    for line in text.split("\n"):
+        h, m, sec = map(int, line[1:9].split(":"))
+        at = h * 3600 + m * 60 + sec
+        out += [{"start_seconds": float(at), "end_seconds": at + 30.0, "viral_score": float(len(line) % 11)}] if at % 5 == 0 else []
+    return out
+
+
+def _analyzed(s, d):
+    analyzers.register_analyzer(s, "clips_by_clock", _by_clock)
+    return analyzers.analyzed(analyzers.window_texts(table(s, d, "long_segments")), "clips_by_clock").select("video_id", "window_index", "pos", "start_seconds", "end_seconds", "viral_score", "failure_kind")
+
+
 QUERIES = {
     "dialogue_density": lambda s, d: ranking.dialogue_density(*_clips(s, d)).select("video_id", "pos", F.round("dialogue_density", 6).alias("dialogue_density")),
     "rank_score": lambda s, d: ranking.score_clips(*_clips(s, d)).select("video_id", "pos", "emotion_intensity", F.round("length_score", 6).alias("length_score"), "rank_score"),
@@ -80,6 +99,7 @@ QUERIES = {
     "quality_issues": issues_text,
     "quality_filter": lambda s, d: quality.passed_clips(*_clips(s, d)).select("video_id", "pos"),
     "transcript_windows": lambda s, d: windows.transcript_windows(table(s, d, "long_segments")),
+    "window_analysis": _analyzed,
     "window_overlap_join": lambda s, d: windows.window_lines(table(s, d, "long_segments")).groupBy("video_id", "index").agg(F.count("*").alias("n_lines"), F.min("seconds").alias("first_line"), F.max("seconds").alias("last_line")),
     "merge_window_clips": lambda s, d: windows.merge_window_clips(table(s, d, "clips").withColumn("window_index", F.col("pos") % 4)).select("video_id", "start_seconds", "end_seconds", "window_index", "pos"),
     "signal_score": lambda s, d: windows.transcript_signals(table(s, d, "segments")).select("video_id", "pos", "start_seconds", F.round("end_seconds", 6).alias("end_seconds"), F.round("score", 6).alias("score"), "label", "details"),
@@ -123,6 +143,14 @@ SELECT video_id, pos FROM first_ WHERE fine AND (fingerprint = '' OR head >= ind
     "transcript_windows": sql("""WITH ends AS (SELECT video_id, min(seconds) AS head, max(seconds) + 5 AS total FROM long_segments GROUP BY 1),
 numbered AS (SELECT *, unnest(range(0, CASE WHEN total <= 600 THEN 1 ELSE greatest(CAST(ceil((total - head - 600) / 540e0) AS BIGINT), 0) + 1 END)) AS index FROM ends)
 SELECT video_id, index, head + index * 540e0 AS start_seconds, CASE WHEN total <= 600 THEN total ELSE least(head + index * 540e0 + 600, total) END AS end_seconds FROM numbered""", "long_segments"),
+    "window_analysis": sql("""WITH ends AS (SELECT video_id, min(seconds) AS head, max(seconds) + 5 AS total FROM long_segments GROUP BY 1),
+numbered AS (SELECT *, unnest(range(0, CASE WHEN total <= 600 THEN 1 ELSE greatest(CAST(ceil((total - head - 600) / 540e0) AS BIGINT), 0) + 1 END)) AS index FROM ends),
+wins AS (SELECT video_id, index, head + index * 540e0 AS a, CASE WHEN total <= 600 THEN total ELSE least(head + index * 540e0 + 600, total) END AS b FROM numbered),
+lines AS (SELECT *, coalesce(lead(seconds) OVER (PARTITION BY video_id ORDER BY seconds, pos), seconds + 5) AS e, length('[00:00:00] ' || speaker || ': ' || text) AS long FROM long_segments),
+met AS (SELECT w.video_id, index, a, seconds, pos, long FROM wins w JOIN lines l ON l.video_id = w.video_id AND l.e > w.a AND l.seconds < w.b)
+SELECT video_id, index AS window_index, row_number() OVER (PARTITION BY video_id, index ORDER BY seconds, pos) - 1 AS pos, seconds AS start_seconds, seconds + 30 AS end_seconds, CAST(long % 11 AS DOUBLE) AS viral_score, CAST(NULL AS VARCHAR) AS failure_kind
+FROM met WHERE CAST(a AS BIGINT) % 7 NOT IN (3, 5) AND CAST(seconds AS BIGINT) % 5 = 0
+UNION ALL SELECT DISTINCT video_id, index, NULL, NULL, NULL, NULL, CASE CAST(a AS BIGINT) % 7 WHEN 3 THEN 'refused' ELSE 'bad_answer' END FROM met WHERE CAST(a AS BIGINT) % 7 IN (3, 5)""", "long_segments"),
     "window_overlap_join": sql("""WITH ends AS (SELECT video_id, min(seconds) AS head, max(seconds) + 5 AS total FROM long_segments GROUP BY 1),
 numbered AS (SELECT *, unnest(range(0, CASE WHEN total <= 600 THEN 1 ELSE greatest(CAST(ceil((total - head - 600) / 540e0) AS BIGINT), 0) + 1 END)) AS index FROM ends),
 wins AS (SELECT video_id, index, head + index * 540e0 AS a, CASE WHEN total <= 600 THEN total ELSE least(head + index * 540e0 + 600, total) END AS b FROM numbered),

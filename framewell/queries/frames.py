@@ -96,18 +96,25 @@ def _rapid(s, d):
     return people.rapid_discussion(people.speaker_segments(_speakers(s, d)))
 
 
+def _chain(s, d, *wanted):
+    """Results of the reframing chain over faces, which are read once."""
+    graph = reframe.stages(_all_frames(s, d), _faces(s, d), _speech(s, d), _energy(s, d), _cuts(s, d))
+    return graph.results(*wanted)
+
+
 def _shots(s, d):
-    return people.shots(_important(s, d), _rapid(s, d)).select("video_id", "frame_number", "shot_type", F.array_join("targets", ",").alias("targets"), "reason")
+    return _chain(s, d, "shots")[0].select("video_id", "frame_number", "shot_type", F.array_join("targets", ",").alias("targets"), "reason")
 
 
 def _all_frames(s, d):
     """Frames with faces, and as many without, half-way to the next."""
     seen = _faces(s, d).select("video_id", "frame_number", "timestamp").distinct()
-    return seen.unionByName(seen.select("video_id", (F.col("frame_number") + 10_000_000).alias("frame_number"), (F.col("timestamp") + 0.25).alias("timestamp")))
+    both = F.array(F.struct("frame_number", "timestamp"), F.struct((F.col("frame_number") + 10_000_000).alias("frame_number"), (F.col("timestamp") + 0.25).alias("timestamp")))
+    return seen.select("video_id", F.inline(both))
 
 
 def _composed(s, d):
-    return reframe.composition(_all_frames(s, d), _important(s, d), _rapid(s, d))
+    return _chain(s, d, "composition")[0].drop("near")
 
 
 def _cuts(s, d):
@@ -118,15 +125,8 @@ def _near(s, d):
     return camera.near_boundaries(_faces(s, d).select("video_id", "frame_number", "timestamp").distinct(), _cuts(s, d))
 
 
-def _reframed(s, d):
-    ranked = _important(s, d)
-    path = reframe.camera_path(reframe.composition(_all_frames(s, d), ranked, _rapid(s, d)), _cuts(s, d))
-    return reframe.crop_plan(path, ranked), path
-
-
 def _reframe_metrics(s, d):
-    made, path = _reframed(s, d)
-    return reframe.metrics(made, _faces(s, d), path).select("video_id", *_r("average_visibility", "clipped_percent", "average_empty_space"), "frame_count", "face_frame_count", F.round("movement", 3).alias("movement"), F.round("jitter", 2).alias("jitter"), "cuts")
+    return _chain(s, d, "metrics")[0].select("video_id", *_r("average_visibility", "clipped_percent", "average_empty_space"), "frame_count", "face_frame_count", F.round("movement", 3).alias("movement"), F.round("jitter", 2).alias("jitter"), "cuts")
 
 
 def _frames(s, d):
@@ -173,7 +173,7 @@ QUERIES = {
     "near_boundary": lambda s, d: _near(s, d).select("video_id", "frame_number", F.col("near").cast("int").alias("near")),
     "scene_at": lambda s, d: camera.scene_at(_frames(s, d), camera.scene_segments(camera.merge_boundaries(_boundaries(s, d)), table(s, d, "frames").groupBy("video_id").agg((F.count("*") * 0.4).alias("duration")))).select("video_id", "frame_number", "scene"),
     "composition_plan": lambda s, d: _composed(s, d).select("video_id", "frame_number", "shot_type", F.array_join("targets", ",").alias("targets"), *_r("zoom_multiplier", "center_x", "center_y", "zoom", "crop_height")),
-    "reframe_crops": lambda s, d: _reframed(s, d)[0].select("video_id", "frame_number", *_r("x", "y", "w", "h"), "track"),
+    "reframe_crops": lambda s, d: _chain(s, d, "crops")[0].select("video_id", "frame_number", *_r("x", "y", "w", "h"), "track"),
     "reframe_metrics": _reframe_metrics,
     "fixed_crop_size": lambda s, d: camera.fixed_size(_crop_rows(s, d).withColumn("w", F.when(F.col("video_id") % 3 == 0, F.lit(607.5)).otherwise(F.col("w")))),
     "render_times": lambda s, d: camera.render_times(camera.crop_segments(_crop_rows(s, d)), _crop_rows(s, d).filter("video_id % 2 = 0").groupBy("video_id").agg((F.max("timestamp") + 1.5).alias("duration"))).select("video_id", *_r("start_time", "end_time", "x", "y", "w", "h")),
