@@ -74,10 +74,13 @@ def look_up(left: DataFrame, right: DataFrame, keys: list[str], time: str, wante
         return found.select(*left.columns, *[F.col(f"_got_{n}").alias(n) for n in wanted])
     edge = {"backward": F.max, "forward": F.min}
     held = lambda c: F.when(F.col(f"_of_{c}").isNotNull(), F.struct(time, *of, F.col(f"_of_{c}").alias("v")))
-    edges = both.filter(known).groupBy(*within).agg(*[edge[d](held(c)).getField("v").alias(f"_edge_{n}") for n, (c, d) in wanted.items()])
-    along = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    placed = lambda df: df.withColumn("_bucket", F.floor(F.col(time) / bucket))
+    edges = placed(right).groupBy(*within).agg(*[edge[d](held(c)).getField("v").alias(f"_edge_{n}") for n, (c, d) in wanted.items()])
+    asked = placed(left).select(*within).distinct().filter(F.col("_bucket").isNotNull()).withColumn("_asked", F.lit(True))
+    along = Window.partitionBy(*keys).rangeBetween(Window.unboundedPreceding, -1)  # buckets before a bucket, by number
     buckets = {"backward": along.orderBy("_bucket"), "forward": along.orderBy(F.desc("_bucket"))}
-    reach = edges.select(*within, *[F.last(f"_edge_{n}", ignorenulls=True).over(buckets[d]).alias(f"_far_{n}") for n, (_, d) in wanted.items()])
+    reach = asked.unionByName(edges, allowMissingColumns=True)
+    reach = reach.select(*within, "_asked", *[F.last(f"_edge_{n}", ignorenulls=True).over(buckets[d]).alias(f"_far_{n}") for n, (_, d) in wanted.items()]).filter("_asked").drop("_asked")
     joined = found.join(reach, within, "left")
     return joined.select(*left.columns, *[F.coalesce(f"_got_{n}", f"_far_{n}").alias(n) for n in wanted])
 
