@@ -1,12 +1,14 @@
 """WARC archives: write, read back, and resolve revisits by payload digest.
 
-Headers (page, payload size, digest) are made on the JVM and only they are shuffled by digest: equal payloads of at
-least ``revisit_bytes`` meet their original, the one with the smallest page id, and become revisit records that refer to
-it. A map-side minimum per digest goes before that shuffle, so a digest that a third of all pages share costs a row per
-task. The payloads are then written with fresh headers, each page once.
-
-Archives are gzipped text output whose line separator is the record separator, so any file system that Spark writes to
-will do. They are read as whole files, so their size before compression is kept near ``archive_mb``; plain archives are
+Headers (page, payload size, digest) are stored, and only they are shuffled by digest: of equal payloads of at least
+``revisit_bytes`` the one with the smallest page id is the original, and the others become revisit records that refer to it.
+A map-side minimum per digest goes before that shuffle, so a digest that a third of all pages share costs a row per task.
+The originals that have revisits go to the pages in place: they are broadcast if they are few, and only beyond that bound
+do payloads move. Payloads are then written with fresh headers where they were read, each page once.
+
+A record is a gzip member of its own, so a reader can seek to it; the line ends behind it are a member too. Archives are
+text output whose line separator is that second member, so any file system that Spark writes to will do. They are read
+as whole files, so their size before compression is kept near ``archive_mb``; archives of one member, and plain ones, are
 read too.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -21,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewell.llm.shared import BATCH_ROWS, small_batches, small_join, stash
+
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 #: The first bytes of a gzipped file.
 GZIP = b"\x1f\x8b"
@@ -44,12 +49,22 @@ def headers(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("payload_bytes"), F.sha2(payload(), 256).alias("payload_digest"))
 
 
-def resolve(found: DataFrame, conf: Warc) -> DataFrame:
-    """The revisits among headers: page_id, payload_digest, and refers_to, the page of the original response."""
-    originals = found.filter((F.col("payload_bytes") >= conf.revisit_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = found.filter(F.col("payload_bytes") >= conf.revisit_bytes).join(originals, "payload_digest", "left")
-    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return joined.filter(revisit).select("page_id", "payload_digest", F.col("original").alias("refers_to"))
+def originals(found: DataFrame, conf: Warc) -> DataFrame:
+    """Of headers, the digests that more than one record has, and the page whose response the others refer to: payload_digest, original."""
+    long = found.filter(F.col("payload_bytes") >= conf.revisit_bytes)
+    grouped = long.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n"))
+    return grouped.filter("n > 1 AND original IS NOT NULL").drop("n")
+
+
+def member(raw: bytes) -> bytes:
+    """A gzip member; the same bytes give the same member."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(raw) + pack.flush()
+
+
+def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"value": pa.array([member(x.as_buffer()) for x in batch.column(0)], pa.binary())})
 
 
 def _uuid(*parts: Column) -> Column:
@@ -64,15 +79,14 @@ def write_archives(pages: DataFrame, path: str, conf: Warc = Warc()) -> None:
     null page_id gives a record without page id, which never is an original. Payloads under ``revisit_bytes`` are always
     responses, as are repeated rows of the page that is the original.
     """
-    found = headers(pages)
-    revisits = resolve(found, conf)
+    found = stash(headers(pages))
+    first = stash(originals(found, conf))
+    size, n = found.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.nullif(F.regexp_replace("url", r"[\x00-\x20]+", ""), F.lit("")), F.lit("unknown:")).alias("url"), F.coalesce("html", F.lit("")).alias("body"))
-    size = int(rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0)
-    rows = rows.withColumn("payload_digest", F.sha2(F.encode("body", "UTF-8"), 256))
-    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_key")
-    decided = revisits.select(key, "payload_digest", "refers_to").dropDuplicates(["page_key", "payload_digest"])
-    files = max(1, -(-size // (conf.archive_mb << 20)))
-    rows = rows.withColumn("page_key", key).repartition(files, "page_key", "payload_digest").join(decided, ["page_key", "payload_digest"], "left")
+    rows = small_join(rows.withColumn("payload_digest", F.sha2(F.encode("body", "UTF-8"), 256)), first, ["payload_digest"], "left")
+    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
+    rows = rows.withColumn("refers_to", F.when(revisit, F.col("original")))
+    each = max(1, (conf.archive_mb << 20) // max(1, size // max(1, n) + 500))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     is_revisit = F.col("refers_to").isNotNull()
     body = F.when(is_revisit, F.lit("")).otherwise(F.col("body"))
@@ -91,7 +105,10 @@ def write_archives(pages: DataFrame, path: str, conf: Warc = Warc()) -> None:
         F.lit("\r\n"),
         body,
     )
-    rows.select(record.alias("value")).write.text(path, compression="gzip", lineSep="\r\n\r\n")
+    with small_batches(pages.sparkSession, BATCH_ROWS):
+        packed = rows.select(F.encode(record, "UTF-8").alias("value")).mapInArrow(_members, "value binary")
+        between = member(b"\r\n\r\n").decode("latin-1")
+        packed.select(F.col("value").cast("string")).write.options(maxRecordsPerFile=each, encoding="ISO-8859-1").text(path, lineSep=between)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
