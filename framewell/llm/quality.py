@@ -31,10 +31,10 @@ N_FEATURES = 18
 @dataclass(frozen=True)
 class Quality:
     """``sample``: at most so many labelled documents are used to fit, those with the smallest hash of their id. ``epochs`` fit the
-    numbers alone; then all is fitted together, ``joint_epochs`` times and ``joint_steps`` steps at least. ``width`` 0: no embeddings."""
+    numbers alone; then all is fitted together, ``joint_epochs`` times and ``joint_steps`` steps at least. ``width`` 0: no embeddings. ``buckets``: 65536 at most."""
 
     passage_words: int = 64
-    sample: int = 3000
+    sample: int = 2000
     buckets: int = 1 << 14
     width: int = 8
     joint_epochs: int = 6
@@ -275,19 +275,20 @@ def learn(documents: DataFrame, labels: DataFrame, conf: Quality) -> Model:
                 told = [(b"", b"", b"")] * len(parts)
                 if found is not None:
                     passage, bucket, weight = found.sparse(conf.buckets)
-                    at = np.searchsorted(passage, first)
-                    told = [((passage[a:b] - f).astype("<i4").tobytes(), bucket[a:b].astype("<i4").tobytes(), weight[a:b].astype("<f4").tobytes()) for a, b, f in zip(at[:-1], at[1:], first[:-1], strict=True)]
+                    n = np.bincount(passage, minlength=first[-1])
+                    at = np.concatenate([[0], np.cumsum(n)])
+                    told = [(n[a:b].astype("<u4").tobytes(), bucket[at[a] : at[b]].astype("<u2").tobytes(), weight[at[a] : at[b]].astype("<f2").tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
                 columns = [pa.array(c, pa.binary()) for c in zip(*told, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(parts)), pa.array(parts, pa.binary()), *columns], names=["doc_id", "x", "passage", "bucket", "weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(parts)), pa.array(parts, pa.binary()), *columns], names=["doc_id", "x", "n", "bucket", "weight"])
 
-    found = rows.mapInArrow(run, "doc_id long, x binary, passage binary, bucket binary, weight binary").dropDuplicates(["doc_id"]).collect()
+    found = rows.mapInArrow(run, "doc_id long, x binary, n binary, bucket binary, weight binary").dropDuplicates(["doc_id"]).collect()
     found.sort(key=lambda r: r.doc_id)
     bags = [np.frombuffer(r.x, "<f4").reshape(-1, N_FEATURES).astype(np.float64) for r in found]
     first = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
     entries = None
     if conf.width and found:
-        passage = np.concatenate([np.frombuffer(r.passage, "<i4") + f for r, f in zip(found, first[:-1], strict=True)])
-        entries = (passage.astype(np.int64), np.concatenate([np.frombuffer(r.bucket, "<i4") for r in found]), np.concatenate([np.frombuffer(r.weight, "<f4") for r in found]))
+        join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in found), kind)
+        entries = (np.repeat(np.arange(first[-1], dtype=np.int32), join("n", "<u4")), join("bucket", "<u2"), join("weight", "<f2"))
     return fit(np.concatenate(bags) if bags else np.zeros((0, N_FEATURES)), first, np.array([named[r.doc_id] for r in found]), conf, entries)
 
 
