@@ -4,8 +4,10 @@ All rolling hashes of ``k`` words of the documents are joined with the places wh
 match counts if the words are the same. Each match votes for the diagonal ``place in text - place in template``. An
 undisturbed copy of a template puts all its votes on one diagonal; words that were put in or left out move the rest to a
 neighbouring one, so diagonals at most ``gap`` apart are merged. A merged span is verified: its matches are at least
-``coverage`` of the template's k-grams, each counted once; its length is near the template's; and it has the same words of
-:data:`MARKS` as the template, which tell licenses of one family apart. Where spans of different labels overlap, the best
+``coverage`` of the template's k-grams, each counted once; its length is near the template's; it has the same words of
+:data:`MARKS` as the template, which tell licenses of one family apart; and it is aligned with the template along its
+matches: where a telling word (see :func:`telling`) is missing, no word may stand that is in no template, unless it is the
+same word misspelt. So a notice with another license's name, or with "denied" for "granted", is none. Where spans of different labels overlap, the best
 covered one stays. The templates are a fixed list, so they are the broadcast side.
 
 Documents without any of :func:`anchors`' words can't reach the coverage, so their words are not taken apart.
@@ -49,6 +51,10 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl", "subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution"),
 ]
 #: Words by which a license differs from others of its family.
 MARKS = "lesser library affero nc noncommercial commercial sa sharealike alike nd noderivatives noderivs derivatives".split()
@@ -63,6 +69,42 @@ class LicenseScan:
     gap: int = 3
     coverage: float = 0.75
     stretch: float = 1.5
+    context: int = 8
+
+
+def telling() -> list[str]:
+    """Words that tell templates apart: those that stand in templates of at most a quarter of the labels."""
+    labels = {label for label, _ in TEMPLATES}
+    of: dict[str, set[str]] = {}
+    for label, text in TEMPLATES:
+        for word in text.split():
+            of.setdefault(word, set()).add(label)
+    return sorted(w for w, own in of.items() if 4 * len(own) <= len(labels))
+
+
+def foreign(said: Column, missing: Column) -> Column:
+    """Whether words of a text stand in place of the ``missing`` ones of a template that change what it says: a telling word is
+    missing, and a word is there that is in no template and is none of the missing ones misspelt. :data:`MARKS` have a rule of their own."""
+    known = sorted({w for _, text in TEMPLATES for w in text.split()} | set(MARKS))
+    near = lambda s: F.exists(missing, lambda t: F.levenshtein(s, t) * 4 <= F.length(t))
+    return F.exists(missing, lambda t: t.isin(telling())) & F.exists(said, lambda s: ~s.isin(known) & ~near(s))
+
+
+def altered(pairs: Column, template: Column, conf: LicenseScan) -> Column:
+    """Whether a span says something else than its template: :func:`foreign` words before, between or behind its matches.
+
+    ``pairs``: the matches in order, with place, at, and the ``context`` words before (``behind``) and after (``ahead``) them."""
+    k = conf.k
+    part = lambda w, first, n: F.slice(w, F.greatest(first, F.lit(1)), F.greatest(n, F.lit(0)))
+    first, last = F.get(pairs, F.lit(0)), F.get(pairs, F.size(pairs) - 1)
+    ahead = F.least(first["at"], F.size(first["behind"]))
+    before = foreign(part(first["behind"], F.size(first["behind"]) - ahead + 1, ahead), part(template, F.lit(1), first["at"]))
+    left = F.size(template) - last["at"] - k
+    after = foreign(part(last["ahead"], F.lit(1), left), part(template, last["at"] + k + 1, left))
+    steps = F.zip_with(F.slice(pairs, F.lit(1), F.size(pairs) - 1), F.slice(pairs, F.lit(2), F.size(pairs)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    gap = lambda x: foreign(part(x["a"]["ahead"], F.lit(1), x["b"]["place"] - x["a"]["place"] - k), part(template, x["a"]["at"] + k + 1, x["b"]["at"] - x["a"]["at"] - k))
+    broken = lambda x: (x["b"]["place"] - x["a"]["place"] > k) & (x["b"]["at"] - x["a"]["at"] > k)
+    return before | after | F.exists(F.filter(steps, broken), gap)
 
 
 def words(text: Column) -> Column:
@@ -105,18 +147,19 @@ def spans(documents: DataFrame, conf: LicenseScan) -> DataFrame:
     hashed = F.transform(rolling(F.col("w"), conf.k), lambda g, i: F.when(g.isin(known), F.struct(i.alias("place"), g.alias("gram"))))
     # before the words are dealt out as rows: once a text, and only the places of template hashes
     texts = texts.select("doc_id", "text_hash", "w", F.array_compact(hashed).alias("hits")).filter(F.size("hits") > 0).withColumn("marks", marks)
-    rolled = texts.select("doc_id", "text_hash", "marks", F.explode(F.transform("hits", lambda h: F.struct(h.place.alias("place"), h.gram.alias("gram"), F.slice("w", h.place + 1, conf.k).alias("said")))).alias("hit")).select("doc_id", "text_hash", "marks", "hit.*")
+    rolled = texts.select("doc_id", "text_hash", "marks", F.explode(F.transform("hits", lambda h: F.struct(h.place.alias("place"), h.gram.alias("gram"), F.slice("w", h.place + 1, conf.k).alias("said"), F.slice("w", h.place + 1 + conf.k, F.lit(conf.context)).alias("ahead"), F.slice("w", F.greatest(h.place + 1 - conf.context, F.lit(1)), F.least(h.place, F.lit(conf.context))).alias("behind")))).alias("hit")).select("doc_id", "text_hash", "marks", "hit.*")
     votes = rolled.join(F.broadcast(grams), "gram").filter(F.col("said") == F.col("expected")).withColumn("diagonal", F.col("place") - F.col("at"))
-    votes = votes.groupBy("doc_id", "text_hash", "template", "label", "n_template", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("place").alias("first_word"), (F.max("place") + conf.k).alias("end_word"), F.first("marks").alias("marks"), F.first("own").alias("own"))
+    votes = votes.groupBy("doc_id", "text_hash", "template", "label", "n_template", "diagonal").agg(F.collect_set("at").alias("ats"), F.collect_set(F.struct("place", "at", "ahead", "behind")).alias("pairs"), F.min("place").alias("first_word"), (F.max("place") + conf.k).alias("end_word"), F.first("marks").alias("marks"), F.first("own").alias("own"))
     along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(along)
     merged = votes.withColumn("new", F.coalesce((step > conf.gap).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(along))
-    merged = merged.groupBy("doc_id", "text_hash", "template", "label", "n_template", "island").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.first("marks").alias("marks"), F.first("own").alias("own"))
+    merged = merged.groupBy("doc_id", "text_hash", "template", "label", "n_template", "island").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.first("marks").alias("marks"), F.first("own").alias("own"))
     share = F.col("votes") / (F.col("n_template") - (conf.k - 1))
     near = (F.col("end_word") - F.col("first_word")) <= F.col("n_template") * conf.stretch
     inside = F.transform(F.filter("marks", lambda m: (m.at >= F.col("first_word")) & (m.at < F.col("end_word"))), lambda m: m.word)
     same = (F.size(F.array_except(inside, "own")) == 0) & (F.size(F.array_except("own", inside)) == 0)
     found = merged.withColumn("coverage", share).filter((F.col("coverage") >= conf.coverage) & near & same)
+    found = found.join(F.broadcast(listed.select("template", F.col("w").alias("words"))), "template").filter(~altered(F.col("pairs"), F.col("words"), conf))
     return found.select("doc_id", "text_hash", "label", "first_word", "end_word", "coverage", "n_template")
 
 
