@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewell.functions import render
-from framewell.plans import export, windows
+from framewell.plans import episodes, export, windows
+from framewell.queries.clips import KEPT, SCORED, _facts_sql, _variety
 from framewell.queries.domain import sql, table
 from framewell.sources import payloads, transcripts
 
@@ -38,8 +39,16 @@ def _filters(s, d):
     return s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", render.crop_filter(*[c.cast("double") for c in box]).alias("crop"), render.center_crop_filter(F.col("l_partkey").cast("double"), F.col("l_suppkey").cast("double") + 1).alias("center"))
 
 
+def _exported(s, d):
+    known = _durations(s, d).selectExpr("video_id", "concat('ep', video_id) AS episode", "'v.mp4' AS source", "'t.srt' AS transcript", "duration")
+    made = episodes.stages(known, table(s, d, "clips"), table(s, d, "segments")).results("manifests")[0]
+    clips = F.from_json("manifest", "clips array<struct<index: bigint, rank: bigint, subtitles: string>>").clips
+    return made.select("video_id", "clips_analyzed", "clips_ranked", "clips_rejected", "clips_exported", F.array_join(F.transform(clips, lambda c: F.concat_ws(":", c["index"].cast("string"), c["rank"].cast("string"), c.subtitles)), ",").alias("clips"))
+
+
 QUERIES = {
     "clip_prompt": lambda s, d: export.clip_prompts(table(s, d, "clips"), table(s, d, "segments")).select("video_id", "pos", F.md5("prompt").alias("prompt")),
+    "episode_exports": _exported,
     "cuttable_clips": lambda s, d: export.cuttable(table(s, d, "clips"), _durations(s, d)).select("video_id", "pos", "index"),
     "pasted_transcript": lambda s, d: transcripts.tidy_pasted(_pasted(s, d)).select("video_id", F.md5("content").alias("content")),
     "video_metadata": _video,
@@ -52,6 +61,15 @@ QUERIES = {
 _CLOCK = "printf('%02d:%02d:%02d', CAST({0} AS BIGINT) // 3600, CAST({0} AS BIGINT) // 60 % 60, CAST({0} AS BIGINT) % 60)"
 ORACLE_SQL = {
     "clip_prompt": sql(f"SELECT c.video_id, c.pos, md5(coalesce(string_agg('[' || {_CLOCK.format('s.seconds')} || '] ' || s.speaker || ': ' || s.text, chr(10) ORDER BY s.seconds, s.pos), '')) AS prompt FROM clips c LEFT JOIN segments s ON s.video_id = c.video_id AND s.seconds >= c.start_seconds AND s.seconds < c.end_seconds GROUP BY 1, 2", "clips", "segments"),
+    "episode_exports": sql(f"""WITH {SCORED}, {KEPT}, ranked AS (SELECT video_id, rank, pos, end_seconds FROM {_variety('kept', 10)}), {_facts_sql()},
+own AS (SELECT r.video_id, r.rank, r.end_seconds, f.fingerprint, f.duration_seconds BETWEEN 20 AND 90 AND f.silence_ratio <= 0.6e0 AND f.viral_score >= 5 AND NOT f.repeated AS fine FROM ranked r JOIN facts f USING (video_id, pos)),
+heads AS (SELECT *, min(CASE WHEN fine THEN rank END) OVER (PARTITION BY video_id, fingerprint) AS head FROM own),
+judged AS (SELECT *, fine AND (fingerprint = '' OR head >= rank) AS passed FROM heads),
+cut AS (SELECT video_id, rank, row_number() OVER (PARTITION BY video_id ORDER BY rank) AS index FROM judged WHERE passed AND end_seconds <= {_DUR}),
+told AS (SELECT video_id, count(*) AS clips_ranked, count(*) FILTER (NOT passed) AS clips_rejected FROM judged GROUP BY 1),
+listed AS (SELECT video_id, count(*) AS clips_exported, string_agg(index || ':' || rank || ':ep' || video_id || '/subtitles/clip' || index || '.srt', ',' ORDER BY index) AS clips FROM cut GROUP BY 1)
+SELECT video_id, clips_analyzed, coalesce(clips_ranked, 0) AS clips_ranked, coalesce(clips_rejected, 0) AS clips_rejected, coalesce(clips_exported, 0) AS clips_exported, coalesce(clips, '') AS clips
+FROM (SELECT video_id, count(*) AS clips_analyzed FROM clips GROUP BY 1) LEFT JOIN told USING (video_id) LEFT JOIN listed USING (video_id)""", "segments", "clips", recursive=True),
     "cuttable_clips": sql(f"SELECT video_id, pos, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS index FROM clips WHERE end_seconds <= {_DUR}", "clips"),
     "pasted_transcript": sql(f"WITH t AS (SELECT video_id, pos, {_CLOCK.format('(pos * 60 + video_id % 60)')} || ' ' || speaker AS line FROM segments WHERE pos % 4 > 1), v AS (SELECT DISTINCT video_id FROM segments) SELECT v.video_id, md5(coalesce(string_agg(line, chr(10) ORDER BY pos), '') || chr(10)) AS content FROM v LEFT JOIN t ON v.video_id = t.video_id GROUP BY 1", "segments"),
     "video_metadata": "SELECT c_custkey AS key, c_name AS video_id, c_name AS title, CASE WHEN c_custkey % 2 <> 0 THEN 'chan' ELSE 'up' END AS channel, CASE WHEN c_custkey % 5 <> 0 THEN 7.5e0 ELSE 0e0 END AS duration_seconds, CASE WHEN c_custkey % 3 <> 0 THEN 'http://p' ELSE 'https://www.youtube.com/watch?v=' || c_name END AS webpage_url, 'b' AS thumbnail_url FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0",
