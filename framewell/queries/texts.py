@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewell.config import Settings
+from framewell.functions import render
 from framewell.functions.time import format_srt_timestamp, format_timestamp, parse_timestamp
+from framewell.operators.store import shared_folder
 from framewell.plans import subtitles
 from framewell.queries.domain import sql, table
-from framewell.sources import payloads, transcripts
+from framewell.sources import payloads, sound, transcripts
+from framewell.sources.files import write_files
 
 SAID = r"concat('say ', trim(regexp_replace(text, '[\\s:]+', ' '{g})))"
 SAID_SPARK, SAID_SQL = SAID.format(g=""), SAID.format(g=", 'g'").replace("\\\\", "\\")
@@ -53,11 +61,67 @@ def _stamps(s, d):
     return rows.select("stamp", F.round(seconds, 3).alias("seconds"), format_timestamp(seconds).alias("whole"), format_srt_timestamp(seconds).alias("srt"), parse_timestamp(F.concat(F.lit("x"), "stamp")).isNull().alias("refused"))
 
 
-def _captions(s, d):
+def _caption_texts(s, d):
+    """Timed-caption JSON of each video: (video_id, content)."""
     event = F.struct((F.col("seconds") * 1000).alias("tStartMs"), F.array(F.struct(F.concat(F.col("speaker"), F.lit(" ")).alias("utf8")), F.struct(F.col("said").alias("utf8"))).alias("segs"))
     rows = table(s, d, "segments").select("video_id", "pos", "seconds", "speaker", F.expr(SAID_SPARK).alias("said"))
     lists = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("pos", event.alias("e")))).alias("es"))
-    return payloads.caption_segments(lists.select("video_id", F.to_json(F.struct(F.transform("es", lambda x: x.e).alias("events"))).alias("content"))).select("video_id", "pos", "seconds", "text")
+    return lists.select("video_id", F.to_json(F.struct(F.transform("es", lambda x: x.e).alias("events"))).alias("content"))
+
+
+def _captions(s, d):
+    return payloads.caption_segments(_caption_texts(s, d)).select("video_id", "pos", "seconds", "text")
+
+
+def _payloads(s, d):
+    """Subtitle payloads of three formats by video, and some of a format that is not read."""
+    kinds = [("json3", _caption_texts(s, d)), ("vtt", _lines(s, d, "vtt")), (".TTML", _lines(s, d, "inline")), ("lrc", _lines(s, d, "inline"))]
+    parts = [texts.filter(F.col("video_id") % 4 == i).select("video_id", F.lit(kind).alias("format"), "content") for i, (kind, texts) in enumerate(kinds)]
+    return payloads.subtitle_segments(reduce(DataFrame.unionByName, parts))
+
+
+def _written(s, files):
+    """A new folder that holds ``files`` (name, content)."""
+    path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    write_files(files, path)
+    return path
+
+
+def _transcript_files(s, d):
+    """Transcripts written as one file each, srt and vtt, and read back."""
+    both = _lines(s, d, "srt").filter("video_id % 2 = 0").unionByName(_lines(s, d, "vtt").filter("video_id % 2 = 1"))
+    path = _written(s, both.select(F.concat("video_id", F.lit(".txt")).alias("name"), "content"))
+    found = transcripts.read_transcripts(s, f"{path}/*.txt")
+    return found.withColumn("video_id", F.regexp_extract("video_id", r"(\d+)\.txt$", 1).cast("long")).select("video_id", "pos", "start", "seconds", "speaker", "text")
+
+
+def _subtitle_files(s, d):
+    """Subtitle files of clips under their names, read back as bytes."""
+    made = subtitles.srt_files(subtitles.clip_cues(table(s, d, "clips"), table(s, d, "segments")))
+    path = _written(s, made.select(F.concat(F.lit("ep"), "video_id", F.lit("/subtitles/clip"), "pos", F.lit(".srt")).alias("name"), "content"))
+    read = s.read.format("binaryFile").load(f"{path}/ep*/subtitles/*.srt")
+    return read.select(F.regexp_extract("path", r"(ep\d+/subtitles/clip\d+\.srt)$", 1).alias("name"), "length", F.md5("content").alias("content"))
+
+
+def _sound_files(s, d):
+    """A WAV file for each supplier, of 8000 samples a second, written and read in ranges of 3001 bytes."""
+    value = F.col("l_extendedprice").cast("long") % 60000 - 30000
+    little = lambda v, n: F.concat(*[F.lpad(F.hex(F.shiftright(v, 8 * i).bitwiseAND(F.lit(255).cast("long"))), 2, "0") for i in range(n)])
+    rows = s.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", little(value, 2).alias("hex")).alias("x"))
+    lists = rows.groupBy("l_suppkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    size = F.size("xs").cast("long") * 2
+    head = lambda: F.concat(F.lit("52494646"), little(size + 36, 4), F.lit("57415645666D74201000000001000100401F0000803E00000200100064617461"), little(size, 4))
+    content = F.unhex(F.concat(head(), F.array_join(F.transform("xs", lambda x: x.hex), "")))
+    path = _written(s, lists.select(F.concat("l_suppkey", F.lit(".wav")).alias("name"), content.alias("content")))
+    found = sound.loudness(sound.read_wav(s, path, 3001), Settings(audio_window_seconds=0.025))
+    return found.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("video_id"), F.round("timestamp", 6).alias("timestamp"), F.round("energy", 6).alias("energy"))
+
+
+def _scene_log(s, d):
+    line = F.format_string("%sframe %d", F.when(F.col("event_id") % 3 == 0, F.format_string("pts_time:%d.5 ", F.col("event_id") % 500)).otherwise(""), "event_id")
+    line = F.concat(line, F.when(F.col("event_id") % 6 == 0, F.format_string(" scene:0.%d", F.col("event_id") % 90 + 10)).otherwise(""))
+    logs = s.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("video_id")).agg(F.array_join(F.collect_list(line), "\n").alias("content"))
+    return render.scene_log(logs, 0.35).select("video_id", "timestamp", "confidence")
 
 
 def _answers(s, d):
@@ -101,6 +165,11 @@ QUERIES = {
     "vtt_parse": lambda s, d: _parsed(s, d, "vtt"),
     "prompt_text": lambda s, d: transcripts.render_for_prompt(table(s, d, "segments")).select("video_id", F.md5("prompt").alias("prompt")),
     "caption_parse": _captions,
+    "subtitle_payloads": _payloads,
+    "transcript_files": _transcript_files,
+    "subtitle_files": _subtitle_files,
+    "sound_files": _sound_files,
+    "scene_log": _scene_log,
     "clip_answers": _answers,
     "metadata_normalise": _metadata,
     "url_video_id": _video_ids,
@@ -117,6 +186,7 @@ met AS (
   FROM clips c JOIN segments s ON s.video_id = c.video_id AND s.seconds >= c.start_seconds AND s.seconds < c.end_seconds WINDOW w AS (PARTITION BY c.video_id, c.pos ORDER BY s.seconds, s.pos)
 ), one AS (SELECT *, CASE WHEN b0 - a < 0.5e0 THEN least(a + 2.5e0, d) ELSE b0 END AS b1 FROM met),
 cues AS (SELECT video_id, pos, index, round(a, 3) AS start_seconds, round(CASE WHEN b1 <= a THEN least(a + 0.5e0, d) ELSE b1 END, 3) AS end_seconds, text FROM one)"""
+_CLOCK = "printf('%02d:%02d:%02d', CAST(seconds AS BIGINT) // 3600, CAST(seconds AS BIGINT) // 60 % 60, CAST(seconds AS BIGINT) % 60)"
 _SRT = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 
 ORACLE_SQL = {
@@ -129,6 +199,15 @@ SELECT stamp, round(ms / 1000e0, 3) AS seconds, printf('%02d:%02d:%02d', ms // 3
     "srt_parse": _parsed_sql("0.25e0", " and more"),
     "vtt_parse": _parsed_sql("0.25e0"),
     "prompt_text": sql("SELECT video_id, md5(string_agg('[' || printf('%02d:%02d:%02d', CAST(seconds AS BIGINT) // 3600, CAST(seconds AS BIGINT) // 60 % 60, CAST(seconds AS BIGINT) % 60) || '] ' || speaker || ': ' || text, chr(10) ORDER BY seconds, pos)) AS prompt FROM segments GROUP BY 1", "segments"),
+    "subtitle_payloads": sql(f"""SELECT video_id, pos, {_CLOCK} AS start, seconds + CASE WHEN video_id % 4 = 1 THEN 0.25e0 ELSE 0e0 END AS seconds, CASE WHEN video_id % 4 <> 0 THEN speaker END AS speaker,
+  CASE WHEN video_id % 4 = 0 THEN speaker || ' ' ELSE '' END || trim({SAID_SQL}) AS text FROM segments WHERE video_id % 4 <> 3""", "segments"),
+    "transcript_files": sql(f"SELECT video_id, pos, {_CLOCK} AS start, seconds + 0.25e0 AS seconds, speaker, concat(trim({SAID_SQL}), CASE WHEN video_id % 2 = 0 THEN ' and more' ELSE '' END) AS text FROM segments", "segments"),
+    "subtitle_files": sql(f"""WITH {_CUES}, told AS (SELECT video_id, pos, string_agg(index || chr(10) || {_SRT.format('CAST(round(start_seconds * 1000) AS BIGINT)')} || ' --> ' || {_SRT.format('CAST(round(end_seconds * 1000) AS BIGINT)')} || chr(10) || text, chr(10) || chr(10) ORDER BY index) || chr(10) AS content FROM cues GROUP BY 1, 2)
+SELECT 'ep' || video_id || '/subtitles/clip' || pos || '.srt' AS name, CAST(strlen(content) AS BIGINT) AS length, md5(content) AS content FROM told""", "segments", "clips"),
+    "sound_files": """WITH v AS (SELECT l_suppkey AS video_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS n, CAST(floor(l_extendedprice) AS BIGINT) % 60000 - 30000 AS value FROM lineitem),
+r AS (SELECT video_id, n // 200 AS w, sqrt(avg(value * value)) AS rms FROM v GROUP BY 1, 2)
+SELECT video_id, round(w * 0.025e0, 6) AS timestamp, round(rms / max(rms) OVER (PARTITION BY video_id), 6) AS energy FROM r""",
+    "scene_log": "SELECT user_id AS video_id, event_id % 500 + 0.5e0 AS timestamp, CASE WHEN event_id % 6 = 0 THEN (event_id % 90 + 10) / 100e0 ELSE 0.35e0 END AS confidence FROM events WHERE event_id % 3 = 0",
     "caption_parse": sql(f"SELECT video_id, pos, seconds, speaker || ' ' || trim({SAID_SQL}) AS text FROM segments", "segments"),
     "clip_answers": sql("""WITH made AS (SELECT video_id AS key, pos, start_seconds, end_seconds - pos % 3 * 40 AS end_seconds, viral_score, emotion, CASE WHEN pos % 2 = 0 THEN 'why' ELSE 'sum' END AS summary, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS n FROM clips)
 SELECT key, start_seconds, end_seconds, viral_score, emotion, summary FROM made WHERE end_seconds >= 0 AND end_seconds > start_seconds AND (key % 3 <> 2 OR n = 1)""", "clips"),
