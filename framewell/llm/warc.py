@@ -14,7 +14,6 @@ read too.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
@@ -62,6 +61,26 @@ def member(raw: bytes) -> bytes:
     return pack.compress(raw) + pack.flush()
 
 
+#: Bytes that are unpacked at once; what lies behind a member's end is copied, so they are few.
+PIECE = 1 << 14
+
+
+def unpacked(raw: memoryview) -> memoryview:
+    """The content of all members of a gzipped archive."""
+    out, at, unpack, open_ = [], 0, zlib.decompressobj(31), False
+    while at < len(raw):
+        piece = raw[at : at + PIECE]
+        out.append(unpack.decompress(piece))
+        at += len(piece)
+        open_ = not unpack.eof
+        if unpack.eof:
+            at -= len(unpack.unused_data)
+            unpack = zlib.decompressobj(31)
+    if open_:
+        raise ValueError("the archive ends within a member")
+    return memoryview(b"".join(out))
+
+
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_pydict({"value": pa.array([member(x.as_buffer()) for x in batch.column(0)], pa.binary())})
@@ -122,7 +141,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for raw in batch.column(0):
                 data = memoryview(raw.as_buffer())
                 if bytes(data[:2]) == GZIP:
-                    data = memoryview(gzip.decompress(data))
+                    data = unpacked(data)
                 rows: list[tuple] = []
                 at = held = 0
                 while at < len(data):

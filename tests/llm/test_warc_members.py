@@ -6,6 +6,7 @@ import glob
 import gzip
 import zlib
 
+import pytest
 from framewell.llm import warc
 
 SCHEMA = "page_id long, url string, html string"
@@ -39,6 +40,14 @@ def test_each_record_is_a_member(spark, tmp_path) -> None:
     assert all(bytes(r.payload).decode() == (long if r.page_id % 3 else f"{long}{r.page_id}" if r.page_id != 99 else "") for r in got if r.record_type == "response")
 
 
+def test_unpacking_members_of_any_size() -> None:
+    parts = [b"", b"a", b"b" * 100_000, bytes(range(256)) * 300, b"\r\n\r\n"] * 3
+    raw = b"".join(warc.member(x) for x in parts)
+    assert bytes(warc.unpacked(memoryview(raw))) == b"".join(parts)
+    with pytest.raises(ValueError, match="within a member"):
+        warc.unpacked(memoryview(raw[:-3]))
+
+
 def test_small_archives(spark, tmp_path) -> None:
     rows = [(i, "u", "x" * 5000) for i in range(1000)]
     warc.write_archives(spark.createDataFrame([(i, u, f"{i}{t}") for i, u, t in rows], SCHEMA).coalesce(1), str(tmp_path / "w"), warc.Warc(archive_mb=1))
