@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framewell.functions import render
 from framewell.plans import episodes, export, windows
-from framewell.queries.clips import KEPT, SCORED, _facts_sql, _variety
+from framewell.queries.clips import _ISLANDS, KEPT, SCORED, _facts_sql, _variety
 from framewell.queries.domain import sql, table
 from framewell.sources import payloads, transcripts
 
@@ -70,6 +70,10 @@ told AS (SELECT video_id, count(*) AS clips_ranked, count(*) FILTER (NOT passed)
 listed AS (SELECT video_id, count(*) AS clips_exported, string_agg(index || ':' || rank || ':ep' || video_id || '/subtitles/clip' || index || '.srt', ',' ORDER BY index) AS clips FROM cut GROUP BY 1)
 SELECT video_id, clips_analyzed, coalesce(clips_ranked, 0) AS clips_ranked, coalesce(clips_rejected, 0) AS clips_rejected, coalesce(clips_exported, 0) AS clips_exported, coalesce(clips, '') AS clips
 FROM (SELECT video_id, count(*) AS clips_analyzed FROM clips GROUP BY 1) LEFT JOIN told USING (video_id) LEFT JOIN listed USING (video_id)""", "segments", "clips", recursive=True),
+    "episode_report": sql(f"""WITH {_ISLANDS.format(source='signals')}, ranked AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY least(10e0, score * 10) DESC, start_seconds, island) AS rank FROM merged)
+SELECT video_id, md5('# Episode Export Report' || chr(10) || chr(10) || '- Source video: `v.mp4`' || chr(10) || '- Transcript: `t.txt`' || chr(10) || '- Clips exported: ' || video_id % 5 || chr(10) || chr(10) || '## Candidate Windows' || chr(10) || chr(10)
+  || string_agg('- `' || {_CLOCK.format('start_seconds')} || '` → `' || {_CLOCK.format('end_seconds')} || '` score ' || printf('%.1f', floor(least(10e0, score * 10))) || ' (' || array_to_string(list_sort(list_distinct(ls)), ', ') || ')', chr(10) ORDER BY rank) || chr(10)) AS report
+FROM ranked WHERE rank <= 3 GROUP BY video_id""", "signals"),
     "cuttable_clips": sql(f"SELECT video_id, pos, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS index FROM clips WHERE end_seconds <= {_DUR}", "clips"),
     "pasted_transcript": sql(f"WITH t AS (SELECT video_id, pos, {_CLOCK.format('(pos * 60 + video_id % 60)')} || ' ' || speaker AS line FROM segments WHERE pos % 4 > 1), v AS (SELECT DISTINCT video_id FROM segments) SELECT v.video_id, md5(coalesce(string_agg(line, chr(10) ORDER BY pos), '') || chr(10)) AS content FROM v LEFT JOIN t ON v.video_id = t.video_id GROUP BY 1", "segments"),
     "video_metadata": "SELECT c_custkey AS key, c_name AS video_id, c_name AS title, CASE WHEN c_custkey % 2 <> 0 THEN 'chan' ELSE 'up' END AS channel, CASE WHEN c_custkey % 5 <> 0 THEN 7.5e0 ELSE 0e0 END AS duration_seconds, CASE WHEN c_custkey % 3 <> 0 THEN 'http://p' ELSE 'https://www.youtube.com/watch?v=' || c_name END AS webpage_url, 'b' AS thumbnail_url FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0",
