@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -173,7 +175,7 @@ QUERIES = {
     "near_boundary": lambda s, d: _near(s, d).select("video_id", "frame_number", F.col("near").cast("int").alias("near")),
     "scene_at": lambda s, d: camera.scene_at(_frames(s, d), camera.scene_segments(camera.merge_boundaries(_boundaries(s, d)), table(s, d, "frames").groupBy("video_id").agg((F.count("*") * 0.4).alias("duration")))).select("video_id", "frame_number", "scene"),
     "composition_plan": lambda s, d: _composed(s, d).select("video_id", "frame_number", "shot_type", F.array_join("targets", ",").alias("targets"), *_r("zoom_multiplier", "center_x", "center_y", "zoom", "crop_height")),
-    "reframe_crops": lambda s, d: _chain(s, d, "crops")[0].select("video_id", "frame_number", *_r("x", "y", "w", "h"), "track"),
+    "reframe_crops": lambda s, d: _chain(s, d, "crops")[0].select("video_id", "frame_number", *[F.round(F.col(c) + 1e-7, 3).alias(c) for c in "xywh"], "track"),  # three digits, and no ties: engines round these differently
     "reframe_metrics": _reframe_metrics,
     "fixed_crop_size": lambda s, d: camera.fixed_size(_crop_rows(s, d).withColumn("w", F.when(F.col("video_id") % 3 == 0, F.lit(607.5)).otherwise(F.col("w")))),
     "render_times": lambda s, d: camera.render_times(camera.crop_segments(_crop_rows(s, d)), _crop_rows(s, d).filter("video_id % 2 = 0").groupBy("video_id").agg((F.max("timestamp") + 1.5).alias("duration"))).select("video_id", *_r("start_time", "end_time", "x", "y", "w", "h")),
@@ -265,6 +267,13 @@ def _limited(v, before):
 
 
 _STEP = "CASE WHEN r.timestamp > f.t THEN r.timestamp - f.t ELSE 0.5e0 END AS dt"
+def _renamed(body: str, **names: str) -> str:
+    """A fragment with other names for its tables."""
+    for old, name in names.items():
+        body = re.sub(rf"\b{old}\b", name, body)
+    return body
+
+
 _PURSUIT = f"""r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp, frame_number) AS n FROM frames),
 f AS (
   SELECT video_id, frame_number, n, timestamp AS t, near, center_x AS px, center_y AS py, zoom AS pz, 0e0 AS vx, 0e0 AS vy, 0e0 AS vz, 0e0 AS ax, 0e0 AS ay, 0e0 AS az FROM r WHERE n = 1 UNION ALL
@@ -284,6 +293,25 @@ f AS (
         SELECT r.video_id, r.frame_number, r.part, r.n, r.timestamp AS t, f.px, f.py, f.pz, f.vx, f.vy, f.vz, {_STEP}, 0.12e0 * r.center_x + 0.88e0 * f.px AS ex, 0.12e0 * r.center_y + 0.88e0 * f.py AS ey, 0.12e0 * r.zoom + 0.88e0 * f.pz AS ez FROM f JOIN r ON r.video_id = f.video_id AND r.part = f.part AND r.n = f.n + 1)))
 )"""
 
+_FRAMED = """tg AS (SELECT video_id, frame_number, rule, CASE rule WHEN 1 THEN [spk] WHEN 2 THEN vis WHEN 3 THEN coalesce(grp, vis) WHEN 4 THEN [rct] WHEN 8 THEN names[1:1] ELSE names[1:2] END AS targets, [1e0, 1.7e0, 1.45e0, 1e0, 1.25e0, 1.25e0, 1.25e0, 1e0][rule] AS z FROM k),
+u AS (SELECT t.video_id, t.frame_number, any_value(t.rule) AS rule, any_value(t.targets) AS targets, any_value(z) AS z, min(r.x) AS l, min(r.y) AS t, max(r.x + r.w) AS r, max(r.y + r.h) AS b, avg(r.h) AS ah FROM tg t JOIN ranked r ON t.video_id = r.video_id AND t.frame_number = r.frame_number AND list_contains(t.targets, r.track_id) GROUP BY 1, 2),
+v AS (SELECT *, greatest(0e0, l - 40) AS x, greatest(0e0, t - 40) AS y, r - l + 80 AS w, b - t + 80 AS h FROM u), w3 AS (SELECT *, greatest(0e0, y - ah * 0.35e0) AS top FROM v), w4 AS (SELECT *, h + y - top AS ch FROM w3),
+w5 AS (SELECT *, least(1920e0, CASE WHEN w / ch > 0.5625e0 THEN w ELSE ch * 0.5625e0 END * z) AS cw, least(1080e0, CASE WHEN w / ch > 0.5625e0 THEN w / 0.5625e0 ELSE ch END * z) AS hh FROM w4)"""
+#: The chain from shots to panned crops: frames posed, followed (p...), smoothed (s...), cropped and panned.
+_REFRAMED = f"""{_SHOTS}, {_FRAMED}, cuts AS (SELECT DISTINCT user_id % 50 AS video_id, event_id * 13 % 9000 * 1e0 AS timestamp FROM events),
+seen AS (SELECT DISTINCT video_id, frame_number, timestamp FROM faces), every AS (SELECT * FROM seen UNION ALL SELECT video_id, frame_number + 10000000, timestamp + 0.25e0 FROM seen),
+aims AS (SELECT video_id, frame_number, greatest(cw / 2, least(1920 - cw / 2, x + w / 2)) AS center_x, greatest(hh / 2, least(1080 - hh / 2, top + ch / 2 - hh * 0.08e0)) AS center_y, cw AS zoom FROM w5 UNION ALL SELECT video_id, frame_number + 10000000, 960e0, 540e0, 1920e0 FROM seen),
+posed AS (SELECT *, CAST(EXISTS (SELECT 1 FROM cuts c WHERE c.video_id = e.video_id AND abs(c.timestamp - e.timestamp) <= 0.15e0) AS INT) AS near FROM every e JOIN aims USING (video_id, frame_number)),
+{_renamed(_PURSUIT, r="pr", f="pf", frames="posed")}, followed AS (SELECT video_id, frame_number, t AS timestamp, near, px AS center_x, py AS center_y, pz AS zoom FROM pf),
+{_renamed(_SMOOTH, c="sc", r="sr", f="sf", frames="followed")}, path AS (SELECT sf.*, fo.near FROM sf JOIN followed fo USING (video_id, frame_number)),
+spoken AS (SELECT *, max(active) OVER (PARTITION BY video_id, frame_number) AS any_ FROM ranked),
+told AS (SELECT video_id, frame_number, max(CASE WHEN active THEN track_id END) AS track, (list(x + w / 2 ORDER BY NOT active, place))[1] AS fx, min(CASE WHEN active OR NOT any_ THEN greatest(0e0, x - 20) END) AS pl, max(CASE WHEN active OR NOT any_ THEN greatest(0e0, x - 20) + w + 40 END) AS pr_ FROM spoken GROUP BY 1, 2),
+held AS (SELECT path.video_id, path.frame_number, t, track, pl, pr_, greatest(303.75e0, least(1616.25e0, coalesce(fx, px))) AS cx FROM path LEFT JOIN told USING (video_id, frame_number)),
+safe AS (SELECT *, CASE WHEN pl IS NULL THEN cx ELSE greatest(303.75e0, least(1616.25e0, {_INC.format(c='cx', h='303.75e0', lo='pl', hi='pr_')})) END AS x FROM held),
+steps AS (SELECT *, row_number() OVER w AS n, CASE WHEN lag(track) OVER w IS NOT NULL AND track IS DISTINCT FROM lag(track) OVER w THEN 0.22e0 ELSE 0.1e0 END AS s FROM safe WINDOW w AS (PARTITION BY video_id ORDER BY t, frame_number)),
+panned AS (SELECT video_id, frame_number, n, track, s * x + (1 - s) * x AS px FROM steps WHERE n = 1 UNION ALL
+  SELECT q.video_id, q.frame_number, q.n, q.track, s * CASE WHEN abs(x - panned.px) < 4 THEN panned.px ELSE x END + (1 - s) * panned.px FROM panned JOIN steps q ON q.video_id = panned.video_id AND q.n = panned.n + 1)"""
+
 ORACLE_SQL = {
     "iou_pairs": sql("""WITH p AS (SELECT *, lag(x) OVER f AS px, lag(y) OVER f AS py, lag(w) OVER f AS pw, lag(h) OVER f AS ph FROM faces WINDOW f AS (PARTITION BY frame_number ORDER BY face_pos)),
 q AS (SELECT *, greatest(0e0, least(x + w, px + pw) - greatest(x, px)) * greatest(0e0, least(y + h, py + ph) - greatest(y, py)) AS i FROM p WHERE px IS NOT NULL)
@@ -370,10 +398,14 @@ c AS (SELECT video_id, part, max(n) AS n, min({{'t': timestamp, 'f': frame_numbe
 d AS (SELECT video_id, greatest(0e0, c.t) AS a, coalesce(lead(c.t) OVER w, final + 1e0 / n) AS b, lead(c.t) OVER w IS NULL AS ends, c FROM c WINDOW w AS (PARTITION BY video_id ORDER BY part)),
 dur AS (SELECT video_id, max(timestamp) + 1.5e0 AS duration FROM crops WHERE video_id % 2 = 0 GROUP BY 1)
 SELECT d.video_id, round(a, 6) AS start_time, round(CASE WHEN ends THEN greatest(a + 0.05e0, b, coalesce(duration, 0e0)) ELSE greatest(a + 0.05e0, b) END, 6) AS end_time, round(c.x, 6) AS x, round(c.y, 6) AS y, c.w AS w, c.h AS h FROM d LEFT JOIN dur ON d.video_id = dur.video_id""", "frames"),
-    "composition_plan": sql(f"""WITH {_SHOTS}, tg AS (SELECT video_id, frame_number, rule, CASE rule WHEN 1 THEN [spk] WHEN 2 THEN vis WHEN 3 THEN coalesce(grp, vis) WHEN 4 THEN [rct] WHEN 8 THEN names[1:1] ELSE names[1:2] END AS targets, [1e0, 1.7e0, 1.45e0, 1e0, 1.25e0, 1.25e0, 1.25e0, 1e0][rule] AS z FROM k),
-u AS (SELECT t.video_id, t.frame_number, any_value(t.rule) AS rule, any_value(t.targets) AS targets, any_value(z) AS z, min(r.x) AS l, min(r.y) AS t, max(r.x + r.w) AS r, max(r.y + r.h) AS b, avg(r.h) AS ah FROM tg t JOIN ranked r ON t.video_id = r.video_id AND t.frame_number = r.frame_number AND list_contains(t.targets, r.track_id) GROUP BY 1, 2),
-v AS (SELECT *, greatest(0e0, l - 40) AS x, greatest(0e0, t - 40) AS y, r - l + 80 AS w, b - t + 80 AS h FROM u), w3 AS (SELECT *, greatest(0e0, y - ah * 0.35e0) AS top FROM v), w4 AS (SELECT *, h + y - top AS ch FROM w3),
-w5 AS (SELECT *, least(1920e0, CASE WHEN w / ch > 0.5625e0 THEN w ELSE ch * 0.5625e0 END * z) AS cw, least(1080e0, CASE WHEN w / ch > 0.5625e0 THEN w / 0.5625e0 ELSE ch END * z) AS hh FROM w4)
+    "reframe_crops": sql(f"""WITH {_REFRAMED} SELECT video_id, frame_number, round(px - 303.75e0 + 1e-7, 3) AS x, 0e0 AS y, 607.5e0 AS w, 1080e0 AS h, track FROM panned""", *_SRC, recursive=True),
+    "reframe_metrics": sql(f"""WITH {_REFRAMED}, face_shares AS (SELECT f.*, greatest(0e0, least(px + 303.75e0, x + w) - greatest(px - 303.75e0, x)) * greatest(0e0, least(1080e0, y + h) - greatest(0e0, y)) / (w * h) AS share FROM faces f JOIN panned USING (video_id, frame_number)),
+empties AS (SELECT video_id, frame_number, greatest(0e0, 1 - least(1e0, sum(w * h) / (607.5e0 * 1080))) AS empty FROM face_shares GROUP BY 1, 2), all_frames AS (SELECT p.video_id, avg(coalesce(empty, 1e0)) AS empty, count(*) AS n FROM panned p LEFT JOIN empties USING (video_id, frame_number) GROUP BY 1),
+face_averages AS (SELECT video_id, avg(share) AS visibility, count(*) FILTER (WHERE share < 0.95e0) * 100e0 / count(*) AS clipped, count(*) AS faces FROM face_shares GROUP BY 1),
+travelled AS (SELECT *, sqrt((px - lag(px) OVER o) ** 2 + (py - lag(py) OVER o) ** 2) AS jump, abs(pz - lag(pz) OVER o) AS zoomed, CASE WHEN t > lag(t) OVER o THEN t - lag(t) OVER o ELSE 0.5e0 END AS dt, lag(vx) OVER o AS lx, lag(vy) OVER o AS ly, lag(vz) OVER o AS lz FROM path WINDOW o AS (PARTITION BY video_id ORDER BY t, frame_number)),
+path_sums AS (SELECT video_id, coalesce(sum(jump), 0e0) AS movement, coalesce(sum(CASE WHEN jump IS NULL THEN NULL WHEN n = 1 THEN 0e0 ELSE sqrt(((vx - lx) / dt) ** 2 + ((vy - ly) / dt) ** 2) + abs((vz - lz) / dt) END), 0e0) AS jitter, count(*) FILTER (WHERE near = 0 AND (jump > 250 OR zoomed > 200)) AS cuts FROM travelled GROUP BY 1)
+SELECT b.video_id, round(visibility, 6) AS average_visibility, round(clipped, 6) AS clipped_percent, round(b.empty, 6) AS average_empty_space, b.n AS frame_count, faces AS face_frame_count, round(movement, 3) AS movement, round(jitter, 2) AS jitter, cuts FROM all_frames b JOIN face_averages s USING (video_id) JOIN path_sums USING (video_id)""", *_SRC, recursive=True),
+    "composition_plan": sql(f"""WITH {_SHOTS}, {_FRAMED}
 SELECT video_id, frame_number, ['single_speaker', 'vote_reveal', 'group_reaction', 'silent_reaction', 'conversation', 'conversation', 'conversation', 'single_speaker'][rule] AS shot_type, array_to_string(targets, ',') AS targets, z AS zoom_multiplier, round(greatest(cw / 2, least(1920 - cw / 2, x + w / 2)), 6) AS center_x, round(greatest(hh / 2, least(1080 - hh / 2, top + ch / 2 - hh * 0.08e0)), 6) AS center_y, round(cw, 6) AS zoom, round(hh, 6) AS crop_height FROM w5
 UNION ALL SELECT DISTINCT video_id, frame_number + 10000000, 'wide_table', '', 1.7e0, 960e0, 540e0, 1920e0, 1080e0 FROM faces""", *_SRC),
     "track_summary": sql(f"SELECT video_id, track_id, min(frame_number) AS first_frame, max(frame_number) AS last_frame, min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp, count(*) AS detections FROM {_PERSON} GROUP BY 1, 2", "faces"),
