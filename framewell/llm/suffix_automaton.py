@@ -97,10 +97,14 @@ def remove_reference(documents: DataFrame, reference: DataFrame, conf: Reference
     """Per row of ``documents`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, spans (start and end of removed words).
 
     Words are runs of non-space, unchanged. A null or empty text has no words, and one in ``reference`` (text) matches
-    nothing. Repeated rows each get their result. An empty reference removes nothing.
+    nothing. Repeated rows each get their result. An empty reference removes nothing. A long reference text is cut into pieces
+    that overlap by all but one word of a window, so every window lies whole in one and a shard stays near ``shard_words``.
     """
     bound_batches(documents)
-    known = reference.filter("text IS NOT NULL").select("text").distinct()
+    listed = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w")
+    known = reference.filter("text IS NOT NULL").select(listed).filter(F.size("w") >= conf.window)
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("w") - (conf.window - 1)) / conf.shard_words).cast("int") - 1, F.lit(0)))
+    known = known.select(F.explode(F.transform(steps, lambda i: F.array_join(F.slice("w", i * conf.shard_words + 1, F.lit(conf.shard_words + conf.window - 1)), " "))).alias("text")).distinct()
     total = int(known.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0)
     shards = max(1, -(-total // conf.shard_words))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(b"").alias("found"))

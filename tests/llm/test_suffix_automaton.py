@@ -26,3 +26,17 @@ def test_reference_passages_go(spark):
         out = remove_reference(frame, reference, ReferenceDedup(window=8, shard_words=shard)).collect()
         assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in out) == [(0, 9, 9), (1, 20, 11), (2, 16, 9), (3, 0, 0), (3, 0, 0), (4, 0, 0)]
     assert remove_reference(frame, reference.limit(0), ReferenceDedup(window=8)).agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def test_a_reference_text_longer_than_a_shard(spark):
+    """Passages that cross the pieces of a long reference text go whole, and no automaton holds all of it."""
+    words = [f"w{i}" for i in range(400)]
+    text = lambda *parts: " ".join(w for a, b in parts for w in words[a:b])
+    docs = [(1, "a " + text((30, 90)) + " b"), (2, text((0, 400))), (3, text((100, 109), (200, 209))), (4, "x " + text((390, 400)) + " y " + text((45, 60))), (5, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {}
+    for shard in (50, 10_000):
+        out = remove_reference(frame, spark.createDataFrame([(text((0, 400)),), ("short",), (None,)], "text string"), ReferenceDedup(window=10, shard_words=shard))
+        got[shard] = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, [tuple(s) for s in r.spans]) for r in out.collect()}
+    assert got[50] == got[10_000]
+    assert {i: r[:2] for i, r in got[50].items()} == {1: (62, 60), 2: (400, 400), 3: (18, 0), 4: (27, 25), 5: (0, 0)}
