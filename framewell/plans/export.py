@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewell.config import DEFAULTS, Settings
 from framewell.functions.time import format_timestamp
 from framewell.operators.joins import contained
+from framewell.sources.files import write_files
 from framewell.sources.transcripts import prompt_line
 
 #: Names of templates that have been renamed.
@@ -58,8 +59,9 @@ def metadata_files(metadata: DataFrame) -> DataFrame:
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
-    """A folder of text per video and clip under ``path``."""
-    metadata_files(metadata).select("video_id", F.col("index").alias("clip"), F.col("content").alias("value")).write.partitionBy("video_id", "clip").text(path)
+    """A file for each clip under ``path``: ``<video_id>-clip<index>_metadata.json``."""
+    name = F.concat(F.col("video_id").cast("string"), F.lit("-"), "name")
+    write_files(metadata_files(metadata).select(name.alias("name"), "content"), path)
 
 
 def analysis(segments: DataFrame, windows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewell.config import DEFAULTS, Settings
 from framewell.functions.time import format_srt_timestamp
 from framewell.operators.joins import contained
+from framewell.sources.files import write_files
 
 #: Fixed values of the subtitle format.
 COLORS = {"white": "&H00FFFFFF", "black": "&H00000000", "yellow": "&H0000FFFF", "red": "&H000000FF", "green": "&H0000FF00", "blue": "&H00FF0000"}
@@ -40,8 +41,9 @@ def srt_files(cues: DataFrame) -> DataFrame:
 
 
 def write_srt(cues: DataFrame, path: str) -> None:
-    """One folder of text per clip under ``path``."""
-    srt_files(cues).select("video_id", F.col("pos").alias("clip"), F.col("content").alias("value")).write.partitionBy("video_id", "clip").text(path)
+    """A file for each clip under ``path``: ``<video_id>-clip<pos>.srt``."""
+    name = F.concat(F.col("video_id").cast("string"), F.lit("-clip"), F.col("pos").cast("string"), F.lit(".srt"))
+    write_files(srt_files(cues).select(name.alias("name"), "content"), path)
 
 
 def subtitle_color(color: Column) -> Column:

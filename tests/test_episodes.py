@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from framewell.plans import episodes, windows
+from framewell.plans import episodes, subtitles, windows
 
 EPISODES = "video_id long, episode string, source string, transcript string, duration double"
 CLIPS = "video_id long, pos long, start_seconds double, end_seconds double, duration_seconds double, viral_score double, emotion string"
@@ -42,3 +42,10 @@ def test_export(spark, tmp_path) -> None:
     assert json.loads(got["none/manifest.json"])["clips"] == [] and got["none/report.md"].endswith("- Clips exported: 0\n")
     assert json.loads(got["one/analysis.json"])["segment_count"] == 70 and "## Candidate Windows" in got["one/report.md"]
     assert "found" in graph.written and "cut" in graph.written, "ranking and checks run once for all files"
+
+
+def test_single_writers_make_a_file_for_each_clip(spark, tmp_path) -> None:
+    cues = spark.createDataFrame([(1, 2, 1, 0.0, 1.5, "a"), (1, 3, 1, 0.0, 2.0, "b")], "video_id long, pos long, index long, start_seconds double, end_seconds double, text string")
+    subtitles.write_srt(cues, str(tmp_path / "s"))
+    assert sorted(os.listdir(tmp_path / "s")) == ["1-clip2.srt", "1-clip3.srt", "_SUCCESS"]
+    assert (tmp_path / "s" / "1-clip2.srt").read_text() == "1\n00:00:00,000 --> 00:00:01,500\na\n"
