@@ -81,9 +81,11 @@ def _payloads(s, d):
 
 
 def _written(s, files):
-    """A new folder that holds ``files`` (name, content)."""
+    """A new folder that holds ``files`` (name, content); it goes when the session's JVM ends."""
     path = f"{shared_folder(s)}/{uuid.uuid4().hex}"
     write_files(files, path)
+    folder = s._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(s._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return path
 
 
