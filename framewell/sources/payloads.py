@@ -138,8 +138,14 @@ def retry(message: Column, attempt: Column, attempts: int) -> Column:
     return (attempt < attempts) & e.rate_limited & ~e.no_quota & e.retry_seconds.isNotNull()
 
 
+#: How a model service's messages tell a rate limit, a wait and that there is no quota.
+LIMITED = ("429", "RESOURCE_EXHAUSTED")
+WAIT = r"(?i)retry in ([0-9]+(?:\.[0-9]+)?)s"
+NO_QUOTA = r"(?i)limit:\s*0"
+
+
 def classify_error(message: Column) -> Column:
     """Whether a model service's error is a rate limit, has no quota at all, and how long it says to wait."""
-    limited = F.contains(message, F.lit("429")) | F.contains(message, F.lit("RESOURCE_EXHAUSTED"))
-    delay = F.regexp_extract(message, r"(?i)retry in ([0-9]+(?:\.[0-9]+)?)s", 1).try_cast("double")
-    return F.struct(limited.alias("rate_limited"), message.rlike(r"(?i)limit:\s*0").alias("no_quota"), delay.alias("retry_seconds"))
+    limited = F.contains(message, F.lit(LIMITED[0])) | F.contains(message, F.lit(LIMITED[1]))
+    delay = F.regexp_extract(message, WAIT, 1).try_cast("double")
+    return F.struct(limited.alias("rate_limited"), message.rlike(NO_QUOTA).alias("no_quota"), delay.alias("retry_seconds"))
