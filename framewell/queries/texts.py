@@ -56,8 +56,8 @@ def _formats(s, d):
 
 def _stamps(s, d):
     text = F.format_string("%02d:%02d.%d", F.col("l_orderkey") % 100, F.col("l_partkey") % 60, F.col("l_linenumber"))
-    rows = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber", text.alias("stamp"))
-    seconds = parse_timestamp(F.col("stamp"))
+    rows = s.read.parquet(f"{d}/lineitem.parquet").select(text.alias("stamp")).withColumn("parsed", parse_timestamp(F.col("stamp")))
+    seconds = F.col("parsed")
     return rows.select("stamp", F.round(seconds, 3).alias("seconds"), format_timestamp(seconds).alias("whole"), format_srt_timestamp(seconds).alias("srt"), parse_timestamp(F.concat(F.lit("x"), "stamp")).isNull().alias("refused"))
 
 
