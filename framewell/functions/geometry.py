@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from framewell.functions.binding import let, let_all
+
 
 def clamp(value: Column, low: Column, high: Column) -> Column:
     """``low`` wins if the bounds cross."""
@@ -49,9 +51,14 @@ def visibility(crop: Column, face: Column) -> Column:
 
 def union(boxes: Column) -> Column:
     """The smallest box around an array of boxes; null for an empty array."""
-    left, top = F.array_min(F.transform(boxes, lambda b: b.x)), F.array_min(F.transform(boxes, lambda b: b.y))
-    right, bottom = F.array_max(F.transform(boxes, lambda b: b.x + b.w)), F.array_max(F.transform(boxes, lambda b: b.y + b.h))
-    return F.when(F.size(boxes) > 0, box(left, top, right - left, bottom - top))
+
+    def around(bs: Column) -> Column:
+        left, top = F.array_min(F.transform(bs, lambda b: b.x)), F.array_min(F.transform(bs, lambda b: b.y))
+        right, bottom = F.array_max(F.transform(bs, lambda b: b.x + b.w)), F.array_max(F.transform(bs, lambda b: b.y + b.h))
+        made = let_all(lambda l, t, r, b: box(l, t, r - l, b - t), l=left, t=top, r=right, b=bottom)
+        return F.when(F.size(bs) > 0, made)
+
+    return let(boxes, around)
 
 
 def largest_crop(width: Column, height: Column, aspect: float) -> tuple[Column, Column]:
@@ -60,10 +67,15 @@ def largest_crop(width: Column, height: Column, aspect: float) -> tuple[Column,
     return F.when(fits, height * aspect).otherwise(width), F.when(fits, height).otherwise(width / aspect)
 
 
-def content_crop(w: Column, h: Column, aspect: float) -> tuple[Column, Column]:
-    """The smallest crop of an aspect around a content; 1 by 1 around nothing."""
-    none, wide = (w <= 0) | (h <= 0), F.try_divide(w, h) > aspect
-    return F.when(none, F.lit(1.0)).when(wide, w).otherwise(h * aspect), F.when(none, F.lit(1.0)).when(wide, w / aspect).otherwise(h)
+def content_crop(w: Column, h: Column, aspect: float) -> Column:
+    """The smallest crop of an aspect around a content, as a struct of w and h; 1 by 1 around nothing."""
+
+    def made(w: Column, h: Column) -> Column:
+        none, wide = (w <= 0) | (h <= 0), F.try_divide(w, h) > aspect
+        size = lambda a, b: F.struct(a.alias("w"), b.alias("h"))
+        return F.when(none, size(F.lit(1.0), F.lit(1.0))).when(wide, size(w, w / aspect)).otherwise(size(h * aspect, h))
+
+    return let_all(made, w=w, h=h)
 
 
 def crop_at(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
@@ -73,12 +85,15 @@ def crop_at(cx: Column, cy: Column, w: Column, h: Column, width: Column, height:
 
 def fit_crop(crop: Column, width: Column, height: Column, aspect: float) -> Column:
     """A crop brought to the aspect and into the frame."""
-    w, h = F.least(width, crop.w), F.least(height, crop.h)
-    wide = w / h > aspect
-    w, h = F.when(wide, w).otherwise(h * aspect), F.when(wide, w / aspect).otherwise(h)
-    w, h = F.least(w, width), F.least(h, height)
-    cx, cy = center(crop)
-    return box(clamp(cx - w / 2, F.lit(0.0), width - w), clamp(cy - h / 2, F.lit(0.0), height - h), w, h)
+
+    def sized(c: Column) -> Column:
+        size = lambda w, h: F.struct(F.least(w, width).alias("w"), F.least(h, height).alias("h"))
+        shaped = lambda w, h: F.when(w / h > aspect, size(w, w / aspect)).otherwise(size(h * aspect, h))
+        cx, cy = center(c)
+        placed = lambda s: box(clamp(cx - s.w / 2, F.lit(0.0), width - s.w), clamp(cy - s.h / 2, F.lit(0.0), height - s.h), s.w, s.h)
+        return let(let_all(shaped, w=F.least(width, c.w), h=F.least(height, c.h)), placed)
+
+    return let(crop, sized)
 
 
 def include(at: Column, half: Column, low: Column, high: Column) -> Column:
@@ -88,35 +103,56 @@ def include(at: Column, half: Column, low: Column, high: Column) -> Column:
 
 def pan_to(crop: Column, content: Column, width: Column, height: Column) -> Column:
     """A crop of fixed size moved to take in a content box, within the frame."""
-    cx, cy = center(crop)
-    x = clamp(include(cx, crop.w / 2, content.x, content.x + content.w), crop.w / 2, width - crop.w / 2)
-    y = clamp(include(cy, crop.h / 2, content.y, content.y + content.h), crop.h / 2, height - crop.h / 2)
-    return box(x - crop.w / 2, y - crop.h / 2, crop.w, crop.h)
+
+    def moved(crop: Column, content: Column) -> Column:
+        cx, cy = center(crop)
+        x = clamp(include(cx, crop.w / 2, content.x, content.x + content.w), crop.w / 2, width - crop.w / 2)
+        y = clamp(include(cy, crop.h / 2, content.y, content.y + content.h), crop.h / 2, height - crop.h / 2)
+        return box(x - crop.w / 2, y - crop.h / 2, crop.w, crop.h)
+
+    return let_all(moved, crop=crop, content=content)
 
 
 def face_safe(crop: Column, faces: Column, width: Column, height: Column, aspect: float, pad: float) -> Column:
     """A crop grown and moved so that all padded faces are inside; without faces it is only fitted to the frame."""
-    content = union(F.transform(faces, lambda b: expand(b, pad)))
-    small = (content.w > crop.w) | (content.h > crop.h)
-    cw, ch = content_crop(content.w, content.h, aspect)
-    w, h = F.when(small, F.least(cw, width)).otherwise(crop.w), F.when(small, F.least(ch, height)).otherwise(crop.h)
-    cx, cy = center(crop)
-    x = clamp(include(cx, w / 2, content.x, content.x + content.w), w / 2, width - w / 2)
-    y = clamp(include(cy, h / 2, content.y, content.y + content.h), h / 2, height - h / 2)
-    return F.when(F.size(faces) > 0, box(x - w / 2, y - h / 2, w, h)).otherwise(fit_crop(crop, width, height, aspect))
+
+    def held(crop: Column, content: Column) -> Column:
+        small = (content.w > crop.w) | (content.h > crop.h)
+        grown = lambda c: F.struct(F.least(c.w, width).alias("w"), F.least(c.h, height).alias("h"))
+        size = F.when(small, let(content_crop(content.w, content.h, aspect), grown)).otherwise(F.struct(crop.w.alias("w"), crop.h.alias("h")))
+        cx, cy = center(crop)
+
+        def placed(s: Column) -> Column:
+            x = clamp(include(cx, s.w / 2, content.x, content.x + content.w), s.w / 2, width - s.w / 2)
+            y = clamp(include(cy, s.h / 2, content.y, content.y + content.h), s.h / 2, height - s.h / 2)
+            return box(x - s.w / 2, y - s.h / 2, s.w, s.h)
+
+        return let(size, placed)
+
+    around = union(F.transform(faces, lambda b: expand(b, pad)))
+    return F.when(F.size(faces) > 0, let_all(held, crop=crop, content=around)).otherwise(fit_crop(crop, width, height, aspect))
 
 
 def framing(faces: Column, width: Column, height: Column, aspect: float, padding: float, forehead: float, thirds: float, zoom: Column) -> Column:
     """Center and size of a crop that frames faces with room above them; the whole frame without faces."""
-    around = expand(union(faces), padding)
-    tall = F.aggregate(faces, F.lit(0.0), lambda a, b: a + b.h) / F.size(faces)
-    top = F.greatest(F.lit(0.0), around.y - tall * forehead)
-    content_h = around.h + (around.y - top)
-    cw, ch = content_crop(around.w, content_h, aspect)
-    w, h = F.least(width, cw * zoom), F.least(height, ch * zoom)
-    x, y = around.x + around.w / 2, top + content_h / 2 - h * thirds
-    made = F.struct(clamp(x, w / 2, width - w / 2).alias("cx"), clamp(y, h / 2, height - h / 2).alias("cy"), w.alias("w"), h.alias("h"))
-    return F.when(F.size(faces) > 0, made).otherwise(F.struct((width / 2).alias("cx"), (height / 2).alias("cy"), width.alias("w"), height.alias("h")))
+
+    def made(bs: Column) -> Column:
+        tall = F.aggregate(bs, F.lit(0.0), lambda a, b: a + b.h) / F.size(bs)
+
+        def framed(around: Column, top: Column) -> Column:
+            def placed(content_h: Column, w: Column, h: Column) -> Column:
+                x, y = around.x + around.w / 2, top + content_h / 2 - h * thirds
+                return F.struct(clamp(x, w / 2, width - w / 2).alias("cx"), clamp(y, h / 2, height - h / 2).alias("cy"), w.alias("w"), h.alias("h"))
+
+            def zoomed(content_h: Column, c: Column) -> Column:
+                return let_all(placed, content_h=content_h, w=F.least(width, c.w * zoom), h=F.least(height, c.h * zoom))
+
+            return let(around.h + (around.y - top), lambda ch: let_all(zoomed, content_h=ch, c=content_crop(around.w, ch, aspect)))
+
+        return let(expand(union(bs), padding), lambda a: let_all(framed, around=a, top=F.greatest(F.lit(0.0), a.y - tall * forehead)))
+
+    whole = F.struct((width / 2).alias("cx"), (height / 2).alias("cy"), width.alias("w"), height.alias("h"))
+    return let(faces, lambda bs: F.when(F.size(bs) > 0, made(bs)).otherwise(whole))
 
 
 def frontal(face: Column, left_eye: Column, right_eye: Column, frame_area: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from framewell.functions import geometry as G
 from framewell.functions.time import format_srt_timestamp, format_timestamp
 from framewell.queries import QUERIES
 from pyspark.sql import functions as F
@@ -17,3 +18,14 @@ def test_a_timestamp_is_matched_once(spark) -> None:
     assert optimized(QUERIES["timestamp_parse"](spark, DATA)).count("RLIKE") <= 2
     row = spark.sql("SELECT 366125.0D AS a, 3599.9996D AS b, -0.5D AS c, CAST(NULL AS DOUBLE) AS d").select(*[f(F.col(c)).alias(f"{c}{i}") for c in "abcd" for i, f in enumerate((format_timestamp, format_srt_timestamp))]).first()
     assert tuple(row) == ("101:42:05", "101:42:05,000", "00:59:59", "01:00:00,000", None, None, None, None)
+
+
+def test_crops_are_bound_once(spark) -> None:
+    """The content of a crop is an array expression; a copy for each of its uses made plans of thousands of them."""
+    assert optimized(QUERIES["face_safety"](spark, DATA)).count("array_min") <= 4
+    b = F.array(G.box(*[F.lit(v) for v in (100.0, 50.0, 900.0, 60.0)]), G.box(*[F.lit(v) for v in (0.0, 10.0, 10.0, 20.0)]))
+    crop = G.box(*[F.lit(v) for v in (0.0, 0.0, 607.5, 1080.0)])
+    frame = F.lit(1920.0), F.lit(1080.0)
+    empty = F.array().cast("array<struct<x: double, y: double, w: double, h: double>>")
+    made = spark.range(1).select(G.face_safe(crop, b, *frame, 0.5625, 20.0).alias("s"), G.face_safe(crop, empty, *frame, 0.5625, 20.0).alias("e"), G.union(empty).alias("n")).first()
+    assert tuple(made.s) == (0.0, 0.0, 1020.0, 1080.0) and tuple(made.e) == (0.0, 0.0, 607.5, 1080.0) and made.n is None
