@@ -49,7 +49,8 @@ def parse_transcripts(raw: DataFrame, format_hint: str | None = None) -> DataFra
     Lines outside any segment are dropped, and so are segments without dialogue; a transcript without any gives no row.
     """
     fmt = F.lit(format_hint) if format_hint else detect_format(F.col("content"))
-    rows = raw.select("video_id", fmt.alias("format"), F.posexplode(lines_of(F.col("content"))).alias("n", "line")).withColumn("line", F.trim("line"))
+    cut = raw.select("video_id", fmt.alias("format"), lines_of(F.col("content")).alias("lines"))  # in a step of its own: once for a text, not for each of its lines
+    rows = cut.select("video_id", "format", F.posexplode("lines").alias("n", "line")).withColumn("line", F.trim("line"))
     cue = F.when(F.col("format") == "vtt", F.col("line").rlike(VTT_CUE)).when(F.col("format") == "srt", F.col("line").rlike(SRT_CUE))
     opens = F.coalesce(cue, F.when(F.col("format") == "multiline", F.col("line").rlike(LINE_TIMESTAMP)).otherwise(F.col("line").rlike(INLINE)))
     opens = opens & ((F.col("format") != "inline_bracket") | F.startswith("line", F.lit("[")))

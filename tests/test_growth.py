@@ -5,6 +5,7 @@ from __future__ import annotations
 from framewell.functions import geometry as G
 from framewell.functions.time import format_srt_timestamp, format_timestamp
 from framewell.queries import QUERIES
+from framewell.sources import transcripts
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -29,3 +30,10 @@ def test_crops_are_bound_once(spark) -> None:
     empty = F.array().cast("array<struct<x: double, y: double, w: double, h: double>>")
     made = spark.range(1).select(G.face_safe(crop, b, *frame, 0.5625, 20.0).alias("s"), G.face_safe(crop, empty, *frame, 0.5625, 20.0).alias("e"), G.union(empty).alias("n")).first()
     assert tuple(made.s) == (0.0, 0.0, 1020.0, 1080.0) and tuple(made.e) == (0.0, 0.0, 607.5, 1080.0) and made.n is None
+
+
+def test_a_transcript_is_classified_once_and_not_for_each_line(spark) -> None:
+    raw = spark.range(1).select(F.col("id").alias("video_id"), F.concat(F.lit("00:0"), "id", F.lit("\n\nann:\nhello")).alias("content"))
+    plan = optimized(transcripts.parse_transcripts(raw))
+    assert plan.rindex("Generate posexplode") < plan.rindex("WEBVTT"), "the format is made below the rows of lines"
+    assert [(r.speaker, r.text) for r in transcripts.parse_transcripts(raw).collect()] == [("ann", "hello")]
