@@ -1,4 +1,5 @@
-"""Sound from WAV files: a data source that deals out byte ranges, so that one long file is read by many tasks.
+"""Sound from WAV files: a data source that deals out byte ranges, so that one long file is read by many tasks and many short ones by
+one.
 
     spark.dataSource.register(WavSource)
     samples = spark.read.format("framewell_wav").load("folder or file")
@@ -88,7 +89,7 @@ def decoded(raw: bytes, head: Header) -> np.ndarray:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Samples that begin within bytes ``first`` to ``last - 1`` of a file."""
 
     path: str
@@ -96,23 +97,41 @@ class Range(InputPartition):
     last: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[Range]
+
+
+#: Tasks over which all ranges are dealt out; each takes neighbouring ones.
+TASKS = 256
+
+
 class WavReader(DataSourceReader):
     def __init__(self, path: str, bytes_each: int):
         self.path, self.bytes_each = path, bytes_each
 
-    def partitions(self) -> list[Range]:
-        """Ranges by the files' sizes alone; their headers are read by the tasks."""
+    def partitions(self) -> list[Ranges]:
+        """Ranges by the files' sizes alone; their headers are read by the tasks. Beyond
+        ``TASKS`` ranges a task takes several, so that many short files do not become as many tasks."""
         store, root = fs.FileSystem.from_uri(self.path)
         info = store.get_file_info(root)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         files = [info] if info.is_file else [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.extension.lower() == "wav"]
-        return [Range(f.path, at, min(at + self.bytes_each, f.size)) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.bytes_each)]
+        ranges = [Range(f.path, at, min(at + self.bytes_each, f.size)) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.bytes_each)]
+        each = max(1, -(-len(ranges) // TASKS))
+        return [Ranges(ranges[i : i + each]) for i in range(0, len(ranges), each)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no file
             return
         store, _ = fs.FileSystem.from_uri(self.path)
+        for part in partition.ranges:
+            yield from self._samples(store, part)
+
+    def _samples(self, store: fs.FileSystem, partition: Range) -> Iterator[pa.RecordBatch]:
         size = store.get_file_info(partition.path).size
         with store.open_input_file(partition.path) as file:
             head = header(file, size, partition.path)

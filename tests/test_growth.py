@@ -5,7 +5,7 @@ from __future__ import annotations
 from framewell.functions import geometry as G
 from framewell.functions.time import format_srt_timestamp, format_timestamp
 from framewell.queries import QUERIES
-from framewell.sources import transcripts
+from framewell.sources import sound, transcripts
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -37,3 +37,12 @@ def test_a_transcript_is_classified_once_and_not_for_each_line(spark) -> None:
     plan = optimized(transcripts.parse_transcripts(raw))
     assert plan.rindex("Generate posexplode") < plan.rindex("WEBVTT"), "the format is made below the rows of lines"
     assert [(r.speaker, r.text) for r in transcripts.parse_transcripts(raw).collect()] == [("ann", "hello")]
+
+
+def test_many_short_sounds_share_tasks(tmp_path) -> None:
+    for i in range(600):
+        (tmp_path / f"{i:03d}.wav").write_bytes(b"x" * (10 if i else 35))
+    parts = sound.WavReader(str(tmp_path), 20).partitions()
+    ranges = [(r.path[-7:], r.first, r.last) for p in parts for r in p.ranges]
+    assert len(parts) <= sound.TASKS and max(len(p.ranges) for p in parts) <= 3
+    assert ranges == [("000.wav", 0, 20), ("000.wav", 20, 35), *[(f"{i:03d}.wav", 0, 10) for i in range(1, 600)]]
