@@ -15,7 +15,7 @@ from framewell.operators.store import shared_folder
 from framewell.plans import subtitles
 from framewell.queries.domain import sql, table
 from framewell.sources import payloads, sound, transcripts
-from framewell.sources.files import write_files
+from framewell.sources.files import read_files, write_files
 
 SAID = r"concat('say ', trim(regexp_replace(text, '[\\s:]+', ' '{g})))"
 SAID_SPARK, SAID_SQL = SAID.format(g=""), SAID.format(g=", 'g'").replace("\\\\", "\\")
@@ -99,10 +99,9 @@ def _transcript_files(s, d):
 
 def _subtitle_files(s, d):
     """Subtitle files of clips under their names, read back as bytes."""
-    made = subtitles.srt_files(subtitles.clip_cues(table(s, d, "clips"), table(s, d, "segments")))
+    made = subtitles.clip_files(table(s, d, "clips"), table(s, d, "segments"))
     path = _written(s, made.select(F.concat(F.lit("ep"), "video_id", F.lit("/subtitles/clip"), "pos", F.lit(".srt")).alias("name"), "content"))
-    read = s.read.format("binaryFile").load(f"{path}/ep*/subtitles/*.srt")
-    return read.select(F.regexp_extract("path", r"(ep\d+/subtitles/clip\d+\.srt)$", 1).alias("name"), "length", F.md5("content").alias("content"))
+    return read_files(s, path, "ep*/subtitles/*.srt").select("name", F.length("content").cast("long").alias("length"), F.md5("content").alias("content"))
 
 
 def _sound_files(s, d):
@@ -177,7 +176,7 @@ QUERIES = {
     "url_video_id": _video_ids,
     "track_selection": _tracks,
     "srt_cues": _cues,
-    "srt_render": lambda s, d: subtitles.srt_files(_cues(s, d)).select("video_id", "pos", F.md5("content").alias("content")),
+    "srt_render": lambda s, d: subtitles.clip_files(table(s, d, "clips"), table(s, d, "segments")).select("video_id", "pos", F.md5("content").alias("content")),
     "subtitle_style": lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", subtitles.force_style(F.lit("Arial"), F.col("p_size"), F.lit(2), F.when(F.col("p_partkey") % 3 == 0, F.lit(" White")).otherwise(F.concat(F.lit("#"), F.substring(F.md5("p_name"), 1, 6))), F.when(F.col("p_size") % 2 == 0, "top").otherwise("bottom")).alias("style")),
     "error_classes": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", payloads.classify_error(F.expr("concat(CASE WHEN event_id % 2 = 0 THEN '429 ' ELSE '500 ' END, 'limit: ', event_id % 3, ' retry in ', event_id % 50, '.5s')")).alias("c")).select("event_id", "c.*"),
 }

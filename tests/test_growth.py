@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from framewell.functions import geometry as G
 from framewell.functions.time import format_srt_timestamp, format_timestamp
+from framewell.plans import subtitles
 from framewell.queries import QUERIES
-from framewell.sources import sound, transcripts
+from framewell.sources import files, sound, transcripts
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -46,3 +48,30 @@ def test_many_short_sounds_share_tasks(tmp_path) -> None:
     ranges = [(r.path[-7:], r.first, r.last) for p in parts for r in p.ranges]
     assert len(parts) <= sound.TASKS and max(len(p.ranges) for p in parts) <= 3
     assert ranges == [("000.wav", 0, 20), ("000.wav", 20, 35), *[(f"{i:03d}.wav", 0, 10) for i in range(1, 600)]]
+
+
+def test_files_are_listed_by_tasks_and_names_stay_out_of_the_driver(spark, tmp_path) -> None:
+    rows = [(f"ep{i % 3}/subtitles/clip{i}.srt", b"%d" % i) for i in range(2500)] + [("ep1/other/x.srt", b"o"), ("ep1/subtitles/x.txt", b"t"), ("top.srt", b"")]
+    files.write_files(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path / "out"))
+    parts = files.FilesReader(str(tmp_path / "out"), "ep*/subtitles/*.srt").partitions()
+    assert {p.folder for p in parts} == {f"ep{i}/subtitles/" for i in range(3)} and len(parts) == 3 * files.SHARES
+    got = files.read_files(spark, str(tmp_path / "out"), "ep*/subtitles/*.srt").collect()
+    assert sorted((r.name, bytes(r.content)) for r in got) == sorted(rows[:2500])
+    assert [tuple(r) for r in files.read_files(spark, str(tmp_path / "out")).collect()] == [("top.srt", b"")], "no sign of how it was written"
+    assert files.read_files(spark, str(tmp_path / "out"), "none*/*").count() == 0
+    put = files.FilesWriter(str(tmp_path / "more"), False)
+    message = put.write(iter(spark.createDataFrame(rows[:50], "name string, content binary").toArrow().to_batches()))
+    assert "clip" not in str(vars(message))
+    put.abort([message, None])
+    assert [p for p in (tmp_path / "more").rglob("*") if p.is_file()] == []
+
+
+@pytest.mark.parametrize("made", ["clip_cues", "clip_files"])
+def test_clips_of_one_span_share_its_cues(spark, made: str) -> None:
+    clips = spark.range(3000).selectExpr("id % 2 AS video_id", "id AS pos", "0D AS start_seconds", "60D + id % 3 AS end_seconds")
+    lines = spark.sql("SELECT v AS video_id, n AS pos, n * 8D AS seconds, 'ann' AS speaker, concat('l', n) AS text FROM (SELECT explode(sequence(0L, 9L)) AS n), (SELECT explode(array(0L, 1L)) AS v)")
+    out = getattr(subtitles, made)(clips, lines)
+    plan = optimized(out)
+    assert plan.index("Join Inner") < plan.index("Window") and "Aggregate [video_id" in plan[plan.index("Window"):], "lines meet distinct spans"
+    rows = out.collect()
+    assert len(rows) == 3000 * (8 if made == "clip_cues" else 1) and len({tuple(r)[2:] for r in rows}) == (8 + 2 if made == "clip_cues" else 3)
