@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from framewell.functions import geometry as G
 from framewell.functions.time import format_srt_timestamp, format_timestamp
-from framewell.plans import subtitles
+from framewell.plans import quality, subtitles
 from framewell.queries import QUERIES
 from framewell.sources import files, sound, transcripts
 from pyspark.sql import functions as F
@@ -75,3 +75,13 @@ def test_clips_of_one_span_share_its_cues(spark, made: str) -> None:
     assert plan.index("Join Inner") < plan.index("Window") and "Aggregate [video_id" in plan[plan.index("Window"):], "lines meet distinct spans"
     rows = out.collect()
     assert len(rows) == 3000 * (8 if made == "clip_cues" else 1) and len({tuple(r)[2:] for r in rows}) == (8 + 2 if made == "clip_cues" else 3)
+
+
+def test_dialogue_of_a_span_is_joined_once_and_hashed(spark) -> None:
+    clips = spark.range(400).selectExpr("0L AS video_id", "id AS pos", "0D AS start_seconds", "30D + id % 2 * 20.0D AS end_seconds", "30D + id % 2 * 20.0D AS duration_seconds", "9D AS viral_score", "'calm' AS emotion")
+    lines = spark.sql("SELECT 0L AS video_id, n AS pos, n * 4D AS seconds, 'ann' AS speaker, concat(' L', n, repeat('x', 5000)) AS text FROM (SELECT explode(sequence(0L, 12L)) AS n)")
+    facts = quality.dialogue_facts(clips, lines)
+    assert {(r.n, r.long) for r in facts.groupBy("fingerprint").agg(F.count("*").alias("n"), F.max(F.length("fingerprint")).alias("long")).collect()} == {(200, 32)}
+    assert sorted(r.pos for r in quality.passed_clips(clips, lines).collect()) == [0, 1], "one clip of each dialogue"
+    blank = lines.filter("pos = 0").withColumn("text", F.lit(" "))
+    assert [tuple(r) for r in quality.dialogue_facts(clips, blank).select(F.length("fingerprint"), "repeated").distinct().collect()] == [(0, False)]
