@@ -31,8 +31,25 @@ class Tracker:
             return None
         return max(iou, 0.5 * max(0.0, 1.0 - far / self.conf.tracking_distance))
 
+    def _pairs(self, boxes: list[tuple]) -> list[tuple[float, int, int]]:
+        """Score, track and box of all pairs that have a score. Most pairs are far apart, which needs no score; a margin leaves those
+        at the limit to it."""
+        limit = self.conf.tracking_distance**2 * (1 + 1e-9) if self.conf.tracking_iou > 0 else math.inf
+        placed = [(d, b, b[0], b[1], b[0] + b[2], b[1] + b[3], b[0] + b[2] / 2, b[1] + b[3] / 2) for d, b in enumerate(boxes)]
+        out = []
+        for t, track in enumerate(self.tracks):
+            x, y, w, h = box = track["box"]
+            right, bottom, cx, cy = x + w, y + h, x + w / 2, y + h / 2
+            for d, b, left, top, r, low, bx, by in placed:
+                dx, dy = cx - bx, cy - by
+                if dx * dx + dy * dy > limit and not (left < right and x < r and top < bottom and y < low):
+                    continue
+                if (s := self._score(box, b)) is not None:
+                    out.append((s, t, d))
+        return out
+
     def see(self, boxes: list[tuple]) -> list[tuple[int, float]]:
-        pairs = [(s, t, d) for t, track in enumerate(self.tracks) for d, b in enumerate(boxes) if (s := self._score(track["box"], b)) is not None]
+        pairs = self._pairs(boxes)
         pairs.sort(key=lambda p: -p[0])
         out: dict[int, tuple[int, float]] = {}
         used: set[int] = set()

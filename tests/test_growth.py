@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from framewell.functions import geometry as G
 from framewell.functions.time import format_srt_timestamp, format_timestamp
-from framewell.plans import quality, subtitles
+from framewell.operators.folds import values
+from framewell.plans import quality, subtitles, tracking
 from framewell.queries import QUERIES
 from framewell.sources import files, sound, transcripts
 from pyspark.sql import functions as F
@@ -85,3 +87,20 @@ def test_dialogue_of_a_span_is_joined_once_and_hashed(spark) -> None:
     assert sorted(r.pos for r in quality.passed_clips(clips, lines).collect()) == [0, 1], "one clip of each dialogue"
     blank = lines.filter("pos = 0").withColumn("text", F.lit(" "))
     assert [tuple(r) for r in quality.dialogue_facts(clips, blank).select(F.length("fingerprint"), "repeated").distinct().collect()] == [(0, False)]
+
+
+def test_boxes_far_apart_are_not_scored(monkeypatch) -> None:
+    calls, score = [], tracking.Tracker._score
+    monkeypatch.setattr(tracking.Tracker, "_score", lambda self, a, b: calls.append(1) or score(self, a, b))
+    tracker = tracking.Tracker()
+    first = tracker.see([(600.0 * i, 0.0, 50.0, 50.0) for i in range(20)])
+    assert [t for t, _ in tracker.see([(600.0 * i, 250.0, 50.0, 50.0) for i in range(20)])] == [t for t, _ in first] and len(calls) == 20
+    assert tracker.see([(0.0, 500.1, 50.0, 50.0)]) == [(21, 1.0)] and len(calls) == 20
+
+
+def test_values_are_those_of_to_pylist() -> None:
+    rows = [[{"a": 1.5, "b": 2, "c": "x"}], [], [{"a": -0.0, "b": 3, "c": None}] * 3, [{"a": 0.1, "b": 4, "c": "y"}]]
+    kind = pa.list_(pa.struct([("a", pa.float64()), ("b", pa.int32()), ("c", pa.string())]))
+    for column in (pa.array(rows, kind), pa.array(rows, kind)[1:3], pa.array([*rows, None], kind), pa.array([], kind), pa.array([1.5, None]), pa.array([True]), pa.array(["x"]), pa.array([7, 8])[1:]):
+        assert values(column) == column.to_pylist()
+
