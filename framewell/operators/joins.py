@@ -45,7 +45,7 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return cut(l, "l").join(cut(r, "r"), [*on, F.col("l.bucket_") == F.col("r.bucket_"), later == F.col("l.bucket_"), *met]).drop("bucket_")
 
 
-def look_up(left: DataFrame, right: DataFrame, keys: list[str], time: str, wanted: dict[str, tuple[str, str]], *, bucket: float | None = None) -> DataFrame:
+def look_up(left: DataFrame, right: DataFrame, keys: list[str], time: str, wanted: dict[str, tuple[str, str]], *, bucket: float | None = None, bucket_as: str | None = None, tasks: int | None = None) -> DataFrame:
     """``left`` with, for each name of ``wanted``, a value of the nearest row of ``right`` on one side of its time.
 
     ``wanted`` gives a column of ``right`` and a direction: ``backward`` takes its last value that is not null at or before
@@ -54,7 +54,9 @@ def look_up(left: DataFrame, right: DataFrame, keys: list[str], time: str, wante
 
     Both sides meet in one union and one sort for each direction. With ``bucket`` the time axis is cut into buckets of so many
     seconds, which join the keys: rows are sorted within a bucket only, and what reaches a bucket from those before (after) it
-    comes from a window over the buckets alone, one short row each. So a long video spreads over tasks.
+    comes from a window over the buckets alone, one short row each. So a long video spreads over tasks. ``bucket_as`` names a
+    column for the number of a row's bucket: windows that have it and ``keys`` among their keys need no further shuffle. ``tasks`` deals
+    the buckets out to so many tasks, which are not joined again when their files are small.
     """
     values = list(dict.fromkeys(c for c, _ in wanted.values()))
     types = {c: right.schema[c].dataType for c in values}
@@ -64,6 +66,7 @@ def look_up(left: DataFrame, right: DataFrame, keys: list[str], time: str, wante
     within = list(keys)
     if bucket is not None:
         both, within = both.withColumn("_bucket", F.floor(F.col(time) / bucket)), [*keys, "_bucket"]
+        both = both if tasks is None else both.repartition(tasks, *within)
     whole = Window.partitionBy(*within).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     order = {"backward": whole.orderBy(F.col(time), "_side", *of), "forward": whole.orderBy(F.col(time).desc(), "_side", *[c.desc() for c in of])}
     known = F.col(time).isNotNull()
@@ -82,7 +85,8 @@ def look_up(left: DataFrame, right: DataFrame, keys: list[str], time: str, wante
     reach = asked.unionByName(edges, allowMissingColumns=True)
     reach = reach.select(*within, "_asked", *[F.last(f"_edge_{n}", ignorenulls=True).over(buckets[d]).alias(f"_far_{n}") for n, (_, d) in wanted.items()]).filter("_asked").drop("_asked")
     joined = found.join(reach, within, "left")
-    return joined.select(*left.columns, *[F.coalesce(f"_got_{n}", f"_far_{n}").alias(n) for n in wanted])
+    number = [F.col("_bucket").alias(bucket_as)] if bucket_as else []
+    return joined.select(*left.columns, *number, *[F.coalesce(f"_got_{n}", f"_far_{n}").alias(n) for n in wanted])
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], *, direction: str = "backward", bucket: float | None = None) -> DataFrame:

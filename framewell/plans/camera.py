@@ -84,6 +84,24 @@ def smooth(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     return ordered_scan(parts, ["video_id", "part"], ["timestamp", "frame_number"], ["center_x", "center_y", "zoom", "timestamp"], make, "smooth_x double, smooth_y double, smooth_zoom double, " + MOTION)
 
 
+def steady(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
+    """:func:`smooth` of what :func:`pursue` gives, in one scan: path_x, path_y, path_zoom and motion. Both start anew near boundaries."""
+
+    def make():
+        led: dict = {}
+        eased: dict = {}
+
+        def step(x: float, y: float, zoom: float, t: float, near: int) -> tuple:
+            at = follow(led, x, y, zoom, t, near, conf)[:3]
+            if near == 1:
+                eased.clear()
+            return ease(eased, *at, t, conf)
+
+        return step
+
+    return ordered_scan(frames, ["video_id"], ["timestamp", "frame_number"], ["center_x", "center_y", "zoom", "timestamp", "near"], make, "path_x double, path_y double, path_zoom double, " + MOTION)
+
+
 def pan(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     """Smooth pan centers: pan_x, pan_y. Small moves are ignored, and a new speaker (``track``) is followed faster."""
 

@@ -17,9 +17,14 @@ def speaker_crops(camera: DataFrame, faces: DataFrame, width: float = 1920.0, he
     The window is centered on the active speaker, else on the most important face, else where the camera points, and then
     moved to take in the speaker's padded face, or all faces without a speaker. ``faces`` carry track_id, active and place.
     """
-    item = F.struct((~F.col("active")).alias("order"), "place", "track_id", "active", G.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("b"))
-    seen = faces.groupBy(*FRAME).agg(F.array_sort(F.collect_list(item)).alias("seen"))
-    out = camera.join(seen, FRAME, "left")
+    item = F.struct("place", "track_id", "active", G.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("b"))
+    return frame_crops(camera, faces.groupBy(*FRAME).agg(F.collect_list(item).alias("f")), width, height, conf)
+
+
+def frame_crops(camera: DataFrame, seen: DataFrame, width: float = 1920.0, height: float = 1080.0, conf: Settings = DEFAULTS) -> DataFrame:
+    """:func:`speaker_crops` from the faces of each frame, the array ``f`` of ``seen`` (place, track_id, active and the box ``b``)."""
+    ordered = F.array_sort(F.transform("f", lambda f: F.struct((~f.active).alias("order"), f.place.alias("place"), f.track_id.alias("track_id"), f.active.alias("active"), f.b.alias("b"))))
+    out = camera.join(seen.select(*FRAME, ordered.alias("seen")), FRAME, "left")
     first = F.get("seen", F.lit(0))
     w, h = G.largest_crop(F.lit(width), F.lit(height), conf.target_aspect)
     cx = F.coalesce(first.b.x + first.b.w / 2, F.col("center_x"))

@@ -36,15 +36,19 @@ def composition(frames: DataFrame, ranked: DataFrame, rapid: DataFrame, width: f
     """``frames`` with shot_type, targets, reason, zoom_multiplier and the framing of the targets: center_x, center_y, zoom (its
     width) and crop_height. ``ranked``: faces as :func:`framewell.plans.people.importance` gives them. A frame without faces is
     a wide shot of the whole picture."""
-    boxes = ranked.groupBy(*FRAME).agg(F.collect_list(F.struct("track_id", G.box(*map(F.col, "xywh")).alias("b"))).alias("seen"))
-    out = frames.join(people.shots(ranked, rapid, conf), FRAME, "left").join(boxes, FRAME, "left")
+    return compose(frames, people.by_frame(ranked), rapid, width, height, conf)
+
+
+def compose(frames: DataFrame, seen: DataFrame, rapid: DataFrame, width: float = 1920.0, height: float = 1080.0, conf: Settings = DEFAULTS) -> DataFrame:
+    """:func:`composition` from the faces of each frame, see :func:`framewell.plans.people.by_frame`."""
+    out = frames.join(people.frame_shots(seen, rapid, conf), FRAME, "left")
     shot = F.coalesce("shot_type", F.lit("wide_table"))
     out = out.withColumns({"targets": F.coalesce("targets", F.array().cast("array<string>")), "reason": F.coalesce("reason", F.lit("no visible faces; default wide framing")), "shot_type": shot, "zoom_multiplier": people.zoom_of(shot, conf)})
-    chosen = F.transform(F.filter("seen", lambda f: F.array_contains(F.col("targets"), f.track_id)), lambda f: f.b)
+    chosen = F.transform(F.filter("f", lambda f: F.array_contains(F.col("targets"), f.track_id)), lambda f: f.b)
     out = out.withColumn("chosen", F.coalesce(chosen, F.array().cast("array<struct<x: double, y: double, w: double, h: double>>")))
     framed = G.framing(F.col("chosen"), F.lit(width), F.lit(height), conf.target_aspect, conf.min_padding, conf.forehead_ratio, conf.thirds_offset, F.col("zoom_multiplier"))
-    out = out.withColumn("f", framed)
-    return out.select(*frames.columns, "shot_type", "targets", "reason", "zoom_multiplier", F.col("f.cx").alias("center_x"), F.col("f.cy").alias("center_y"), F.col("f.w").alias("zoom"), F.col("f.h").alias("crop_height"))
+    out = out.withColumn("aim", framed)
+    return out.select(*frames.columns, "shot_type", "targets", "reason", "zoom_multiplier", F.col("aim.cx").alias("center_x"), F.col("aim.cy").alias("center_y"), F.col("aim.w").alias("zoom"), F.col("aim.h").alias("crop_height"))
 
 
 def rank_faces(faces: DataFrame, speech: DataFrame, energy: DataFrame, conf: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
@@ -56,16 +60,15 @@ def rank_faces(faces: DataFrame, speech: DataFrame, energy: DataFrame, conf: Set
 def camera_path(plan: DataFrame, boundaries: DataFrame | None = None, conf: Settings = DEFAULTS) -> DataFrame:
     """The smoothed path of a composition: path_x, path_y, path_zoom and motion. The camera jumps near scene boundaries;
     without ``boundaries`` the plan says in ``near`` where these are."""
-    moved = camera.pursue(plan if boundaries is None else camera.near_boundaries(plan, boundaries, conf), conf)
-    aimed = moved.select("video_id", "frame_number", "timestamp", "near", F.col("path_x").alias("center_x"), F.col("path_y").alias("center_y"), F.col("path_zoom").alias("zoom"))
-    smooth = camera.smooth(aimed, conf).drop("center_x", "center_y", "zoom", "part")
-    return smooth.withColumnsRenamed({"smooth_x": "path_x", "smooth_y": "path_y", "smooth_zoom": "path_zoom"})
+    aims = plan if boundaries is None else camera.near_boundaries(plan, boundaries, conf)
+    return camera.steady(aims.select("video_id", "frame_number", "timestamp", "near", "center_x", "center_y", "zoom"), conf).drop("center_x", "center_y", "zoom")
 
 
-def crop_plan(path: DataFrame, ranked: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
-    """Crops of each frame that follow the speaker without jerks: video_id, frame_number, timestamp, x, y, w, h, track."""
+def crop_plan(path: DataFrame, seen: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
+    """Crops of each frame that follow the speaker without jerks: video_id, frame_number, timestamp, x, y, w, h, track. ``seen``: the
+    faces of each frame, see :func:`framewell.plans.people.by_frame`."""
     aimed = path.select("video_id", "frame_number", "timestamp", F.col("path_x").alias("center_x"), F.col("path_y").alias("center_y"))
-    made = crops.speaker_crops(aimed, ranked, conf=conf)
+    made = crops.frame_crops(aimed, seen, conf=conf)
     made = made.withColumns({"center_x": F.col("x") + F.col("w") / 2, "center_y": F.col("y") + F.col("h") / 2})
     panned = camera.pan(made, conf)
     return panned.select("video_id", "frame_number", "timestamp", (F.col("pan_x") - F.col("w") / 2).alias("x"), (F.col("pan_y") - F.col("h") / 2).alias("y"), "w", "h", "track")
@@ -83,18 +86,21 @@ def metrics(made: DataFrame, faces: DataFrame, path: DataFrame, conf: Settings =
 
 
 def stages(frames: DataFrame, faces: DataFrame, speech: DataFrame, energy: DataFrame, boundaries: DataFrame, conf: Settings = DEFAULTS) -> StageGraph:
-    """The chain as a graph: ``scored``, ``ranked``, ``rapid``, ``shots``, ``marked`` (frames near boundaries), ``composition``, ``path``,
-    ``crops`` and ``metrics``. What the results asked for have in common is worked out once (see :mod:`framewell.operators.store`);
-    the inputs are stored too, since look-ups read theirs twice."""
+    """The chain as a graph: ``scored``, ``runs`` (of frames with one speaker), ``ranked``, ``rapid``, ``seen`` (ranked faces by frame),
+    ``shots``, ``marked`` (frames near boundaries), ``composition``, ``path``, ``crops`` and ``metrics``. What the results asked for have
+    in common is worked out once (see :mod:`framewell.operators.store`); the inputs are stored too, since look-ups read theirs twice."""
     graph = StageGraph(frames.sparkSession, conf)
     for name, df in (("frames", frames), ("faces", faces), ("speech", speech), ("energy", energy), ("boundaries", boundaries)):
         graph.input(name, df, keep=True)
-    graph.stage("scored", lambda f, s, e: people.speaker_scores(people.signals(f, s, e, conf=conf), conf), "faces", "speech", "energy")
-    graph.stage("ranked", lambda s: people.importance(people.recent_speaker(s, conf), conf), "scored")
-    graph.stage("rapid", lambda s: people.rapid_discussion(people.speaker_segments(s, conf), conf), "scored")
-    graph.stage("shots", lambda r, q: people.shots(r, q, conf), "ranked", "rapid")
+    needed = [*FRAME, "timestamp", people.BUCKET, "track_id", *"xywh", "confidence", "expression", "presence", "center", "speaker_score", "active"]
+    graph.stage("scored", lambda f, s, e: people.speaker_scores(people.signals(f, s, e, conf=conf), conf).select(*needed), "faces", "speech", "energy")
+    graph.stage("runs", people.speaker_runs, "scored")
+    graph.stage("ranked", lambda s, r: people.importance(people.recent_speaker(s, conf, r), conf), "scored", "runs")
+    graph.stage("rapid", lambda s, r: people.rapid_discussion(people.speaker_segments(s, conf, r), conf), "scored", "runs")
+    graph.stage("seen", people.by_frame, "ranked")
+    graph.stage("shots", lambda f, q: people.frame_shots(f, q, conf).drop("f"), "seen", "rapid")
     graph.stage("marked", lambda f, b: camera.near_boundaries(f, b, conf), "frames", "boundaries")
-    graph.stage("composition", lambda f, r, q: composition(f, r, q, conf=conf), "marked", "ranked", "rapid")
+    graph.stage("composition", lambda m, f, q: compose(m, f, q, conf=conf), "marked", "seen", "rapid")
     graph.stage("path", lambda c: camera_path(c, conf=conf), "composition")
-    graph.stage("crops", lambda p, r: crop_plan(p, r, conf), "path", "ranked")
+    graph.stage("crops", lambda p, f: crop_plan(p, f, conf), "path", "seen")
     return graph.stage("metrics", lambda c, f, p: metrics(c, f, p, conf), "crops", "faces", "path")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pyarrow as pa
 import pytest
 from framewell.functions import geometry as G
 from framewell.functions.time import format_srt_timestamp, format_timestamp
 from framewell.operators.folds import values
-from framewell.plans import quality, subtitles, tracking
+from framewell.plans import camera, people, quality, reframe, subtitles, tracking
 from framewell.queries import QUERIES
 from framewell.sources import files, sound, transcripts
 from pyspark.sql import functions as F
@@ -104,3 +106,64 @@ def test_values_are_those_of_to_pylist() -> None:
     for column in (pa.array(rows, kind), pa.array(rows, kind)[1:3], pa.array([*rows, None], kind), pa.array([], kind), pa.array([1.5, None]), pa.array([True]), pa.array(["x"]), pa.array([7, 8])[1:]):
         assert values(column) == column.to_pylist()
 
+
+def _long_video(spark):  # noqa: ANN001, ANN202
+    """Faces of one video over 40 buckets, its frames and sound."""
+    rng = random.Random(3)
+    rows = [(1, i, i * 100.0 + 0.5 * (i % 2), f"p{k}", rng.uniform(0, 1500), rng.uniform(0, 800), 100.0 + k, 120.0, 0.9) for i in range(1440) for k in range(1, rng.randint(2, 5)) if k < 4 or i % 97 == 0]
+    faces = spark.createDataFrame(rows, "video_id long, frame_number long, timestamp double, track_id string, x double, y double, w double, h double, confidence double")
+    speech = spark.createDataFrame([(1, 0.0, 60_000.0)], "video_id long, timestamp double, speech_end double")
+    return rows, faces, speech, spark.createDataFrame([(1, 0.0, 0.6)], "video_id long, timestamp double, energy double")
+
+
+def test_signals_of_a_long_video_spread_over_tasks_and_cross_buckets(spark) -> None:
+    rows, faces, speech, energy = _long_video(spark)
+    scored = people.speaker_scores(people.signals(faces, speech, energy))
+    last, want = {}, {}
+    for r in sorted(rows, key=lambda r: r[2]):
+        mouth = r[4] + r[6] / 2, r[5] + r[7] * 0.75
+        want[r[1], r[3]] = sum((a - b) ** 2 for a, b in zip(mouth, last.get(r[3], mouth), strict=True)) ** 0.5
+        last[r[3]] = mouth
+    got = scored.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.frame_number, r.track_id): r.mouth_delta for r in got} == pytest.approx(want) and len(got) == len(rows)
+    assert len({r.task for r in got}) > 10, "one video is not one task"
+    speakers = {r.frame_number: r.track_id for r in got if r.active}
+    spans, before = {}, None
+    for i in range(1440):
+        if (now := speakers.get(i)) is not None:
+            t = i * 100.0 + 0.5 * (i % 2)
+            if now != before:
+                spans.setdefault(now, []).append([t, t])
+            spans[now][-1][1] = t
+        before = now
+    recent = people.recent_speaker(scored).withColumn("task", F.spark_partition_id()).collect()
+    for r in recent:
+        mine = [(a, max(b, a + 0.3)) for a, b in spans.get(r.track_id, []) if a <= r.timestamp]
+        since = r.timestamp - mine[-1][1] if mine else None
+        assert r.recent == pytest.approx(0.0 if since is None else 1.0 if since <= 0 else 2.718281828459045 ** (-since / 3), abs=1e-12)
+    assert len(recent) == len(rows) and len({r.task for r in recent}) > 10
+
+
+def test_landmarks_need_no_sound(spark) -> None:
+    plan = optimized(QUERIES["landmark_signals"](spark, DATA))
+    assert "Union" not in plan
+
+
+def test_faces_of_a_frame_are_gathered_once_for_shots_and_framing(spark) -> None:
+    ranked = people.importance(people.recent_speaker(people.speaker_scores(people.signals(*_long_video(spark)[1:])))).localCheckpoint()
+    frames = ranked.select("video_id", "frame_number", "timestamp").distinct()
+    plan = optimized(reframe.composition(frames, ranked, spark.createDataFrame([(1, True)], "video_id long, rapid boolean")))
+    assert plan.count("collect_list") == 1
+
+
+def test_pursuit_and_smoothing_are_one_scan_of_short_rows(spark) -> None:
+    rng = random.Random(4)
+    rows = [(v, i, i * 0.5, rng.uniform(0, 1900), rng.uniform(0, 1000), rng.uniform(300, 1900), int(rng.random() < 0.1), "long" * 50) for v in range(3) for i in range(60)]
+    frames = spark.createDataFrame(rows, "video_id long, frame_number long, timestamp double, center_x double, center_y double, zoom double, near int, reason string")
+    led = camera.pursue(frames).select("video_id", "frame_number", "timestamp", "near", F.col("path_x").alias("center_x"), F.col("path_y").alias("center_y"), F.col("path_zoom").alias("zoom"))
+    names = ["video_id", "frame_number", "velocity_x", "velocity_y", "zoom_velocity", "acceleration_x", "acceleration_y", "zoom_acceleration"]
+    two = camera.smooth(led).select(*names, "smooth_x", "smooth_y", "smooth_zoom").collect()
+    one = reframe.camera_path(frames)
+    plan = optimized(one)
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan and "reason" not in one.columns
+    assert sorted(map(tuple, one.select(*names, "path_x", "path_y", "path_zoom").collect())) == sorted(map(tuple, two))
