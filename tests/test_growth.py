@@ -81,6 +81,17 @@ def test_clips_of_one_span_share_its_cues(spark, made: str) -> None:
     assert len(rows) == 3000 * (8 if made == "clip_cues" else 1) and len({tuple(r)[2:] for r in rows}) == (8 + 2 if made == "clip_cues" else 3)
 
 
+@pytest.mark.parametrize("made", ["clip_cues", "clip_files"])
+def test_rows_with_texts_grow_with_spans_and_not_with_clips(spark, monkeypatch, made: str) -> None:
+    met, join = [], subtitles.contained
+    monkeypatch.setattr(subtitles, "contained", lambda *a, **k: met.append(join(*a, **k)) or met[-1])
+    lines = spark.range(10).selectExpr("0L AS video_id", "id AS pos", "id * 8D AS seconds", "'ann' AS speaker", "concat('l', id) AS text")
+    for n in (60, 6000):
+        clips = spark.range(n).selectExpr("0L AS video_id", "id AS pos", "id % 2 * 8D AS start_seconds", "60D + id % 3 AS end_seconds")
+        assert getattr(subtitles, made)(clips, lines).count() == n * (7.5 if made == "clip_cues" else 1)
+    assert [m.count() for m in met] == [6 * 7.5] * 2
+
+
 def test_dialogue_of_a_span_is_joined_once_and_hashed(spark) -> None:
     clips = spark.range(400).selectExpr("0L AS video_id", "id AS pos", "0D AS start_seconds", "30D + id % 2 * 20.0D AS end_seconds", "30D + id % 2 * 20.0D AS duration_seconds", "9D AS viral_score", "'calm' AS emotion")
     lines = spark.sql("SELECT 0L AS video_id, n AS pos, n * 4D AS seconds, 'ann' AS speaker, concat(' L', n, repeat('x', 5000)) AS text FROM (SELECT explode(sequence(0L, 12L)) AS n)")
