@@ -26,12 +26,13 @@ def values(column: pa.Array) -> list:
     return column.to_pylist()
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str | Column], uses: list[str], make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str | Column], uses: list[str], make: Callable[[], Callable[..., tuple]], schema: str, arranged: bool = False) -> DataFrame:
     """Run a recurrence over each key's rows in order, and add what it gives for each row as the columns of ``schema``.
 
     ``make`` gives a function with fresh state for a key; it is called with the columns ``uses`` of one row after the other.
     Rows stream through sorted partitions: a task holds one batch and one key's state, never a whole key. Other columns pass
-    as Arrow arrays.
+    as Arrow arrays. ``arranged``: rows come from an earlier scan by the same keys and order, with nothing but projections between,
+    and stay as they are, so that they are not shuffled and sorted again.
     """
     fields = T.StructType.fromDDL(schema)
     out = T.StructType([*df.schema.fields, *fields.fields])
@@ -50,7 +51,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str | Column], uses
             extra = [pa.array(c, _ARROW[f.dataType.simpleString()]) for c, f in zip(columns, fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=out.names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+    return (df if arranged else df.repartition(*keys).sortWithinPartitions(*keys, *order)).mapInArrow(run, out)
 
 
 _ARROW = {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}

@@ -11,12 +11,14 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Stage = Callable[..., DataFrame]
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +45,17 @@ def files_of(df: DataFrame) -> str:
     return str(listed.agg(F.count("h"), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first())
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind; otherwise they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 class StageGraph:
     """Stages by name. ``settings`` are whatever the stages depend on besides their inputs; their ``repr`` is fingerprinted."""
 
@@ -63,12 +76,14 @@ class StageGraph:
         self.kept |= {name} if keep else set()
         return self
 
-    def stage(self, name: str, make: Stage, *needs: str) -> StageGraph:
-        """``make`` gets the results of ``needs``, which must be there already."""
+    def stage(self, name: str, make: Stage, *needs: str, keep: bool = False) -> StageGraph:
+        """``make`` gets the results of ``needs``, which must be there already. With ``keep`` its rows are stored whenever another stage
+        needs them, so that its shuffles are gone before those of its user begin."""
         self._free(name)
         if missing := [n for n in needs if n not in self.stages and n not in self.inputs]:
             raise KeyError(f"stage {name!r} needs {', '.join(missing)}")
         self.stages[name] = (make, needs)
+        self.kept |= {name} if keep else set()
         return self
 
     def _free(self, name: str) -> None:
@@ -108,7 +123,7 @@ class StageGraph:
         def result(name: str) -> DataFrame:
             if name not in done:
                 make, needs = self.stages.get(name, (None, ()))
-                shared = uses[name] > 1 or name in self.kept
+                shared = uses[name] > 1 or name in self.kept and (name in self.inputs or name not in wanted)
                 if shared and (stored := self._stored(name)) is not None:
                     done[name] = stored
                 else:
@@ -134,10 +149,12 @@ class StageGraph:
         return self.spark.read.parquet(path)
 
     def _write(self, name: str, df: DataFrame) -> DataFrame:
-        """Write beside the path and rename, so a broken run leaves nothing that looks finished, and of two writers one wins."""
+        """Write beside the path and rename, so a broken run leaves nothing that looks finished, and of two writers one wins. The
+        shuffles that made it are removed."""
         path = self._path(name)
         draft = f"{path}-{uuid.uuid4().hex}"
-        df.write.parquet(draft)
+        with shuffles_removed(self.spark):
+            df.write.parquet(draft, compression="zstd")
         source, system = self._system(draft)
         target, _ = self._system(path)
         if system.exists(target) or not system.rename(source, target):

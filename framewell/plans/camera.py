@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from functools import partial
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewell.config import DEFAULTS, Settings
@@ -85,25 +85,31 @@ def smooth(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
 
 
 def steady(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
-    """:func:`smooth` of what :func:`pursue` gives, in one scan: path_x, path_y, path_zoom and motion. Both start anew near boundaries."""
+    """:func:`smooth` of what :func:`pursue` gives, in one scan: path_x, path_y, path_zoom and motion. Both start anew near boundaries.
+    ``jump`` and ``zoomed`` are how far the camera moved and zoomed since the frame before, null at a video's first."""
 
     def make():
         led: dict = {}
         eased: dict = {}
+        last: list = []
 
         def step(x: float, y: float, zoom: float, t: float, near: int) -> tuple:
             at = follow(led, x, y, zoom, t, near, conf)[:3]
             if near == 1:
                 eased.clear()
-            return ease(eased, *at, t, conf)
+            out = ease(eased, *at, t, conf)
+            dx, dy, dz = (a - b for a, b in zip(out[:3], last, strict=True)) if last else (None,) * 3
+            last[:] = out[:3]
+            return *out, *((None, None) if dx is None else (math.sqrt(dx * dx + dy * dy), abs(dz)))
 
         return step
 
-    return ordered_scan(frames, ["video_id"], ["timestamp", "frame_number"], ["center_x", "center_y", "zoom", "timestamp", "near"], make, "path_x double, path_y double, path_zoom double, " + MOTION)
+    return ordered_scan(frames, ["video_id"], ["timestamp", "frame_number"], ["center_x", "center_y", "zoom", "timestamp", "near"], make, "path_x double, path_y double, path_zoom double, " + MOTION + ", jump double, zoomed double")
 
 
-def pan(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
-    """Smooth pan centers: pan_x, pan_y. Small moves are ignored, and a new speaker (``track``) is followed faster."""
+def pan(frames: DataFrame, conf: Settings = DEFAULTS, arranged: bool = False) -> DataFrame:
+    """Smooth pan centers: pan_x, pan_y. Small moves are ignored, and a new speaker (``track``) is followed faster. ``arranged``: see
+    :func:`framewell.operators.folds.ordered_scan`."""
 
     def make():
         state: dict = {}
@@ -119,7 +125,7 @@ def pan(frames: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
 
         return step
 
-    return ordered_scan(frames, ["video_id"], ["timestamp", "frame_number"], ["center_x", "center_y", "track"], make, "pan_x double, pan_y double")
+    return ordered_scan(frames, ["video_id"], ["timestamp", "frame_number"], ["center_x", "center_y", "track"], make, "pan_x double, pan_y double", arranged)
 
 
 def resample(crops: DataFrame, fps: float, conf: Settings = DEFAULTS) -> DataFrame:
@@ -244,15 +250,22 @@ def visibility_metrics(crops: DataFrame, faces: DataFrame, conf: Settings = DEFA
     """How well the crops (video_id, frame_number, x, y, w, h) of each video show its faces: average_visibility (0 without any),
     clipped_percent of faces shown to less than the threshold, average_empty_space (1 for a frame without faces), frames, faces."""
     seen = faces.groupBy("video_id", "frame_number").agg(F.collect_list(box(*map(F.col, "xywh"))).alias("boxes"))
-    rows = crops.select("video_id", "frame_number", box(*map(F.col, "xywh")).alias("crop")).join(seen, ["video_id", "frame_number"], "left").withColumn("boxes", F.coalesce("boxes", F.array().cast("array<struct<x: double, y: double, w: double, h: double>>")))
-    share = F.transform("boxes", lambda b: visibility(F.col("crop"), b))
+    rows = crops.select("video_id", "frame_number", box(*map(F.col, "xywh")).alias("crop")).join(seen, ["video_id", "frame_number"], "left")
+    return shown_metrics(rows, [], conf)
+
+
+def shown_metrics(rows: DataFrame, more: list[Column], conf: Settings = DEFAULTS) -> DataFrame:
+    """:func:`visibility_metrics` of frames with ``crop`` and the ``boxes`` of their faces (null without any), and the aggregates
+    ``more`` of the same rows."""
+    rows = rows.withColumn("boxes", F.coalesce("boxes", F.array().cast("array<struct<x: double, y: double, w: double, h: double>>")))
     area = F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b.w * b.h)
     empty = F.greatest(F.lit(0.0), F.lit(1.0) - F.least(F.lit(1.0), area / F.greatest(F.lit(1.0), F.col("crop.w") * F.col("crop.h"))))
-    rows = rows.select("video_id", share.alias("share"), empty.alias("empty"))
+    rows = rows.withColumns({"share": F.transform("boxes", lambda b: visibility(F.col("crop"), b)), "empty": empty})
     low = F.size(F.filter("share", lambda v: v < conf.visibility_threshold))
-    per = rows.groupBy("video_id").agg(F.avg("empty").alias("average_empty_space"), F.sum(F.aggregate("share", F.lit(0.0), lambda a, v: a + v)).alias("seen"), F.sum(F.size("share")).alias("face_frame_count"), F.sum(low).alias("low"), F.count("*").alias("frame_count"))
+    per = rows.groupBy("video_id").agg(F.avg("empty").alias("average_empty_space"), F.sum(F.aggregate("share", F.lit(0.0), lambda a, v: a + v)).alias("_seen"), F.sum(F.size("share")).alias("face_frame_count"), F.sum(low).alias("_low"), F.count("*").alias("frame_count"), *more)
     of = lambda v: F.coalesce(F.try_divide(v, F.col("face_frame_count")), F.lit(0.0))
-    return per.select("video_id", of(F.col("seen")).alias("average_visibility"), (of(F.col("low")) * 100).alias("clipped_percent"), "average_empty_space", "frame_count", "face_frame_count")
+    rest = per.columns[6:]
+    return per.select("video_id", of(F.col("_seen")).alias("average_visibility"), (of(F.col("_low")) * 100).alias("clipped_percent"), "average_empty_space", "frame_count", "face_frame_count", *rest)
 
 
 def path_metrics(path: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
@@ -260,9 +273,14 @@ def path_metrics(path: DataFrame, conf: Settings = DEFAULTS) -> DataFrame:
     along = Window.partitionBy("video_id").orderBy("timestamp", "frame_number")
     step = lambda c: F.col(c) - F.lag(c).over(along)
     rows = path.withColumn("jump", F.sqrt(step("path_x") * step("path_x") + step("path_y") * step("path_y"))).withColumn("zoomed", F.abs(step("path_zoom")))
+    return rows.groupBy("video_id").agg(*travelled(conf), F.count("*").alias("n_frames"))
+
+
+def travelled(conf: Settings = DEFAULTS) -> list[Column]:
+    """Aggregates of a path's rows with ``jump`` and ``zoomed`` (see :func:`steady`): movement, jitter and cuts."""
     jitter = F.when(F.col("jump").isNotNull(), F.sqrt(F.col("acceleration_x") ** 2 + F.col("acceleration_y") ** 2) + F.abs("zoom_acceleration"))
     cut = (F.col("near") == 0) & ((F.col("jump") > conf.cut_pixels) | (F.col("zoomed") > conf.cut_zoom))
-    return rows.groupBy("video_id").agg(F.coalesce(F.sum("jump"), F.lit(0.0)).alias("movement"), F.coalesce(F.sum(jitter), F.lit(0.0)).alias("jitter"), F.count_if(cut).alias("cuts"), F.count("*").alias("n_frames"))
+    return [F.coalesce(F.sum("jump"), F.lit(0.0)).alias("movement"), F.coalesce(F.sum(jitter), F.lit(0.0)).alias("jitter"), F.count_if(cut).alias("cuts")]
 
 
 def audio_energy(samples: DataFrame, size: int) -> DataFrame:

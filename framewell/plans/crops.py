@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewell.config import DEFAULTS, Settings
 from framewell.functions import geometry as G
+from framewell.functions.binding import let
 
 FRAME = ["video_id", "frame_number"]
 
@@ -23,14 +24,28 @@ def speaker_crops(camera: DataFrame, faces: DataFrame, width: float = 1920.0, he
 
 def frame_crops(camera: DataFrame, seen: DataFrame, width: float = 1920.0, height: float = 1080.0, conf: Settings = DEFAULTS) -> DataFrame:
     """:func:`speaker_crops` from the faces of each frame, the array ``f`` of ``seen`` (place, track_id, active and the box ``b``)."""
+    out = camera.join(seen.select(*FRAME, held(conf).alias("held")), FRAME, "left")
+    return place(out, width, height, conf).select(*FRAME, "timestamp", "crop.*", "track")
+
+
+def held(conf: Settings = DEFAULTS) -> Column:
+    """What a crop needs to know of a frame's faces ``f``: a struct of the center of the one to follow (``x``, ``y``), its ``track`` if it
+    speaks, and the box ``content`` to take in."""
     ordered = F.array_sort(F.transform("f", lambda f: F.struct((~f.active).alias("order"), f.place.alias("place"), f.track_id.alias("track_id"), f.active.alias("active"), f.b.alias("b"))))
-    out = camera.join(seen.select(*FRAME, ordered.alias("seen")), FRAME, "left")
-    first = F.get("seen", F.lit(0))
+
+    def made(seen: Column) -> Column:
+        first = F.get(seen, F.lit(0))
+        track = F.when(first.active, first.track_id)
+        inside = F.transform(F.filter(seen, lambda f: track.isNull() | f.active), lambda f: G.expand(f.b, conf.face_padding))
+        return F.struct((first.b.x + first.b.w / 2).alias("x"), (first.b.y + first.b.h / 2 - first.b.h * 0.05).alias("y"), track.alias("track"), G.union(inside).alias("content"))
+
+    return let(ordered, made)
+
+
+def place(frames: DataFrame, width: float = 1920.0, height: float = 1080.0, conf: Settings = DEFAULTS) -> DataFrame:
+    """``frames`` (center_x, center_y and :func:`held`, null without faces) with ``crop`` and ``track`` instead of ``held``."""
     w, h = G.largest_crop(F.lit(width), F.lit(height), conf.target_aspect)
-    cx = F.coalesce(first.b.x + first.b.w / 2, F.col("center_x"))
-    cy = F.coalesce(first.b.y + first.b.h / 2 - first.b.h * 0.05, F.col("center_y"))
-    out = out.withColumn("crop", G.crop_at(cx, cy, w, h, F.lit(width), F.lit(height))).withColumn("track", F.when(first.active, first.track_id))
-    inside = F.transform(F.filter("seen", lambda f: F.col("track").isNull() | f.active), lambda f: G.expand(f.b, conf.face_padding))
-    out = out.withColumn("content", G.union(inside))
+    cx, cy = F.coalesce("held.x", "center_x"), F.coalesce("held.y", "center_y")
+    out = frames.withColumns({"crop": G.crop_at(cx, cy, w, h, F.lit(width), F.lit(height)), "track": F.col("held.track"), "content": F.col("held.content")})
     moved = F.when(F.col("content").isNull(), F.col("crop")).otherwise(G.pan_to(F.col("crop"), F.col("content"), F.lit(width), F.lit(height)))
-    return out.withColumn("crop", moved).select(*FRAME, "timestamp", "crop.*", "track")
+    return out.withColumn("crop", moved).drop("held", "content")

@@ -178,3 +178,26 @@ def test_pursuit_and_smoothing_are_one_scan_of_short_rows(spark) -> None:
     plan = optimized(one)
     assert plan.count("MapInArrow") == 1 and "Window" not in plan and "reason" not in one.columns
     assert sorted(map(tuple, one.select(*names, "path_x", "path_y", "path_zoom").collect())) == sorted(map(tuple, two))
+
+
+def test_crops_and_metrics_sort_short_rows_by_video_once(spark) -> None:
+    _, faces, speech, energy = _long_video(spark)
+    seen = faces.select("video_id", "frame_number", "timestamp").distinct()
+    frames = seen.unionByName(seen.selectExpr("video_id", "frame_number + 10000 AS frame_number", "timestamp + 0.25 AS timestamp"))
+    graph = reframe.stages(frames, faces, speech, energy, spark.createDataFrame([(1, 5000.1), (1, 90000.0)], "video_id long, timestamp double"))
+    made, told = graph.results("crops", "metrics")
+    assert not {"path", "crops"} & set(graph.written)
+    for df in (made, told):
+        plan = optimized(df)
+        assert plan.count("RepartitionByExpression") == 1 and plan.count("MapInArrow") == 2 and "reasoning" not in plan[: plan.index("Join")]
+    path = reframe.camera_path(graph.results("composition")[0])
+    want, got = reframe.metrics(made, faces, path).first().asDict(), told.first().asDict()
+    assert got == pytest.approx(want) and list(got) == list(want) and want["movement"] > 0
+
+
+def test_arranged_scans_go_on_where_the_first_one_was(spark) -> None:
+    rows = [(v, i, float(i), 100.0 * v + i * i, 50.0 - i, ["a", "b", None][i % 3]) for v in range(3) for i in range(30)]
+    frames = spark.createDataFrame(rows, "video_id long, frame_number long, timestamp double, center_x double, center_y double, track string")
+    twice = camera.pan(camera.pan(frames).drop("pan_x", "pan_y"), arranged=True)
+    assert optimized(twice).count("RepartitionByExpression") == 1
+    assert sorted(map(str, twice.collect())) == sorted(map(str, camera.pan(frames).collect()))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
+import time
 
 import pytest
-from framewell.operators.store import StageGraph
+from framewell.operators.store import CLEANUP, StageGraph
 from framewell.queries.frames import QUERIES
 from pyspark.sql import functions as F
 
@@ -46,6 +48,28 @@ def test_broken_stage_leaves_nothing(spark) -> None:
     assert graph.written == ["rows"] and graph._stored("bad") is None
 
 
+def test_a_written_stage_leaves_no_shuffle_files(spark) -> None:
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before = files()
+    graph = StageGraph(spark).input("rows", spark.range(1000).withColumn("x", F.rand(int(time.time()))))
+    graph.stage("sums", lambda r: r.groupBy((F.col("id") % 7).alias("k")).agg(F.sum("x").alias("x")).repartition(3, "x"), "rows")
+    graph.stage("a", lambda s: s, "sums").stage("b", lambda s: s, "sums")
+    a, _ = graph.results("a", "b")
+    assert graph.written == ["sums"] and spark.conf.get(CLEANUP, "false") == "false"
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert files() - before == set() and a.count() == 7
+
+
+def test_a_kept_stage_is_written_for_its_only_user(spark) -> None:
+    graph = StageGraph(spark).input("rows", spark.range(int(time.time()) % 1000 + 1)).stage("one", lambda r: r.withColumn("y", F.col("id") + 1), "rows", keep=True)
+    graph.stage("two", lambda r: r.filter("y > 1"), "one")
+    assert graph.results("one")[0].count() > 0 and graph.written == []
+    assert graph.results("two")[0].filter("y < 2").count() == 0 and graph.written == ["one"]
+
+
 def test_graph_refuses_unknown_and_double_names(spark) -> None:
     graph = StageGraph(spark).input("rows", spark.range(1))
     with pytest.raises(KeyError, match="nothing"):
