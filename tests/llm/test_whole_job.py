@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 
-from framewell.llm import licenses, queries, search
+from framewell.llm import licenses, queries, search, shared
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -51,6 +51,24 @@ def test_op10_search_is_the_whole_bm25(spark):
     same(got, list(bm25(docs, sorted((i, t) for i, t in docs if i % 20 == 0))))
 
 
+def test_segments_are_dealt_evenly(spark, tmp_path):
+    """Tasks come in full rounds of all cores, and no task gets only the end of a file, which has no rows."""
+    conf = search.Search()
+    assert [search.n_tasks(n, c, conf) for n, c in ((314, 12), (192, 12), (193, 12), (32, 8), (0, 8), (17, 1), (5, 0))] == [24, 12, 24, 8, 8, 2, 1]
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(3000))) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    index = shared.stash(search.segments(docs, search.Search(segment_docs=1)), file_rows=1)
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, 20_000)
+    try:
+        with shared.whole_files(spark):
+            held = index.select("n_docs").rdd.glom().map(len).collect()
+        assert held == [1] * 8 and spark.conf.get(key) == "20000"
+        assert 0 in index.select("n_docs").rdd.glom().map(len).collect(), "as it was"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_licenses_of_one_family(spark):
     """One distinguishing word put in, replaced or left out decides the label."""
     gnu = "This is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3"
